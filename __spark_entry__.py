@@ -153,25 +153,19 @@ def q_f2_filter_any_term(spark, sf):
     return filter_any_term(_t(spark, sf, "part"), "p_name", ["BOLT", "ring"])
 
 
-def _docs_with_benchmark(spark, sf, max_broadcast):
-    from rowsift.operators import filters as filters_mod
+def _docs_with_benchmark(spark, sf, max_list_values):
     docs = _t(spark, sf, "documents")
     bench = _t(spark, sf, "benchmark").select(F.col("text").alias("value"))
-    old = filters_mod.MAX_BROADCAST_VALUES
-    filters_mod.MAX_BROADCAST_VALUES = max_broadcast
-    try:
-        out = filter_any_term(docs, "text", bench)
-    finally:
-        filters_mod.MAX_BROADCAST_VALUES = old
+    out = filter_any_term(docs, "text", bench, max_list_values=max_list_values)
     return out.select("doc_id", "lang", "n_chars")
 
 
 def q_f2_filter_any_term_frame(spark, sf):
-    return _docs_with_benchmark(spark, sf, max_broadcast=256)
+    return _docs_with_benchmark(spark, sf, max_list_values=256)
 
 
 def q_f2_filter_any_term_qgram(spark, sf):
-    return _docs_with_benchmark(spark, sf, max_broadcast=0)
+    return _docs_with_benchmark(spark, sf, max_list_values=0)
 
 
 def q_f3_filter_related(spark, sf):

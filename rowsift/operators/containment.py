@@ -22,12 +22,25 @@ from pyspark.sql import types as T
 Q = 4
 
 
-def _substrings(col, length: int):
-    """Distinct substrings of ``length`` characters of a text column."""
-    n = F.length(col) - F.lit(length) + 1
-    starts = F.sequence(F.lit(1), F.greatest(n, F.lit(1)))
-    subs = F.transform(starts, lambda i: F.substring(col, i, length))
-    return F.when(n >= 1, F.array_distinct(subs)).otherwise(F.array().cast("array<string>"))
+def _chars(col):
+    """A text as an array of its characters (linear; regex split on '')."""
+    return F.split(col, "")
+
+
+def _grams(chars, length: int):
+    """Distinct runs of ``length`` consecutive characters of a character array.
+
+    Built from ``length`` shifted slices zipped together, so the cost is
+    linear in the text length (``substring`` by position would be quadratic
+    on UTF-8 text).
+    """
+    if length == 1:
+        return F.array_distinct(chars)
+    m = F.greatest(F.size(chars) - F.lit(length - 1), F.lit(0))
+    out = F.slice(chars, 1, m)
+    for k in range(1, length):
+        out = F.zip_with(out, F.slice(chars, k + 1, m), lambda a, b: F.concat(a, b))
+    return F.array_distinct(out)
 
 
 def containment_pairs(texts: DataFrame, text_col: str, values: DataFrame, value_col: str,
@@ -35,10 +48,12 @@ def containment_pairs(texts: DataFrame, text_col: str, values: DataFrame, value_
     """Distinct ``(text_col, value_col)`` pairs with lower(text) containing lower(value)."""
     t = texts.select(F.col(text_col)).where(F.col(text_col).isNotNull()).distinct()
     v = values.select(F.col(value_col)).where(F.col(value_col).isNotNull()).distinct()
-    n_values = v.limit(max_broadcast + 1).count()
+    n_values = v.limit(max_broadcast + 1).count() if max_broadcast > 0 else 1
     if n_values <= max_broadcast:
-        cond = F.lower(F.col(text_col)).contains(F.lower(F.col(value_col)))
-        return t.join(F.broadcast(v), cond, "inner").select(text_col, value_col)
+        tl = t.select(text_col, F.lower(F.col(text_col)).alias("_low_t"))
+        vl = v.select(value_col, F.lower(F.col(value_col)).alias("_low_v"))
+        return (tl.join(F.broadcast(vl), F.col("_low_t").contains(F.col("_low_v")), "inner")
+                .select(text_col, value_col))
     return _qgram_pairs(t, text_col, v, value_col)
 
 
@@ -49,19 +64,21 @@ def _qgram_pairs(t: DataFrame, text_col: str, v: DataFrame, value_col: str) -> D
     tl = t.select(F.col(text_col), F.lower(F.col(text_col)).alias("_low_t"),
                   F.xxhash64(F.col(text_col)).alias("_tid"))
     vl = v.select(F.col(value_col), F.lower(F.col(value_col)).alias("_low_v")) \
-        .withColumn("_len_v", F.length("_low_v"))
+        .withColumn("_chars_v", _chars(F.col("_low_v"))) \
+        .withColumn("_len_v", F.size("_chars_v"))
     lengths = sorted({int(r[0]) for r in
                       vl.select(F.least(F.col("_len_v"), F.lit(Q))).distinct().collect()
                       if r[0] is not None and r[0] > 0})
     if not lengths:
         schema = T.StructType([t.schema[text_col], v.schema[value_col]])
         return t.sparkSession.createDataFrame([], schema)
-    grams = (_substrings(F.col("_low_t"), lengths[0]) if len(lengths) == 1 else
-             F.array_distinct(F.flatten(F.array(*[_substrings(F.col("_low_t"), n) for n in lengths]))))
+    chars_t = _chars(F.col("_low_t"))
+    grams = (_grams(chars_t, lengths[0]) if len(lengths) == 1 else
+             F.array_distinct(F.flatten(F.array(*[_grams(chars_t, n) for n in lengths]))))
     grams_t = tl.select("_tid", F.explode(grams).alias("_key"))
     freq = grams_t.groupBy("_key").agg(F.count(F.lit(1)).alias("_freq"))
     long_v = (vl.where(F.col("_len_v") >= Q)
-              .select(value_col, "_low_v", F.explode(_substrings(F.col("_low_v"), Q)).alias("_key"))
+              .select(value_col, "_low_v", F.explode(_grams(F.col("_chars_v"), Q)).alias("_key"))
               .join(freq, "_key", "inner")
               .groupBy(value_col, "_low_v")
               .agg(F.min_by("_key", F.struct("_freq", "_key")).alias("_key")))

@@ -25,9 +25,11 @@ from ..functions.text import (
 from ..sources.tables import require_column
 from .containment import texts_containing
 
-# Match sets up to this many values are broadcast to a nested-loop join over
-# the distinct texts; larger sets use the exact trigram-blocked equi-join.
-MAX_BROADCAST_VALUES = 256
+# A match set up to this many values (and characters) is collected once and
+# becomes one OR of contains tests in the scan stage; a larger one uses the
+# exact q-gram blocked equi-join over the distinct texts.
+MAX_LIST_VALUES = 256
+MAX_LIST_CHARS = 1 << 20
 
 
 def keep_columns(df: DataFrame, *cols: str) -> DataFrame:
@@ -56,28 +58,30 @@ def filter_contains(df: DataFrame, column: str, term: str, literal: bool = False
 
 
 def filter_any_term(df: DataFrame, column: str, terms: Iterable[str] | DataFrame,
-                    null_as: str | None = None, value_col: str = "value") -> DataFrame:
+                    null_as: str | None = None, value_col: str = "value",
+                    max_list_values: int = MAX_LIST_VALUES) -> DataFrame:
     """rows whose lower-cased text contains any lower-cased term (literal).
 
-    A list becomes one OR of ``contains`` tests; a DataFrame of terms goes
-    through :func:`texts_containing` on the distinct texts.
+    A list becomes one OR of ``contains`` tests; so does a small DataFrame of
+    terms (size checked); a larger one goes through the q-gram join.
     """
     require_column(df, column)
     if isinstance(terms, DataFrame):
-        return _semi_by_texts(df, column, terms, value_col, null_as, extra=None)
+        return _semi_by_texts(df, column, terms, value_col, null_as, None, max_list_values)
     return df.where(contains_any(column, terms, null_as))
 
 
 def filter_related(df: DataFrame, column: str, term: str,
                    matches: Sequence[str] | DataFrame | None = None,
                    literal: bool = False, null_as: str | None = None,
-                   value_col: str = "value", lower_term: bool = False) -> DataFrame:
+                   value_col: str = "value", lower_term: bool = False,
+                   max_list_values: int = MAX_LIST_VALUES) -> DataFrame:
     """F1 or F2. With no matches (None, empty list) it is F1 alone."""
     f1 = term_predicate(df, column, term, literal, null_as, lower_term)
     if matches is None:
         return df.where(f1)
     if isinstance(matches, DataFrame):
-        return _semi_by_texts(df, column, matches, value_col, null_as, extra=f1)
+        return _semi_by_texts(df, column, matches, value_col, null_as, f1, max_list_values)
     values = [m for m in matches if m]
     if not values:
         return df.where(f1)
@@ -85,19 +89,26 @@ def filter_related(df: DataFrame, column: str, term: str,
 
 
 def _semi_by_texts(df: DataFrame, column: str, values: DataFrame, value_col: str,
-                   null_as: str | None, extra: Column | None) -> DataFrame:
+                   null_as: str | None, extra: Column | None,
+                   max_list_values: int) -> DataFrame:
     """Rows whose text contains a value of ``values`` (or pass ``extra``).
 
-    Distinct texts are matched against the values once; rows are then joined
-    to the matching texts on text equality (an equi-join Spark can broadcast
-    or shuffle as the sizes dictate, re-planned by AQE at run time).
+    Small value sets (count and total length checked first) are collected
+    and tested inline. Otherwise distinct texts are matched against the
+    values once (q-gram join) and rows are joined to the matching texts on
+    text equality; AQE broadcasts the matching texts when they are small.
     """
+    vals = values.select(F.col(value_col).cast("string").alias("_rs_value")) \
+        .where(F.col("_rs_value").isNotNull() & (F.col("_rs_value") != "")).distinct()
+    size = vals.agg(F.count(F.lit(1)).alias("n"),
+                    F.coalesce(F.sum(F.length("_rs_value")), F.lit(0)).alias("chars")).first()
+    if size["n"] <= max_list_values and size["chars"] <= MAX_LIST_CHARS:
+        terms = [r[0] for r in vals.collect()]
+        pred = contains_any(column, terms, null_as)
+        return df.where(pred if extra is None else (extra | pred))
     txt = text_value(column, null_as)
     texts = df.select(txt.alias("_rs_text")).where(F.col("_rs_text").isNotNull()).distinct()
-    vals = values.select(F.col(value_col).cast("string").alias("_rs_value")) \
-        .where(F.col("_rs_value").isNotNull() & (F.col("_rs_value") != ""))
-    hits = texts_containing(texts, "_rs_text", vals, "_rs_value",
-                            max_broadcast=MAX_BROADCAST_VALUES) \
+    hits = texts_containing(texts, "_rs_text", vals, "_rs_value", max_broadcast=0) \
         .select(F.col("_rs_text"), F.lit(True).alias("_rs_hit"))
     joined = df.join(hits, txt == F.col("_rs_text"), "left")
     keep = F.col("_rs_hit").isNotNull()
