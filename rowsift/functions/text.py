@@ -10,10 +10,21 @@ from __future__ import annotations
 from functools import reduce
 from typing import Iterable
 
+import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+try:  # optional: a one-pass multi-term matcher for long term lists
+    import ahocorasick as _ahocorasick
+except ImportError:  # pragma: no cover
+    _ahocorasick = None
+
+# Up to this many literal terms are tested as an OR of `contains` in generated
+# code; longer lists scan each text once with an Aho-Corasick automaton in an
+# Arrow-batched pandas UDF (each extra `contains` rescans the whole text).
+MANY_TERMS = 8
+
 # Java regex flags for the contains test. (?i) ignore case,
 # (?u) Unicode-aware case folding (so É matches é), (?U) Unicode classes for
 # \w \d \s \b (so \w matches é), mirroring Python's `re` on str patterns.
@@ -85,11 +96,55 @@ def contains_literal(col: str | Column, term: str, null_as: str | None = None) -
 def contains_any(col: str | Column, terms: Iterable[str], null_as: str | None = None) -> Column:
     """F2 predicate: lower-cased text contains any lower-cased term (literal).
 
-    Built as one OR of ``contains`` tests so it stays in generated code; an
-    empty list keeps nothing.
+    A short list is one OR of ``contains`` tests (generated code); a long one
+    is one Aho-Corasick pass per text. An empty list keeps nothing; an empty
+    term keeps every non-null text.
     """
-    low = F.lower(text_value(col, null_as))
-    tests = [low.contains(t.lower()) for t in dict.fromkeys(terms) if t is not None]
-    if not tests:
+    txt = text_value(col, null_as)
+    wanted = [t.lower() for t in dict.fromkeys(terms) if t is not None]
+    if not wanted:
         return F.lit(False)
-    return reduce(lambda a, b: a | b, tests)
+    if "" in wanted:
+        return txt.isNotNull()
+    if len(wanted) > MANY_TERMS and _ahocorasick is not None:
+        from ..session import ship_package
+        ship_package()
+        return _any_term_udf(tuple(sorted(wanted)))(txt)
+    low = F.lower(txt)
+    return reduce(lambda a, b: a | b, [low.contains(t) for t in wanted])
+
+
+_AUTOMATA: dict = {}
+
+
+def _automaton(terms: tuple):
+    auto = _AUTOMATA.get(terms)
+    if auto is None:
+        auto = _ahocorasick.Automaton()
+        for t in terms:
+            auto.add_word(t, t)
+        auto.make_automaton()
+        if len(_AUTOMATA) > 8:
+            _AUTOMATA.clear()
+        _AUTOMATA[terms] = auto
+    return auto
+
+
+def _any_term_udf(terms: tuple):
+    """pandas UDF: does the lower-cased text hold any of ``terms``? The
+    automaton is built once per Python worker and reused across batches."""
+
+    @F.pandas_udf("boolean")
+    def any_term(texts: pd.Series) -> pd.Series:
+        auto = _automaton(terms)
+
+        def hit(x):
+            if x is None:
+                return None
+            for _ in auto.iter(x.lower()):
+                return True
+            return False
+
+        return texts.map(hit).astype("boolean")
+
+    return any_term

@@ -16,6 +16,7 @@ from .replies import (
     explode_records,
     merge_verdicts,
     parse_matches,
+    parse_replies,
     quarantine,
     records_to_table,
     reject_reason,
@@ -30,7 +31,7 @@ __all__ = [
     "RunLog", "build_match_requests", "build_requests", "containment_pairs", "distinct_values",
     "evaluate_rules", "explode_records", "filter_any_term", "filter_contains", "filter_related",
     "is_empty", "keep_columns", "match_count", "match_values", "merge_verdicts",
-    "observe_count", "parse_matches", "quarantine", "records_to_table", "reject_reason",
+    "observe_count", "parse_matches", "parse_replies", "quarantine", "records_to_table", "reject_reason",
     "render_records", "run_log", "score_requests", "standardize", "texts_containing",
     "with_row_id",
 ]

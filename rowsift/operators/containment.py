@@ -22,25 +22,13 @@ from pyspark.sql import types as T
 Q = 4
 
 
-def _chars(col):
-    """A text as an array of its characters (linear; regex split on '')."""
-    return F.split(col, "")
+def _grams(text, length: int):
+    """Distinct runs of ``length`` consecutive characters of a text column.
 
-
-def _grams(chars, length: int):
-    """Distinct runs of ``length`` consecutive characters of a character array.
-
-    Built from ``length`` shifted slices zipped together, so the cost is
-    linear in the text length (``substring`` by position would be quadratic
-    on UTF-8 text).
+    One pass of a JVM regex with a capturing lookahead (overlapping
+    matches), linear in the text length and kept out of Python.
     """
-    if length == 1:
-        return F.array_distinct(chars)
-    m = F.greatest(F.size(chars) - F.lit(length - 1), F.lit(0))
-    out = F.slice(chars, 1, m)
-    for k in range(1, length):
-        out = F.zip_with(out, F.slice(chars, k + 1, m), lambda a, b: F.concat(a, b))
-    return F.array_distinct(out)
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{length}}}))"), 1))
 
 
 def containment_pairs(texts: DataFrame, text_col: str, values: DataFrame, value_col: str,
@@ -64,25 +52,28 @@ def _qgram_pairs(t: DataFrame, text_col: str, v: DataFrame, value_col: str) -> D
     tl = t.select(F.col(text_col), F.lower(F.col(text_col)).alias("_low_t"),
                   F.xxhash64(F.col(text_col)).alias("_tid"))
     vl = v.select(F.col(value_col), F.lower(F.col(value_col)).alias("_low_v")) \
-        .withColumn("_chars_v", _chars(F.col("_low_v"))) \
-        .withColumn("_len_v", F.size("_chars_v"))
+        .withColumn("_len_v", F.length("_low_v"))
     lengths = sorted({int(r[0]) for r in
                       vl.select(F.least(F.col("_len_v"), F.lit(Q))).distinct().collect()
                       if r[0] is not None and r[0] > 0})
     if not lengths:
         schema = T.StructType([t.schema[text_col], v.schema[value_col]])
         return t.sparkSession.createDataFrame([], schema)
-    chars_t = _chars(F.col("_low_t"))
-    grams = (_grams(chars_t, lengths[0]) if len(lengths) == 1 else
-             F.array_distinct(F.flatten(F.array(*[_grams(chars_t, n) for n in lengths]))))
+    low_t = F.col("_low_t")
+    grams = (_grams(low_t, lengths[0]) if len(lengths) == 1 else
+             F.array_distinct(F.flatten(F.array(*[_grams(low_t, n) for n in lengths]))))
     grams_t = tl.select("_tid", F.explode(grams).alias("_key"))
+    grams_v = (vl.where(F.col("_len_v") >= Q)
+               .select(value_col, "_low_v", F.explode(_grams(F.col("_low_v"), Q)).alias("_key")))
+    short_v = vl.where(F.col("_len_v") < Q).select(value_col, "_low_v", F.col("_low_v").alias("_key"))
+    # Only text grams that some value could be keyed by matter: cut them down
+    # before the shuffle (a broadcast semi join when the value grams are few).
+    needed = grams_v.select("_key").unionByName(short_v.select("_key")).distinct()
+    grams_t = grams_t.join(needed, "_key", "left_semi")
     freq = grams_t.groupBy("_key").agg(F.count(F.lit(1)).alias("_freq"))
-    long_v = (vl.where(F.col("_len_v") >= Q)
-              .select(value_col, "_low_v", F.explode(_grams(F.col("_chars_v"), Q)).alias("_key"))
-              .join(freq, "_key", "inner")
+    long_v = (grams_v.join(freq, "_key", "inner")
               .groupBy(value_col, "_low_v")
               .agg(F.min_by("_key", F.struct("_freq", "_key")).alias("_key")))
-    short_v = vl.where(F.col("_len_v") < Q).select(value_col, "_low_v", F.col("_low_v").alias("_key"))
     keyed_v = long_v.unionByName(short_v)
     cand = grams_t.join(keyed_v, "_key", "inner").select("_tid", value_col, "_low_v").distinct()
     return (cand.join(tl, "_tid", "inner")

@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship_package
+
 MATCH_SCHEMA = "term string, value string, explanation string"
 
 
@@ -50,5 +52,6 @@ def match_values(values: DataFrame, term: str,
                     out.append((term, value, why))
             yield pd.DataFrame(out, columns=["term", "value", "explanation"])
 
+    ship_package(values.sparkSession)
     n = partitions or int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return vals.repartition(n, "value").mapInPandas(run, MATCH_SCHEMA)

@@ -63,12 +63,36 @@ def reject_reason(text: str | Column, error: str | Column | None = None) -> Colu
     return reason
 
 
+def parse_replies(df: DataFrame, col: str = "response",
+                  error_col: str | None = "error") -> DataFrame:
+    """R1 + R5 in stages: adds ``json_text`` (the JSON found in the reply),
+    ``items`` (the list as array<variant>, null if not a list) and ``reason``
+    (null when usable). Each step is its own projection, so a reply is
+    searched and parsed once, not once per test."""
+    err = error_col if error_col and error_col in df.columns else None
+    staged = (df.withColumn("json_text", extract_json(col))
+              .withColumn("_rs_v", F.try_parse_json("json_text"))
+              .withColumn("items", F.try_variant_get("_rs_v", "$", "array<variant>"))
+              .withColumn("_rs_kind", F.schema_of_variant("_rs_v")))
+    t = F.col(col)
+    reason = (F.when(t.isNull() | (strip_text(t) == ""), F.lit(EMPTY))
+              .when(F.col("json_text").isNull(), F.lit(NO_JSON))
+              .when(~F.col("_rs_kind").startswith("ARRAY"), F.lit(NOT_LIST))
+              .when(F.size("items") == 0, F.lit(EMPTY_LIST))
+              .when(F.exists("items", lambda e: ~F.schema_of_variant(e).startswith("OBJECT")),
+                    F.lit(NON_OBJECT)))
+    if err is not None:
+        reason = F.coalesce(F.col(err), reason)
+    return staged.withColumn("reason", reason).drop("_rs_v", "_rs_kind")
+
+
 def quarantine(df: DataFrame, col: str = "response",
                error_col: str | None = "error") -> tuple[DataFrame, DataFrame]:
     """(good replies, rejected replies with ``reason``). Materialise the
-    input first (write/checkpoint) when it comes from a paid scorer."""
-    err = error_col if error_col and error_col in df.columns else None
-    tagged = df.withColumn("reason", reject_reason(col, err))
+    input first (write/checkpoint) when it comes from a paid scorer; a frame
+    from :func:`parse_replies` is split without parsing again."""
+    tagged = df if "reason" in df.columns and "items" in df.columns else \
+        parse_replies(df, col, error_col)
     return (tagged.where(F.col("reason").isNull()).drop("reason"),
             tagged.where(F.col("reason").isNotNull()))
 
@@ -76,8 +100,9 @@ def quarantine(df: DataFrame, col: str = "response",
 def explode_records(df: DataFrame, col: str = "response",
                     keep: Sequence[str] = ("batch_id", "row_ids")) -> DataFrame:
     """One row per element of the reply list:
-    ``(*keep, n_items, pos, record)`` where ``n_items`` is the list length."""
-    arr = reply_array(col)
+    ``(*keep, n_items, pos, record)`` where ``n_items`` is the list length.
+    Uses the parsed ``items`` column when present."""
+    arr = F.col("items") if "items" in df.columns else reply_array(col)
     kept = [c for c in keep if c in df.columns]
     return df.select(*kept, F.size(arr).alias("n_items"), F.posexplode(arr).alias("pos", "record"))
 

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import contains_literal, contains_pattern
+from ..session import ship_package
 
 MAX_RULES = 1000
 
@@ -60,6 +61,7 @@ def score_requests(requests: DataFrame, scorer: Callable[[str], str] | None = No
             out["error"] = errors
             yield out
 
+    ship_package(requests.sparkSession)
     n = partitions or int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return requests.select(*cols).repartition(n, "batch_id").mapInPandas(run, schema)
 

@@ -26,7 +26,13 @@ from ..functions.text import clean_term
 from ..functions.verdict import NOTES_FIELD, VERDICT_FIELD
 from ..operators.filters import distinct_values, filter_related
 from ..operators.matching import match_values
-from ..operators.replies import explode_records, merge_verdicts, quarantine, standardize
+from ..operators.replies import (
+    explode_records,
+    merge_verdicts,
+    parse_replies,
+    quarantine,
+    standardize,
+)
 from ..operators.requests import build_requests, render_records
 from ..operators.rowid import with_row_id
 from ..operators.runlog import RunLog
@@ -93,7 +99,8 @@ def analyze(spark: SparkSession, source: str, table: str, column: str, term: str
         guideline = docs.where(F.col(doc_col) == F.lit(guideline_doc)) if guideline_doc is not None else docs
         requests = build_requests(render_records(kept), guideline.select(text_col), term, column, batch)
         ensure_checkpoint_dir(spark)
-        replies = score_requests(requests, scorer).checkpoint(eager=True)
+        # Paid calls run once: the replies, parsed, go to the shared folder.
+        replies = parse_replies(score_requests(requests, scorer)).checkpoint(eager=True)
         good, errors = quarantine(replies)
         verdicts = standardize(explode_records(good))
         judged = merge_verdicts(kept, verdicts)

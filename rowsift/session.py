@@ -59,3 +59,40 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         return
     base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rowsift-ckpt-")
     spark.sparkContext.setCheckpointDir(base)
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession | None = None) -> None:
+    """Make ``rowsift`` importable in the executors' Python workers.
+
+    Functions handed to ``mapInPandas`` / pandas UDFs are pickled by
+    reference to their module, so executors must be able to import the
+    package. This is what ``--py-files rowsift.zip`` does at submit time; here
+    the driver zips its copy of the package once per application and adds it
+    with ``SparkContext.addPyFile`` (Spark distributes it to every executor).
+    """
+    spark = spark or SparkSession.getActiveSession()
+    if spark is None:
+        return
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    import zipfile
+
+    import rowsift
+
+    root = os.path.dirname(os.path.abspath(rowsift.__file__))
+    parent = os.path.dirname(root)
+    folder = tempfile.mkdtemp(prefix="rowsift-py-")
+    path = os.path.join(folder, "rowsift.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for dirpath, _, files in os.walk(root):
+            for name in files:
+                if name.endswith(".py"):
+                    full = os.path.join(dirpath, name)
+                    z.write(full, os.path.relpath(full, parent))
+    sc.addPyFile(path)
+    _SHIPPED.add(key)
