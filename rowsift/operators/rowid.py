@@ -55,14 +55,19 @@ def _bucket_tree(k: Column, bounds: list, lo: int, hi: int) -> Column:
 
 
 def bucket_by_quantiles(df: DataFrame, key: str, rows_per_bucket: int = 1_000_000,
-                        grid: int = 256) -> tuple[Column, int, int] | None:
-    """Monotone bucket expression for ``key`` and (number of buckets, rows)."""
+                        grid: int = 1024) -> tuple[Column, int, int] | None:
+    """Monotone bucket expression for ``key`` and (number of buckets, rows).
+
+    Up to ``grid`` buckets (a CASE tree of depth log2(grid)); beyond
+    ``grid * rows_per_bucket`` rows the buckets grow instead (the window
+    step spills to disk), the count of tasks stays ``grid``.
+    """
     k = _as_number(F.col(key), df.schema[key].dataType)
     if k is None:
         return None
     probs = [i / grid for i in range(1, grid)]
     row = df.agg(F.count(F.lit(1)).alias("n"),
-                 F.percentile_approx(k, probs, 10000).alias("q")).first()
+                 F.percentile_approx(k, probs, 100 * grid).alias("q")).first()
     n_rows = int(row["n"])
     n_buckets = max(1, min(grid, math.ceil(n_rows / max(1, rows_per_bucket))))
     qs = row["q"] or []

@@ -64,7 +64,9 @@ def analyze(spark: SparkSession, source: str, table: str, column: str, term: str
             doc_col: str = "doc_id", page_col: str = "page_no", text_col: str = "text",
             option: str = "new_file", matcher=None, literal: bool = False,
             batch: int = 50, input_name: str | None = None, format: str = "parquet",
-            output_names: tuple[str, str] = (VERDICT_FIELD, NOTES_FIELD)) -> Review:
+            output_names: tuple[str, str] = (VERDICT_FIELD, NOTES_FIELD),
+            log_path: str | None = None) -> Review:
+    """Run the review; see the module notes. ``log_path`` appends the run log."""
     log = RunLog()
     term = clean_term(term)
     df = read_table(spark, source, table)
@@ -86,6 +88,8 @@ def analyze(spark: SparkSession, source: str, table: str, column: str, term: str
     n = int(stats.get("rows", 0))
     if n == 0:
         log.add("filter", f"No data found where {column} contains '{term}'.", 0)
+        if log_path:
+            log.append(spark, log_path)
         return Review(None, None, {}, log, 0)
     log.add("filter", f"Found {n} records where {column} contains '{term}'", n)
 
@@ -95,6 +99,11 @@ def analyze(spark: SparkSession, source: str, table: str, column: str, term: str
     else:
         if pages is None:
             raise ValueError("Please give the guideline pages.")
+        # One snapshot of the numbered rows in the shared folder: requests and
+        # the merge read the same rows (even if files are added to the source
+        # meanwhile) and the window step is not run twice.
+        ensure_checkpoint_dir(spark)
+        kept = kept.checkpoint(eager=True)
         docs = assemble_document(pages, doc_col, page_col, text_col)
         guideline = docs.where(F.col(doc_col) == F.lit(guideline_doc)) if guideline_doc is not None else docs
         requests = build_requests(render_records(kept), guideline.select(text_col), term, column, batch)
@@ -111,5 +120,7 @@ def analyze(spark: SparkSession, source: str, table: str, column: str, term: str
     final = (judged.withColumnRenamed("verdict", vname).withColumnRenamed("notes", nname))
     outputs = write_results(final, out_dir, input_name or table, table, column, option, format)
     log.add("write", f"Results saved to {outputs['json_path']} and {outputs['table_path']}", n)
+    if log_path:
+        log.append(spark, log_path)
     result = spark.read.format(format).load(outputs["table_path"])
     return Review(result, errors, outputs, log, n)

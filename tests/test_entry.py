@@ -44,3 +44,24 @@ def test_query_matches_oracle(spark, duck, name):
     assert sorted(rel.columns) == cols
     want = _canon(rel.select(*[f'"{c}"' for c in cols]).fetchall())
     assert got == want
+
+
+def test_analyze_empty_and_log(spark, tmp_out):
+    from rowsift.plans import analyze
+    review = analyze(spark, SF, "orders", "o_orderpriority", "no such priority", "o_orderkey",
+                     scorer=[(1, "o_totalprice", "ge", "0", "x")], out_dir=tmp_out,
+                     log_path=f"{tmp_out}/log")
+    assert review.result is None and review.rows_kept == 0
+    steps = {r.step: r.message for r in spark.read.parquet(f"{tmp_out}/log").collect()}
+    assert steps["filter"].startswith("No data found") and "start" in steps
+
+
+def test_analyze_with_matcher(spark, tmp_out):
+    from rowsift.plans import analyze
+    from rowsift.plans.reviewers import same_initial
+    review = analyze(spark, SF, "events", "event_type", "sale", "event_id",
+                     scorer=[(1, "value", "ge", "5", "low value")], out_dir=tmp_out,
+                     matcher=same_initial)
+    kinds = {r.event_type for r in review.result.select("event_type").distinct().collect()}
+    assert kinds == {"signup"}
+    assert {"Meets Guidelines", "Notes on Compliance", "row_id"} <= set(review.result.columns)
