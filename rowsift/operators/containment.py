@@ -11,24 +11,35 @@ Used by F2/F3 when the terms arrive as a DataFrame of unknown size.
   equi-joined to the values on the key; each candidate pair is then checked
   with ``contains``. Any text that contains a value contains the value's key,
   so no pair is lost; work grows with text length, not texts x values.
+  This path runs its job at call time and returns pairs read back from the
+  shared checkpoint folder.
 """
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import ensure_checkpoint_dir
+
 Q = 4
+# Bounds for broadcasting the value side (values, their keys, key counts).
+MAX_BROADCAST_KEYS = 1_000_000
+MAX_BROADCAST_BYTES = 16 << 20
 
 
-def _grams(text, length: int):
-    """Distinct runs of ``length`` consecutive characters of a text column.
+def _grams(text, length: int, distinct: bool = True):
+    """Runs of ``length`` consecutive characters of a text column.
 
     One pass of a JVM regex with a capturing lookahead (overlapping
-    matches), linear in the text length and kept out of Python.
+    matches), linear in the text length and kept out of Python. Text-side
+    grams skip the per-text de-duplication (it cost as much as the regex):
+    repeats only weigh the rarity estimate and are removed after the join.
     """
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{length}}}))"), 1))
+    grams = F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{length}}}))"), 1)
+    return F.array_distinct(grams) if distinct else grams
 
 
 def containment_pairs(texts: DataFrame, text_col: str, values: DataFrame, value_col: str,
@@ -53,32 +64,54 @@ def _qgram_pairs(t: DataFrame, text_col: str, v: DataFrame, value_col: str) -> D
                   F.xxhash64(F.col(text_col)).alias("_tid"))
     vl = v.select(F.col(value_col), F.lower(F.col(value_col)).alias("_low_v")) \
         .withColumn("_len_v", F.length("_low_v"))
-    lengths = sorted({int(r[0]) for r in
-                      vl.select(F.least(F.col("_len_v"), F.lit(Q))).distinct().collect()
-                      if r[0] is not None and r[0] > 0})
+    # One small job over the values: how many, how long, which key lengths.
+    stats = vl.agg(F.count(F.lit(1)).alias("n"),
+                   F.coalesce(F.sum("_len_v"), F.lit(0)).alias("chars"),
+                   F.collect_set(F.least(F.col("_len_v"), F.lit(Q))).alias("lens")).first()
+    lengths = sorted({int(x) for x in stats["lens"] if x is not None and x > 0})
+    # The value side is broadcast only within a measured bound; otherwise
+    # every join below is a sort-merge join (the gram side is never a build
+    # side: it grows with the texts).
+    small_values = stats["n"] <= MAX_BROADCAST_KEYS and \
+        4 * stats["chars"] + 64 * stats["n"] <= MAX_BROADCAST_BYTES
+
+    def values_side(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if small_values else df.hint("merge")
+
     if not lengths:
         schema = T.StructType([t.schema[text_col], v.schema[value_col]])
         return t.sparkSession.createDataFrame([], schema)
     low_t = F.col("_low_t")
-    grams = (_grams(low_t, lengths[0]) if len(lengths) == 1 else
-             F.array_distinct(F.flatten(F.array(*[_grams(low_t, n) for n in lengths]))))
+    grams = (_grams(low_t, lengths[0], distinct=False) if len(lengths) == 1 else
+             F.flatten(F.array(*[_grams(low_t, n, distinct=False) for n in lengths])))
     grams_t = tl.select("_tid", F.explode(grams).alias("_key"))
     grams_v = (vl.where(F.col("_len_v") >= Q)
                .select(value_col, "_low_v", F.explode(_grams(F.col("_low_v"), Q)).alias("_key")))
     short_v = vl.where(F.col("_len_v") < Q).select(value_col, "_low_v", F.col("_low_v").alias("_key"))
     # Only text grams that some value could be keyed by matter: cut them down
-    # before the shuffle (a broadcast semi join when the value grams are few).
+    # in the scan stage (broadcast semi join) when the value side is small.
     needed = grams_v.select("_key").unionByName(short_v.select("_key")).distinct()
-    grams_t = grams_t.join(needed, "_key", "left_semi")
-    freq = grams_t.groupBy("_key").agg(F.count(F.lit(1)).alias("_freq"))
-    long_v = (grams_v.join(freq, "_key", "inner")
-              .groupBy(value_col, "_low_v")
-              .agg(F.min_by("_key", F.struct("_freq", "_key")).alias("_key")))
-    keyed_v = long_v.unionByName(short_v)
-    cand = grams_t.join(keyed_v, "_key", "inner").select("_tid", value_col, "_low_v").distinct()
-    return (cand.join(tl, "_tid", "inner")
-            .where(F.col("_low_t").contains(F.col("_low_v")))
-            .select(text_col, value_col).distinct())
+    # The grams feed both the rarity count and the candidate join: cache them
+    # for the one job below (spilling to disk as needed) instead of scanning
+    # every text twice; the verified pairs go to the shared checkpoint folder.
+    grams_t = grams_t.join(values_side(needed), "_key", "left_semi") \
+        .persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        freq = grams_t.groupBy("_key").agg(F.count(F.lit(1)).alias("_freq"))
+        long_v = (grams_v.join(values_side(freq), "_key", "inner")
+                  .groupBy(value_col, "_low_v")
+                  .agg(F.min_by("_key", F.struct("_freq", "_key")).alias("_key")))
+        keyed_v = long_v.unionByName(short_v)
+        cand = (grams_t.join(values_side(keyed_v), "_key", "inner")
+                .select("_tid", value_col, "_low_v").distinct())
+        # Texts are never broadcast here: whole texts grow with the data.
+        pairs = (cand.join(tl.hint("merge"), "_tid", "inner")
+                 .where(F.col("_low_t").contains(F.col("_low_v")))
+                 .select(text_col, value_col).distinct())
+        ensure_checkpoint_dir(t.sparkSession)
+        return pairs.checkpoint(eager=True)
+    finally:
+        grams_t.unpersist()
 
 
 def texts_containing(texts: DataFrame, text_col: str, values: DataFrame, value_col: str,

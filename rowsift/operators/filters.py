@@ -30,6 +30,8 @@ from .containment import texts_containing
 # exact q-gram blocked equi-join over the distinct texts.
 MAX_LIST_VALUES = 256
 MAX_LIST_CHARS = 1 << 20
+# Matching texts up to this many bytes are broadcast back to the rows.
+MAX_BROADCAST_BYTES = 16 << 20
 
 
 def keep_columns(df: DataFrame, *cols: str) -> DataFrame:
@@ -110,7 +112,13 @@ def _semi_by_texts(df: DataFrame, column: str, values: DataFrame, value_col: str
     texts = df.select(txt.alias("_rs_text")).where(F.col("_rs_text").isNotNull()).distinct()
     hits = texts_containing(texts, "_rs_text", vals, "_rs_value", max_broadcast=0) \
         .select(F.col("_rs_text"), F.lit(True).alias("_rs_hit"))
-    joined = df.join(hits, txt == F.col("_rs_text"), "left")
+    # The matching texts were materialised by the q-gram job; measure them and
+    # broadcast only within the bound, else sort-merge on the text.
+    size = hits.agg(F.count(F.lit(1)).alias("n"),
+                    F.coalesce(F.sum(F.length("_rs_text")), F.lit(0)).alias("chars")).first()
+    side = F.broadcast(hits) if size["chars"] + 16 * size["n"] <= MAX_BROADCAST_BYTES \
+        else hits.hint("merge")
+    joined = df.join(side, txt == F.col("_rs_text"), "left")
     keep = F.col("_rs_hit").isNotNull()
     if extra is not None:
         keep = keep | extra
