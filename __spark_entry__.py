@@ -79,6 +79,7 @@ ORDER_RULES = [             # P1 rules over orders
     (1, "o_totalprice", "ge", "50000", "order value under 50000"),
     (2, "o_orderstatus", "eq", "F", "order not finished"),
 ]
+STREAM_RULES = [(1, "p_size", "ge", "10", "too small"), (2, "p_brand", "eq", "Brand#1", "other brand")]
 RELATED = [("purchase", "Purchase", "the term itself"),
            ("purchase", "signup", "a signup precedes a purchase"),
            ("purchase", "click", "a click can lead to a purchase"),
@@ -409,6 +410,17 @@ def q_p1_analyze_callable(spark, sf):
     return _p1_select(review.result)
 
 
+def q_p1_review_stream(spark, sf):
+    """P1's stateless part (F1 + M5) as a Structured Streaming query over the
+    part table's file, run to completion with an available-now trigger."""
+    from rowsift.streaming import review_stream
+    base = shared_dir(spark, "stream")
+    q = review_stream(spark, sf, "p_name", "widget", STREAM_RULES, sink=f"{base}/out",
+                      checkpoint=f"{base}/progress", file_glob="part.parquet")
+    q.awaitTermination()
+    return spark.read.parquet(f"{base}/out").select("p_partkey", "p_name", "p_size", "verdict", "notes")
+
+
 # ---------------------------------------------------------------- contract
 
 def entry(spark: SparkSession) -> DataFrame:
@@ -628,6 +640,11 @@ def oracle_sql() -> dict[str, str]:
         "p1_analyze_rules": f"""SELECT row_id, o_orderkey, o_custkey, o_orderstatus, o_totalprice,
             o_orderpriority, {p1_rules_verdict} AS "Meets Guidelines",
             {p1_rules_notes} AS "Notes on Compliance" FROM ({p1_kept})""",
+        "p1_review_stream": """SELECT p_partkey, p_name, p_size,
+            (coalesce(p_size >= 10, false) OR coalesce(p_brand = 'Brand#1', false)) AS verdict,
+            concat_ws('; ', CASE WHEN NOT coalesce(p_size >= 10, false) THEN 'too small' END,
+                            CASE WHEN NOT coalesce(p_brand = 'Brand#1', false) THEN 'other brand' END) AS notes
+            FROM part WHERE regexp_matches(p_name, 'widget', 'i')""",
         "p1_analyze_callable": f"""SELECT row_id, o_orderkey, o_custkey, o_orderstatus, o_totalprice,
             o_orderpriority, o_totalprice > {PRICE_LIMIT} AS "Meets Guidelines",
             CASE WHEN o_totalprice > {PRICE_LIMIT} THEN 'price above limit'

@@ -37,14 +37,21 @@ def review_stream(spark: SparkSession, path: str, column: str, term: str,
                   rules: Sequence[tuple], sink: str, format: str = "parquet",
                   checkpoint: str | None = None, available_now: bool = True,
                   matches: Sequence[str] | None = None,
-                  max_files_per_trigger: int | None = None) -> StreamingQuery:
-    """Start the streaming review of the files under ``path``.
+                  max_files_per_trigger: int | None = None,
+                  file_glob: str | None = None) -> StreamingQuery:
+    """Start the streaming review of the files under the folder ``path``.
 
-    The schema is taken from the files already there (streams need one).
-    ``available_now`` processes what exists in bounded micro-batches and stops.
+    The schema is taken from the files already there (streams need one);
+    ``file_glob`` keeps only matching file names. ``available_now`` processes
+    what exists in bounded micro-batches and stops.
     """
-    schema = spark.read.format(format).load(path).schema
-    reader = spark.readStream.format(format).schema(schema)
+    batch_reader = spark.read.format(format)
+    reader = spark.readStream.format(format)
+    if file_glob:
+        batch_reader = batch_reader.option("pathGlobFilter", file_glob)
+        reader = reader.option("pathGlobFilter", file_glob)
+    schema = batch_reader.load(path).schema
+    reader = reader.schema(schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
     stream = reader.load(path)
