@@ -12,7 +12,8 @@ Plan for a numeric / date / timestamp leading key:
 The ids are the global rank by the key, so they do not depend on the bounds,
 on partitioning, or on task retries: a rerun after a lost executor gives the
 same ids. Buckets hold about ``rows_per_bucket`` rows each because the key is
-unique.
+unique. Inputs of at most ``rows_per_bucket`` rows form a single bucket, so
+their plan shows one window partition: one task for a bounded number of rows.
 
 Other key types: range-partition, sort, write a reliable checkpoint (the
 shared ``spark.checkpoint.dir``), then add per-partition offsets.
@@ -29,10 +30,6 @@ from pyspark.sql import types as T
 
 from ..session import ensure_checkpoint_dir
 
-_NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
-            T.DoubleType, T.DecimalType)
-
-
 def _as_number(col: Column, dtype: T.DataType) -> Column | None:
     if isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
         return col.cast("long")

@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from ..functions.jsontext import parse_strict
-from .tables import list_table_names
 
 JSON_OPTIONS = {"ignoreNullFields": "false"}
 MARKER = "_rowsift_records"
@@ -84,11 +83,15 @@ def append_json(df: DataFrame, path: str, create_missing: bool = True) -> str:
     return path
 
 
-def read_json(spark: SparkSession, path: str, schema=None) -> DataFrame:
-    """Read a JSON result set back (union of keys across appends)."""
+def read_json(spark: SparkSession, path: str, schema=None, multi_line: bool = False) -> DataFrame:
+    """Read a JSON result set back (union of keys across appends).
+    ``multi_line=True`` reads files that each hold one (indented) JSON array of
+    records, the form the original tool wrote."""
     r = spark.read
     if schema is not None:
         r = r.schema(schema)
+    if multi_line:
+        r = r.option("multiLine", "true")
     return r.json(path)
 
 
@@ -101,10 +104,12 @@ def write_table(df: DataFrame, source: str, table: str, format: str = "parquet")
 
 def add_table(df: DataFrame, source: str, table: str, format: str = "parquet") -> str:
     """K4: add a table to a source; when the name is taken, the first free of
-    ``name_1``, ``name_2``, ... is used. Returns the name used."""
-    taken = set(list_table_names(df.sparkSession, source))
+    ``name_1``, ``name_2``, ... is used. Returns the name used. A name is taken
+    when its folder exists (a JSON result folder ``name.json`` does not take it)."""
+    spark = df.sparkSession
+    base = source.rstrip("/")
     name, n = table, 1
-    while name in taken:
+    while _exists(spark, f"{base}/{name}"):
         name = f"{table}_{n}"
         n += 1
     write_table(df, source, name, format)

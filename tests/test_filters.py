@@ -108,3 +108,17 @@ def test_e1_e2_e3(records, spark):
     assert df.select(normalize_term("t", lower=True)).first()[0] == "mixed case"
     assert keep_columns(records, "PatientID", "Age").columns == ["PatientID", "Age"]
     assert keep_columns(records).columns == records.columns
+
+
+def test_lower_term_reproduces_original(spark):
+    df = spark.createDataFrame([(1, "abc"), (2, "123")], "id long, t string")
+    # \D (non-digit) as written; the original tool lower-cased it to \d.
+    assert ids(filter_contains(df, "t", r"\D"), "id") == [1]
+    assert ids(filter_contains(df, "t", r"\D", lower_term=True), "id") == [2]
+
+
+def test_many_terms_use_one_pass_matcher(spark):
+    from rowsift.functions.text import MANY_TERMS
+    terms = [f"w{i}" for i in range(MANY_TERMS + 5)] + ["ZZ"]
+    df = spark.createDataFrame([(1, "aazzb"), (2, "none"), (3, None), (4, "W12!")], "id long, t string")
+    assert ids(filter_any_term(df, "t", terms), "id") == [1, 4]

@@ -66,3 +66,10 @@ def test_k6_log(spark):
     df = log.to_df(spark)
     assert df.columns == ["step", "message", "rows", "ts"] and df.first().rows == 2
     assert run_log(spark, [("a", "b", None)]).first().rows is None
+
+
+def test_k5_same_base_and_sheet_names(spark, tmp_out, records):
+    out = write_results(records, tmp_out, "clinic.parquet", "clinic", "DiseaseName", option="same_file")
+    assert out["table_name"] == "clinic_by_DiseaseName_Analyzed"
+    again = write_results(records, tmp_out, "clinic.parquet", "clinic", "DiseaseName", option="same_file")
+    assert again["table_name"] == "clinic_by_DiseaseName_Analyzed_1"

@@ -42,3 +42,20 @@ def test_s5_pages(spark):
     for per_part in (None, 2, 1024):
         got = {r.doc_id: r.text for r in assemble_document(pages, pages_per_part=per_part).collect()}
         assert got == {1: "a\nb\nc", 2: "\nz"}
+
+
+def test_s1_catalog_source(spark, records):
+    records.createOrReplaceTempView("clinic_records")
+    assert read_table(spark, "catalog:", "clinic_records").count() == 6
+    with pytest.raises(ValueError, match="not found"):
+        read_table(spark, "catalog:", "no_such_view")
+
+
+def test_multi_line_json_array(spark, tmp_out):
+    import json
+    from rowsift.sources import read_json
+    path = f"{tmp_out}/legacy.json"
+    with open(path, "w") as fh:
+        json.dump([{"a": 1, "b": "x"}, {"a": 2, "c": None}], fh, indent=4)
+    rows = read_json(spark, path, multi_line=True).orderBy("a").collect()
+    assert [(r.a, r.b) for r in rows] == [(1, "x"), (2, None)]
