@@ -95,7 +95,10 @@ def with_row_id(df: DataFrame, order_by: str | Sequence[str], name: str = "row_i
         if stats is not None:
             stats["rows"] = n_rows
         tagged = df.withColumn("_rs_bucket", bucket)
-        counts = {r[0]: r[1] for r in tagged.groupBy("_rs_bucket").count().collect()}
+        if n_buckets == 1:  # the first pass already counted the only bucket
+            counts = {0: n_rows}
+        else:
+            counts = {r[0]: r[1] for r in tagged.groupBy("_rs_bucket").count().collect()}
         offsets = _offsets(counts, n_buckets)
         w = Window.partitionBy("_rs_bucket").orderBy(*keys)
         return (tagged

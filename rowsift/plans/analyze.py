@@ -19,7 +19,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from typing import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_term
@@ -108,13 +108,19 @@ def analyze(spark: SparkSession, source: str, table: str, column: str, term: str
         guideline = docs.where(F.col(doc_col) == F.lit(guideline_doc)) if guideline_doc is not None else docs
         requests = build_requests(render_records(kept), guideline.select(text_col), term, column, batch)
         ensure_checkpoint_dir(spark)
-        # Paid calls run once: the replies, parsed, go to the shared folder.
-        replies = parse_replies(score_requests(requests, scorer)).checkpoint(eager=True)
+        # Paid calls run once: the replies, parsed, go to the shared folder;
+        # the rejected ones are counted while they are written.
+        obs = Observation("replies")
+        parsed = parse_replies(score_requests(requests, scorer)).observe(
+            obs, F.count(F.lit(1)).alias("replies"),
+            F.count(F.col("reason")).alias("rejected"))
+        replies = parsed.checkpoint(eager=True)
         good, errors = quarantine(replies)
         verdicts = standardize(explode_records(good))
         judged = merge_verdicts(kept, verdicts)
-        n_bad = errors.count()
-        log.add("score", f"{n_bad} replies set aside", n_bad)
+        seen = obs.get
+        log.add("score", f"{seen['rejected']} of {seen['replies']} replies set aside",
+                seen["rejected"])
 
     vname, nname = output_names
     final = (judged.withColumnRenamed("verdict", vname).withColumnRenamed("notes", nname))

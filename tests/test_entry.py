@@ -65,3 +65,21 @@ def test_analyze_with_matcher(spark, tmp_out):
     kinds = {r.event_type for r in review.result.select("event_type").distinct().collect()}
     assert kinds == {"signup"}
     assert {"Meets Guidelines", "Notes on Compliance", "row_id"} <= set(review.result.columns)
+
+
+def test_analyze_callable_logs_rejections(spark, tmp_out):
+    from rowsift.plans import analyze
+
+    def picky(prompt):
+        if '"row_id":0,' in prompt or '"row_id":0}' in prompt:
+            return "no json here"
+        return '[{"Meets Guidelines":"False"}]'  # no id, not one per row: nothing merges
+
+    conv = spark.read.parquet(f"{SF}/conversations.parquet")
+    review = analyze(spark, SF, "orders", "o_orderpriority", "urgent", "o_orderkey", scorer=picky,
+                     out_dir=tmp_out, pages=conv, guideline_doc=0, doc_col="conv_id",
+                     page_col="turn", text_col="text", batch=10)
+    steps = {e[0]: e for e in review.log.entries}
+    assert steps["score"][2] == 1
+    assert review.errors.count() == 1
+    assert review.result.where("`Meets Guidelines`").count() == 0
