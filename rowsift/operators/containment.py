@@ -11,18 +11,14 @@ Used by F2/F3 when the terms arrive as a DataFrame of unknown size.
   equi-joined to the values on the key; each candidate pair is then checked
   with ``contains``. Any text that contains a value contains the value's key,
   so no pair is lost; work grows with text length, not texts x values.
-  This path runs its job at call time and returns pairs read back from the
-  shared checkpoint folder.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import ensure_checkpoint_dir
 
 Q = 4
 # Bounds for broadcasting the value side (values, their keys, key counts).
@@ -91,27 +87,18 @@ def _qgram_pairs(t: DataFrame, text_col: str, v: DataFrame, value_col: str) -> D
     # Only text grams that some value could be keyed by matter: cut them down
     # in the scan stage (broadcast semi join) when the value side is small.
     needed = grams_v.select("_key").unionByName(short_v.select("_key")).distinct()
-    # The grams feed both the rarity count and the candidate join: cache them
-    # for the one job below (spilling to disk as needed) instead of scanning
-    # every text twice; the verified pairs go to the shared checkpoint folder.
-    grams_t = grams_t.join(values_side(needed), "_key", "left_semi") \
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        freq = grams_t.groupBy("_key").agg(F.count(F.lit(1)).alias("_freq"))
-        long_v = (grams_v.join(values_side(freq), "_key", "inner")
-                  .groupBy(value_col, "_low_v")
-                  .agg(F.min_by("_key", F.struct("_freq", "_key")).alias("_key")))
-        keyed_v = long_v.unionByName(short_v)
-        cand = (grams_t.join(values_side(keyed_v), "_key", "inner")
-                .select("_tid", value_col, "_low_v").distinct())
-        # Texts are never broadcast here: whole texts grow with the data.
-        pairs = (cand.join(tl.hint("merge"), "_tid", "inner")
-                 .where(F.col("_low_t").contains(F.col("_low_v")))
-                 .select(text_col, value_col).distinct())
-        ensure_checkpoint_dir(t.sparkSession)
-        return pairs.checkpoint(eager=True)
-    finally:
-        grams_t.unpersist()
+    grams_t = grams_t.join(values_side(needed), "_key", "left_semi")
+    freq = grams_t.groupBy("_key").agg(F.count(F.lit(1)).alias("_freq"))
+    long_v = (grams_v.join(values_side(freq), "_key", "inner")
+              .groupBy(value_col, "_low_v")
+              .agg(F.min_by("_key", F.struct("_freq", "_key")).alias("_key")))
+    keyed_v = long_v.unionByName(short_v)
+    cand = (grams_t.join(values_side(keyed_v), "_key", "inner")
+            .select("_tid", value_col, "_low_v").distinct())
+    # Texts are never broadcast here: whole texts grow with the data.
+    return (cand.join(tl.hint("merge"), "_tid", "inner")
+            .where(F.col("_low_t").contains(F.col("_low_v")))
+            .select(text_col, value_col).distinct())
 
 
 def texts_containing(texts: DataFrame, text_col: str, values: DataFrame, value_col: str,

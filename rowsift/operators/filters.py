@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.text import (
+    _ahocorasick,
     check_pattern,
     clean_term,
     contains_any,
@@ -22,14 +23,17 @@ from ..functions.text import (
     contains_pattern,
     text_value,
 )
+from ..session import ensure_checkpoint_dir
 from ..sources.tables import require_column
 from .containment import texts_containing
 
 # A match set up to this many values (and characters) is collected once and
-# becomes one OR of contains tests in the scan stage; a larger one uses the
-# exact q-gram blocked equi-join over the distinct texts.
-MAX_LIST_VALUES = 256
-MAX_LIST_CHARS = 1 << 20
+# tested inline in the scan stage (one Aho-Corasick pass per text, the term
+# list travels as a broadcast); a larger one uses the exact q-gram blocked
+# equi-join over the distinct texts. Without the matcher library the inline
+# form is an OR of contains tests, so the bound is kept small.
+MAX_LIST_VALUES = 100_000 if _ahocorasick is not None else 256
+MAX_LIST_CHARS = 16 << 20
 # Matching texts up to this many bytes are broadcast back to the rows.
 MAX_BROADCAST_BYTES = 16 << 20
 
@@ -112,8 +116,10 @@ def _semi_by_texts(df: DataFrame, column: str, values: DataFrame, value_col: str
     texts = df.select(txt.alias("_rs_text")).where(F.col("_rs_text").isNotNull()).distinct()
     hits = texts_containing(texts, "_rs_text", vals, "_rs_value", max_broadcast=0) \
         .select(F.col("_rs_text"), F.lit(True).alias("_rs_hit"))
-    # The matching texts were materialised by the q-gram job; measure them and
+    # The matching texts are written once to the shared folder, then measured:
     # broadcast only within the bound, else sort-merge on the text.
+    ensure_checkpoint_dir(df.sparkSession)
+    hits = hits.checkpoint(eager=True)
     size = hits.agg(F.count(F.lit(1)).alias("n"),
                     F.coalesce(F.sum(F.length("_rs_text")), F.lit(0)).alias("chars")).first()
     side = F.broadcast(hits) if size["chars"] + 16 * size["n"] <= MAX_BROADCAST_BYTES \

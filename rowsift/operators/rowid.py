@@ -3,7 +3,8 @@ all rows through one partition.
 
 Plan for a numeric / date / timestamp leading key:
   1. one aggregation over the key alone: row count and a grid of approximate
-     quantiles (driver receives a few hundred numbers);
+     quantiles (driver receives at most ~1000 numbers; a finer grid is asked
+     for only when the count needs it);
   2. the key is mapped to a bucket by a binary-search CASE tree over those
      bounds (monotone in the key, evaluated in generated code);
   3. one aggregation gives the exact row count per bucket; running sums of
@@ -51,10 +52,21 @@ def _bucket_tree(k: Column, bounds: list, lo: int, hi: int) -> Column:
         .otherwise(_bucket_tree(k, bounds, lo, mid))
 
 
+def _quantiles(df: DataFrame, k: Column, grid: int, with_count: bool):
+    probs = [i / grid for i in range(1, grid)]
+    aggs = [F.percentile_approx(k, probs, 100 * grid).alias("q")]
+    if with_count:
+        aggs.insert(0, F.count(F.lit(1)).alias("n"))
+    return df.agg(*aggs).first()
+
+
 def bucket_by_quantiles(df: DataFrame, key: str, rows_per_bucket: int = 1_000_000,
-                        grid: int = 1024) -> tuple[Column, int, int] | None:
+                        grid: int = 1024, first_grid: int = 64) -> tuple[Column, int, int] | None:
     """Monotone bucket expression for ``key`` and (number of buckets, rows).
 
+    The first pass returns the row count and ``first_grid`` quantiles (the
+    cost of ``percentile_approx`` grows with the number of quantiles asked);
+    only inputs that need more buckets get a second pass with a finer grid.
     Up to ``grid`` buckets (a CASE tree of depth log2(grid)); beyond
     ``grid * rows_per_bucket`` rows the buckets grow instead (the window
     step spills to disk), the count of tasks stays ``grid``.
@@ -62,14 +74,15 @@ def bucket_by_quantiles(df: DataFrame, key: str, rows_per_bucket: int = 1_000_00
     k = _as_number(F.col(key), df.schema[key].dataType)
     if k is None:
         return None
-    probs = [i / grid for i in range(1, grid)]
-    row = df.agg(F.count(F.lit(1)).alias("n"),
-                 F.percentile_approx(k, probs, 100 * grid).alias("q")).first()
+    row = _quantiles(df, k, first_grid, with_count=True)
     n_rows = int(row["n"])
     n_buckets = max(1, min(grid, math.ceil(n_rows / max(1, rows_per_bucket))))
-    qs = row["q"] or []
-    bounds = sorted({qs[int(j * grid / n_buckets) - 1] for j in range(1, n_buckets)
-                     if qs and qs[int(j * grid / n_buckets) - 1] is not None})
+    used_grid, qs = first_grid, row["q"] or []
+    if n_buckets > first_grid:
+        used_grid, qs = grid, _quantiles(df, k, grid, with_count=False)["q"] or []
+        n_buckets = min(n_buckets, used_grid)
+    picks = [qs[int(j * used_grid / n_buckets) - 1] for j in range(1, n_buckets)] if qs else []
+    bounds = sorted({b for b in picks if b is not None})
     expr = F.when(k.isNull(), F.lit(0)).otherwise(_bucket_tree(k, bounds, 0, len(bounds)))
     return expr, len(bounds) + 1, n_rows
 

@@ -52,3 +52,11 @@ def test_containment_qgram_matches_brute_force(spark):
     for mb in (0, 1000):
         got = sorted((r.t, r.v) for r in containment_pairs(t, "t", v, "v", max_broadcast=mb).collect())
         assert got == want
+
+
+def test_row_id_fine_grid_second_pass(spark):
+    df = spark.range(0, 4000).select((F.col("id") * 3).alias("k"))
+    _, n, rows = bucket_by_quantiles(df, "k", rows_per_bucket=10)
+    assert rows == 4000 and n > 64  # needed the finer grid
+    out = with_row_id(df, "k", rows_per_bucket=10)
+    assert [r.row_id for r in out.orderBy("k").collect()] == list(range(4000))
