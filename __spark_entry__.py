@@ -43,7 +43,6 @@ from rowsift.operators import (
     records_to_table,
     render_records,
     score_requests,
-    standardize,
     with_row_id,
 )
 from rowsift.plans import analyze
