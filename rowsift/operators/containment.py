@@ -5,7 +5,7 @@ Used by F2/F3 when the terms arrive as a DataFrame of unknown size.
 * Few values (count checked, at most ``max_broadcast``): the values are
   broadcast and tested against every text (nested loop, values bounded).
 * More values: an exact q-gram blocked equi-join. Every value of length >= q
-  is keyed by its rarest q-gram (frequencies counted over the texts); a
+  is keyed by its rarest q-gram (frequencies counted on a sample of the texts); a
   shorter value is keyed by itself. Texts emit their distinct substrings of
   the needed lengths, are cut down to the keys some value uses, and are
   equi-joined to the values on the key; each candidate pair is then checked
@@ -21,6 +21,8 @@ from pyspark.sql import types as T
 
 
 Q = 4
+# Share of texts whose grams are counted to find each value's rarest key.
+FREQ_SAMPLE = 0.1
 # Bounds for broadcasting the value side (values, their keys, key counts).
 MAX_BROADCAST_KEYS = 1_000_000
 MAX_BROADCAST_BYTES = 16 << 20
@@ -88,8 +90,16 @@ def _qgram_pairs(t: DataFrame, text_col: str, v: DataFrame, value_col: str) -> D
     # in the scan stage (broadcast semi join) when the value side is small.
     needed = grams_v.select("_key").unionByName(short_v.select("_key")).distinct()
     grams_t = grams_t.join(values_side(needed), "_key", "left_semi")
-    freq = grams_t.groupBy("_key").agg(F.count(F.lit(1)).alias("_freq"))
-    long_v = (grams_v.join(values_side(freq), "_key", "inner")
+    # Rarity only steers which key a value uses, never which pairs come out,
+    # so it is estimated on a fixed sample of the texts: one full pass over
+    # the texts remains (the candidate join). A gram missing from the sample
+    # counts as 0 (rare), so no value is lost.
+    sampled = tl.sample(fraction=FREQ_SAMPLE, seed=17)
+    freq = (sampled.select(F.explode(grams).alias("_key"))
+            .join(values_side(needed), "_key", "left_semi")
+            .groupBy("_key").agg(F.count(F.lit(1)).alias("_freq")))
+    long_v = (grams_v.join(values_side(freq), "_key", "left")
+              .withColumn("_freq", F.coalesce(F.col("_freq"), F.lit(0)))
               .groupBy(value_col, "_low_v")
               .agg(F.min_by("_key", F.struct("_freq", "_key")).alias("_key")))
     keyed_v = long_v.unionByName(short_v)
