@@ -1,6 +1,6 @@
 """Operators: filters, row ids, matching, requests, scorers, replies, run log."""
 
-from .containment import containment_pairs, texts_containing
+from .containment import containment_pairs, rows_containing, texts_containing
 from .filters import (
     distinct_values,
     filter_any_term,
@@ -32,6 +32,6 @@ __all__ = [
     "evaluate_rules", "explode_records", "filter_any_term", "filter_contains", "filter_related",
     "is_empty", "keep_columns", "match_count", "match_values", "merge_verdicts",
     "observe_count", "parse_matches", "parse_replies", "quarantine", "records_to_table", "reject_reason",
-    "render_records", "run_log", "score_requests", "standardize", "texts_containing",
+    "render_records", "rows_containing", "run_log", "score_requests", "standardize", "texts_containing",
     "with_row_id",
 ]

@@ -1,34 +1,53 @@
 """Containment join: which texts contain which values (case-insensitive).
 
-Used by F2/F3 when the terms arrive as a DataFrame of unknown size.
+Used by F2/F3 when the terms arrive as a DataFrame too large to inline.
 
 * Few values (count checked, at most ``max_broadcast``): the values are
   broadcast and tested against every text (nested loop, values bounded).
-* More values: an exact q-gram blocked equi-join. Every value of length >= q
-  is keyed by its rarest q-gram (frequencies counted on a sample of the texts); a
-  shorter value is keyed by itself. Texts emit their distinct substrings of
-  the needed lengths, are cut down to the keys some value uses, and are
-  equi-joined to the values on the key; each candidate pair is then checked
-  with ``contains``. Any text that contains a value contains the value's key,
-  so no pair is lost; work grows with text length, not texts x values.
+* More values: an exact blocked equi-join. Each value gets one *key*, a
+  piece of it that any text holding the value must also yield:
+
+  - a value with a whole interior word (white space on both sides inside the
+    value) is keyed by its rarest such word: in any text that contains the
+    value, that word stands between white space too, so it is one of the
+    text's words (split on the same white space);
+  - any other value of length >= Q is keyed by its rarest q-gram;
+  - a shorter value is keyed by itself (texts yield grams of that length).
+
+  Texts yield only the key kinds some value uses (words: ~1 per 6
+  characters; grams: 1 per character), keyed by a 64-bit hash of the text,
+  so no exploded row carries a copy of its text. The candidate pairs
+  (text hash, value) are written to the shared checkpoint folder and
+  measured; then every row is tested against its candidates with
+  ``contains`` in a left-semi join on the hash. Candidates within the
+  broadcast bound are broadcast: the texts never leave their scan tasks.
+  Beyond it both sides are shuffled on the hash, so each text moves once.
+  A hash collision only adds candidates; the ``contains`` test is exact.
+  No pair is lost, no cap is set; work grows with text length, not
+  texts x values.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import ensure_checkpoint_dir
 
 Q = 4
-# Share of texts whose grams are counted to find each value's rarest key.
+# Share of texts whose keys are counted to find each value's rarest key.
 FREQ_SAMPLE = 0.1
 # Bounds for broadcasting the value side (values, their keys, key counts).
 MAX_BROADCAST_KEYS = 1_000_000
 MAX_BROADCAST_BYTES = 16 << 20
+# The white space between words (Java regex \s: space, tab,
+# newline, vertical tab, form feed, carriage return) and the two key kinds.
+WORD_SPLIT = r"\s+"
+WORD, GRAM = 1, 2
 
 
-def _grams(text, length: int, distinct: bool = True):
+def _grams(text: Column, length: int, distinct: bool = True) -> Column:
     """Runs of ``length`` consecutive characters of a text column.
 
     One pass of a JVM regex with a capturing lookahead (overlapping
@@ -40,6 +59,144 @@ def _grams(text, length: int, distinct: bool = True):
     return F.array_distinct(grams) if distinct else grams
 
 
+def _interior_words(low_v: Column) -> Column:
+    """Words of a value with white space on both sides (all but the first
+    and the last piece of the split), distinct."""
+    parts = F.split(low_v, WORD_SPLIT)
+    inner = F.when(F.size(parts) > 2, F.slice(parts, F.lit(2), F.size(parts) - 2))
+    return F.coalesce(F.array_distinct(inner), F.array().cast("array<string>"))
+
+
+def _tagged(kind: int):
+    """``k -> (kind, k)`` for ``transform`` (one-argument form)."""
+    return lambda k: F.struct(F.lit(kind).alias("_kind"), k.alias("_key"))
+
+
+class _Plan:
+    """Which keys the texts must yield, and the values keyed for the join."""
+
+    def __init__(self, values: DataFrame, value_col: str):
+        self.value_col = value_col
+        vl = (values.select(F.col(value_col), F.lower(F.col(value_col)).alias("_low_v"))
+              .withColumn("_len_v", F.length("_low_v"))
+              .withColumn("_words", _interior_words(F.col("_low_v"))))
+        self.vl = vl
+        has_word = F.size("_words") > 0
+        # One small job over the values: how many, how long, which key kinds.
+        stats = vl.agg(
+            F.count(F.lit(1)).alias("n"),
+            F.coalesce(F.sum("_len_v"), F.lit(0)).alias("chars"),
+            F.coalesce(F.max(has_word.cast("int")), F.lit(0)).alias("words"),
+            F.collect_set(F.when(~has_word, F.least(F.col("_len_v"), F.lit(Q)))).alias("lens"),
+        ).first()
+        self.n_values = int(stats["n"])
+        self.words = bool(stats["words"])
+        self.lengths = sorted({int(x) for x in stats["lens"] if x is not None and x > 0})
+        # The value side is broadcast only within a measured bound; otherwise
+        # the joins below are sort-merge joins (the text side is never a
+        # build side: it grows with the texts).
+        self.small = stats["n"] <= MAX_BROADCAST_KEYS and \
+            4 * stats["chars"] + 64 * stats["n"] <= MAX_BROADCAST_BYTES
+
+    @property
+    def empty(self) -> bool:
+        return not self.words and not self.lengths
+
+    def side(self, df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if self.small else df.hint("merge")
+
+    def text_keys(self, low_t: Column) -> tuple[Column, Column] | Column:
+        """(kind, array of keys) when one kind is needed, else an array of
+        (kind, key) structs."""
+        arrays = []
+        if self.words:
+            arrays.append((WORD, F.split(low_t, WORD_SPLIT)))
+        arrays += [(GRAM, _grams(low_t, n, distinct=False)) for n in self.lengths]
+        if len(arrays) == 1:
+            return F.lit(arrays[0][0]), arrays[0][1]
+        return F.concat(*[F.transform(a, _tagged(kind)) for kind, a in arrays])
+
+    def explode_keys(self, df: DataFrame, low_t: Column, *keep: Column) -> DataFrame:
+        keys = self.text_keys(low_t)
+        if isinstance(keys, tuple):
+            kind, arr = keys
+            return df.select(*keep, kind.alias("_kind"), F.explode(arr).alias("_key"))
+        return df.select(*keep, F.inline(keys))
+
+    def keyed_values(self, sample: DataFrame, low_t: Column) -> DataFrame:
+        """(value_col, _low_v, _kind, _key): each value with its rarest key.
+
+        Rarity only steers which key a value uses, never which pairs come
+        out, so it is counted on a fixed sample of the texts. A key missing
+        from the sample counts as 0 (rare), so no value is lost."""
+        vc, vl = self.value_col, self.vl
+        has_word = F.size("_words") > 0
+        opts = (vl.where(has_word)
+                .select(vc, "_low_v", F.lit(WORD).alias("_kind"), F.explode("_words").alias("_key"))
+                .unionByName(vl.where(~has_word & (F.col("_len_v") >= Q))
+                             .select(vc, "_low_v", F.lit(GRAM).alias("_kind"),
+                                     F.explode(_grams(F.col("_low_v"), Q)).alias("_key"))))
+        short = vl.where(~has_word & (F.col("_len_v") < Q)) \
+            .select(vc, "_low_v", F.lit(GRAM).alias("_kind"), F.col("_low_v").alias("_key"))
+        needed = opts.select("_kind", "_key").distinct()
+        freq = (self.explode_keys(sample, low_t)
+                .join(self.side(needed), ["_kind", "_key"], "left_semi")
+                .groupBy("_kind", "_key").agg(F.count(F.lit(1)).alias("_freq")))
+        best = (opts.join(self.side(freq), ["_kind", "_key"], "left")
+                .withColumn("_freq", F.coalesce(F.col("_freq"), F.lit(0)))
+                .groupBy(vc, "_low_v")
+                .agg(F.min_by(F.struct("_kind", "_key"), F.struct("_freq", "_kind", "_key"))
+                     .alias("_k"))
+                .select(vc, "_low_v", "_k._kind", "_k._key"))
+        return best.unionByName(short)
+
+
+def candidates(df: DataFrame, text: Column, values: DataFrame, value_col: str) -> DataFrame | None:
+    """Distinct ``(_tid, value_col, _low_v)`` pairs, ``_tid = xxhash64(text)``:
+    every (text, value) with lower(text) containing lower(value) is among
+    them. Written to the shared checkpoint folder (computed once). None when
+    there are no values."""
+    plan = _Plan(values, value_col)
+    if plan.empty:
+        return None
+    low_t = F.lower(text)
+    src = df.where(text.isNotNull())
+    keyed = plan.keyed_values(src.sample(fraction=FREQ_SAMPLE, seed=17), low_t)
+    cand = (plan.explode_keys(src, low_t, F.xxhash64(text).alias("_tid"))
+            .join(plan.side(keyed), ["_kind", "_key"], "inner")
+            .select("_tid", value_col, "_low_v")
+            .distinct())
+    ensure_checkpoint_dir(df.sparkSession)
+    return cand.checkpoint(eager=True)
+
+
+def _measured(cand: DataFrame) -> DataFrame:
+    """The candidate side, broadcast when measured within the bound."""
+    size = cand.agg(F.count(F.lit(1)).alias("n"),
+                    F.coalesce(F.sum(F.length("_low_v")), F.lit(0)).alias("chars")).first()
+    small = 2 * size["chars"] + 48 * size["n"] <= MAX_BROADCAST_BYTES
+    return F.broadcast(cand) if small else cand.hint("merge")
+
+
+def rows_containing(df: DataFrame, text: Column, values: DataFrame, value_col: str,
+                    extra: Column | None = None) -> DataFrame:
+    """Rows of ``df`` whose ``text`` contains at least one value (ignoring
+    case), or for which ``extra`` is true. All columns kept, no duplicates.
+
+    ``extra`` rows are taken by a plain filter; the rest go through the
+    left-semi join with the candidates (a second scan of ``df``, no shuffle
+    when the candidates are broadcast)."""
+    cand = candidates(df, text, values, value_col)
+    if cand is None:
+        return df.where(F.lit(False)) if extra is None else df.where(extra)
+    side = _measured(cand.select("_tid", "_low_v"))
+    cond = (F.xxhash64(text) == side["_tid"]) & F.lower(text).contains(side["_low_v"])
+    if extra is None:
+        return df.join(side, cond, "left_semi")
+    passed = F.coalesce(extra, F.lit(False))
+    return df.where(passed).unionByName(df.where(~passed).join(side, cond, "left_semi"))
+
+
 def containment_pairs(texts: DataFrame, text_col: str, values: DataFrame, value_col: str,
                       max_broadcast: int = 256) -> DataFrame:
     """Distinct ``(text_col, value_col)`` pairs with lower(text) containing lower(value)."""
@@ -51,68 +208,22 @@ def containment_pairs(texts: DataFrame, text_col: str, values: DataFrame, value_
         vl = v.select(value_col, F.lower(F.col(value_col)).alias("_low_v"))
         return (tl.join(F.broadcast(vl), F.col("_low_t").contains(F.col("_low_v")), "inner")
                 .select(text_col, value_col))
-    return _qgram_pairs(t, text_col, v, value_col)
-
-
-def _qgram_pairs(t: DataFrame, text_col: str, v: DataFrame, value_col: str) -> DataFrame:
-    # Texts are referred to by a 64-bit hash while keys are generated and
-    # joined, so no exploded row carries a copy of its text. A hash collision
-    # only adds candidates: every pair is verified against the real text.
-    tl = t.select(F.col(text_col), F.lower(F.col(text_col)).alias("_low_t"),
-                  F.xxhash64(F.col(text_col)).alias("_tid"))
-    vl = v.select(F.col(value_col), F.lower(F.col(value_col)).alias("_low_v")) \
-        .withColumn("_len_v", F.length("_low_v"))
-    # One small job over the values: how many, how long, which key lengths.
-    stats = vl.agg(F.count(F.lit(1)).alias("n"),
-                   F.coalesce(F.sum("_len_v"), F.lit(0)).alias("chars"),
-                   F.collect_set(F.least(F.col("_len_v"), F.lit(Q))).alias("lens")).first()
-    lengths = sorted({int(x) for x in stats["lens"] if x is not None and x > 0})
-    # The value side is broadcast only within a measured bound; otherwise
-    # every join below is a sort-merge join (the gram side is never a build
-    # side: it grows with the texts).
-    small_values = stats["n"] <= MAX_BROADCAST_KEYS and \
-        4 * stats["chars"] + 64 * stats["n"] <= MAX_BROADCAST_BYTES
-
-    def values_side(df: DataFrame) -> DataFrame:
-        return F.broadcast(df) if small_values else df.hint("merge")
-
-    if not lengths:
+    cand = candidates(t, F.col(text_col), v, value_col)
+    if cand is None:
         schema = T.StructType([t.schema[text_col], v.schema[value_col]])
         return t.sparkSession.createDataFrame([], schema)
-    low_t = F.col("_low_t")
-    grams = (_grams(low_t, lengths[0], distinct=False) if len(lengths) == 1 else
-             F.flatten(F.array(*[_grams(low_t, n, distinct=False) for n in lengths])))
-    grams_t = tl.select("_tid", F.explode(grams).alias("_key"))
-    grams_v = (vl.where(F.col("_len_v") >= Q)
-               .select(value_col, "_low_v", F.explode(_grams(F.col("_low_v"), Q)).alias("_key")))
-    short_v = vl.where(F.col("_len_v") < Q).select(value_col, "_low_v", F.col("_low_v").alias("_key"))
-    # Only text grams that some value could be keyed by matter: cut them down
-    # in the scan stage (broadcast semi join) when the value side is small.
-    needed = grams_v.select("_key").unionByName(short_v.select("_key")).distinct()
-    grams_t = grams_t.join(values_side(needed), "_key", "left_semi")
-    # Rarity only steers which key a value uses, never which pairs come out,
-    # so it is estimated on a fixed sample of the texts: one full pass over
-    # the texts remains (the candidate join). A gram missing from the sample
-    # counts as 0 (rare), so no value is lost.
-    sampled = tl.sample(fraction=FREQ_SAMPLE, seed=17)
-    freq = (sampled.select(F.explode(grams).alias("_key"))
-            .join(values_side(needed), "_key", "left_semi")
-            .groupBy("_key").agg(F.count(F.lit(1)).alias("_freq")))
-    long_v = (grams_v.join(values_side(freq), "_key", "left")
-              .withColumn("_freq", F.coalesce(F.col("_freq"), F.lit(0)))
-              .groupBy(value_col, "_low_v")
-              .agg(F.min_by("_key", F.struct("_freq", "_key")).alias("_key")))
-    keyed_v = long_v.unionByName(short_v)
-    cand = (grams_t.join(values_side(keyed_v), "_key", "inner")
-            .select("_tid", value_col, "_low_v").distinct())
-    # Texts are never broadcast here: whole texts grow with the data.
-    return (cand.join(tl.hint("merge"), "_tid", "inner")
-            .where(F.col("_low_t").contains(F.col("_low_v")))
+    side = _measured(cand)
+    tl = t.select(text_col, F.xxhash64(text_col).alias("_t_tid"))
+    return (tl.join(side, (F.col("_t_tid") == side["_tid"])
+                    & F.lower(F.col(text_col)).contains(side["_low_v"]), "inner")
             .select(text_col, value_col).distinct())
 
 
 def texts_containing(texts: DataFrame, text_col: str, values: DataFrame, value_col: str,
                      max_broadcast: int = 256) -> DataFrame:
     """Distinct texts that contain at least one value."""
-    return containment_pairs(texts, text_col, values, value_col, max_broadcast) \
-        .select(text_col).distinct()
+    t = texts.select(F.col(text_col)).where(F.col(text_col).isNotNull()).distinct()
+    v = values.select(F.col(value_col)).where(F.col(value_col).isNotNull()).distinct()
+    if max_broadcast > 0 and v.limit(max_broadcast + 1).count() <= max_broadcast:
+        return containment_pairs(t, text_col, v, value_col, max_broadcast).select(text_col).distinct()
+    return rows_containing(t, F.col(text_col), v, value_col)

@@ -23,9 +23,8 @@ from ..functions.text import (
     contains_pattern,
     text_value,
 )
-from ..session import ensure_checkpoint_dir
 from ..sources.tables import require_column
-from .containment import texts_containing
+from .containment import rows_containing
 
 # A match set up to this many values (and characters) is collected once and
 # tested inline in the scan stage (one Aho-Corasick pass per text, the term
@@ -34,8 +33,6 @@ from .containment import texts_containing
 # form is an OR of contains tests, so the bound is kept small.
 MAX_LIST_VALUES = 100_000 if _ahocorasick is not None else 256
 MAX_LIST_CHARS = 16 << 20
-# Matching texts up to this many bytes are broadcast back to the rows.
-MAX_BROADCAST_BYTES = 16 << 20
 
 
 def keep_columns(df: DataFrame, *cols: str) -> DataFrame:
@@ -100,9 +97,10 @@ def _semi_by_texts(df: DataFrame, column: str, values: DataFrame, value_col: str
     """Rows whose text contains a value of ``values`` (or pass ``extra``).
 
     Small value sets (count and total length checked first) are collected
-    and tested inline. Otherwise distinct texts are matched against the
-    values once (q-gram join) and rows are joined to the matching texts on
-    text equality; AQE broadcasts the matching texts when they are small.
+    and tested inline. Otherwise the rows go through the exact blocked
+    containment join: candidates are found per text hash and every row is
+    tested against its candidates in a left-semi join, so texts are not
+    shuffled unless the candidates exceed the broadcast bound.
     """
     vals = values.select(F.col(value_col).cast("string").alias("_rs_value")) \
         .where(F.col("_rs_value").isNotNull() & (F.col("_rs_value") != "")).distinct()
@@ -112,23 +110,7 @@ def _semi_by_texts(df: DataFrame, column: str, values: DataFrame, value_col: str
         terms = [r[0] for r in vals.collect()]
         pred = contains_any(column, terms, null_as)
         return df.where(pred if extra is None else (extra | pred))
-    txt = text_value(column, null_as)
-    texts = df.select(txt.alias("_rs_text")).where(F.col("_rs_text").isNotNull()).distinct()
-    hits = texts_containing(texts, "_rs_text", vals, "_rs_value", max_broadcast=0) \
-        .select(F.col("_rs_text"), F.lit(True).alias("_rs_hit"))
-    # The matching texts are written once to the shared folder, then measured:
-    # broadcast only within the bound, else sort-merge on the text.
-    ensure_checkpoint_dir(df.sparkSession)
-    hits = hits.checkpoint(eager=True)
-    size = hits.agg(F.count(F.lit(1)).alias("n"),
-                    F.coalesce(F.sum(F.length("_rs_text")), F.lit(0)).alias("chars")).first()
-    side = F.broadcast(hits) if size["chars"] + 16 * size["n"] <= MAX_BROADCAST_BYTES \
-        else hits.hint("merge")
-    joined = df.join(side, txt == F.col("_rs_text"), "left")
-    keep = F.col("_rs_hit").isNotNull()
-    if extra is not None:
-        keep = keep | extra
-    return joined.where(keep).drop("_rs_text", "_rs_hit")
+    return rows_containing(df, text_value(column, null_as), vals, "_rs_value", extra)
 
 
 def distinct_values(df: DataFrame, column: str, order_by: str, limit: int | None = 20,

@@ -60,3 +60,34 @@ def test_row_id_fine_grid_second_pass(spark):
     assert rows == 4000 and n > 64  # needed the finer grid
     out = with_row_id(df, "k", rows_per_bucket=10)
     assert [r.row_id for r in out.orderBy("k").collect()] == list(range(4000))
+
+
+def test_rows_containing_words_and_grams_match_brute_force(spark):
+    """Word keys (values with interior words), q-gram keys and short values
+    together, over texts with mixed white space and repeated texts."""
+    from rowsift.operators import rows_containing
+
+    rng = random.Random(11)
+    words = ["ab", "abc", "Éa", "zz", "xyzzy", "b", "cé"]
+    seps = [" ", "\t", "\n", "  ", " \r\n"]
+
+    def phrase(n):
+        out = ""
+        for i in range(n):
+            out += rng.choice(words) + (rng.choice(seps) if i < n - 1 else "")
+        return out
+
+    texts = [phrase(rng.randint(0, 12)) for _ in range(120)]
+    texts += texts[:10] + [None]
+    values = list({phrase(rng.randint(1, 4)) for _ in range(60)} | {"é", "zzx", " ab ", "c\té"})
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    v = spark.createDataFrame([(x,) for x in values], "v string")
+    low = [x.lower() for x in values]
+    want = sorted(i for i, t in enumerate(texts) if t is not None and any(x in t.lower() for x in low))
+    got = sorted(r.i for r in rows_containing(df, F.col("t"), v, "v").collect())
+    assert got == want
+    # with an extra predicate: its rows are kept once, whatever the values say
+    extra = F.col("i") % 5 == 0
+    want_x = sorted(set(want) | {i for i in range(len(texts)) if i % 5 == 0})
+    got_x = [r.i for r in rows_containing(df, F.col("t"), v, "v", extra=extra).collect()]
+    assert sorted(got_x) == want_x and len(got_x) == len(set(got_x))
