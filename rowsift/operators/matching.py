@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_package
+from .scoring import spread
 
 MATCH_SCHEMA = "term string, value string, explanation string"
 
@@ -53,5 +54,4 @@ def match_values(values: DataFrame, term: str,
             yield pd.DataFrame(out, columns=["term", "value", "explanation"])
 
     ship_package(values.sparkSession)
-    n = partitions or int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return vals.repartition(n, "value").mapInPandas(run, MATCH_SCHEMA)
+    return spread(vals, partitions).mapInPandas(run, MATCH_SCHEMA)

@@ -2,7 +2,7 @@
 offline rules table).
 
 M4 runs the callable in Python workers through ``mapInPandas``; requests are
-spread over ``partitions`` tasks by batch id, and the callable is created once
+dealt round-robin over ``partitions`` tasks (see ``spread``), and the callable is created once
 per task by ``make_scorer``. A failing or empty reply becomes an error row,
 never a lost job. Write or checkpoint the output before using it twice, so a
 paid call is never repeated (see plans.analyze).
@@ -62,8 +62,22 @@ def score_requests(requests: DataFrame, scorer: Callable[[str], str] | None = No
             yield out
 
     ship_package(requests.sparkSession)
-    n = partitions or int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return requests.select(*cols).repartition(n, "batch_id").mapInPandas(run, schema)
+    return spread(requests.select(*cols), partitions).mapInPandas(run, schema)
+
+
+def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
+    """``df`` dealt round-robin over ``partitions`` tasks (default: the
+    session's shuffle partitions) for a callable whose cost is per row, not
+    per byte (a remote call per request).
+
+    Not ``repartition(n, key)``: on a frame already grouped by that key
+    Spark drops it as redundant, and AQE then packs the whole (small in
+    bytes) input into one task, so every call would run in sequence. A
+    shuffle with an explicit partition count is neither dropped nor
+    coalesced; Spark sorts rows before dealing them, so a retried task gets
+    the same rows."""
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n)
 
 
 # Rule operators, by name and by symbol.

@@ -38,3 +38,25 @@ def test_m5_and_r4_narrow(spark):
     reply = F.concat(F.lit('[{"Meets Guidelines":"'), F.col("c_mktsegment"), F.lit('"}]'))
     v = F.try_parse_json(extract_json(reply))
     _assert_narrow(c.select(verdict(F.try_variant_get(v, "$[0]", "variant"))))
+
+
+def test_scorer_and_matcher_spread_over_tasks(spark):
+    """Requests grouped by batch id (and values grouped by value) must still
+    reach the callable in many tasks: a hash repartition on the grouping key
+    would be dropped and AQE would pack the few bytes into one task."""
+    from rowsift.operators import (build_requests, distinct_values, match_values,
+                                   render_records, score_requests, with_row_id)
+    from rowsift.plans.reviewers import length_scorer, same_initial
+
+    c = spark.read.parquet(f"{SF}/customer.parquet")
+    kept = with_row_id(c, "c_custkey")
+    req = build_requests(render_records(kept), "g", "t", "c_name", batch=5)
+    scored = score_requests(req, length_scorer, partitions=4)
+    scored.collect()
+    plan = _plan(scored)
+    assert "REPARTITION_BY_NUM" in plan and "RoundRobinPartitioning(4)" in plan, plan
+    assert scored.rdd.getNumPartitions() == 4
+    vals = distinct_values(c, "c_mktsegment", order_by="c_custkey", limit=None)
+    matched = match_values(vals, "b", same_initial, partitions=3)
+    matched.collect()
+    assert "RoundRobinPartitioning(3)" in _plan(matched)

@@ -78,3 +78,27 @@ def test_m4_factory_once_per_partition(records):
 
     out = score_requests(reqs, make_scorer=make, partitions=1).collect()
     assert sorted(int(r.response) for r in out) == [1, 2, 3, 4, 5, 6]
+
+
+def test_m4_one_call_per_request(spark, tmp_out):
+    """Scoring then checkpointing the parsed replies calls the scorer once per
+    request (each call leaves one file behind)."""
+    import os
+    import uuid
+
+    from rowsift.operators import parse_replies
+    from rowsift.session import ensure_checkpoint_dir
+
+    folder = os.path.join(tmp_out, "calls")
+    os.makedirs(folder)
+
+    def scorer(prompt, folder=folder):
+        open(os.path.join(folder, uuid.uuid4().hex), "w").close()
+        return '[{"Meets Guidelines": "True"}]'
+
+    rows = spark.range(0, 230).withColumnRenamed("id", "row_id")
+    req = build_requests(render_records(rows), "guide", "t", "id", batch=10)
+    ensure_checkpoint_dir(spark)
+    parsed = parse_replies(score_requests(req, scorer, partitions=4)).checkpoint(eager=True)
+    assert parsed.count() == 23 and parsed.where("reason is null").count() == 23
+    assert len(os.listdir(folder)) == 23
