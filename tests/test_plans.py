@@ -60,3 +60,17 @@ def test_scorer_and_matcher_spread_over_tasks(spark):
     matched = match_values(vals, "b", same_initial, partitions=3)
     matched.collect()
     assert "RoundRobinPartitioning(3)" in _plan(matched)
+
+
+def test_containment_join_keeps_texts_in_scan_tasks(spark):
+    """Large term sets: candidates are broadcast after being measured, and the
+    rows are verified by a LeftSemi hash join on the text hash with the
+    contains test as its condition; the texts are not shuffled."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet").select(F.col("text").alias("value"))
+    out = filter_any_term(docs, "text", bench, max_list_values=0).select("doc_id")
+    plan = _plan(out)
+    assert "BroadcastHashJoin" in plan and "LeftSemi" in plan, plan
+    assert "Contains(lower(text" in plan, plan
+    assert "Exchange hashpartitioning" not in plan and "CartesianProduct" not in plan, plan
+    assert "NestedLoop" not in plan, plan
