@@ -1,14 +1,16 @@
 """The whole review as one Spark job graph.
 
-  S1 read -> (F4 -> F5 match set) -> F3 filter -> F6 row ids / F7 count
+  S1 read -> (F4 -> F5 match set) -> F3 filter + F7 count (checkpointed)
+  -> F6 row ids
   -> S5 guideline -> scorer:
        rules table:  M5 (one expression over the kept rows)
        callable:     M2 -> M3 -> M4 (checkpointed: paid calls run once)
                      -> R5 quarantine -> R3 explode -> R4 standardise -> R7 merge
   -> K5 both outputs, K6 run log
 
-Everything up to the scorer is one lazy plan; Spark reads only the columns
-used and evaluates the filter in the scan stage. The scorer's replies are
+The source is read once: the filter runs in the scan stage and the kept rows
+are written to the shared checkpoint folder, counted on the way; row ids,
+requests and the merge read only those. The scorer's replies are
 written to the shared checkpoint folder before they are used twice, so an
 executor lost later never causes a second paid call. Output rows carry the
 original fields unchanged (joined by row id, never echoed by the scorer).
@@ -82,16 +84,22 @@ def analyze(spark: SparkSession, source: str, table: str, column: str, term: str
             matches = matches.checkpoint(eager=True)
         log.add("match", f"Matched related values for '{term}'")
 
-    kept = filter_related(df, column, term, matches, literal=literal)
-    stats: dict = {}
-    kept = with_row_id(kept, order_by, stats=stats)
-    n = int(stats.get("rows", 0))
+    # The source is scanned once: the kept rows go to the shared folder,
+    # counted on the way (F7). Row ids, requests and the merge then read that
+    # snapshot only, and an empty result ends the run before any other job.
+    ensure_checkpoint_dir(spark)
+    seen_rows = Observation("kept")
+    kept = (filter_related(df, column, term, matches, literal=literal)
+            .observe(seen_rows, F.count(F.lit(1)).alias("rows"))
+            .checkpoint(eager=True))
+    n = int(seen_rows.get["rows"])
     if n == 0:
         log.add("filter", f"No data found where {column} contains '{term}'.", 0)
         if log_path:
             log.append(spark, log_path)
         return Review(None, None, {}, log, 0)
     log.add("filter", f"Found {n} records where {column} contains '{term}'", n)
+    kept = with_row_id(kept, order_by)
 
     errors = None
     if _is_rules(scorer):
@@ -99,15 +107,12 @@ def analyze(spark: SparkSession, source: str, table: str, column: str, term: str
     else:
         if pages is None:
             raise ValueError("Please give the guideline pages.")
-        # One snapshot of the numbered rows in the shared folder: requests and
-        # the merge read the same rows (even if files are added to the source
-        # meanwhile) and the window step is not run twice.
-        ensure_checkpoint_dir(spark)
-        kept = kept.checkpoint(eager=True)
+        # Requests and the merge number the same snapshot (the checkpoint
+        # above), and the ids are the rank by ``order_by``: both get the same
+        # ids even if files are added to the source meanwhile.
         docs = assemble_document(pages, doc_col, page_col, text_col)
         guideline = docs.where(F.col(doc_col) == F.lit(guideline_doc)) if guideline_doc is not None else docs
         requests = build_requests(render_records(kept), guideline.select(text_col), term, column, batch)
-        ensure_checkpoint_dir(spark)
         # Paid calls run once: the replies, parsed, go to the shared folder;
         # the rejected ones are counted while they are written.
         obs = Observation("replies")

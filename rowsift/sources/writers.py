@@ -18,7 +18,6 @@ import os
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from ..functions.jsontext import parse_strict
 
@@ -29,20 +28,29 @@ NAME_SUFFIX = "_Analyzed"
 NOT_A_LIST = "Existing JSON file is not in the expected list format"
 
 
+def _fs_path(spark: SparkSession, path: str):
+    """(Hadoop FileSystem, Path) for a path of any scheme the cluster reads
+    (local, HDFS, object stores), configured like the session's readers."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
-    try:
-        spark.read.format("text").load(path).schema  # noqa: B018
-        return True
-    except AnalysisException as err:
-        if "PATH_NOT_FOUND" in str(err) or "Path does not exist" in str(err):
-            return False
-        raise
+    """Does a file or folder exist? One metadata call, no listing job."""
+    fs, p = _fs_path(spark, path)
+    return bool(fs.exists(p))
 
 
 def _mark(spark: SparkSession, path: str) -> None:
-    marker = f"{path.rstrip('/')}/{MARKER}"
-    spark.createDataFrame([("json lines of records",)], "value string") \
-        .coalesce(1).write.mode("overwrite").text(marker)
+    """Leave the hidden marker file in a folder of JSON records we wrote
+    (one small file written by the driver; readers skip ``_`` names)."""
+    fs, p = _fs_path(spark, f"{path.rstrip('/')}/{MARKER}")
+    out = fs.create(p, True)
+    try:
+        out.write(bytearray(b"json lines of records\n"))
+    finally:
+        out.close()
 
 
 def write_json(df: DataFrame, path: str, mode: str = "new") -> str:
