@@ -96,13 +96,20 @@ def _offsets(counts: dict[int, int], n: int) -> Column:
 
 
 def with_row_id(df: DataFrame, order_by: str | Sequence[str], name: str = "row_id",
-                rows_per_bucket: int = 1_000_000, stats: dict | None = None) -> DataFrame:
+                rows_per_bucket: int = 1_000_000, stats: dict | None = None,
+                rows: int | None = None) -> DataFrame:
     """Add ``name``: 0, 1, 2, ... in ascending order of ``order_by`` (unique).
 
     ``stats``, when given, receives ``rows`` (the row count, F7) at no extra cost.
+    ``rows``, when the caller already knows the exact row count (e.g. from an
+    observation while the input was written), lets an input of at most one
+    bucket skip the quantile pass.
     """
     keys = [order_by] if isinstance(order_by, str) else list(order_by)
-    plan = bucket_by_quantiles(df, keys[0], rows_per_bucket)
+    if rows is not None and rows <= rows_per_bucket:
+        plan = (F.lit(0), 1, rows)
+    else:
+        plan = bucket_by_quantiles(df, keys[0], rows_per_bucket)
     if plan is not None:
         bucket, n_buckets, n_rows = plan
         if stats is not None:

@@ -99,7 +99,7 @@ def analyze(spark: SparkSession, source: str, table: str, column: str, term: str
             log.append(spark, log_path)
         return Review(None, None, {}, log, 0)
     log.add("filter", f"Found {n} records where {column} contains '{term}'", n)
-    kept = with_row_id(kept, order_by)
+    kept = with_row_id(kept, order_by, rows=n)
 
     errors = None
     if _is_rules(scorer):

@@ -91,3 +91,12 @@ def test_rows_containing_words_and_grams_match_brute_force(spark):
     want_x = sorted(set(want) | {i for i in range(len(texts)) if i % 5 == 0})
     got_x = [r.i for r in rows_containing(df, F.col("t"), v, "v", extra=extra).collect()]
     assert sorted(got_x) == want_x and len(got_x) == len(set(got_x))
+
+
+def test_row_id_with_known_count_skips_quantiles(spark):
+    df = spark.range(0, 900).select((F.col("id") * 5 + 1).alias("k"), F.col("id").cast("string").alias("s"))
+    a = {r.k: r.row_id for r in with_row_id(df, "k").collect()}
+    b = {r.k: r.row_id for r in with_row_id(df, "k", rows=900).collect()}
+    assert a == b and sorted(b.values()) == list(range(900))
+    c = {r.s: r.row_id for r in with_row_id(df, "s", rows=900).collect()}
+    assert [c[s] for s in sorted(c)] == list(range(900))
