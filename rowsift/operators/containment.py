@@ -2,8 +2,9 @@
 
 Used by F2/F3 when the terms arrive as a DataFrame too large to inline.
 
-* Few values (count checked, at most ``max_broadcast``): the values are
-  broadcast and tested against every text (nested loop, values bounded).
+* Few values (count and total length checked: at most ``max_broadcast``
+  values, within MAX_BROADCAST_BYTES): the values are broadcast and tested
+  against every text (nested loop, values bounded).
 * More values: an exact blocked equi-join. Each value gets one *key*, a
   piece of it that any text holding the value must also yield:
 
@@ -197,13 +198,23 @@ def rows_containing(df: DataFrame, text: Column, values: DataFrame, value_col: s
     return df.where(passed).unionByName(df.where(~passed).join(side, cond, "left_semi"))
 
 
+def _few_small(v: DataFrame, value_col: str, max_values: int) -> bool:
+    """At most ``max_values`` values holding at most MAX_BROADCAST_BYTES of
+    text (measured on at most ``max_values + 1`` rows): safe to broadcast."""
+    if max_values <= 0:
+        return False
+    size = v.limit(max_values + 1).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.coalesce(F.sum(F.length(value_col)), F.lit(0)).alias("chars")).first()
+    return size["n"] <= max_values and 4 * size["chars"] + 64 * size["n"] <= MAX_BROADCAST_BYTES
+
+
 def containment_pairs(texts: DataFrame, text_col: str, values: DataFrame, value_col: str,
                       max_broadcast: int = 256) -> DataFrame:
     """Distinct ``(text_col, value_col)`` pairs with lower(text) containing lower(value)."""
     t = texts.select(F.col(text_col)).where(F.col(text_col).isNotNull()).distinct()
     v = values.select(F.col(value_col)).where(F.col(value_col).isNotNull()).distinct()
-    n_values = v.limit(max_broadcast + 1).count() if max_broadcast > 0 else 1
-    if n_values <= max_broadcast:
+    if _few_small(v, value_col, max_broadcast):
         tl = t.select(text_col, F.lower(F.col(text_col)).alias("_low_t"))
         vl = v.select(value_col, F.lower(F.col(value_col)).alias("_low_v"))
         return (tl.join(F.broadcast(vl), F.col("_low_t").contains(F.col("_low_v")), "inner")
@@ -224,6 +235,6 @@ def texts_containing(texts: DataFrame, text_col: str, values: DataFrame, value_c
     """Distinct texts that contain at least one value."""
     t = texts.select(F.col(text_col)).where(F.col(text_col).isNotNull()).distinct()
     v = values.select(F.col(value_col)).where(F.col(value_col).isNotNull()).distinct()
-    if max_broadcast > 0 and v.limit(max_broadcast + 1).count() <= max_broadcast:
+    if _few_small(v, value_col, max_broadcast):
         return containment_pairs(t, text_col, v, value_col, max_broadcast).select(text_col).distinct()
     return rows_containing(t, F.col(text_col), v, value_col)

@@ -62,13 +62,13 @@ def guideline_text(guideline: str | DataFrame, text_col: str = "text") -> str:
     """The one guideline text: a string, or a one-row DataFrame (checked)."""
     if isinstance(guideline, str):
         return guideline
-    rows = guideline.select(text_col).limit(2).collect()
-    if len(rows) != 1:
-        raise ValueError(f"expected exactly one guideline document, found {len(rows)}+")
-    text = rows[0][0] or ""
-    if len(text) > MAX_GUIDELINE_CHARS:
+    # Measured before it is collected: the driver receives one bounded text.
+    sizes = guideline.select(F.length(text_col).alias("n")).limit(2).collect()
+    if len(sizes) != 1:
+        raise ValueError(f"expected exactly one guideline document, found {len(sizes)}+")
+    if (sizes[0]["n"] or 0) > MAX_GUIDELINE_CHARS:
         raise ValueError("guideline text is larger than MAX_GUIDELINE_CHARS")
-    return text
+    return guideline.select(text_col).first()[0] or ""
 
 
 def build_requests(records: DataFrame, guideline: str | DataFrame, term: str, column: str,

@@ -106,9 +106,14 @@ def list_tables(spark: SparkSession, source: str) -> DataFrame:
             .orderBy("table_name"))
 
 
-def list_table_names(spark: SparkSession, source: str) -> list[str]:
-    """S2 on the driver: table names as a list (bounded by the number of tables)."""
-    return [r.table_name for r in list_tables(spark, source).collect()]
+MAX_LISTED = 1000
+
+
+def list_table_names(spark: SparkSession, source: str, limit: int = MAX_LISTED) -> list[str]:
+    """S2 on the driver, for messages: the first ``limit`` table names, with
+    ``...`` appended when there are more."""
+    names = [r.table_name for r in list_tables(spark, source).limit(limit + 1).collect()]
+    return names[:limit] + ["..."] if len(names) > limit else names
 
 
 def list_columns(df: DataFrame) -> DataFrame:
