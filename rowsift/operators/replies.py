@@ -40,10 +40,13 @@ def parse_matches(df: DataFrame, col: str = "response") -> DataFrame:
     """R2: ``matches`` (array<string>) and ``explanation`` from a match reply.
     The object form is looked for first; ``matches`` that is not a list gives
     null, which means: fall back to the plain filter."""
-    v = F.try_parse_json(extract_json(col, prefer="object"))
-    is_obj = F.schema_of_variant(v).startswith("OBJECT")
-    return (df.withColumn("matches", F.when(is_obj, F.try_variant_get(v, "$.matches", "array<string>")))
-            .withColumn("explanation", F.when(is_obj, F.try_variant_get(v, "$.explanation", "string"))))
+    # Staged like parse_replies: the reply is searched and parsed once.
+    staged = (df.withColumn("_rs_v", F.try_parse_json(extract_json(col, prefer="object")))
+              .withColumn("_rs_obj", F.schema_of_variant("_rs_v").startswith("OBJECT")))
+    v, is_obj = F.col("_rs_v"), F.col("_rs_obj")
+    return (staged.withColumn("matches", F.when(is_obj, F.try_variant_get(v, "$.matches", "array<string>")))
+            .withColumn("explanation", F.when(is_obj, F.try_variant_get(v, "$.explanation", "string")))
+            .drop("_rs_v", "_rs_obj"))
 
 
 def reject_reason(text: str | Column, error: str | Column | None = None) -> Column:
