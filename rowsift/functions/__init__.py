@@ -1,6 +1,14 @@
 """Column expressions (no jobs of their own)."""
 
-from .jsontext import extract_json, is_strict_json, json_kind, parse_strict, strict_json
+from .jsontext import (
+    extract_json,
+    extract_value,
+    is_strict_json,
+    json_kind,
+    json_span,
+    parse_strict,
+    strict_json,
+)
 from .text import (
     check_pattern,
     clean_term,
@@ -15,7 +23,8 @@ from .verdict import NOTES_FIELD, VERDICT_FIELD, notes, verdict, verdict_raw
 
 __all__ = [
     "NOTES_FIELD", "VERDICT_FIELD", "check_pattern", "clean_term", "contains_any",
-    "contains_literal", "contains_pattern", "extract_json", "is_strict_json", "json_kind",
+    "contains_literal", "contains_pattern", "extract_json", "extract_value", "is_strict_json",
+    "json_kind", "json_span",
     "normalize_term", "notes", "parse_strict", "strict_json", "strip_text", "text_value",
     "verdict", "verdict_raw",
 ]

@@ -8,10 +8,13 @@ try once a span was found. ``prefer="object"`` swaps the two spans (used for
 match replies, whose expected shape is an object).
 
 Validity is strict: ``try_parse_json`` alone accepts a first value followed
-by junk (``[1] x``). Text ``x`` is accepted only when both ``[x]`` and
-``{"v":x}`` parse: trailing text would have to begin with ``,`` to pass the
-first, and then it cannot pass the second. Duplicate keys and NaN/Infinity
-are rejected (Python's ``json`` would accept them).
+by junk (``[1] x``), so one wrapper is not enough (``[true]-1]`` reads as
+``[true]``). Text ``x`` is accepted only when both ``[x]`` and ``{"v":x}``
+parse: after the first value, the array needs ``,`` or ``]`` and the object
+``,`` or ``}``; after a ``,`` the array needs a value and the object a key
+and ``:``. So both parse only when ``x`` is exactly one value. That value is
+field ``v`` of the second parse, so there is no third parse. Duplicate keys
+and NaN/Infinity are rejected (Python's ``json`` would accept them).
 """
 
 from __future__ import annotations
@@ -28,13 +31,21 @@ def _col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def parse_strict(text: str | Column) -> Column:
+    """VARIANT of a text that is exactly one JSON value, else null (see the
+    module notes: two wrapped parses, the value taken from the second)."""
+    t = _col(text)
+    as_item = F.try_parse_json(F.concat(F.lit("["), t, F.lit("]")))
+    as_field = F.try_parse_json(F.concat(F.lit('{"v":'), t, F.lit("}")))
+    return F.when(as_item.isNotNull() & as_field.isNotNull(),
+                  F.try_variant_get(as_field, "$.v", "variant"))
+
+
 def is_strict_json(text: str | Column) -> Column:
     """True when the whole text is exactly one JSON value (surrounding white
     space allowed), false otherwise, null for null."""
     t = _col(text)
-    as_item = F.try_parse_json(F.concat(F.lit("["), t, F.lit("]")))
-    as_field = F.try_parse_json(F.concat(F.lit('{"v":'), t, F.lit("}")))
-    return F.when(t.isNull(), F.lit(None)).otherwise(as_item.isNotNull() & as_field.isNotNull())
+    return F.when(t.isNull(), F.lit(None)).otherwise(parse_strict(t).isNotNull())
 
 
 def strict_json(text: str | Column) -> Column:
@@ -43,20 +54,27 @@ def strict_json(text: str | Column) -> Column:
     return F.when(is_strict_json(t), t)
 
 
-def parse_strict(text: str | Column) -> Column:
-    """VARIANT of a strictly valid JSON text, else null."""
-    return F.try_parse_json(strict_json(text))
-
-
-def extract_json(text: str | Column, prefer: str = "array") -> Column:
-    """The JSON text inside a reply, or null. See the module notes."""
+def json_span(text: str | Column, prefer: str = "array") -> Column:
+    """The span R1 looks at, not yet validated: first ``[`` to last ``]``;
+    only when there is none, first ``{`` to last ``}`` (swapped for
+    ``prefer="object"``). Null when neither exists."""
     if prefer not in ("array", "object"):
         raise ValueError("prefer must be 'array' or 'object'")
     t = _col(text)
     arr = F.regexp_substr(t, F.lit(ARRAY_SPAN))
     obj = F.regexp_substr(t, F.lit(OBJECT_SPAN))
     first, second = (arr, obj) if prefer == "array" else (obj, arr)
-    return F.when(first.isNotNull(), strict_json(first)).otherwise(strict_json(second))
+    return F.coalesce(first, second)
+
+
+def extract_json(text: str | Column, prefer: str = "array") -> Column:
+    """The JSON text inside a reply, or null. See the module notes."""
+    return strict_json(json_span(text, prefer))
+
+
+def extract_value(text: str | Column, prefer: str = "array") -> Column:
+    """R1 as a VARIANT (the parsed JSON of :func:`extract_json`), or null."""
+    return parse_strict(json_span(text, prefer))
 
 
 def json_kind(v: str | Column) -> Column:

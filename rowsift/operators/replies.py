@@ -14,7 +14,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.jsontext import extract_json
+from ..functions.jsontext import extract_value, json_span, parse_strict
 from ..functions.text import strip_text
 from ..functions.verdict import notes, verdict, verdict_raw
 
@@ -33,7 +33,7 @@ def _col(c: str | Column) -> Column:
 
 def reply_array(text: str | Column) -> Column:
     """The reply's JSON list as ``array<variant>`` (null if not a list)."""
-    return F.try_variant_get(F.try_parse_json(extract_json(text)), "$", "array<variant>")
+    return F.try_variant_get(extract_value(text), "$", "array<variant>")
 
 
 def parse_matches(df: DataFrame, col: str = "response") -> DataFrame:
@@ -41,7 +41,7 @@ def parse_matches(df: DataFrame, col: str = "response") -> DataFrame:
     The object form is looked for first; ``matches`` that is not a list gives
     null, which means: fall back to the plain filter."""
     # Staged like parse_replies: the reply is searched and parsed once.
-    staged = (df.withColumn("_rs_v", F.try_parse_json(extract_json(col, prefer="object")))
+    staged = (df.withColumn("_rs_v", extract_value(col, prefer="object"))
               .withColumn("_rs_obj", F.schema_of_variant("_rs_v").startswith("OBJECT")))
     v, is_obj = F.col("_rs_v"), F.col("_rs_obj")
     return (staged.withColumn("matches", F.when(is_obj, F.try_variant_get(v, "$.matches", "array<string>")))
@@ -52,11 +52,10 @@ def parse_matches(df: DataFrame, col: str = "response") -> DataFrame:
 def reject_reason(text: str | Column, error: str | Column | None = None) -> Column:
     """R5 reason for a whole reply, or null when it is usable."""
     t = _col(text)
-    js = extract_json(t)
-    v = F.try_parse_json(js)
+    v = extract_value(t)
     arr = F.try_variant_get(v, "$", "array<variant>")
     reason = (F.when(t.isNull() | (strip_text(t) == ""), F.lit(EMPTY))
-              .when(js.isNull(), F.lit(NO_JSON))
+              .when(v.isNull(), F.lit(NO_JSON))
               .when(~F.schema_of_variant(v).startswith("ARRAY"), F.lit(NOT_LIST))
               .when(F.size(arr) == 0, F.lit(EMPTY_LIST))
               .when(F.exists(arr, lambda e: ~F.schema_of_variant(e).startswith("OBJECT")),
@@ -73,8 +72,9 @@ def parse_replies(df: DataFrame, col: str = "response",
     (null when usable). Each step is its own projection, so a reply is
     searched and parsed once, not once per test."""
     err = error_col if error_col and error_col in df.columns else None
-    staged = (df.withColumn("json_text", extract_json(col))
-              .withColumn("_rs_v", F.try_parse_json("json_text"))
+    staged = (df.withColumn("_rs_span", json_span(col))
+              .withColumn("_rs_v", parse_strict("_rs_span"))
+              .withColumn("json_text", F.when(F.col("_rs_v").isNotNull(), F.col("_rs_span")))
               .withColumn("items", F.try_variant_get("_rs_v", "$", "array<variant>"))
               .withColumn("_rs_kind", F.schema_of_variant("_rs_v")))
     t = F.col(col)
@@ -86,7 +86,7 @@ def parse_replies(df: DataFrame, col: str = "response",
                     F.lit(NON_OBJECT)))
     if err is not None:
         reason = F.coalesce(F.col(err), reason)
-    return staged.withColumn("reason", reason).drop("_rs_v", "_rs_kind")
+    return staged.withColumn("reason", reason).drop("_rs_span", "_rs_v", "_rs_kind")
 
 
 def quarantine(df: DataFrame, col: str = "response",

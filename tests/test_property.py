@@ -53,3 +53,44 @@ def test_strict_json_matches_json_loads(spark, texts):
         except ValueError:
             want = False
         assert got[i] == want, (t, obj if want else None)
+
+
+def _py_strict(t):
+    def no_dups(pairs):
+        keys = [k for k, _ in pairs]
+        if len(keys) != len(set(keys)):
+            raise ValueError("repeated key")
+        return dict(pairs)
+
+    def no_constants(c):
+        raise ValueError(c)
+
+    try:
+        json.loads(t, object_pairs_hook=no_dups, parse_constant=no_constants)
+        return True
+    except ValueError:
+        return False
+
+
+def test_strict_json_structural_junk(spark):
+    """Random strings built from JSON tokens (brackets, commas, values): the
+    strict check agrees with json.loads, including junk after a closing
+    bracket such as 'true]-2.5' that one lenient parse of '[x]' accepts."""
+    import random as _random
+
+    from pyspark.sql import functions as F
+
+    from rowsift.functions import is_strict_json, parse_strict
+
+    rng = _random.Random(5)
+    atoms = ['1', '-2.5', '"a"', 'true', 'null', '[', ']', '{', '}', ',', ':', '"k"', ' ', 'x', '[1]',
+             '{"a":1}', '""']
+    texts = sorted({"".join(rng.choice(atoms) for _ in range(rng.randint(0, 6))) for _ in range(4000)})
+    texts += ['true]-2.5', '1}x', '1, 0]', 'null']
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    rows = df.select("i", is_strict_json("t").alias("ok"),
+                     F.schema_of_variant(parse_strict("t")).alias("kind")).collect()
+    got = {r.i: r.ok for r in rows}
+    assert [texts[i] for i in range(len(texts)) if got[i] != _py_strict(texts[i])] == []
+    kinds = {texts[r.i]: r.kind for r in rows}
+    assert kinds["null"] == "VOID" and kinds["true]-2.5"] is None
