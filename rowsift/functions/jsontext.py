@@ -31,12 +31,15 @@ def _col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _wrapped(t: Column) -> tuple[Column, Column]:
+    return (F.try_parse_json(F.concat(F.lit("["), t, F.lit("]"))),
+            F.try_parse_json(F.concat(F.lit('{"v":'), t, F.lit("}"))))
+
+
 def parse_strict(text: str | Column) -> Column:
     """VARIANT of a text that is exactly one JSON value, else null (see the
     module notes: two wrapped parses, the value taken from the second)."""
-    t = _col(text)
-    as_item = F.try_parse_json(F.concat(F.lit("["), t, F.lit("]")))
-    as_field = F.try_parse_json(F.concat(F.lit('{"v":'), t, F.lit("}")))
+    as_item, as_field = _wrapped(_col(text))
     return F.when(as_item.isNotNull() & as_field.isNotNull(),
                   F.try_variant_get(as_field, "$.v", "variant"))
 
@@ -45,7 +48,8 @@ def is_strict_json(text: str | Column) -> Column:
     """True when the whole text is exactly one JSON value (surrounding white
     space allowed), false otherwise, null for null."""
     t = _col(text)
-    return F.when(t.isNull(), F.lit(None)).otherwise(parse_strict(t).isNotNull())
+    as_item, as_field = _wrapped(t)
+    return F.when(t.isNull(), F.lit(None)).otherwise(as_item.isNotNull() & as_field.isNotNull())
 
 
 def strict_json(text: str | Column) -> Column:
