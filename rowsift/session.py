@@ -36,29 +36,35 @@ def get_session(master: str | None = None, app: str = "rowsift",
     return builder.getOrCreate()
 
 
-def shared_dir(spark: SparkSession, *parts: str) -> str:
-    """A fresh folder under the cluster's shared checkpoint folder.
-
-    The base is ``spark.checkpoint.dir`` as the session reports it. Only when it
-    is unset (local tests) is a private folder created and registered as the
-    checkpoint folder, so that ``DataFrame.checkpoint`` works the same way.
+def _checkpoint_base(spark: SparkSession) -> str:
+    """The shared folder for checkpoints and intermediate tables.
+
+    ``spark.checkpoint.dir`` as the session reports it (or the folder already
+    registered with the SparkContext). Only a local session (tests, a laptop)
+    without one gets a private temporary folder: on a cluster a machine-local
+    folder would leave each executor's files where no other machine can read
+    them, so the setting is required there.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
+    sc = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("Set spark.checkpoint.dir to a folder every executor can "
+                               "reach (HDFS, object store, shared mount).")
         base = tempfile.mkdtemp(prefix="rowsift-ckpt-")
-        spark.sparkContext.setCheckpointDir(base)
-    base = base.rstrip("/")
-    return "/".join([base, "rowsift", *parts, uuid.uuid4().hex])
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(base)
+    return base.rstrip("/")
+
+
+def shared_dir(spark: SparkSession, *parts: str) -> str:
+    """A fresh folder under the shared checkpoint folder (see _checkpoint_base)."""
+    return "/".join([_checkpoint_base(spark), "rowsift", *parts, uuid.uuid4().hex])
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Make ``DataFrame.checkpoint()`` usable, keeping a configured folder."""
-    if spark.sparkContext.getCheckpointDir():
-        return
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rowsift-ckpt-")
-    spark.sparkContext.setCheckpointDir(base)
+    _checkpoint_base(spark)
 
 
 _SHIPPED: set = set()

@@ -59,3 +59,38 @@ def test_multi_line_json_array(spark, tmp_out):
         json.dump([{"a": 1, "b": "x"}, {"a": 2, "c": None}], fh, indent=4)
     rows = read_json(spark, path, multi_line=True).orderBy("a").collect()
     assert [(r.a, r.b) for r in rows] == [(1, "x"), (2, None)]
+
+
+def test_shared_folder_required_on_a_cluster():
+    """Outside local mode a missing spark.checkpoint.dir is an error, never a
+    machine-local temporary folder; a configured folder is used as given."""
+    import pytest
+
+    from rowsift.session import shared_dir
+
+    class Conf:
+        def __init__(self, value):
+            self.value = value
+
+        def get(self, key, default=None):
+            return self.value if key == "spark.checkpoint.dir" else default
+
+    class Ctx:
+        def __init__(self, master):
+            self.master, self.dir = master, None
+
+        def getCheckpointDir(self):
+            return self.dir
+
+        def setCheckpointDir(self, d):
+            self.dir = d
+
+    class Session:
+        def __init__(self, master, value):
+            self.conf, self.sparkContext = Conf(value), Ctx(master)
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(Session("yarn", None), "x")
+    s = Session("spark://host:7077", "hdfs://nn/ckpt/")
+    assert shared_dir(s, "k1").startswith("hdfs://nn/ckpt/rowsift/k1/")
+    assert s.sparkContext.dir == "hdfs://nn/ckpt/"
