@@ -73,8 +73,11 @@ def _tagged(kind: int):
     return lambda k: F.struct(F.lit(kind).alias("_kind"), k.alias("_key"))
 
 
-class _Plan:
-    """Which keys the texts must yield, and the values keyed for the join."""
+class KeyPlan:
+    """Which keys the texts must yield, and the values keyed for the join.
+
+    Built by one small job over the values, which also gives their count and
+    total length (``n_values``, ``chars``) for callers choosing a strategy."""
 
     def __init__(self, values: DataFrame, value_col: str):
         self.value_col = value_col
@@ -91,6 +94,7 @@ class _Plan:
             F.collect_set(F.when(~has_word, F.least(F.col("_len_v"), F.lit(Q)))).alias("lens"),
         ).first()
         self.n_values = int(stats["n"])
+        self.chars = int(stats["chars"])
         self.words = bool(stats["words"])
         self.lengths = sorted({int(x) for x in stats["lens"] if x is not None and x > 0})
         # The value side is broadcast only within a measured bound; otherwise
@@ -152,12 +156,13 @@ class _Plan:
         return best.unionByName(short)
 
 
-def candidates(df: DataFrame, text: Column, values: DataFrame, value_col: str) -> DataFrame | None:
+def candidates(df: DataFrame, text: Column, values: DataFrame, value_col: str,
+               plan: KeyPlan | None = None) -> DataFrame | None:
     """Distinct ``(_tid, value_col, _low_v)`` pairs, ``_tid = xxhash64(text)``:
     every (text, value) with lower(text) containing lower(value) is among
     them. Written to the shared checkpoint folder (computed once). None when
     there are no values."""
-    plan = _Plan(values, value_col)
+    plan = plan or KeyPlan(values, value_col)
     if plan.empty:
         return None
     low_t = F.lower(text)
@@ -180,14 +185,14 @@ def _measured(cand: DataFrame) -> DataFrame:
 
 
 def rows_containing(df: DataFrame, text: Column, values: DataFrame, value_col: str,
-                    extra: Column | None = None) -> DataFrame:
+                    extra: Column | None = None, plan: KeyPlan | None = None) -> DataFrame:
     """Rows of ``df`` whose ``text`` contains at least one value (ignoring
     case), or for which ``extra`` is true. All columns kept, no duplicates.
 
     ``extra`` rows are taken by a plain filter; the rest go through the
     left-semi join with the candidates (a second scan of ``df``, no shuffle
     when the candidates are broadcast)."""
-    cand = candidates(df, text, values, value_col)
+    cand = candidates(df, text, values, value_col, plan)
     if cand is None:
         return df.where(F.lit(False)) if extra is None else df.where(extra)
     side = _measured(cand.select("_tid", "_low_v"))

@@ -24,7 +24,7 @@ from ..functions.text import (
     text_value,
 )
 from ..sources.tables import require_column
-from .containment import rows_containing
+from .containment import KeyPlan, rows_containing
 
 # A match set up to this many values (and characters) is collected once and
 # tested inline in the scan stage (one Aho-Corasick pass per text, the term
@@ -104,13 +104,13 @@ def _semi_by_texts(df: DataFrame, column: str, values: DataFrame, value_col: str
     """
     vals = values.select(F.col(value_col).cast("string").alias("_rs_value")) \
         .where(F.col("_rs_value").isNotNull() & (F.col("_rs_value") != "")).distinct()
-    size = vals.agg(F.count(F.lit(1)).alias("n"),
-                    F.coalesce(F.sum(F.length("_rs_value")), F.lit(0)).alias("chars")).first()
-    if size["n"] <= max_list_values and size["chars"] <= MAX_LIST_CHARS:
+    # One job measures the values (count, length) and plans their keys.
+    plan = KeyPlan(vals, "_rs_value")
+    if plan.n_values <= max_list_values and plan.chars <= MAX_LIST_CHARS:
         terms = [r[0] for r in vals.collect()]
         pred = contains_any(column, terms, null_as)
         return df.where(pred if extra is None else (extra | pred))
-    return rows_containing(df, text_value(column, null_as), vals, "_rs_value", extra)
+    return rows_containing(df, text_value(column, null_as), vals, "_rs_value", extra, plan)
 
 
 def distinct_values(df: DataFrame, column: str, order_by: str, limit: int | None = 20,
