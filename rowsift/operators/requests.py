@@ -62,13 +62,15 @@ def guideline_text(guideline: str | DataFrame, text_col: str = "text") -> str:
     """The one guideline text: a string, or a one-row DataFrame (checked)."""
     if isinstance(guideline, str):
         return guideline
-    # Measured before it is collected: the driver receives one bounded text.
-    sizes = guideline.select(F.length(text_col).alias("n")).limit(2).collect()
-    if len(sizes) != 1:
-        raise ValueError(f"expected exactly one guideline document, found {len(sizes)}+")
-    if (sizes[0]["n"] or 0) > MAX_GUIDELINE_CHARS:
+    # One job; the text travels to the driver only when within the bound.
+    n = F.length(text_col)
+    rows = guideline.select(n.alias("n"), F.when(n <= MAX_GUIDELINE_CHARS, F.col(text_col))
+                            .alias("t")).limit(2).collect()
+    if len(rows) != 1:
+        raise ValueError(f"expected exactly one guideline document, found {len(rows)}+")
+    if (rows[0]["n"] or 0) > MAX_GUIDELINE_CHARS:
         raise ValueError("guideline text is larger than MAX_GUIDELINE_CHARS")
-    return guideline.select(text_col).first()[0] or ""
+    return rows[0]["t"] or ""
 
 
 def build_requests(records: DataFrame, guideline: str | DataFrame, term: str, column: str,

@@ -102,3 +102,18 @@ def test_m4_one_call_per_request(spark, tmp_out):
     parsed = parse_replies(score_requests(req, scorer, partitions=4)).checkpoint(eager=True)
     assert parsed.count() == 23 and parsed.where("reason is null").count() == 23
     assert len(os.listdir(folder)) == 23
+
+
+def test_guideline_checked_before_it_reaches_the_driver(spark, monkeypatch):
+    import pytest
+
+    import rowsift.operators.requests as R
+
+    one = spark.createDataFrame([(1, "abcdef")], "doc_id int, text string")
+    assert R.guideline_text(one) == "abcdef"
+    monkeypatch.setattr(R, "MAX_GUIDELINE_CHARS", 3)
+    with pytest.raises(ValueError, match="larger"):
+        R.guideline_text(one)
+    two = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id int, text string")
+    with pytest.raises(ValueError, match="exactly one"):
+        R.guideline_text(two)
