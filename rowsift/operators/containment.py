@@ -203,6 +203,11 @@ def rows_containing(df: DataFrame, text: Column, values: DataFrame, value_col: s
     return df.where(passed).unionByName(df.where(~passed).join(side, cond, "left_semi"))
 
 
+def _non_empty(values: DataFrame, value_col: str) -> DataFrame:
+    c = F.col(value_col)
+    return values.select(c).where(c.isNotNull() & (F.length(c) > 0)).distinct()
+
+
 def _few_small(v: DataFrame, value_col: str, max_values: int) -> bool:
     """At most ``max_values`` values holding at most MAX_BROADCAST_BYTES of
     text (measured on at most ``max_values + 1`` rows): safe to broadcast."""
@@ -216,9 +221,10 @@ def _few_small(v: DataFrame, value_col: str, max_values: int) -> bool:
 
 def containment_pairs(texts: DataFrame, text_col: str, values: DataFrame, value_col: str,
                       max_broadcast: int = 256) -> DataFrame:
-    """Distinct ``(text_col, value_col)`` pairs with lower(text) containing lower(value)."""
+    """Distinct ``(text_col, value_col)`` pairs with lower(text) containing
+    lower(value). Empty values are ignored, as in F2/F3."""
     t = texts.select(F.col(text_col)).where(F.col(text_col).isNotNull()).distinct()
-    v = values.select(F.col(value_col)).where(F.col(value_col).isNotNull()).distinct()
+    v = _non_empty(values, value_col)
     if _few_small(v, value_col, max_broadcast):
         tl = t.select(text_col, F.lower(F.col(text_col)).alias("_low_t"))
         vl = v.select(value_col, F.lower(F.col(value_col)).alias("_low_v"))
@@ -237,9 +243,9 @@ def containment_pairs(texts: DataFrame, text_col: str, values: DataFrame, value_
 
 def texts_containing(texts: DataFrame, text_col: str, values: DataFrame, value_col: str,
                      max_broadcast: int = 256) -> DataFrame:
-    """Distinct texts that contain at least one value."""
+    """Distinct texts that contain at least one (non-empty) value."""
     t = texts.select(F.col(text_col)).where(F.col(text_col).isNotNull()).distinct()
-    v = values.select(F.col(value_col)).where(F.col(value_col).isNotNull()).distinct()
+    v = _non_empty(values, value_col)
     if _few_small(v, value_col, max_broadcast):
         return containment_pairs(t, text_col, v, value_col, max_broadcast).select(text_col).distinct()
     return rows_containing(t, F.col(text_col), v, value_col)
