@@ -16,8 +16,10 @@ same ids. Buckets hold about ``rows_per_bucket`` rows each because the key is
 unique. Inputs of at most ``rows_per_bucket`` rows form a single bucket, so
 their plan shows one window partition: one task for a bounded number of rows.
 
-Other key types: range-partition, sort, write a reliable checkpoint (the
-shared ``spark.checkpoint.dir``), then add per-partition offsets.
+Other key types, and inputs beyond ``grid * rows_per_bucket`` rows (the CASE
+tree stays at most ``grid`` leaves): range-partition into partitions of about
+``rows_per_bucket`` rows, sort, write a reliable checkpoint (the shared
+``spark.checkpoint.dir``), then add per-partition offsets.
 """
 
 from __future__ import annotations
@@ -67,15 +69,18 @@ def bucket_by_quantiles(df: DataFrame, key: str, rows_per_bucket: int = 1_000_00
     The first pass returns the row count and ``first_grid`` quantiles (the
     cost of ``percentile_approx`` grows with the number of quantiles asked);
     only inputs that need more buckets get a second pass with a finer grid.
-    Up to ``grid`` buckets (a CASE tree of depth log2(grid)); beyond
-    ``grid * rows_per_bucket`` rows the buckets grow instead (the window
-    step spills to disk), the count of tasks stays ``grid``.
+    Up to ``grid`` buckets (a CASE tree of depth log2(grid)). An input of
+    more than ``grid * rows_per_bucket`` rows gets ``(None, 0, rows)``: it is
+    numbered by range partitions instead (see ``with_row_id``), so no bucket
+    grows past ``rows_per_bucket``.
     """
     k = _as_number(F.col(key), df.schema[key].dataType)
     if k is None:
         return None
     row = _quantiles(df, k, first_grid, with_count=True)
     n_rows = int(row["n"])
+    if n_rows > grid * rows_per_bucket:
+        return None, 0, n_rows
     n_buckets = max(1, min(grid, math.ceil(n_rows / max(1, rows_per_bucket))))
     used_grid, qs = first_grid, row["q"] or []
     if n_buckets > first_grid:
@@ -97,7 +102,7 @@ def _offsets(counts: dict[int, int], n: int) -> Column:
 
 def with_row_id(df: DataFrame, order_by: str | Sequence[str], name: str = "row_id",
                 rows_per_bucket: int = 1_000_000, stats: dict | None = None,
-                rows: int | None = None) -> DataFrame:
+                rows: int | None = None, grid: int = 1024) -> DataFrame:
     """Add ``name``: 0, 1, 2, ... in ascending order of ``order_by`` (unique).
 
     ``stats``, when given, receives ``rows`` (the row count, F7) at no extra cost.
@@ -109,7 +114,10 @@ def with_row_id(df: DataFrame, order_by: str | Sequence[str], name: str = "row_i
     if rows is not None and rows <= rows_per_bucket:
         plan = (F.lit(0), 1, rows)
     else:
-        plan = bucket_by_quantiles(df, keys[0], rows_per_bucket)
+        plan = bucket_by_quantiles(df, keys[0], rows_per_bucket, grid=grid)
+    if plan is not None and plan[0] is None:  # too many rows for the bucket grid
+        parts = math.ceil(plan[2] / max(1, rows_per_bucket))
+        return _row_id_by_checkpoint(df, keys, name, stats, parts)
     if plan is not None:
         bucket, n_buckets, n_rows = plan
         if stats is not None:
@@ -129,10 +137,12 @@ def with_row_id(df: DataFrame, order_by: str | Sequence[str], name: str = "row_i
 
 
 def _row_id_by_checkpoint(df: DataFrame, keys: list[str], name: str,
-                          stats: dict | None) -> DataFrame:
+                          stats: dict | None, parts: int | None = None) -> DataFrame:
+    """Range partitions (bounds sampled by Spark), sorted, written to the
+    shared folder; offsets from the exact count per partition."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).checkpoint(eager=True)
     tagged = ranged.withColumn("_rs_part", F.spark_partition_id())
     counts = {r[0]: r[1] for r in tagged.groupBy("_rs_part").count().collect()}

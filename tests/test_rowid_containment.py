@@ -100,3 +100,13 @@ def test_row_id_with_known_count_skips_quantiles(spark):
     assert a == b and sorted(b.values()) == list(range(900))
     c = {r.s: r.row_id for r in with_row_id(df, "s", rows=900).collect()}
     assert [c[s] for s in sorted(c)] == list(range(900))
+
+
+def test_row_id_beyond_the_bucket_grid_uses_range_partitions(spark):
+    df = spark.range(0, 3000).select((F.col("id") * 11 % 3001).alias("k"))
+    _, n, rows = bucket_by_quantiles(df, "k", rows_per_bucket=100, grid=8)
+    assert n == 0 and rows == 3000  # more rows than 8 buckets of 100 hold
+    stats = {}
+    out = with_row_id(df, "k", rows_per_bucket=100, grid=8, stats=stats)
+    assert stats["rows"] == 3000
+    assert [r.row_id for r in out.orderBy("k").collect()] == list(range(3000))
