@@ -2,9 +2,9 @@
 offline rules table).
 
 M4 runs the callable in Python workers through ``mapInPandas``; requests are
-dealt round-robin over ``partitions`` tasks (see ``spread``), and the callable is created once
-per task by ``make_scorer``. A failing or empty reply becomes an error row,
-never a lost job. Write or checkpoint the output before using it twice, so a
+dealt round-robin over ``partitions`` tasks (see ``spread``), and the
+callable is created once per task by ``make_scorer``. A failing or empty
+reply becomes an error row, never a lost job. Write or checkpoint the output before using it twice, so a
 paid call is never repeated (see plans.analyze).
 
 M5 compiles a small rules table into one Column expression: no join, no
