@@ -110,3 +110,21 @@ def test_row_id_beyond_the_bucket_grid_uses_range_partitions(spark):
     out = with_row_id(df, "k", rows_per_bucket=100, grid=8, stats=stats)
     assert stats["rows"] == 3000
     assert [r.row_id for r in out.orderBy("k").collect()] == list(range(3000))
+
+
+def test_value_bytes_decide_the_broadcast(spark, monkeypatch):
+    """Few values but many bytes: the nested-loop broadcast is refused and
+    the keyed join gives the same pairs."""
+    import rowsift.operators.containment as C
+
+    texts = ["alpha beta gamma delta", "beta gamma", "delta alpha beta", "zeta"]
+    values = ["a beta g", "gamma", "alpha beta", "eta"]
+    t = spark.createDataFrame([(x,) for x in texts], "t string")
+    v = spark.createDataFrame([(x,) for x in values], "v string")
+    want = _brute(set(texts), set(values))
+    assert C._few_small(v, "v", 256)
+    got_small = sorted((r.t, r.v) for r in C.containment_pairs(t, "t", v, "v").collect())
+    monkeypatch.setattr(C, "MAX_BROADCAST_BYTES", 64)
+    assert not C._few_small(v, "v", 256)
+    got_keyed = sorted((r.t, r.v) for r in C.containment_pairs(t, "t", v, "v").collect())
+    assert got_small == want and got_keyed == want
