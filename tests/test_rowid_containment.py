@@ -128,3 +128,20 @@ def test_value_bytes_decide_the_broadcast(spark, monkeypatch):
     assert not C._few_small(v, "v", 256)
     got_keyed = sorted((r.t, r.v) for r in C.containment_pairs(t, "t", v, "v").collect())
     assert got_small == want and got_keyed == want
+
+
+def test_rows_containing_without_broadcasts(spark, monkeypatch):
+    """Candidates beyond the broadcast bound: both sides shuffle on the text
+    hash (sort-merge left-semi join with the contains condition)."""
+    import rowsift.operators.containment as C
+
+    monkeypatch.setattr(C, "MAX_BROADCAST_BYTES", 16)
+    texts = ["one two three", "two three four", "four five", None, "one two three", "xyz"]
+    values = ["two three", "five", "x y", "ee"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    v = spark.createDataFrame([(x,) for x in values], "v string")
+    out = C.rows_containing(df, F.col("t"), v, "v")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan, plan
+    want = sorted(i for i, t in enumerate(texts) if t and any(x in t for x in values))
+    assert sorted(r.i for r in out.collect()) == want
