@@ -177,10 +177,11 @@ def candidates(df: DataFrame, text: Column, values: DataFrame, value_col: str,
 
 
 def _measured(cand: DataFrame) -> DataFrame:
-    """The candidate side, broadcast when measured within the bound."""
+    """The candidate side, broadcast when measured within the bound (value
+    bytes as stored, plus a per-row allowance for the hash and the row)."""
     size = cand.agg(F.count(F.lit(1)).alias("n"),
-                    F.coalesce(F.sum(F.length("_low_v")), F.lit(0)).alias("chars")).first()
-    small = 2 * size["chars"] + 48 * size["n"] <= MAX_BROADCAST_BYTES
+                    F.coalesce(F.sum(F.octet_length("_low_v")), F.lit(0)).alias("bytes")).first()
+    small = size["bytes"] + 48 * size["n"] <= MAX_BROADCAST_BYTES
     return F.broadcast(cand) if small else cand.hint("merge")
 
 
