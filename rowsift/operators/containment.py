@@ -190,18 +190,21 @@ def rows_containing(df: DataFrame, text: Column, values: DataFrame, value_col: s
     """Rows of ``df`` whose ``text`` contains at least one value (ignoring
     case), or for which ``extra`` is true. All columns kept, no duplicates.
 
-    ``extra`` rows are taken by a plain filter; the rest go through the
-    left-semi join with the candidates (a second scan of ``df``, no shuffle
-    when the candidates are broadcast)."""
+    Without ``extra``: a left-semi join with the candidates. With it: one
+    filter ``extra OR EXISTS (candidate of this row's hash contained in its
+    text)``, which Spark plans as an ExistenceJoin, so ``df`` is still
+    scanned once. No shuffle when the candidates are broadcast."""
     cand = candidates(df, text, values, value_col, plan)
     if cand is None:
         return df.where(F.lit(False)) if extra is None else df.where(extra)
     side = _measured(cand.select("_tid", "_low_v"))
-    cond = (F.xxhash64(text) == side["_tid"]) & F.lower(text).contains(side["_low_v"])
     if extra is None:
+        cond = (F.xxhash64(text) == side["_tid"]) & F.lower(text).contains(side["_low_v"])
         return df.join(side, cond, "left_semi")
-    passed = F.coalesce(extra, F.lit(False))
-    return df.where(passed).unionByName(df.where(~passed).join(side, cond, "left_semi"))
+    outer = text.outer()
+    hit = side.where((side["_tid"] == F.xxhash64(outer))
+                     & F.lower(outer).contains(side["_low_v"])).exists()
+    return df.where(F.coalesce(extra, F.lit(False)) | hit)
 
 
 def _non_empty(values: DataFrame, value_col: str) -> DataFrame:

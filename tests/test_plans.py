@@ -74,3 +74,15 @@ def test_containment_join_keeps_texts_in_scan_tasks(spark):
     assert "Contains(lower(text" in plan, plan
     assert "Exchange hashpartitioning" not in plan and "CartesianProduct" not in plan, plan
     assert "NestedLoop" not in plan, plan
+
+
+def test_f3_large_match_set_scans_rows_once(spark):
+    """F3 with a match DataFrame beyond the inline bound: the term filter and
+    the containment test are one filter (EXISTS as an ExistenceJoin), not a
+    union of two scans."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet").select(F.col("text").alias("value"))
+    out = filter_related(docs, "text", "zzz", bench, max_list_values=0).select("doc_id")
+    plan = _plan(out)
+    assert "ExistenceJoin" in plan and "Union" not in plan, plan
+    assert plan.count("FileScan parquet") == 1, plan
