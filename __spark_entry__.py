@@ -62,6 +62,12 @@ from rowsift.sources import (
     write_table,
 )
 
+try:  # the training-data package and its pipeline are optional
+    import corpus_pipeline as _corpus
+    from rowsift.llm import queries as _llm
+except ImportError:
+    _corpus = _llm = None
+
 SMOKE_DIR = "/root/testdata/sf0.001"
 TABLES = ["benchmark", "conversations", "customer", "documents", "embeddings", "events",
           "labels", "lineitem", "nation", "orders", "pages", "part", "region", "supplier"]
@@ -431,10 +437,16 @@ def entry(spark: SparkSession) -> DataFrame:
                                               "p_brand", "verdict", "notes")
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+def own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """The queries of the review library itself; each has an oracle."""
     return {name[2:]: fn for name, fn in globals().items() if name.startswith("q_") and callable(fn)}
 
 
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    more = {**_llm.QUERIES, "pipeline": _corpus.run} if _llm else {}
+    return {**own_queries(), **more}
+
+
 _PART_COLS = "p_partkey, p_name, p_brand, p_type, p_size, p_retailprice"
 
 
@@ -444,6 +456,13 @@ def _oracle_m3_head() -> str:
 
 
 def oracle_sql() -> dict[str, str]:
+    more = dict(_llm.ORACLE_SQL) if _llm else {}
+    if _corpus and _corpus.ORACLE_SQL:
+        more["pipeline"] = _corpus.ORACLE_SQL
+    return {**_own_oracle_sql(), **more}
+
+
+def _own_oracle_sql() -> dict[str, str]:
     from rowsift.operators.requests import MATCH_HEAD, REVIEW_TAIL
     rev_head, rev_mid = _oracle_m3_head()
     m3 = f"""
