@@ -40,19 +40,19 @@ _IS_WORD[[*range(48, 58), *range(97, 123), *range(128, 256)]] = 1
 # label | name signatures, parted by " / " | identifier in tags | keyword. In a
 # signature a blank is any gap between words; the rest is regex.
 NAMES = """
-mit | (?:mit|expat) licen[sc]e / mit x11 licen[sc]e | mit(?:-0|-cmu)? | mit
+mit | (?:mit|expat) licen[sc]e / mit x11 licen[sc]e | mit(?:-0|-cmu)? | mit|expat
 mit | permission is hereby granted free of charge to any person obtaining a copy | x11 | granted
 apache-2 | apache(?: software)? licen[sc]e(?: version)? v?2(?: 0)? / apache 2 0 | apache-2[.]0 | apache
 apache-1.1 | apache(?: software)? licen[sc]e(?: version)? v?1 1 | apache-1[.]1 | apache
 apache-1.0 | apache(?: software)? licen[sc]e(?: version)? v?1 0 | apache-1[.]0 | apache
-gpl-2 | gnu general public licen[sc]e(?: version)? v?2 / gpl ?v?2(?: 0)? | gpl-2[.]0(?:-only|-or-later|[+])? | gpl
-gpl-3 | gnu general public licen[sc]e(?: version)? v?3 / gpl ?v?3(?: 0)? | gpl-3[.]0(?:-only|-or-later|[+])? | gpl
+gpl-2 | gnu general public licen[sc]e(?: version)? v?2 / gpl ?v?2(?: 0)? | gpl-2[.]0(?:-only|-or-later|[+])? | gpl|general
+gpl-3 | gnu general public licen[sc]e(?: version)? v?3 / gpl ?v?3(?: 0)? | gpl-3[.]0(?:-only|-or-later|[+])? | gpl|general
 gpl-2 | general public licen[sc]e(?: as published by the free software foundation)?(?: either)? version 2 | gnu-gpl-2 | general
 gpl-3 | general public licen[sc]e(?: as published by the free software foundation)?(?: either)? version 3 | gnu-gpl-3 | general
 gpl | gnu general public licen[sc]e | gpl | gnu
-lgpl-2.1 | gnu (?:lesser|library) general public licen[sc]e(?: version)? v?2(?: 1)? / lgpl ?v?2(?: 1)? | lgpl-2[.][01](?:-only|-or-later|[+])? | lgpl
-lgpl-3 | gnu lesser general public licen[sc]e(?: version)? v?3 / lgpl ?v?3 | lgpl-3[.]0(?:-only|-or-later|[+])? | lgpl
-lgpl | gnu (?:lesser|library) general public licen[sc]e | lgpl | lesser
+lgpl-2.1 | gnu (?:lesser|library) general public licen[sc]e(?: version)? v?2(?: 1)? / lgpl ?v?2(?: 1)? | lgpl-2[.][01](?:-only|-or-later|[+])? | lgpl|lesser|library
+lgpl-3 | gnu lesser general public licen[sc]e(?: version)? v?3 / lgpl ?v?3 | lgpl-3[.]0(?:-only|-or-later|[+])? | lgpl|lesser|library
+lgpl | gnu (?:lesser|library) general public licen[sc]e | lgpl | lesser|library
 agpl-3 | gnu affero general public licen[sc]e(?: version)?(?: v?3)? / agpl ?v?3 | agpl-3[.]0(?:-only|-or-later|[+])? | a(?:gpl|ffero)
 gfdl | gnu free documentation licen[sc]e | gfdl-1[.][123](?:-only|-or-later)? | documentation
 bsd-2 | (?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd)(?: licen[sc]e)? | bsd-2-clause | bsd
@@ -76,7 +76,7 @@ artistic-2 | artistic licen[sc]e(?: version)?(?: v?2(?: 0)?)? | artistic-2[.]0 |
 zlib | zlib(?: libpng)? licen[sc]e | zlib(?:-acknowledgement)? | zlib
 boost | boost software licen[sc]e(?: version)?(?: 1 0)? | bsl-1[.]0 | boost
 unlicense | this is free and unencumbered software released into the public domain / the unlicense | unlicense | un(?:encumbered|license)
-wtfpl | do what the fuck you want to public licen[sc]e / wtfpl | wtfpl | wtfpl
+wtfpl | do what the fuck you want to public licen[sc]e / wtfpl | wtfpl | wtfpl|fuck
 python | python software foundation licen[sc]e / psf licen[sc]e | psf-2[.]0 | p(?:ython|sf)
 php | php licen[sc]e | php-3[.]0?1? | php
 ruby | ruby licen[sc]e | ruby | ruby
