@@ -33,11 +33,13 @@ from pyspark.sql import functions as F
 from .common import map_frames
 
 #: Units whose ids a Python worker remembers (twice: recent and older), and the longest.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 REMEMBERED_CHARS = 64
 #: Characters of text and units handled at a time; bounds memory on long texts.
 BLOCK_CHARS = 1 << 20
 BLOCK = 1 << 17
+#: Characters of text whose results leave a task together; bounds the rows in flight.
+FRAME_CHARS = 4 << 20
 #: Bytes up to which pieces are merged together in a table.
 SHORT = 32
 
@@ -255,6 +257,18 @@ def _units(text: str) -> Iterator[list[str]]:
         start = stop
 
 
+def _slices(frames, text: str) -> Iterator[pd.DataFrame]:
+    """Arrow batches cut into frames of about ``FRAME_CHARS`` characters of text."""
+    for pdf in frames:
+        size = pdf[text].str.len().fillna(0).to_numpy(dtype=np.int64).cumsum() if len(pdf) else np.empty(0, dtype=np.int64)
+        at = 0
+        while at < len(pdf):
+            done = int(size[at - 1]) if at else 0
+            stop = max(at + 1, int(np.searchsorted(size, done + FRAME_CHARS, side="right")))
+            yield pdf.iloc[at:stop].reset_index(drop=True)
+            at = stop
+
+
 _WORKER: dict = {}
 
 
@@ -294,7 +308,7 @@ def encode_documents(docs: DataFrame, *, rank_path: str, pattern: str, text: str
 
     def run(frames):
         bpe = tokenizer(rank_file, pattern)
-        for pdf in frames:
+        for pdf in _slices(frames, text):
             parts: list[list] = [[] for _ in range(len(pdf))]
             for at, ids in bpe.encode_texts(pdf[text]):
                 parts[at].append(ids)
@@ -335,7 +349,7 @@ def token_digests(docs: DataFrame, *, rank_path: str, pattern: str, doc_id: str
 
     def run(frames):
         bpe = tokenizer(rank_file, pattern)
-        for pdf in frames:
+        for pdf in _slices(frames, "text"):
             sums = [[0, hashlib.sha256(), hashlib.sha256(), []] for _ in range(len(pdf))]
             for at, ids in bpe.encode_texts(pdf["text"]):
                 row = sums[at]
@@ -345,7 +359,7 @@ def token_digests(docs: DataFrame, *, rank_path: str, pattern: str, doc_id: str
                 row[0] += len(ids)
                 if with_ids:
                     row[3].append(ids)
-            made = pd.DataFrame({"doc_id": pdf["doc_id"].reset_index(drop=True), "n_tokens": [r[0] for r in sums],
+            made = pd.DataFrame({"doc_id": pdf["doc_id"], "n_tokens": [r[0] for r in sums],
                                  "ids_sha256": [r[1].hexdigest() for r in sums],
                                  "decoded_sha256": [r[2].hexdigest() for r in sums]})
             if with_ids:

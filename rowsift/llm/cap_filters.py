@@ -52,16 +52,19 @@ class ProductCode:
                  seed: int = SEED):
         rng = np.random.default_rng([seed, dim, number])
         self.turn = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
-        self.words = words
         bounds = np.linspace(0, dim, min(blocks, dim) + 1).astype(int)
         self.parts = [slice(a, b) for a, b in zip(bounds, bounds[1:])]
         self.code = []
         for part in self.parts:
-            c = rng.standard_normal((words, part.stop - part.start))
+            wide = int(part.stop - part.start)
+            # a line has two directions and a plane few apart ones
+            c = rng.standard_normal((min(words, 2 ** (2 * wide - 1)), wide))
+            if wide == 1:
+                c = np.array([[1.0], [-1.0]])
             # a direction is the concatenation of unit words over the root of their number
             self.code.append(c / np.linalg.norm(c, axis=1, keepdims=True) / np.sqrt(len(self.parts)))
-        self.cut = cut / np.sqrt(dim)
-        self.size = words ** len(self.parts)
+        self.cut = min(cut / np.sqrt(dim), 0.75)  # in few dimensions caps must not be narrower
+        self.size = int(np.prod([len(c) for c in self.code]))
 
     def decode(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """``(row, filter)`` of every filter that a unit vector (a row) exceeds, and of its best one."""
@@ -82,7 +85,7 @@ class ProductCode:
                 r, w = np.nonzero(sums + later[o, None] >= cut[o, None])
                 grown.append(sums[r, w])
                 at_owner.append(o[r])
-                at_number.append(number[i:i + (1 << 14)][r] * self.words + w)
+                at_number.append(number[i:i + (1 << 14)][r] * s.shape[1] + w)
             total, owner, number = np.concatenate(grown), np.concatenate(at_owner), np.concatenate(at_number)
         return owner, number
 

@@ -30,9 +30,9 @@ from rowsift.session import ensure_checkpoint_dir
 
 #: host/path -> verdict
 RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
-ITERATIONS = 8
-DAMPING = 0.85
-THRESHOLD = 2.0
+ITERATIONS = 12
+DAMPING = 0.7
+THRESHOLD = 1.5
 LINK = r"""(?i)(?:href|src)\s*=\s*["']?\s*[a-z][a-z0-9+.-]*://([^\s"'>/?#]+)"""
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 

@@ -1,0 +1,486 @@
+"""Archives, token files, mixing, chat, urls, vectors, pipeline: brute force on small and hostile tables."""
+
+import hashlib
+import math
+import re
+import zlib
+
+import duckdb
+import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from rowsift.llm import (arc_convert, bpe_tree, cap_filters, chat_format, gray_index, line_crf, link_graph, mixing, queries,
+                         token_scan)
+from rowsift.llm.queries import QUERIES, bpe_files, table
+
+SF = "/root/testdata/sf0.001"
+TABLES = ("documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+
+
+def rows_of(df):
+    return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+def same(a, b):
+    return len(a) == len(b) and all(
+        x == y or isinstance(x, float) and isinstance(y, float) and math.isclose(x, y, abs_tol=2e-6)
+        for p, q in zip(a, b) for x, y in zip(p, q))
+
+
+@pytest.fixture(scope="module")
+def duck():
+    con = duckdb.connect()
+    for t in TABLES:
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
+    return con
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_query_matches_sql(spark, duck, name):
+    df = QUERIES[name](spark, SF)
+    cols = sorted(df.columns)
+    want = duck.sql(queries.ORACLE_SQL[name])
+    assert sorted(want.columns) == cols
+    got = rows_of(df.select(*cols))
+    assert got and same(got, sorted(want.select(*cols).fetchall(), key=repr))
+
+
+# ---------------------------------------------------------------- archives
+
+BIG = "p" * 150
+PAGES = [(1, "http://a/ x\n", BIG), (3, None, BIG), (2, "u", BIG), (4, "", None), (5, "u", ""), (6, "u", "q" * 99), (7, "u", "q" * 99),
+         (8, "u", "WARC/1.0\r\n\r\n\r\n\r\nHTTP/1.1 200 OK\r\n\r\nfiledesc://x 1 2 3 4\n" * 3), (None, "u", BIG), (None, "u", "z" * 200),
+         (9, "u", "é" * 60), (10, "u", "é" * 60), (10, "u", "é" * 60), (11, "u", "w" * 100_000), (12, "ü ñ", "\n\n\r\n"), (1, "again", BIG)]
+
+
+def archive_brute(pages):
+    out = []
+    for i, _, h in pages:
+        raw = (h or "").encode()
+        same_ids = [j for j, _, x in pages if (x or "").encode() == raw and j is not None]
+        first = min(same_ids, default=None)
+        again = len(raw) >= 100 and first is not None and i != first
+        out.append((i, len(raw), hashlib.sha256(raw).hexdigest(), "revisit" if again else "response", first if again else None))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("size", [1, 400, arc_convert.ARCHIVE_BYTES])
+def test_archives_hostile(spark, size):
+    pages = spark.createDataFrame([(*p, 1, "x") for p in PAGES], "page_id long, url string, html string, digest int, archive string")
+    out = arc_convert.archive_pages(pages.repartition(3), archive_bytes=size)
+    assert rows_of(out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")) == archive_brute(PAGES)
+    ids = [r.record_id for r in out.collect()]
+    assert len(set(ids)) == len(PAGES) and {r.date for r in out.collect()} == {"2020-01-01T00:00:00Z"}
+
+
+def test_archives_empty(spark):
+    assert arc_convert.archive_pages(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+@pytest.mark.parametrize("version", [1, 2])
+def test_arc_round_trip(spark, tmp_path, version):
+    pages = spark.createDataFrame(PAGES, "page_id long, url string, html string").coalesce(1)
+    arc_convert.write_arc(pages, f"{tmp_path}/arc", version=version)
+    files = arc_convert.read_archives(spark, f"{tmp_path}/arc").collect()
+    raw = zlib.decompress(bytes(files[0].content), 31)
+    records = list(arc_convert.arc_records(bytes(files[0].content)))
+    assert records == list(arc_convert.arc_records(raw))  # plain files too
+    assert records[0]["URL"].startswith("filedesc://") and records[0]["fields"] == (5 if version == 1 else 10)
+    assert [arc_convert._split_block(r["block"])[1].decode() for r in records[1:]] == [h or "" for _, _, h in PAGES]
+    if version == 2:  # offsets point at the records
+        for r in records[1:]:
+            assert raw[int(r["Offset"]):].startswith(r["URL"].encode())
+
+
+def test_arc_faults():
+    good = b"".join([arc_convert._version_block(1, b"f", b"2020"), b"\n", arc_convert.arc_record(1, "u", 1, b"abc", b"2020", 0, b"f"), b"\n"])
+    assert len(list(arc_convert.arc_records(good))) == 2
+    with pytest.raises(ValueError):
+        list(arc_convert.arc_records(good[:-3]))
+    with pytest.raises(ValueError):
+        list(arc_convert.arc_records(good.replace(b"u 0.0.0.0", b"u x 0.0.0.0")))
+    assert arc_convert._iso("1998") == "1998-01-01T00:00:00Z" and arc_convert._iso("19981231235958") == "1998-12-31T23:59:58Z"
+
+
+# ---------------------------------------------------------------- token files
+
+def scan_brute(ids, end, tag):
+    docs, cur = [], []
+    for x in ids:
+        if x == end:
+            docs.append((cur, True))
+            cur = []
+        else:
+            cur.append(x)
+    if cur:
+        docs.append((cur, False))
+    out, at = [], 0
+    for k, (d, ended) in enumerate(docs):
+        out.append((k, at, max(0, len(d) - tag), token_scan.id_of(d[:tag]) if tag else None, ended))
+        at += len(d) + 1
+    return out
+
+
+@pytest.mark.parametrize("block", [6, 7, 16, 1 << 16])
+def test_separator_scan(spark, tmp_path, block):
+    rng = np.random.default_rng(block)
+    files = {}
+    for k in range(6):
+        ids = []
+        for d in range(int(rng.integers(0, 12))):
+            size = int(rng.choice([0, 1, 5, 40]))
+            ids += token_scan.tag_of([None, -5, 2 ** 62, d][d % 4]) + [int(x) for x in rng.integers(0, 9000, size)] + [50256]
+        ids += [[], token_scan.tag_of(77) + [1, 2], [3]][k % 3]
+        files[f"part-{k}.bin"] = ids
+        raw = np.array(ids, dtype="<u2").tobytes() + b"\n" * (k % 2)
+        (tmp_path / f"part-{k}.bin").write_bytes(raw if k < 3 else zlib.compress(raw, wbits=31))
+    for tagged in (True, False):
+        got = {}
+        for r in token_scan.scan_files(spark, str(tmp_path), end_id=50256, block=block, tagged=tagged).collect():
+            got.setdefault(r.file.rsplit("/", 1)[1], []).append((r.nth, r.start, r.n_tokens, r.doc_id, r.ended))
+        for name, ids in files.items():
+            assert sorted(got.get(name, [])) == scan_brute(ids, 50256, token_scan.TAG if tagged else 0), (name, tagged)
+
+
+def test_token_counts_query(spark):
+    ranks = bpe_tree.BpeTree(bpe_tree.read_ranks(bpe_files()["rank_path"]), public_tokenizers.PATTERN).ranks
+    tik = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    want = sorted((r.doc_id, len(tik.encode_ordinary(r.text or ""))) for r in table(spark, SF, "documents").collect())
+    assert rows_of(QUERIES["op3_token_counts"](spark, SF)) == sorted(want, key=repr)
+
+
+def test_token_counts_hostile(spark, tmp_path):
+    rows = [(1, ""), (2, None), (None, "a b"), (-9, "x" * 3000), (2 ** 62, " <|endoftext|> "), (1, "")]
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, n_tokens int")
+    ranks = bpe_tree.BpeTree(bpe_tree.read_ranks(bpe_files()["rank_path"]), public_tokenizers.PATTERN).ranks
+    tik = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    got = token_scan.token_counts(docs, f"{tmp_path}/t", end_id=50256, file_bytes=64, **bpe_files())
+    assert rows_of(got) == sorted(((i, len(tik.encode_ordinary(t or ""))) for i, t in rows), key=repr)
+    assert token_scan.token_counts(docs.limit(0), f"{tmp_path}/e", end_id=50256, **bpe_files()).collect() == []
+
+
+# ---------------------------------------------------------------- mixing
+
+def ipf_brute(cells, targets, sweeps=200):
+    total = sum(cells.values())
+    f = {c: 1.0 for c in cells}
+    for _ in range(sweeps):
+        for k, goal in enumerate(targets):
+            for v, share in goal.items():
+                got = sum(n * f[c] for c, n in cells.items() if c[k] == v)
+                for c in cells:
+                    if c[k] == v and got > 0:
+                        f[c] *= share * total / got
+    return f
+
+
+def test_rake_meets_targets(spark):
+    rng = np.random.default_rng(4)
+    cells = {(s, g, t): int(rng.integers(1, 1000)) for s in "abc" for g in ("x", "y") for t in ("p", "q", "(none)")}
+    df = spark.createDataFrame([(*c, n) for c, n in cells.items()], "source string, lang string, topic string, tokens long")
+    targets = {"source": {"a": 0.5, "b": 0.2}, "lang": 0.0, "topic": 1.0}
+    got = {(r.source, r.lang, r.topic): r.factor for r in mixing.rake(df, targets, sweeps=40).collect()}
+    tot = sum(cells.values())
+    topic = {t: sum(n for c, n in cells.items() if c[2] == t) / tot for t in ("p", "q", "(none)")}
+    want = ipf_brute(cells, [{"a": 0.5, "b": 0.2, "c": 0.3}, {"x": 0.5, "y": 0.5}, topic])
+    assert all(math.isclose(got[c], want[c], rel_tol=1e-6) for c in cells)
+    share = lambda k, v: sum(n * got[c] for c, n in cells.items() if c[k] == v) / tot
+    assert math.isclose(share(0, "a"), 0.5, rel_tol=1e-6) and math.isclose(share(1, "x"), 0.5, rel_tol=1e-6)
+
+
+def test_mix_hostile(spark):
+    rows = [(1, "a b", "s", "en", 1), (1, "a b", "s", "en", 1), (2, None, None, None, 1), (None, "x y z", "s", None, 1), (3, "", "s", "en", 2),
+            (4, "w " * 50_000, "t", "xx", 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_tokens int")
+    out = mixing.mix(docs, queries.MIX, rate=0.5, seed=1)
+    got = {(r.doc_id, r.n_tokens): r for r in out.collect()}
+    assert out.count() == 6 and got[(2, 0)].source == "(none)" and got[(4, 50_000)].topic == "long"
+    assert all(0 <= r.probability <= 1 for r in got.values())
+    kept = mixing.mix(docs, queries.MIX, rate=1.0, seed=1, keep_columns=True)
+    assert kept.columns == docs.columns
+    assert mixing.mix(docs.limit(0), queries.MIX, rate=0.5).collect() == []
+    assert mixing.mix(docs.limit(0), queries.MIX, rate=0.5, keep_columns=True).collect() == []
+
+
+def test_mix_sample_follows_probabilities(spark):
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("one two three").alias("text"),
+                                      F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("s"), F.col("id") % 7)).alias("source"),
+                                      F.when(F.col("id") % 2 == 0, "en").otherwise("de").alias("lang"))
+    out = mixing.mix(docs, queries.MIX, rate=0.4, seed=3)
+    sums = out.groupBy("source", "lang").agg(F.avg("probability").alias("p"), F.avg(F.col("kept").cast("int")).alias("k"),
+                                            F.count("*").alias("n")).collect()
+    for r in sums:
+        assert abs(r.p - r.k) < 5 * math.sqrt(r.p * (1 - r.p) / r.n) + 1e-9
+
+
+# ---------------------------------------------------------------- chat
+
+CHAT = [(1, 0, "system", "be kind"), (1, 1, "user", "\\### Assistant: </turn> ok"), (1, 2, "assistant", "\n</turn>\n### User:\n\\h\\t\\"),
+        (1, 3, "assistant", ""), (2, 0, "assistant", None), (3, None, "user", "no turn"), (3, 1, None, "no role"), (None, 0, "user", "no conv"),
+        (4, 1, "assistant", "twice"), (4, 1, "assistant", "twice"), (4, 0, "user: odd\nrole\\###", "x" * 30_000), (5, 7, "assistant", "x"),
+        (5, 8, "assistant", "y"), (6, 1, "assistant", "####### \\\\n")]
+
+
+def chat_brute(rows):
+    convs = {}
+    for c, n, r, t in rows:
+        convs.setdefault(c, []).append((n is not None, n or 0, r or "", t or ""))
+    out = []
+    for c, turns in convs.items():
+        turns.sort()
+        said = "".join(f"{r}\n{t}\n" for _, _, r, t in turns)
+        loss = "".join(t for _, _, r, t in turns if r == "assistant")
+        size = len(chat_format.marked_turns([(r, t) for _, _, r, t in turns]))
+        out.append((c, len(turns), hashlib.sha256(said.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), size, False))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("context", [0, 1, None])
+def test_chat_hostile(spark, context):
+    turns = spark.createDataFrame([(*r, "x") for r in CHAT], "conv_id long, turn long, role string, text string, span string")
+    assert rows_of(chat_format.format_conversations(turns, context=context)) == chat_brute(CHAT)
+    assert chat_format.format_conversations(turns.limit(0), context=context).collect() == []
+
+
+def test_chat_long_conversation(spark):
+    rows = [(1, k, "assistant" if k % 2 else "user", f"turn {k}") for k in range(3000)] + [(2, 0, "user", "x")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    assert rows_of(chat_format.format_conversations(turns)) == chat_brute(rows)
+
+
+def test_chat_detects_rewriting(spark):
+    def counting(turns):  # states the number of turns up front
+        return f"<{len(turns)}>" + chat_format.marked_turns(turns)
+
+    def drops_thoughts(turns):  # earlier assistant turns lose their text
+        return "".join(f"[{r}|{t if r != 'assistant' or k == len(turns) - 1 else ''}]" for k, (r, t) in enumerate(turns))
+
+    turns = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "assistant", "b"), (1, 2, "user", "c"), (2, 0, "user", "only")],
+                                  "conv_id long, turn long, role string, text string")
+    for template, bad in ((counting, {1}), (drops_thoughts, {1}), (chat_format.marked_turns, set())):
+        spans = chat_format.format_turns(turns, template=template, context=None).collect()
+        assert {r.conv_id for r in spans if r.rewritten} == bad
+        assert all((r.span is None) == r.rewritten for r in spans)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet="\\#h</turn>t:\nx é", max_size=40), st.text(alphabet="\\#:\n\r</turn>ab", max_size=12))
+def test_chat_escape_is_reversible(text, role):
+    span, a, b = chat_format.locate(chat_format.marked_turns, [("user", text)], (role, text))
+    assert chat_format.parse_turn(span) == (role, text) and chat_format.unescape(span[a:b]) == text
+
+
+# ---------------------------------------------------------------- urls
+
+def test_urls_hostile(spark):
+    urls = ["http://A.Example.NET/en/x?y#z", "example.net/en/", None, "", "://", "x://", "http://net", "http://net/", "http://notnet/",
+            "ftp://example.com/de/q", "http://example.com/DE/", "http://www.org/fr/?a", "http://o.rg#/fr/", "a://b://c/d", "http://É.org/fr/x"]
+    pages = spark.createDataFrame([(i, u, None, "x") for i, u in enumerate(urls)], "page_id long, url string, html string, host string")
+    got = {r.page_id: r for r in link_graph.judge_urls(pages).collect()}
+
+    def split(u):
+        if not u or "://" not in u:
+            return "", ""
+        m = re.match(r"([^/?#]*)([^?#]*)", u.split("://", 1)[1])
+        return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in m[1]), m[2]
+
+    for i, u in enumerate(urls):
+        host, path = split(u)
+        fits = [r for r in link_graph.RULES for n, p in [r.split("/", 1)]
+                if (host == n or host.endswith("." + n)) and path.startswith("/" + p)]
+        rule = max(fits, key=len, default=None)
+        assert (got[i].host, got[i].path, got[i].rule) == (host, path, rule), u
+        assert got[i].verdict == (link_graph.RULES[rule] if rule else got[i].verdict)
+    assert link_graph.judge_urls(pages.limit(0)).collect() == []
+
+
+def rank_brute(edges, mass, iterations, damping):
+    hosts = sorted({h for e in edges for h in e[:2]} | set(mass))
+    out = {h: sum(n for s, _, n in edges if s == h) for h in hosts}
+    total = sum(mass.values())
+    start = {h: mass.get(h, 0) / total for h in hosts}
+    rank = dict(start)
+    for _ in range(iterations):
+        flown = sum(rank[h] for h in hosts if out[h])
+        rank = {h: damping * sum(n / out[s] * rank[s] for s, d, n in edges if d == h) + (1 - damping * flown) * start[h] for h in hosts}
+    return rank
+
+
+def test_propagation_matches_brute_force(spark):
+    rng = np.random.default_rng(8)
+    pairs = {(f"h{a}", f"h{b}") for a, b in rng.integers(0, 12, (40, 2)) if a != b}
+    edges = [(a, b, int(rng.integers(1, 4))) for a, b in sorted(pairs)]
+    mass = {"h1": 3, "h5": 1, "lonely": 2, "zero": 0}
+    got = {r["host"]: r["rank"] for r in link_graph.propagate(
+        spark.createDataFrame(edges, "src string, dst string, n long"),
+        spark.createDataFrame(list(mass.items()), "host string, mass long"), iterations=6).collect()}
+    want = rank_brute(edges, mass, 6, link_graph.DAMPING)
+    assert sum(got.values()) == pytest.approx(1)
+    assert all(got.get(h, 0) == pytest.approx(want[h], abs=1e-12) for h in want)
+
+
+def test_links_carry_verdicts(spark):
+    """Hosts without a rule: the one that links into blocked pages is blocked, the trusted neighbourhood is not."""
+    bad = '<a href="http://spam.net/x">x</a><A HREF = \'https://SPAM.net/y\'>'
+    good = '<a href="//no-scheme.net/"></a><img src=http://fair.example.net/en/a.png>'
+    rows = [(i, "http://spam.net/x", None) for i in range(3)] + [(10 + i, "http://fair.example.net/en/a", '<a href="http://friend.io/">')
+                                                               for i in range(3)]
+    rows += [(20, "http://farm.biz/1", bad), (21, "http://farm.biz/2", bad), (30, "http://friend.io/", good), (40, "http://alone.io/", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.verdict for r in link_graph.judge_urls(pages).collect()}
+    assert got[20] == got[21] == got[0] == "block" and got[10] == got[30] == got[40] == "allow"
+    con = duckdb.connect()
+    frame = pages.toPandas()
+    con.register("pages", frame)
+    assert {i: v for i, _, _, _, v in con.sql(link_graph.judge_sql()).fetchall()} == got
+
+
+# ---------------------------------------------------------------- vectors
+
+def vectors_brute(rows, threshold=0.93):
+    def unit(v):
+        if v is None or not len(v) or any(x is None or not math.isfinite(x) for x in v) or not any(v):
+            return None
+        a = np.array(v, dtype=float)
+        a = a / np.abs(a).max()
+        return a / np.sqrt(a @ a)
+
+    units = [unit(v) for _, v, _ in rows]
+    links = [set() for _ in rows]
+    for i in range(len(rows)):
+        for j in range(i):
+            if (rows[i][2] is not None and rows[i][2] == rows[j][2] and units[i] is not None and units[j] is not None
+                    and len(units[i]) == len(units[j]) and units[i] @ units[j] >= threshold):
+                links[i].add(j)
+                links[j].add(i)
+    comp = list(range(len(rows)))
+    for i in range(len(rows)):
+        todo, seen = [i], {i}
+        while todo:
+            for k in links[todo.pop()] - seen:
+                seen.add(k)
+                todo.append(k)
+        ids = [rows[k][0] for k in seen if rows[k][0] is not None]
+        comp[i] = min(ids, default=None)
+    return sorted(((r[0], len(links[i]), comp[i], r[0] == comp[i]) for i, r in enumerate(rows)), key=repr)
+
+
+def near_copies(seed, n_centres, copies, dim, noise):
+    rng = np.random.default_rng(seed)
+    out, k = [], 0
+    for c in range(n_centres):
+        base = rng.standard_normal(dim)
+        for _ in range(copies[c % len(copies)]):
+            v = base / np.linalg.norm(base) + noise * rng.standard_normal(dim) / math.sqrt(dim)
+            out.append((k, [float(np.float32(x)) for x in v], c % 3))
+            k += 1
+    return out
+
+
+@pytest.mark.parametrize("dim, noise", [(64, 0.25), (16, 0.2), (1, 0.1), (100, 0.27)])
+def test_vectors_match_brute_force(spark, dim, noise):
+    rows = near_copies(dim, 30, [1, 2, 5, 30], dim, noise)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    assert rows_of(cap_filters.near_vectors(df, block_rows=16)) == vectors_brute(rows)
+
+
+@pytest.mark.parametrize("dim, noise", [(2, 0.1), (3, 0.3), (8, 0.25)])
+def test_vectors_of_few_dimensions(spark, dim, noise):
+    """Recall of at least 0.9 and no false link where filters are coarse."""
+    rows = near_copies(dim, 30, [1, 2, 5, 30], dim, noise)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = {r.vec_id: r.n_links for r in cap_filters.near_vectors(df).collect()}
+    want = {i: n for i, n, _, _ in vectors_brute(rows)}
+    assert all(got[i] <= n for i, n in want.items()) and sum(got.values()) >= 0.9 * sum(want.values())
+
+
+def test_vectors_hostile(spark):
+    a = [1.0, 2.0, 3.0, 4.0]
+    rows = [(1, a, 1), (2, a, 1), (3, a, 2), (4, a, None), (5, None, 1), (6, [], 1), (7, [0.0] * 4, 1), (8, [1.0, None, 3.0, 4.0], 1),
+            (9, [1.0, math.inf, 3.0, 4.0], 1), (10, [math.nan] * 4, 1), (11, a + [0.0], 1), (None, a, 1), (2, a, 1), (12, [-x for x in a], 1),
+            (13, [x * 1e300 for x in a], 1), (14, [x * 1e-300 for x in a], 1), (None, [4.0, -1.0, 0.0, 1.0], 3)]
+    df = spark.createDataFrame([(*r, 1.0, "x") for r in rows],
+                               "vec_id long, embedding array<double>, label int, filters double, component string")
+    assert rows_of(cap_filters.near_vectors(df)) == vectors_brute(rows)
+    assert cap_filters.near_vectors(df.limit(0)).collect() == []
+
+
+def test_vectors_query_and_recall(spark):
+    """The whole table of the larger size; recall of the filters against all pairs."""
+    sf = "/root/testdata/check_s"
+    rows = [(r.vec_id, r.embedding, r.label) for r in table(spark, sf, "embeddings").where("label in (0, 4)").collect()]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    assert rows_of(cap_filters.near_vectors(df)) == vectors_brute(rows)
+    small = [(r.vec_id, r.embedding, r.label) for r in table(spark, SF, "embeddings").collect()]
+    assert rows_of(QUERIES["op8_vector_caps"](spark, SF)) == vectors_brute(small)
+
+
+# ---------------------------------------------------------------- pipeline
+
+def test_pipeline_matches_brute_force(spark):
+    docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
+    weights = line_crf.train_on_labels(docs, labels)
+    good = {r.doc_id for r in line_crf.judge_lines(docs, weights).where("kept").collect()}
+    rows = {r.doc_id: r for r in docs.collect() if r.doc_id in good}
+    fps = {i: gray_index.fingerprint(r.text.encode()) for i, r in rows.items()}
+    comp = {i: i for i in rows}
+    for i in sorted(rows):
+        for j in sorted(rows):
+            if j < i and (fps[i] ^ fps[j]).bit_count() <= 3:
+                x, y = comp[i], comp[j]
+                comp = {k: min(x, y) if c in (x, y) else c for k, c in comp.items()}
+    first = [i for i in rows if comp[i] == i]
+    words = {i: len(re.findall(r"[^\x20\x09-\x0D]+", rows[i].text)) for i in first}
+
+    def cell(i):
+        n = words[i]
+        return (rows[i].source, rows[i].lang, "table" if " | " in rows[i].text else "note" if n < 100 else "article" if n < 800 else "long")
+
+    cells = {}
+    for i in first:
+        cells[cell(i)] = cells.get(cell(i), 0) + words[i]
+    total = sum(cells.values())
+
+    def goals(k, rule):
+        t = {}
+        for c, n in cells.items():
+            t[c[k]] = t.get(c[k], 0) + n
+        raw = {v: n ** rule for v, n in t.items()} if not isinstance(rule, dict) else {v: rule[v] for v in t}
+        return {v: x / sum(raw.values()) for v, x in raw.items()}
+
+    factor = ipf_brute(cells, [goals(0, queries.MIX["source"]), goals(1, queries.MIX["lang"]), goals(2, queries.MIX["topic"])],
+                       queries.MIX_SWEEPS)
+    assert total and len(cells) > 5
+
+    def draw(i):
+        return int(hashlib.md5(f"{queries.MIX_SEED}:{i}".encode()).hexdigest()[:12], 16) / 16 ** 12
+
+    want = sorted(i for i in first if draw(i) < min(1.0, corpus_pipeline.RATE * factor[cell(i)]))
+    bpe = bpe_tree.BpeTree(bpe_tree.read_ranks(bpe_files()["rank_path"]), public_tokenizers.PATTERN)
+    got = {r.doc_id: r for r in corpus_pipeline.run(spark, SF).collect()}
+    assert sorted(got) == want
+    for i, r in got.items():
+        assert bpe.decode(r.ids) == rows[i].text.encode() and r.n_tokens == len(r.ids)
+        assert r.decoded_sha256 == hashlib.sha256(rows[i].text.encode()).hexdigest()
+
+
+def test_pipeline_stages_on_hostile_documents(spark):
+    long = " ".join(f"w{k} v{k * 7 % 13}" for k in range(400))
+    rows = [(1, long, "en", "s", 1), (2, long + " end", "en", "s", 1), (1, long, "en", "s", 1), (None, long, None, None, None),
+            (None, long, "en", "s", 1), (3, None, "en", "s", 0), (4, "", None, None, None), (5, "short", "de", "t", 5)]
+    docs = spark.createDataFrame([(*r, "x", 1) for r in rows],
+                                 "doc_id long, text string, lang string, source string, n_chars long, fp string, component_id int")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        assert stage(spark, docs.limit(0), SF).collect() == []
+    kept = sorted(((r.doc_id, r.text) for r in corpus_pipeline.simhash_groups(spark, docs, SF).collect()), key=repr)
+    ids = [i for i, _ in kept]
+    assert ids.count(1) == 1 and 2 not in ids and ids.count(None) == 1 and 3 in ids and 4 not in ids and 5 in ids
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == len(rows)
