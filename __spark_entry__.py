@@ -46,7 +46,7 @@ from rowsift.operators import (
     with_row_id,
 )
 from rowsift.plans import analyze
-from rowsift.plans.reviewers import PRICE_LIMIT, length_scorer, price_reviewer, same_initial
+from rowsift.plans.reviewers import PRICE_LIMIT, advising_reviewer, length_scorer, price_reviewer, same_initial
 from rowsift.session import shared_dir
 from rowsift.sources import (
     add_table,
@@ -117,7 +117,8 @@ def q_s3_list_columns(spark, sf):
 
 def q_s4_read_many(spark, sf):
     df = read_many(spark, f"{sf}/lineitem*.parquet")
-    return df.groupBy("source_file").agg(F.count(F.lit(1)).alias("n_rows"),
+    name = F.regexp_extract("source_file", r"(lineitem[^/]*\.parquet)", 1)  # of the full path
+    return df.withColumn("source_file", name).groupBy("source_file").agg(F.count(F.lit(1)).alias("n_rows"),
                                          F.max("l_orderkey").alias("max_orderkey"))
 
 
@@ -158,6 +159,24 @@ def q_f2_filter_any_term(spark, sf):
     return filter_any_term(_t(spark, sf, "part"), "p_name", ["BOLT", "ring"])
 
 
+def q_f1_filter_contains_dotted(spark, sf):
+    part = _t(spark, sf, "part").withColumnRenamed("p_name", "Dx.name")
+    return filter_contains(part, "Dx.name", "WIDGET|bolt").withColumnRenamed("Dx.name", "p_name")
+
+
+LONG_TERMS = ["BOLT", "ring", "cog", "axle", "Valve", "spring", "washer", "gasket", "hinge", "lever"]
+MANY_BRANDS = [f"brand#{i}" for i in range(2, 400, 3)]
+
+
+def q_f2_filter_any_term_long_list(spark, sf):
+    return filter_any_term(_t(spark, sf, "part"), "p_name", LONG_TERMS)
+
+
+def q_f2_filter_any_term_many(spark, sf):
+    """More terms than are tested inline: the keyed join, from a list."""
+    return filter_any_term(_t(spark, sf, "part"), "p_brand", MANY_BRANDS)
+
+
 def _docs_with_benchmark(spark, sf, max_list_values):
     docs = _t(spark, sf, "documents")
     bench = _t(spark, sf, "benchmark").select(F.col("text").alias("value"))
@@ -215,6 +234,12 @@ def q_f6_with_row_id(spark, sf):
         "row_id", "o_orderkey", "o_custkey", "o_orderpriority", "o_totalprice")
 
 
+def q_f6_with_row_id_multi(spark, sf):
+    """Many range partitions."""
+    rows = _t(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    return with_row_id(rows, "o_orderkey", rows_per_part=500)
+
+
 def q_f7_match_count(spark, sf):
     return match_count(filter_contains(_t(spark, sf, "part"), "p_name", "gear"))
 
@@ -230,6 +255,11 @@ def q_m2_render_records(spark, sf):
     return render_records(_t(spark, sf, "customer"), row_id="c_custkey")
 
 
+def q_m2_render_records_dotted(spark, sf):
+    c = _t(spark, sf, "customer").withColumnRenamed("c_name", "Dose (mg.)")
+    return render_records(c.select("c_custkey", "`Dose (mg.)`"), row_id="c_custkey")
+
+
 def _m3_requests(spark, sf):
     c = filter_contains(_t(spark, sf, "customer"), "c_mktsegment", "building")
     kept = with_row_id(c, "c_custkey")
@@ -254,6 +284,14 @@ def q_m5_evaluate_rules(spark, sf):
     return evaluate_rules(li, rules).select("l_orderkey", "l_linenumber", "verdict", "notes")
 
 
+MANY_RULES = 2000
+
+
+def q_m5_many_rules(spark, sf):
+    rules = [(i, "s_acctbal", "ge", str(5 * i - 1000), f"r{i}") for i in range(MANY_RULES)]
+    return evaluate_rules(_t(spark, sf, "supplier"), rules).select("s_suppkey", "verdict", "notes")
+
+
 # ---------------------------------------------------------------- replies
 
 def _r1_reply(k):
@@ -338,6 +376,16 @@ def q_r6_records_to_table(spark, sf):
     return records_to_table(recs)
 
 
+def q_r6_records_mixed_types(spark, sf):
+    """A key of text and numbers, and numbers longer than a double holds."""
+    c = _t(spark, sf, "customer")
+    dose = F.when(F.col("c_custkey") % 2 == 0, F.lit('"N/A"')).otherwise((F.col("c_custkey") % 7).cast("string"))
+    rec = F.format_string('{"id":%d,"dose":%s,"big":12345678901234%06d,"seen":{"a":[%d]}}',
+                          F.col("c_custkey"), dose, F.col("c_custkey"), F.col("c_nationkey"))
+    out = records_to_table(c.select(F.parse_json(rec).alias("record")))
+    return out.withColumn("big", F.col("big").cast("string"))
+
+
 def q_r7_merge_verdicts(spark, sf):
     c = _t(spark, sf, "customer").withColumn("row_id", F.col("c_custkey"))
     judged = (c.where(F.col("c_acctbal") > 5000)
@@ -369,6 +417,13 @@ def q_k3_write_table(spark, sf):
     return spark.read.parquet(path)
 
 
+def q_k3_csv_round_trip(spark, sf):
+    df = filter_contains(_t(spark, sf, "part"), "p_name", "gear").select("p_partkey", "p_name", "p_size", "p_retailprice")
+    src = shared_dir(spark, "k3csv")
+    write_table(df, src, "gears", format="csv")
+    return read_table(spark, src, "gears", format="csv", schema=df.schema)
+
+
 def q_k4_add_table(spark, sf):
     df = filter_contains(_t(spark, sf, "part"), "p_name", "widget")
     src = shared_dir(spark, "k4")
@@ -383,6 +438,14 @@ def q_k5_write_results(spark, sf):
     return spark.read.parquet(out["table_path"]).withColumn("table_name", F.lit(out["table_name"]))
 
 
+def q_k5_write_results_json(spark, sf):
+    """The JSON half of both outputs, read back."""
+    df = filter_contains(_t(spark, sf, "customer"), "c_mktsegment", "machinery")
+    out = write_results(df, shared_dir(spark, "k5j"), "customer.parquet", "customer",
+                        "c_mktsegment", option="same_file")
+    return read_json(spark, out["json_path"], schema=df.schema)
+
+
 def q_k6_run_log(spark, sf):
     log = RunLog()
     part = _t(spark, sf, "part")
@@ -415,6 +478,19 @@ def q_p1_analyze_callable(spark, sf):
     return _p1_select(review.result)
 
 
+def q_p1_analyze_extra_fields(spark, sf):
+    """A source with its own ``notes`` and ``row_id``; a scorer that adds a field."""
+    src = shared_dir(spark, "p1x")
+    orders = _t(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority",
+                                            F.concat(F.lit("note "), "o_orderkey").alias("notes"),
+                                            (F.col("o_custkey") + 1000).alias("row_id"))
+    write_table(orders, src, "orders")
+    review = analyze(spark, src, "orders", "o_orderpriority", "urgent", order_by="o_orderkey",
+                     scorer=advising_reviewer, out_dir=src, pages=_t(spark, sf, "conversations"),
+                     guideline_doc=GUIDELINE_CONV, doc_col="conv_id", page_col="turn", text_col="text")
+    return review.result.select("row_id_1", "o_orderkey", "notes", "row_id", VERDICT_FIELD, NOTES_FIELD, "Recommendation")
+
+
 def q_p1_review_stream(spark, sf):
     """P1's stateless part (F1 + M5) as a Structured Streaming query over the
     part table's file, run to completion with an available-now trigger."""
@@ -529,6 +605,11 @@ def _own_oracle_sql() -> dict[str, str]:
             WHERE regexp_matches(p_name, 'gear', 'i')""",
         "f1_filter_contains": f"SELECT {_PART_COLS} FROM part WHERE regexp_matches(p_name, 'WIDGET|bolt', 'i')",
         "f1_filter_contains_literal": f"SELECT {_PART_COLS} FROM part WHERE contains(lower(p_brand), 'brand#1')",
+        "f1_filter_contains_dotted": f"SELECT {_PART_COLS} FROM part WHERE regexp_matches(p_name, 'WIDGET|bolt', 'i')",
+        "f2_filter_any_term_long_list": f"""SELECT {_PART_COLS} FROM part
+            WHERE len(list_filter({[t.lower() for t in LONG_TERMS]}, lambda t: contains(lower(p_name), t))) > 0""",
+        "f2_filter_any_term_many": f"""SELECT {_PART_COLS} FROM part
+            WHERE len(list_filter({MANY_BRANDS}, lambda t: contains(lower(p_brand), t))) > 0""",
         "f2_filter_any_term": f"""SELECT {_PART_COLS} FROM part
             WHERE contains(lower(p_name), 'bolt') OR contains(lower(p_name), 'ring')""",
         "f2_filter_any_term_frame": """SELECT doc_id, lang, n_chars FROM documents d
@@ -556,6 +637,8 @@ def _own_oracle_sql() -> dict[str, str]:
         "f6_with_row_id": """SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS row_id,
             o_orderkey, o_custkey, o_orderpriority, o_totalprice
             FROM orders WHERE regexp_matches(o_orderpriority, 'urgent', 'i')""",
+        "f6_with_row_id_multi": """SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS row_id,
+            o_orderkey, o_custkey FROM orders""",
         "f7_match_count": "SELECT count(*) AS rows_kept FROM part WHERE regexp_matches(p_name, 'gear', 'i')",
         "m1_build_match_requests": f"""
             WITH v AS (SELECT p_name AS value, min(p_partkey) AS first_seen FROM part GROUP BY 1),
@@ -567,6 +650,11 @@ def _own_oracle_sql() -> dict[str, str]:
         "m2_render_records": """SELECT c_custkey, to_json({'c_custkey': c_custkey, 'c_name': c_name,
             'c_nationkey': c_nationkey, 'c_acctbal': c_acctbal, 'c_mktsegment': c_mktsegment}) AS record
             FROM customer""",
+        "m2_render_records_dotted": """SELECT c_custkey,
+            to_json({'c_custkey': c_custkey, 'Dose (mg.)': c_name}) AS record FROM customer""",
+        "m5_many_rules": f"""SELECT s_suppkey, coalesce(s_acctbal >= -1000, false) AS verdict,
+            coalesce((SELECT string_agg('r' || i, '; ' ORDER BY i) FROM range({MANY_RULES}) t(i)
+                      WHERE NOT coalesce(s_acctbal >= 5 * i - 1000, false)), '') AS notes FROM supplier""",
         "m3_build_requests": m3,
         "m4_score_requests": f"""SELECT batch_id,
             CASE WHEN length(prompt) % 2 = 0 THEN 'ok:' || length(prompt) END AS response,
@@ -637,6 +725,9 @@ def _own_oracle_sql() -> dict[str, str]:
             CASE WHEN c_custkey % 2 = 0 THEN c_name END AS name,
             CASE WHEN c_custkey % 2 = 1 THEN c_mktsegment END AS segment
             FROM customer""",
+        "r6_records_mixed_types": """SELECT '12345678901234' || lpad(c_custkey::VARCHAR, 6, '0') AS big,
+            CASE WHEN c_custkey % 2 = 0 THEN 'N/A' ELSE (c_custkey % 7)::VARCHAR END AS dose, c_custkey AS id,
+            '{"a":[' || c_nationkey || ']}' AS seen FROM customer""",
         "r7_merge_verdicts": """SELECT c_custkey, c_name,
             CASE WHEN c_acctbal > 5000 THEN c_nationkey % 2 = 0 ELSE false END AS verdict,
             CASE WHEN c_acctbal > 5000 THEN 'nation ' || c_nationkey END AS notes
@@ -648,6 +739,9 @@ def _own_oracle_sql() -> dict[str, str]:
             SELECT p_partkey, p_name, p_size FROM part WHERE regexp_matches(p_name, 'bolt', 'i')""",
         "k3_write_table": f"""SELECT {_PART_COLS} FROM part
             WHERE regexp_matches(p_name, 'small', 'i') OR contains(lower(p_name), 'ring')""",
+        "k3_csv_round_trip": """SELECT p_partkey, p_name, p_size, p_retailprice FROM part
+            WHERE regexp_matches(p_name, 'gear', 'i')""",
+        "k5_write_results_json": "SELECT * FROM customer WHERE regexp_matches(c_mktsegment, 'machinery', 'i')",
         "k4_add_table": f"""SELECT {_PART_COLS}, 'widgets_2' AS table_name FROM part
             WHERE regexp_matches(p_name, 'widget', 'i')""",
         "k5_write_results": """SELECT *, 'customer_by_c_mktsegment_Analyzed' AS table_name FROM customer
@@ -658,6 +752,11 @@ def _own_oracle_sql() -> dict[str, str]:
         "p1_analyze_rules": f"""SELECT row_id, o_orderkey, o_custkey, o_orderstatus, o_totalprice,
             o_orderpriority, {p1_rules_verdict} AS "Meets Guidelines",
             {p1_rules_notes} AS "Notes on Compliance" FROM ({p1_kept})""",
+        "p1_analyze_extra_fields": f"""SELECT row_id AS row_id_1, o_orderkey, 'note ' || o_orderkey AS notes,
+            o_custkey + 1000 AS row_id, o_totalprice > {PRICE_LIMIT} AS "Meets Guidelines",
+            CASE WHEN o_totalprice > {PRICE_LIMIT} THEN 'price above limit'
+                 ELSE 'price at or below limit' END AS "Notes on Compliance",
+            CASE WHEN o_totalprice > {PRICE_LIMIT} THEN 'accept' END AS "Recommendation" FROM ({p1_kept})""",
         "p1_review_stream": """SELECT p_partkey, p_name, p_size,
             (coalesce(p_size >= 10, false) OR coalesce(p_brand = 'Brand#1', false)) AS verdict,
             concat_ws('; ', CASE WHEN NOT coalesce(p_size >= 10, false) THEN 'too small' END,

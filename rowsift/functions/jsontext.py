@@ -22,15 +22,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .names import named
+
 # The two spans searched for, DOTALL so they cross newlines.
 ARRAY_SPAN = r"(?s)\[.*\]"
 OBJECT_SPAN = r"(?s)\{.*\}"
 
 
-def _col(c: str | Column) -> Column:
-    return F.col(c) if isinstance(c, str) else c
-
-
 def _wrapped(t: Column) -> tuple[Column, Column]:
     return (F.try_parse_json(F.concat(F.lit("["), t, F.lit("]"))),
             F.try_parse_json(F.concat(F.lit('{"v":'), t, F.lit("}"))))
@@ -39,7 +37,7 @@ def _wrapped(t: Column) -> tuple[Column, Column]:
 def parse_strict(text: str | Column) -> Column:
     """VARIANT of a text that is exactly one JSON value, else null (see the
     module notes: two wrapped parses, the value taken from the second)."""
-    as_item, as_field = _wrapped(_col(text))
+    as_item, as_field = _wrapped(named(text))
     return F.when(as_item.isNotNull() & as_field.isNotNull(),
                   F.try_variant_get(as_field, "$.v", "variant"))
 
@@ -47,14 +45,14 @@ def parse_strict(text: str | Column) -> Column:
 def is_strict_json(text: str | Column) -> Column:
     """True when the whole text is exactly one JSON value (surrounding white
     space allowed), false otherwise, null for null."""
-    t = _col(text)
+    t = named(text)
     as_item, as_field = _wrapped(t)
     return F.when(t.isNull(), F.lit(None)).otherwise(as_item.isNotNull() & as_field.isNotNull())
 
 
 def strict_json(text: str | Column) -> Column:
     """The text itself when it is strictly one JSON value, else null."""
-    t = _col(text)
+    t = named(text)
     return F.when(is_strict_json(t), t)
 
 
@@ -64,7 +62,7 @@ def json_span(text: str | Column, prefer: str = "array") -> Column:
     ``prefer="object"``). Null when neither exists."""
     if prefer not in ("array", "object"):
         raise ValueError("prefer must be 'array' or 'object'")
-    t = _col(text)
+    t = named(text)
     arr = F.regexp_substr(t, F.lit(ARRAY_SPAN))
     obj = F.regexp_substr(t, F.lit(OBJECT_SPAN))
     first, second = (arr, obj) if prefer == "array" else (obj, arr)
@@ -79,12 +77,3 @@ def extract_json(text: str | Column, prefer: str = "array") -> Column:
 def extract_value(text: str | Column, prefer: str = "array") -> Column:
     """R1 as a VARIANT (the parsed JSON of :func:`extract_json`), or null."""
     return parse_strict(json_span(text, prefer))
-
-
-def json_kind(v: str | Column) -> Column:
-    """Upper-case kind of a VARIANT: OBJECT, ARRAY, STRING, BOOLEAN, VOID (JSON
-    null), BIGINT/DECIMAL/DOUBLE for numbers; SQL null when absent."""
-    s = F.schema_of_variant(_col(v))
-    return F.when(s.startswith("OBJECT"), F.lit("OBJECT")) \
-        .when(s.startswith("ARRAY"), F.lit("ARRAY")) \
-        .otherwise(s)

@@ -7,23 +7,13 @@ runs inside whole-stage codegen, on batch and on streaming DataFrames alike.
 
 from __future__ import annotations
 
-from functools import reduce
 from typing import Iterable
 
-import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-try:  # optional: a one-pass multi-term matcher for long term lists
-    import ahocorasick as _ahocorasick
-except ImportError:  # pragma: no cover
-    _ahocorasick = None
-
-# Up to this many literal terms are tested as an OR of `contains` in generated
-# code; longer lists scan each text once with an Aho-Corasick automaton in an
-# Arrow-batched pandas UDF (each extra `contains` rescans the whole text).
-MANY_TERMS = 8
+from .names import named
 
 # Java regex flags for the contains test. (?i) ignore case,
 # (?u) Unicode-aware case folding (so É matches é), (?U) Unicode classes for
@@ -33,20 +23,16 @@ REGEX_FLAGS = "(?iuU)"
 STRIP_PATTERN = r"(?U)^\s+|\s+$"
 
 
-def _col(c: str | Column) -> Column:
-    return F.col(c) if isinstance(c, str) else c
-
-
 def text_value(col: str | Column, null_as: str | None = None) -> Column:
     """Any column as text (Spark's cast form). Null stays null unless
     ``null_as`` is given (``"nan"``/``"None"`` reproduce pandas' text of a null)."""
-    txt = _col(col).cast("string")
+    txt = named(col).cast("string")
     return txt if null_as is None else F.coalesce(txt, F.lit(null_as))
 
 
 def strip_text(col: str | Column) -> Column:
     """Remove leading and trailing white space of any kind (tab, newline, ...)."""
-    return F.regexp_replace(_col(col), STRIP_PATTERN, "")
+    return F.regexp_replace(named(col), STRIP_PATTERN, "")
 
 
 def normalize_term(col: str | Column, lower: bool = False) -> Column:
@@ -90,61 +76,29 @@ def contains_pattern(col: str | Column, pattern: str, null_as: str | None = None
 
 def contains_literal(col: str | Column, term: str, null_as: str | None = None) -> Column:
     """F1 predicate with ``literal=True``: plain substring, ignoring case."""
-    return F.lower(text_value(col, null_as)).contains(term.lower())
+    return F.lower(text_value(col, null_as)).contains(F.lower(F.lit(term)))
+
+
+def _any(tests: list[Column]) -> Column:
+    """OR of tests as a balanced tree (depth log2 of their number)."""
+    while len(tests) > 1:
+        tests = [tests[i] | tests[i + 1] if i + 1 < len(tests) else tests[i] for i in range(0, len(tests), 2)]
+    return tests[0]
 
 
 def contains_any(col: str | Column, terms: Iterable[str], null_as: str | None = None) -> Column:
     """F2 predicate: lower-cased text contains any lower-cased term (literal).
 
-    A short list is one OR of ``contains`` tests (generated code); a long one
-    is one Aho-Corasick pass per text. An empty list keeps nothing; an empty
-    term keeps every non-null text.
+    One balanced OR of ``contains`` tests in generated code. Text and terms are
+    lower-cased by the same engine, so a term matches alike in a list and in a
+    DataFrame. An empty list keeps nothing; an empty term keeps every non-null
+    text.
     """
     txt = text_value(col, null_as)
-    wanted = [t.lower() for t in dict.fromkeys(terms) if t is not None]
+    wanted = [t for t in dict.fromkeys(terms) if t is not None]
     if not wanted:
         return F.lit(False)
     if "" in wanted:
         return txt.isNotNull()
-    if len(wanted) > MANY_TERMS and _ahocorasick is not None:
-        from ..session import ship_package
-        ship_package()
-        return _any_term_udf(tuple(sorted(wanted)))(txt)
     low = F.lower(txt)
-    return reduce(lambda a, b: a | b, [low.contains(t) for t in wanted])
-
-
-_AUTOMATA: dict = {}
-
-
-def _automaton(terms: tuple):
-    auto = _AUTOMATA.get(terms)
-    if auto is None:
-        auto = _ahocorasick.Automaton()
-        for t in terms:
-            auto.add_word(t, t)
-        auto.make_automaton()
-        if len(_AUTOMATA) > 8:
-            _AUTOMATA.clear()
-        _AUTOMATA[terms] = auto
-    return auto
-
-
-def _any_term_udf(terms: tuple):
-    """pandas UDF: does the lower-cased text hold any of ``terms``? The
-    automaton is built once per Python worker and reused across batches."""
-
-    @F.pandas_udf("boolean")
-    def any_term(texts: pd.Series) -> pd.Series:
-        auto = _automaton(terms)
-
-        def hit(x):
-            if x is None:
-                return None
-            for _ in auto.iter(x.lower()):
-                return True
-            return False
-
-        return texts.map(hit).astype("boolean")
-
-    return any_term
+    return _any([low.contains(F.lower(F.lit(t))) for t in wanted])

@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .names import named
 from .text import strip_text
 
 # The two fields the reviewer is asked to add to every record.
@@ -26,13 +27,9 @@ def _path(field: str) -> str:
     return '$["' + field.replace("\\", "\\\\").replace('"', '\\"') + '"]'
 
 
-def _col(c: str | Column) -> Column:
-    return F.col(c) if isinstance(c, str) else c
-
-
 def field_value(record: str | Column, field: str) -> Column:
     """The field as VARIANT (SQL null when the key is missing)."""
-    return F.try_variant_get(_col(record), _path(field), "variant")
+    return F.try_variant_get(named(record), _path(field), "variant")
 
 
 def verdict(record: str | Column, field: str = VERDICT_FIELD) -> Column:

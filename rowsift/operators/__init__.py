@@ -1,6 +1,6 @@
 """Operators: filters, row ids, matching, requests, scorers, replies, run log."""
 
-from .containment import containment_pairs, rows_containing, texts_containing
+from .containment import rows_containing
 from .filters import (
     distinct_values,
     filter_any_term,
@@ -19,19 +19,18 @@ from .replies import (
     parse_replies,
     quarantine,
     records_to_table,
-    reject_reason,
     standardize,
 )
 from .requests import build_match_requests, build_requests, render_records
 from .rowid import with_row_id
-from .runlog import RunLog, run_log
+from .runlog import RunLog
 from .scoring import evaluate_rules, score_requests
 
 __all__ = [
-    "RunLog", "build_match_requests", "build_requests", "containment_pairs", "distinct_values",
+    "RunLog", "build_match_requests", "build_requests", "distinct_values",
     "evaluate_rules", "explode_records", "filter_any_term", "filter_contains", "filter_related",
     "is_empty", "keep_columns", "match_count", "match_values", "merge_verdicts",
-    "observe_count", "parse_matches", "parse_replies", "quarantine", "records_to_table", "reject_reason",
-    "render_records", "rows_containing", "run_log", "score_requests", "standardize", "texts_containing",
+    "observe_count", "parse_matches", "parse_replies", "quarantine", "records_to_table",
+    "render_records", "rows_containing", "score_requests", "standardize",
     "with_row_id",
 ]

@@ -1,44 +1,43 @@
-"""Containment join: which texts contain which values (case-insensitive).
-
-Used by F2/F3 when the terms arrive as a DataFrame too large to inline.
-
-* Few values (count and total length checked: at most ``max_broadcast``
-  values, within MAX_BROADCAST_BYTES): the values are broadcast and tested
-  against every text (nested loop, values bounded).
-* More values: an exact blocked equi-join. Each value gets one *key*, a
-  piece of it that any text holding the value must also yield:
-
-  - a value with a whole interior word (white space on both sides inside the
-    value) is keyed by its rarest such word: in any text that contains the
-    value, that word stands between white space too, so it is one of the
-    text's words (split on the same white space);
-  - any other value of length >= Q is keyed by its rarest q-gram;
-  - a shorter value is keyed by itself (texts yield grams of that length).
-
-  Texts yield only the key kinds some value uses (words: ~1 per 6
-  characters; grams: 1 per character), keyed by a 64-bit hash of the text,
-  so no exploded row carries a copy of its text. The candidate pairs
-  (text hash, value) are written to the shared checkpoint folder and
-  measured; then every row is tested against its candidates with
-  ``contains`` in a left-semi join on the hash. Candidates within the
-  broadcast bound are broadcast: the texts never leave their scan tasks.
-  Beyond it both sides are shuffled on the hash, so each text moves once.
-  A hash collision only adds candidates; the ``contains`` test is exact.
-  No pair is lost, no cap is set; work grows with text length, not
-  texts x values.
+"""Containment join: which rows' texts contain a value (case-insensitive).
+
+Used by F2/F3 for value sets too large to inline: an exact blocked equi-join.
+Each value gets one *key*, a piece of it that any text holding the value must
+also yield:
+
+- a value with a whole interior word (white space on both sides inside the
+  value) is keyed by such a word: in any text that contains the value, that
+  word stands between white space too, so it is one of the text's words
+  (split on the same white space);
+- any other value of length >= Q is keyed by a q-gram;
+- a shorter value is keyed by itself (texts yield grams of that length).
+
+Among its possible keys a value takes the one that fewest values have, then
+the longest: common words and grams are common among the values too, and no
+extra pass over the texts is needed to see it. Texts yield only the key kinds
+some value uses (words: ~1 per 6 characters; grams: 1 per character) and are
+named by a 64-bit hash, values by another, so no exploded row carries a copy
+of either. The candidate pairs (text hash, value hash) are written to the
+shared checkpoint folder and measured; then every row is tested against its
+candidates with ``contains`` in a left-semi join on the hash. So the texts are
+read twice, once for keys and once for the test.
+
+The value keys are broadcast when their number and bytes are within bounds,
+so text keys meet them in the scan; beyond, the text keys are shuffled and
+Spark drops most of them before that by a runtime Bloom filter. Candidates
+within the broadcast bound are broadcast: the texts never leave their scan
+tasks. Beyond it both sides are shuffled on the hash, so each text moves once.
+A hash collision only adds candidates; the ``contains`` test is exact. No pair
+is lost, no cap is set; work grows with text length, not texts x values.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..session import ensure_checkpoint_dir
+from ..session import written
 
 Q = 4
-# Share of texts whose keys are counted to find each value's rarest key.
-FREQ_SAMPLE = 0.1
 # Bounds for broadcasting the value side (values, their keys, key counts).
 MAX_BROADCAST_KEYS = 1_000_000
 MAX_BROADCAST_BYTES = 16 << 20
@@ -92,6 +91,9 @@ class KeyPlan:
             F.coalesce(F.sum("_len_v"), F.lit(0)).alias("chars"),
             F.coalesce(F.max(has_word.cast("int")), F.lit(0)).alias("words"),
             F.collect_set(F.when(~has_word, F.least(F.col("_len_v"), F.lit(Q)))).alias("lens"),
+            F.coalesce(F.sum(F.when(has_word, F.size("_words"))
+                             .otherwise(F.greatest(F.col("_len_v") - (Q - 1), F.lit(1)))), F.lit(0)).alias("keys"),
+            F.coalesce(F.sum((F.col("_len_v") == 0).cast("int")), F.lit(0)).alias("blank"),
         ).first()
         self.n_values = int(stats["n"])
         self.chars = int(stats["chars"])
@@ -100,7 +102,10 @@ class KeyPlan:
         # The value side is broadcast only within a measured bound; otherwise
         # the joins below are sort-merge joins (the text side is never a
         # build side: it grows with the texts).
-        self.small = stats["n"] <= MAX_BROADCAST_KEYS and \
+        # Each value has one key in the join, but its possible keys are weighed
+        # before: both their number and the bytes of one key per value count.
+        self.has_empty = stats["blank"] > 0
+        self.small = stats["keys"] <= MAX_BROADCAST_KEYS and \
             4 * stats["chars"] + 64 * stats["n"] <= MAX_BROADCAST_BYTES
 
     @property
@@ -128,52 +133,38 @@ class KeyPlan:
             return df.select(*keep, kind.alias("_kind"), F.explode(arr).alias("_key"))
         return df.select(*keep, F.inline(keys))
 
-    def keyed_values(self, sample: DataFrame, low_t: Column) -> DataFrame:
-        """(value_col, _low_v, _kind, _key): each value with its rarest key.
+    def keyed_values(self) -> DataFrame:
+        """(_vid, _kind, _key): each value, by its hash, with its key.
 
-        Rarity only steers which key a value uses, never which pairs come
-        out, so it is counted on a fixed sample of the texts. A key missing
-        from the sample counts as 0 (rare), so no value is lost."""
-        vc, vl = self.value_col, self.vl
+        The choice only steers the amount of work, never which pairs come out."""
+        vl = self.vl.withColumn("_vid", F.xxhash64(self.value_col))
         has_word = F.size("_words") > 0
-        opts = (vl.where(has_word)
-                .select(vc, "_low_v", F.lit(WORD).alias("_kind"), F.explode("_words").alias("_key"))
+        opts = (vl.where(has_word).select("_vid", F.lit(WORD).alias("_kind"), F.explode("_words").alias("_key"))
                 .unionByName(vl.where(~has_word & (F.col("_len_v") >= Q))
-                             .select(vc, "_low_v", F.lit(GRAM).alias("_kind"),
-                                     F.explode(_grams(F.col("_low_v"), Q)).alias("_key"))))
+                             .select("_vid", F.lit(GRAM).alias("_kind"), F.explode(_grams(F.col("_low_v"), Q)).alias("_key"))))
         short = vl.where(~has_word & (F.col("_len_v") < Q)) \
-            .select(vc, "_low_v", F.lit(GRAM).alias("_kind"), F.col("_low_v").alias("_key"))
-        needed = opts.select("_kind", "_key").distinct()
-        freq = (self.explode_keys(sample, low_t)
-                .join(self.side(needed), ["_kind", "_key"], "left_semi")
-                .groupBy("_kind", "_key").agg(F.count(F.lit(1)).alias("_freq")))
-        best = (opts.join(self.side(freq), ["_kind", "_key"], "left")
-                .withColumn("_freq", F.coalesce(F.col("_freq"), F.lit(0)))
-                .groupBy(vc, "_low_v")
-                .agg(F.min_by(F.struct("_kind", "_key"), F.struct("_freq", "_kind", "_key"))
-                     .alias("_k"))
-                .select(vc, "_low_v", "_k._kind", "_k._key"))
+            .select("_vid", F.lit(GRAM).alias("_kind"), F.col("_low_v").alias("_key"))
+        freq = opts.groupBy("_kind", "_key").agg(F.count(F.lit(1)).alias("_freq"))
+        rank = F.struct("_freq", (-F.length("_key")).alias("_l"), "_kind", "_key")
+        best = (opts.join(freq, ["_kind", "_key"]).groupBy("_vid")
+                .agg(F.min_by(F.struct("_kind", "_key"), rank).alias("_k")).select("_vid", "_k._kind", "_k._key"))
         return best.unionByName(short)
 
 
 def candidates(df: DataFrame, text: Column, values: DataFrame, value_col: str,
                plan: KeyPlan | None = None) -> DataFrame | None:
-    """Distinct ``(_tid, value_col, _low_v)`` pairs, ``_tid = xxhash64(text)``:
-    every (text, value) with lower(text) containing lower(value) is among
-    them. Written to the shared checkpoint folder (computed once). None when
-    there are no values."""
+    """Distinct ``(_tid, _low_v)``, ``_tid = xxhash64(text)``: every text with
+    a lower-cased value it may contain; the pairs of hashes are written to the
+    shared folder (computed once). None when there are no values."""
     plan = plan or KeyPlan(values, value_col)
     if plan.empty:
         return None
-    low_t = F.lower(text)
-    src = df.where(text.isNotNull())
-    keyed = plan.keyed_values(src.sample(fraction=FREQ_SAMPLE, seed=17), low_t)
-    cand = (plan.explode_keys(src, low_t, F.xxhash64(text).alias("_tid"))
-            .join(plan.side(keyed), ["_kind", "_key"], "inner")
-            .select("_tid", value_col, "_low_v")
-            .distinct())
-    ensure_checkpoint_dir(df.sparkSession)
-    return cand.checkpoint(eager=True)
+    keyed = plan.keyed_values()
+    pairs = written(plan.explode_keys(df.where(text.isNotNull()), F.lower(text), F.xxhash64(text).alias("_tid"))
+                    .join(plan.side(keyed), ["_kind", "_key"], "inner")
+                    .select("_tid", "_vid").distinct(), "candidates")
+    named_values = plan.vl.select(F.xxhash64(value_col).alias("_vid"), "_low_v")
+    return pairs.join(plan.side(named_values), "_vid").select("_tid", "_low_v")
 
 
 def _measured(cand: DataFrame) -> DataFrame:
@@ -205,51 +196,3 @@ def rows_containing(df: DataFrame, text: Column, values: DataFrame, value_col: s
     hit = side.where((side["_tid"] == F.xxhash64(outer))
                      & F.lower(outer).contains(side["_low_v"])).exists()
     return df.where(F.coalesce(extra, F.lit(False)) | hit)
-
-
-def _non_empty(values: DataFrame, value_col: str) -> DataFrame:
-    c = F.col(value_col)
-    return values.select(c).where(c.isNotNull() & (F.length(c) > 0)).distinct()
-
-
-def _few_small(v: DataFrame, value_col: str, max_values: int) -> bool:
-    """At most ``max_values`` values holding at most MAX_BROADCAST_BYTES of
-    text (measured on at most ``max_values + 1`` rows): safe to broadcast."""
-    if max_values <= 0:
-        return False
-    size = v.limit(max_values + 1).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.coalesce(F.sum(F.length(value_col)), F.lit(0)).alias("chars")).first()
-    return size["n"] <= max_values and 4 * size["chars"] + 64 * size["n"] <= MAX_BROADCAST_BYTES
-
-
-def containment_pairs(texts: DataFrame, text_col: str, values: DataFrame, value_col: str,
-                      max_broadcast: int = 256) -> DataFrame:
-    """Distinct ``(text_col, value_col)`` pairs with lower(text) containing
-    lower(value). Empty values are ignored, as in F2/F3."""
-    t = texts.select(F.col(text_col)).where(F.col(text_col).isNotNull()).distinct()
-    v = _non_empty(values, value_col)
-    if _few_small(v, value_col, max_broadcast):
-        tl = t.select(text_col, F.lower(F.col(text_col)).alias("_low_t"))
-        vl = v.select(value_col, F.lower(F.col(value_col)).alias("_low_v"))
-        return (tl.join(F.broadcast(vl), F.col("_low_t").contains(F.col("_low_v")), "inner")
-                .select(text_col, value_col))
-    cand = candidates(t, F.col(text_col), v, value_col)
-    if cand is None:
-        schema = T.StructType([t.schema[text_col], v.schema[value_col]])
-        return t.sparkSession.createDataFrame([], schema)
-    side = _measured(cand)
-    tl = t.select(text_col, F.xxhash64(text_col).alias("_t_tid"))
-    return (tl.join(side, (F.col("_t_tid") == side["_tid"])
-                    & F.lower(F.col(text_col)).contains(side["_low_v"]), "inner")
-            .select(text_col, value_col).distinct())
-
-
-def texts_containing(texts: DataFrame, text_col: str, values: DataFrame, value_col: str,
-                     max_broadcast: int = 256) -> DataFrame:
-    """Distinct texts that contain at least one (non-empty) value."""
-    t = texts.select(F.col(text_col)).where(F.col(text_col).isNotNull()).distinct()
-    v = _non_empty(values, value_col)
-    if _few_small(v, value_col, max_broadcast):
-        return containment_pairs(t, text_col, v, value_col, max_broadcast).select(text_col).distinct()
-    return rows_containing(t, F.col(text_col), v, value_col)

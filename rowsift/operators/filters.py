@@ -1,10 +1,10 @@
 """Row filters: E3 keep_columns, F1 filter_contains, F2 filter_any_term,
 F3 filter_related, F4 distinct_values, F7 match_count / is_empty.
 
-F1, F2 and F3 with a literal match list are one narrow ``Filter`` in the scan
-stage: no shuffle, no Python. F3 with a match DataFrame tags the *distinct*
-texts of the column first, so its work grows with distinct values, not with
-rows times values.
+F1, and F2 and F3 with few values, are one narrow ``Filter`` in the scan stage:
+no shuffle, no Python. Larger value sets, from a list or a DataFrame, go
+through the exact keyed join of ``containment``, whose work grows with text
+length and not with rows times values.
 """
 
 from __future__ import annotations
@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.text import (
-    _ahocorasick,
     check_pattern,
     clean_term,
     contains_any,
@@ -23,21 +22,21 @@ from ..functions.text import (
     contains_pattern,
     text_value,
 )
+from ..functions.names import named
+from ..session import written
 from ..sources.tables import require_column
 from .containment import KeyPlan, rows_containing
 
-# A match set up to this many values (and characters) is collected once and
-# tested inline in the scan stage (one Aho-Corasick pass per text, the term
-# list travels as a broadcast); a larger one uses the exact q-gram blocked
-# equi-join over the distinct texts. Without the matcher library the inline
-# form is an OR of contains tests, so the bound is kept small.
-MAX_LIST_VALUES = 100_000 if _ahocorasick is not None else 256
-MAX_LIST_CHARS = 16 << 20
+# Up to this many terms are tested inline in the scan stage (a balanced OR in
+# generated code, each term one more pass over the text); more go through the
+# exact keyed join of ``containment``. Both compare the same lower-cased texts
+# in the JVM, so the rows are the same.
+INLINE_TERMS = 64
 
 
 def keep_columns(df: DataFrame, *cols: str) -> DataFrame:
     """The chosen source columns, unchanged (all when none are named)."""
-    return df.select(*cols) if cols else df
+    return df.select(*[named(c) for c in cols]) if cols else df
 
 
 def term_predicate(df: DataFrame, column: str, term: str, literal: bool = False,
@@ -62,54 +61,56 @@ def filter_contains(df: DataFrame, column: str, term: str, literal: bool = False
 
 def filter_any_term(df: DataFrame, column: str, terms: Iterable[str] | DataFrame,
                     null_as: str | None = None, value_col: str = "value",
-                    max_list_values: int = MAX_LIST_VALUES) -> DataFrame:
+                    max_list_values: int = INLINE_TERMS) -> DataFrame:
     """rows whose lower-cased text contains any lower-cased term (literal).
 
-    A list becomes one OR of ``contains`` tests; so does a small DataFrame of
-    terms (size checked); a larger one goes through the q-gram join.
+    Lists and DataFrames follow one rule: up to ``max_list_values`` terms are
+    one inline filter, more a join; an empty term keeps every non-null text,
+    null terms are ignored, no terms keep nothing.
     """
     require_column(df, column)
-    if isinstance(terms, DataFrame):
-        return _semi_by_texts(df, column, terms, value_col, null_as, None, max_list_values)
-    return df.where(contains_any(column, terms, null_as))
+    return _semi_by_texts(df, column, terms, value_col, null_as, None, max_list_values)
 
 
 def filter_related(df: DataFrame, column: str, term: str,
                    matches: Sequence[str] | DataFrame | None = None,
                    literal: bool = False, null_as: str | None = None,
                    value_col: str = "value", lower_term: bool = False,
-                   max_list_values: int = MAX_LIST_VALUES) -> DataFrame:
+                   max_list_values: int = INLINE_TERMS) -> DataFrame:
     """F1 or F2. With no matches (None, empty list) it is F1 alone."""
     f1 = term_predicate(df, column, term, literal, null_as, lower_term)
     if matches is None:
         return df.where(f1)
-    if isinstance(matches, DataFrame):
-        return _semi_by_texts(df, column, matches, value_col, null_as, f1, max_list_values)
-    values = [m for m in matches if m]
-    if not values:
-        return df.where(f1)
-    return df.where(f1 | contains_any(column, values, null_as))
+    return _semi_by_texts(df, column, matches, value_col, null_as, f1, max_list_values)
 
 
-def _semi_by_texts(df: DataFrame, column: str, values: DataFrame, value_col: str,
-                   null_as: str | None, extra: Column | None,
-                   max_list_values: int) -> DataFrame:
+def _semi_by_texts(df: DataFrame, column: str, values: Iterable[str] | DataFrame, value_col: str,
+                   null_as: str | None, extra: Column | None, max_list_values: int) -> DataFrame:
     """Rows whose text contains a value of ``values`` (or pass ``extra``).
 
-    Small value sets (count and total length checked first) are collected
-    and tested inline. Otherwise the rows go through the exact blocked
+    A DataFrame of values is evaluated once: its distinct values go to the
+    shared folder and everything after reads those. A streaming ``df`` and
+    short lists take the inline filter; larger sets go through the blocked
     containment join: candidates are found per text hash and every row is
-    tested against its candidates in a left-semi join, so texts are not
-    shuffled unless the candidates exceed the broadcast bound.
+    tested against its candidates in a left-semi join.
     """
-    vals = values.select(F.col(value_col).cast("string").alias("_rs_value")) \
-        .where(F.col("_rs_value").isNotNull() & (F.col("_rs_value") != "")).distinct()
-    # One job measures the values (count, length) and plans their keys.
-    plan = KeyPlan(vals, "_rs_value")
-    if plan.n_values <= max_list_values and plan.chars <= MAX_LIST_CHARS:
-        terms = [r[0] for r in vals.collect()]
+    def inline(terms):
         pred = contains_any(column, terms, null_as)
         return df.where(pred if extra is None else (extra | pred))
+
+    if not isinstance(values, DataFrame):
+        terms = [t for t in dict.fromkeys(values) if t is not None]
+        if len(terms) <= max_list_values or "" in terms or df.isStreaming:
+            return inline(terms)
+        spark = df.sparkSession
+        values, value_col = spark.createDataFrame([(t,) for t in terms], "value string"), "value"
+    vals = written(values.select(named(value_col).cast("string").alias("_rs_value"))
+                   .where(F.col("_rs_value").isNotNull()).distinct(), "values")
+    plan = KeyPlan(vals, "_rs_value")  # one job: how many, how long, which keys
+    if plan.has_empty:
+        return inline([""])
+    if plan.n_values <= max_list_values:
+        return inline([r[0] for r in vals.limit(max_list_values).collect()])
     return rows_containing(df, text_value(column, null_as), vals, "_rs_value", extra, plan)
 
 
@@ -122,7 +123,7 @@ def distinct_values(df: DataFrame, column: str, order_by: str, limit: int | None
     TakeOrderedAndProject (top-k per partition, then merge).
     """
     require_column(df, column)
-    out = (df.select(text_value(column, null_as).alias("value"), F.col(order_by).alias("_o"))
+    out = (df.select(text_value(column, null_as).alias("value"), named(order_by).alias("_o"))
            .where(F.col("value").isNotNull())
            .groupBy("value").agg(F.min("_o").alias("first_seen")))
     if limit is None:

@@ -7,7 +7,8 @@ per source row:
   lower-cased value, after the related table is cut down to the term;
 * a callable ``matcher(term, values) -> iterable of (value, explanation)``
   run by ``mapInPandas`` on Arrow batches of values spread over the cluster
-  (for user-supplied scorers such as a hosted model).
+  (for user-supplied scorers such as a hosted model); its answers are written
+  to the shared folder, so each batch is asked about once.
 
 Output: ``(term, value, explanation)``.
 """
@@ -20,7 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship_package
+from ..functions.names import named
+from ..session import ship_package, written
 from .scoring import spread
 
 MATCH_SCHEMA = "term string, value string, explanation string"
@@ -30,7 +32,7 @@ def match_values(values: DataFrame, term: str,
                  matcher: DataFrame | Callable[[str, list[str]], Iterable],
                  value_col: str = "value", batch_size: int = 20,
                  partitions: int | None = None) -> DataFrame:
-    vals = values.select(F.col(value_col).cast("string").alias("value")) \
+    vals = values.select(named(value_col).cast("string").alias("value")) \
         .where(F.col("value").isNotNull())
     if isinstance(matcher, DataFrame):
         rel = matcher
@@ -54,4 +56,4 @@ def match_values(values: DataFrame, term: str,
             yield pd.DataFrame(out, columns=["term", "value", "explanation"])
 
     ship_package(values.sparkSession)
-    return spread(vals, partitions).mapInPandas(run, MATCH_SCHEMA)
+    return written(spread(vals, partitions).mapInPandas(run, MATCH_SCHEMA), "matches")

@@ -15,9 +15,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.jsontext import extract_value, json_span, parse_strict
+from ..functions.names import named, refuse_clash
 from ..functions.text import strip_text
 from ..functions.verdict import notes, verdict, verdict_raw
 
+# Keys of replies that become columns; further ones go into a map.
 MAX_COLUMNS = 10_000
 # Reasons a reply is set aside.
 EMPTY = "empty reply"
@@ -27,10 +29,6 @@ EMPTY_LIST = "empty list"
 NON_OBJECT = "non-object element"
 
 
-def _col(c: str | Column) -> Column:
-    return F.col(c) if isinstance(c, str) else c
-
-
 def reply_array(text: str | Column) -> Column:
     """The reply's JSON list as ``array<variant>`` (null if not a list)."""
     return F.try_variant_get(extract_value(text), "$", "array<variant>")
@@ -49,22 +47,6 @@ def parse_matches(df: DataFrame, col: str = "response") -> DataFrame:
             .drop("_rs_v", "_rs_obj"))
 
 
-def reject_reason(text: str | Column, error: str | Column | None = None) -> Column:
-    """R5 reason for a whole reply, or null when it is usable."""
-    t = _col(text)
-    v = extract_value(t)
-    arr = F.try_variant_get(v, "$", "array<variant>")
-    reason = (F.when(t.isNull() | (strip_text(t) == ""), F.lit(EMPTY))
-              .when(v.isNull(), F.lit(NO_JSON))
-              .when(~F.schema_of_variant(v).startswith("ARRAY"), F.lit(NOT_LIST))
-              .when(F.size(arr) == 0, F.lit(EMPTY_LIST))
-              .when(F.exists(arr, lambda e: ~F.schema_of_variant(e).startswith("OBJECT")),
-                    F.lit(NON_OBJECT)))
-    if error is not None:
-        reason = F.coalesce(_col(error), reason)
-    return reason
-
-
 def parse_replies(df: DataFrame, col: str = "response",
                   error_col: str | None = "error") -> DataFrame:
     """R1 + R5 in stages: adds ``json_text`` (the JSON found in the reply),
@@ -77,7 +59,7 @@ def parse_replies(df: DataFrame, col: str = "response",
               .withColumn("json_text", F.when(F.col("_rs_v").isNotNull(), F.col("_rs_span")))
               .withColumn("items", F.try_variant_get("_rs_v", "$", "array<variant>"))
               .withColumn("_rs_kind", F.schema_of_variant("_rs_v")))
-    t = F.col(col)
+    t = named(col)
     reason = (F.when(t.isNull() | (strip_text(t) == ""), F.lit(EMPTY))
               .when(F.col("json_text").isNull(), F.lit(NO_JSON))
               .when(~F.col("_rs_kind").startswith("ARRAY"), F.lit(NOT_LIST))
@@ -110,24 +92,34 @@ def explode_records(df: DataFrame, col: str = "response",
     return df.select(*kept, F.size(arr).alias("n_items"), F.posexplode(arr).alias("pos", "record"))
 
 
+STRAY_ID = "row id of another request"
+
+
 def standardize(records: DataFrame, record_col: str = "record",
                 id_field: str = "row_id") -> DataFrame:
     """Verdict (boolean), verdict_raw, notes, and the row id of each record.
 
     The row id is the record's ``id_field`` when present, else the id at the
     same position of the request's ``row_ids`` when the reply has exactly one
-    record per request row.
+    record per request row. A stated id that is not among the request's
+    ``row_ids`` judges nothing: its row id is null and ``reason`` says so.
     """
-    rec = F.col(record_col)
-    rid = F.try_variant_get(rec, f"$.{id_field}", "bigint")
-    if "row_ids" in records.columns and "n_items" in records.columns:
-        by_pos = F.when(F.col("n_items") == F.size("row_ids"),
-                        F.element_at("row_ids", F.col("pos") + 1))
-        rid = F.coalesce(rid, by_pos)
+    rec = named(record_col)
+    stated = F.try_variant_get(rec, _path(id_field), "bigint")
+    rid, reason = stated, F.lit(None).cast("string")
+    if "row_ids" in records.columns:
+        known = F.array_contains("row_ids", stated)
+        rid = F.when(known, stated)
+        reason = F.when(stated.isNotNull() & ~known, F.lit(STRAY_ID))
+        if "n_items" in records.columns:
+            by_pos = F.when(F.col("n_items") == F.size("row_ids"),
+                            F.element_at("row_ids", F.col("pos") + 1))
+            rid = F.when(stated.isNotNull(), rid).otherwise(by_pos)
     return (records.withColumn("row_id", rid)
             .withColumn("verdict", verdict(rec))
             .withColumn("verdict_raw", verdict_raw(rec))
-            .withColumn("notes", notes(rec)))
+            .withColumn("notes", notes(rec))
+            .withColumn("reason", reason))
 
 
 _SCALARS = {"BIGINT": "bigint", "INT": "int", "SMALLINT": "smallint", "TINYINT": "tinyint",
@@ -135,54 +127,88 @@ _SCALARS = {"BIGINT": "bigint", "INT": "int", "SMALLINT": "smallint", "TINYINT":
             "DATE": "date", "TIMESTAMP": "timestamp", "TIMESTAMP_NTZ": "timestamp_ntz"}
 
 
+def _path(key: str) -> str:
+    return '$["' + key.replace("\\", "\\\\").replace('"', '\\"') + '"]'
+
+
+def _bare(v: Column) -> Column:
+    """Text of any JSON value: strings without quotes, JSON null as null, the rest as JSON."""
+    kind = F.schema_of_variant(v)
+    return F.when(kind == "STRING", F.try_variant_get(v, "$", "string")).when(kind != "VOID", F.to_json(v))
+
+
 def _field_column(rec: Column, key: str, kind: str) -> Column:
-    path = '$["' + key.replace("\\", "\\\\").replace('"', '\\"') + '"]'
     if kind in _SCALARS:
-        return F.try_variant_get(rec, path, _SCALARS[kind])
+        return F.try_variant_get(rec, _path(key), _SCALARS[kind])
     if kind.startswith("DECIMAL"):
-        return F.try_variant_get(rec, path, "double")
+        digits = int(kind[8:].split(",")[0])
+        # a double gives back every decimal of up to 15 digits; longer ones stay decimals
+        return F.try_variant_get(rec, _path(key), "double" if digits <= 15 else kind.lower())
     if kind == "VOID":
         return F.lit(None).cast("string")
-    return F.to_json(F.try_variant_get(rec, path, "variant"))
+    return _bare(F.try_variant_get(rec, _path(key), "variant"))
 
 
-def records_to_table(df: DataFrame, record_col: str = "record",
-                     keep: Sequence[str] = ()) -> DataFrame:
-    """Flat records to columns: the union of all keys (sorted by name),
-    absent keys null. One aggregation finds the keys and their merged types;
-    the driver receives one row per distinct key (bounded by MAX_COLUMNS)."""
-    rec = F.col(record_col)
+def record_fields(df: DataFrame, record_col: str = "record", without: Sequence[str] = (),
+                  max_columns: int = MAX_COLUMNS) -> tuple[list[Column], Column | None]:
+    """The union of the records' keys as columns (sorted by name), and the map
+    ``more_fields`` of the keys beyond ``max_columns`` (None when all fit).
+
+    One aggregation finds the keys and their merged types; keys named in
+    ``without`` (ignoring case) are left out. A key whose values are of mixed
+    kinds gives text: strings bare, other values as JSON."""
+    rec = named(record_col)
     as_map = F.try_variant_get(rec, "$", "map<string,variant>")
+    skip = {w.lower() for w in without}
     kinds = (df.select(F.explode(as_map).alias("key", "value"))
+             .where(~F.lower("key").isin(*skip) if skip else F.lit(True))
              .groupBy("key").agg(F.schema_of_variant_agg("value").alias("kind"))
-             .orderBy("key").limit(MAX_COLUMNS + 1).collect())
-    if len(kinds) > MAX_COLUMNS:
-        raise ValueError(f"records hold more than {MAX_COLUMNS} distinct keys")
-    cols = [_field_column(rec, r["key"], r["kind"]).alias(r["key"]) for r in kinds]
-    return df.select(*[F.col(c) for c in keep], *cols)
+             .orderBy("key").limit(max_columns + 1).collect())
+    shown = kinds[:max_columns]
+    cols = [_field_column(rec, r["key"], r["kind"]).alias(r["key"]) for r in shown]
+    if len(kinds) <= max_columns:
+        return cols, None
+    known = F.array(*[F.lit(r["key"]) for r in shown]) if shown else F.array().cast("array<string>")
+    rest = F.map_filter(as_map, lambda k, v: ~F.array_contains(known, k))
+    if skip:
+        rest = F.map_filter(rest, lambda k, v: ~F.lower(k).isin(*skip))
+    return cols, F.transform_values(rest, lambda k, v: _bare(v)).alias("more_fields")
+
+
+def records_to_table(df: DataFrame, record_col: str = "record",
+                     keep: Sequence[str] = (), max_columns: int = MAX_COLUMNS) -> DataFrame:
+    """Flat records to columns: the union of all keys (sorted by name),
+    absent keys null; see ``record_fields`` for types and surplus keys."""
+    cols, more = record_fields(df, record_col, max_columns=max_columns)
+    return df.select(*[named(c) for c in keep], *cols, *([] if more is None else [more]))
 
 
-def merge_verdicts(rows: DataFrame, verdicts: DataFrame, key: str = "row_id") -> DataFrame:
+def merge_verdicts(rows: DataFrame, verdicts: DataFrame, key: str = "row_id",
+                   names: Sequence[str] = ("verdict", "notes", "verdict_raw"),
+                   verdict_key: str = "row_id", extra: Sequence[str] = ()) -> DataFrame:
     """Original rows with ``verdict`` (false when none came back),
-    ``notes`` and ``verdict_raw`` (null when none). When a row was judged
-    twice, the first judgement (lowest batch, position) wins.
+    ``notes`` and ``verdict_raw`` (null when none) under ``names``, and the
+    columns ``extra`` of the verdicts. When a row was judged twice, the first
+    judgement (lowest batch, position) wins; without those columns the
+    smallest by content.
 
     The verdicts are reduced per key and then left-joined; both sides are
     hash-partitioned on the key once, the reduce reuses that partitioning.
+    All columns of ``rows`` stay; an added name that is taken is an error.
     """
+    refuse_clash(rows.columns, *names, *extra)
     order = [c for c in ("batch_id", "pos") if c in verdicts.columns]
     payload = F.struct(F.col("verdict"), F.col("notes"),
                        (F.col("verdict_raw") if "verdict_raw" in verdicts.columns
-                        else F.lit(None).cast("string")).alias("verdict_raw"))
-    if order:
-        best = F.min_by(payload, F.struct(*[F.col(c) for c in order]))
-    else:
-        best = F.first(payload, ignorenulls=False)
-    one = (verdicts.where(F.col(key).isNotNull())
-           .groupBy(key).agg(best.alias("_v")))
-    out = rows.join(one, key, "left")
-    return (out.withColumn("verdict", F.when(F.col("_v").isNull(), F.lit(False))
-                           .otherwise(F.col("_v.verdict")))
-            .withColumn("notes", F.col("_v.notes"))
-            .withColumn("verdict_raw", F.col("_v.verdict_raw"))
-            .drop("_v"))
+                        else F.lit(None).cast("string")).alias("verdict_raw"),
+                       *[named(c).alias(f"_rs_x{i}") for i, c in enumerate(extra)])
+    rank = F.struct(*[F.col(c) for c in order or ("verdict", "notes")])
+    one = (verdicts.where(named(verdict_key).isNotNull())
+           .groupBy(named(verdict_key).alias("_rs_key")).agg(F.min_by(payload, rank).alias("_rs_v")))
+    out = rows.join(one, named(key) == F.col("_rs_key"), "left")
+    v, n, raw = names
+    return out.select(
+        *[named(c) for c in rows.columns],
+        F.when(F.col("_rs_v").isNull(), F.lit(False)).otherwise(F.col("_rs_v.verdict")).alias(v),
+        F.col("_rs_v.notes").alias(n), F.col("_rs_v.verdict_raw").alias(raw),
+        *[F.col(f"_rs_v._rs_x{i}").alias(c) for i, c in enumerate(extra)])

@@ -12,7 +12,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.names import named
 from .rowid import with_row_id
+from .scoring import spread
 
 # The wording of the two requests (ours).
 MATCH_HEAD = ('Which of these values of column "{column}" mean the same as, or relate to, '
@@ -24,15 +26,14 @@ REVIEW_MID = ('\n\nRecords where column "{column}" relates to "{term}", '
 REVIEW_TAIL = ('\n\nReply with a JSON list holding one object per record: all of its fields '
                'unchanged, plus "Meets Guidelines" ("True" if it fully or partially meets '
                'the guideline, else "False") and "Notes on Compliance" (a short reason).')
-MAX_GUIDELINE_CHARS = 8 * 1024 * 1024
 
 
 def _batched(df: DataFrame, row_id: str, item: Column, batch: int) -> DataFrame:
     """(batch_id, row_ids, items) with items in row-id order."""
     if batch < 1:
         raise ValueError("batch must be >= 1")
-    grouped = (df.groupBy(F.floor(F.col(row_id) / F.lit(batch)).cast("long").alias("batch_id"))
-               .agg(F.array_sort(F.collect_list(F.struct(F.col(row_id).alias("i"),
+    grouped = (df.groupBy(F.floor(named(row_id) / F.lit(batch)).cast("long").alias("batch_id"))
+               .agg(F.array_sort(F.collect_list(F.struct(named(row_id).alias("i"),
                                                          item.alias("v")))).alias("_items")))
     return grouped.select("batch_id",
                           F.transform("_items", lambda x: x["i"]).alias("row_ids"),
@@ -45,7 +46,7 @@ def build_match_requests(values: DataFrame, term: str, column: str, batch: int =
     ``batch`` values each: ``(batch_id, n_values, prompt)``."""
     ided = with_row_id(values, order_by, name="_rs_vid")
     head = MATCH_HEAD.format(column=column, term=term)
-    return (_batched(ided, "_rs_vid", F.col(value_col), batch)
+    return (_batched(ided, "_rs_vid", named(value_col), batch)
             .select("batch_id", F.size("items").cast("long").alias("n_values"),
                     F.concat(F.lit(head), F.array_join("items", "\n")).alias("prompt")))
 
@@ -53,36 +54,36 @@ def build_match_requests(values: DataFrame, term: str, column: str, batch: int =
 def render_records(df: DataFrame, row_id: str = "row_id") -> DataFrame:
     """M2: each row as one JSON object with every column, nulls written:
     ``(row_id, record)``."""
-    return df.select(F.col(row_id),
-                     F.to_json(F.struct(*[F.col(c) for c in df.columns]),
+    return df.select(named(row_id),
+                     F.to_json(F.struct(*[named(c) for c in df.columns]),
                                {"ignoreNullFields": "false"}).alias("record"))
 
 
 def guideline_text(guideline: str | DataFrame, text_col: str = "text") -> str:
-    """The one guideline text: a string, or a one-row DataFrame (checked)."""
+    """The one guideline text: a string, or a one-row DataFrame (checked).
+
+    It is a single document that every request repeats, so its size is set by
+    what a scorer takes, not by the data."""
     if isinstance(guideline, str):
         return guideline
-    # One job; the text travels to the driver only when within the bound.
-    n = F.length(text_col)
-    rows = guideline.select(n.alias("n"), F.when(n <= MAX_GUIDELINE_CHARS, F.col(text_col))
-                            .alias("t")).limit(2).collect()
+    rows = guideline.select(named(text_col).alias("t")).limit(2).collect()
     if len(rows) != 1:
         raise ValueError(f"expected exactly one guideline document, found {len(rows)}+")
-    if (rows[0]["n"] or 0) > MAX_GUIDELINE_CHARS:
-        raise ValueError("guideline text is larger than MAX_GUIDELINE_CHARS")
     return rows[0]["t"] or ""
 
 
 def build_requests(records: DataFrame, guideline: str | DataFrame, term: str, column: str,
-                   batch: int = 50, row_id: str = "row_id", record_col: str = "record") -> DataFrame:
+                   batch: int = 50, row_id: str = "row_id", record_col: str = "record",
+                   partitions: int | None = None) -> DataFrame:
     """M3: guideline + a batch of records + instructions, one request per
     ``batch`` rows: ``(batch_id, row_ids, n_records, prompt)``.
 
-    The guideline is a single bounded document placed in each request as a
-    constant (never joined per row).
+    Batches of records are dealt round-robin over ``partitions`` tasks, and
+    only behind that exchange does the guideline, a constant, join them: what
+    moves are records and row ids. Hand the frame to ``score_requests`` as it is.
     """
     head = REVIEW_HEAD + guideline_text(guideline) + REVIEW_MID.format(column=column, term=term)
-    return (_batched(records, row_id, F.col(record_col), batch)
+    return (spread(_batched(records, row_id, named(record_col), batch), partitions)
             .select("batch_id", "row_ids", F.size("items").cast("long").alias("n_records"),
                     F.concat(F.lit(head), F.array_join("items", "\n"), F.lit(REVIEW_TAIL))
                     .alias("prompt")))

@@ -1,25 +1,20 @@
-"""dense 0-based row ids in the order of a unique key, without funnelling
-all rows through one partition.
-
-Plan for a numeric / date / timestamp leading key:
-  1. one aggregation over the key alone: row count and a grid of approximate
-     quantiles (driver receives at most ~1000 numbers; a finer grid is asked
-     for only when the count needs it);
-  2. the key is mapped to a bucket by a binary-search CASE tree over those
-     bounds (monotone in the key, evaluated in generated code);
-  3. one aggregation gives the exact row count per bucket; running sums of
-     those counts are the bucket offsets (a literal array, no join);
-  4. rows are shuffled by bucket and numbered within it by ``row_number``.
-The ids are the global rank by the key, so they do not depend on the bounds,
-on partitioning, or on task retries: a rerun after a lost executor gives the
-same ids. Buckets hold about ``rows_per_bucket`` rows each because the key is
-unique. Inputs of at most ``rows_per_bucket`` rows form a single bucket, so
-their plan shows one window partition: one task for a bounded number of rows.
-
-Other key types, and inputs beyond ``grid * rows_per_bucket`` rows (the CASE
-tree stays at most ``grid`` leaves): range-partition into partitions of about
-``rows_per_bucket`` rows, sort, write a reliable checkpoint (the shared
-``spark.checkpoint.dir``), then add per-partition offsets.
+"""dense 0-based row ids in the order of a key, without funnelling all rows
+through one task.
+
+One plan for every size and key type:
+  1. one aggregation measures rows and bytes (skipped when the caller knows
+     both); they give the number of range partitions, at most
+     ``rows_per_part`` rows and ``PART_BYTES`` each on average;
+  2. rows are range-partitioned by the key (bounds sampled by Spark), sorted,
+     and written once to the shared folder with their partition and their
+     place in it. A hash of the row is the last sort key, so rows that share
+     a key value spread over partitions too and no key value is one task;
+  3. rows per partition, one small row each, become running offsets, and the
+     ids are offset + place, by a join with that small table.
+
+The ids come from the written rows: readers, retries and lost executors all
+see the same ids, also where the key is not unique (then ids follow the hash
+among equal keys).
 """
 
 from __future__ import annotations
@@ -31,126 +26,53 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import ensure_checkpoint_dir
-
-def _as_number(col: Column, dtype: T.DataType) -> Column | None:
-    if isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
-        return col.cast("long")
-    if isinstance(dtype, (T.FloatType, T.DoubleType, T.DecimalType)):
-        return col.cast("double")
-    if isinstance(dtype, T.DateType):
-        return F.unix_date(col).cast("long")
-    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(col.cast("timestamp"))
-    return None
-
-
-def _bucket_tree(k: Column, bounds: list, lo: int, hi: int) -> Column:
-    """Number of bounds below ``k`` (bounds sorted ascending), as a CASE tree."""
-    if lo == hi:
-        return F.lit(lo)
-    mid = (lo + hi) // 2
-    return F.when(k > F.lit(bounds[mid]), _bucket_tree(k, bounds, mid + 1, hi)) \
-        .otherwise(_bucket_tree(k, bounds, lo, mid))
-
+from ..functions.names import named, refuse_clash
+from ..session import written
 
-def _quantiles(df: DataFrame, k: Column, grid: int, with_count: bool):
-    probs = [i / grid for i in range(1, grid)]
-    aggs = [F.percentile_approx(k, probs, 100 * grid).alias("q")]
-    if with_count:
-        aggs.insert(0, F.count(F.lit(1)).alias("n"))
-    return df.agg(*aggs).first()
+ROWS_PER_PART = 1_000_000
+PART_BYTES = 128 << 20
 
 
-def bucket_by_quantiles(df: DataFrame, key: str, rows_per_bucket: int = 1_000_000,
-                        grid: int = 1024, first_grid: int = 64) -> tuple[Column, int, int] | None:
-    """Monotone bucket expression for ``key`` and (number of buckets, rows).
-
-    The first pass returns the row count and ``first_grid`` quantiles (the
-    cost of ``percentile_approx`` grows with the number of quantiles asked);
-    only inputs that need more buckets get a second pass with a finer grid.
-    Up to ``grid`` buckets (a CASE tree of depth log2(grid)). An input of
-    more than ``grid * rows_per_bucket`` rows gets ``(None, 0, rows)``: it is
-    numbered by range partitions instead (see ``with_row_id``), so no bucket
-    grows past ``rows_per_bucket``.
-    """
-    k = _as_number(F.col(key), df.schema[key].dataType)
-    if k is None:
-        return None
-    row = _quantiles(df, k, first_grid, with_count=True)
-    n_rows = int(row["n"])
-    if n_rows > grid * rows_per_bucket:
-        return None, 0, n_rows
-    n_buckets = max(1, min(grid, math.ceil(n_rows / max(1, rows_per_bucket))))
-    used_grid, qs = first_grid, row["q"] or []
-    if n_buckets > first_grid:
-        used_grid, qs = grid, _quantiles(df, k, grid, with_count=False)["q"] or []
-        n_buckets = min(n_buckets, used_grid)
-    picks = [qs[int(j * used_grid / n_buckets) - 1] for j in range(1, n_buckets)] if qs else []
-    bounds = sorted({b for b in picks if b is not None})
-    expr = F.when(k.isNull(), F.lit(0)).otherwise(_bucket_tree(k, bounds, 0, len(bounds)))
-    return expr, len(bounds) + 1, n_rows
+def _width(f: T.StructField) -> Column:
+    """Bytes of a value, as far as they can vary."""
+    c = named(f.name)
+    if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(c), F.lit(0)) + 16
+    if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
+        return F.coalesce(F.length(F.to_json(F.struct(c))), F.lit(0)) + 16
+    return F.lit(16)
 
 
-def _offsets(counts: dict[int, int], n: int) -> Column:
-    acc, out = 0, []
-    for b in range(n):
-        out.append(acc)
-        acc += counts.get(b, 0)
-    return F.array(*[F.lit(o).cast("long") for o in out])
+def _parts(df: DataFrame, rows_per_part: int, stats: dict | None) -> int:
+    width = F.lit(0)
+    for f in df.schema.fields:
+        if not isinstance(f.dataType, T.VariantType):
+            width = width + _width(f)
+    size = df.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(width.cast("long")), F.lit(0)).alias("bytes")).first()
+    if stats is not None:
+        stats["rows"] = int(size["rows"])
+    return max(1, math.ceil(size["rows"] / max(1, rows_per_part)), math.ceil(size["bytes"] / PART_BYTES))
 
 
 def with_row_id(df: DataFrame, order_by: str | Sequence[str], name: str = "row_id",
-                rows_per_bucket: int = 1_000_000, stats: dict | None = None,
-                rows: int | None = None, grid: int = 1024) -> DataFrame:
-    """Add ``name``: 0, 1, 2, ... in ascending order of ``order_by`` (unique).
+                rows_per_part: int = ROWS_PER_PART, stats: dict | None = None) -> DataFrame:
+    """Add ``name``: 0, 1, 2, ... in ascending order of ``order_by``, nulls first.
 
-    ``stats``, when given, receives ``rows`` (the row count, F7) at no extra cost.
-    ``rows``, when the caller already knows the exact row count (e.g. from an
-    observation while the input was written), lets an input of at most one
-    bucket skip the quantile pass.
+    ``stats``, when given, receives ``rows`` (the row count, F7). A column of
+    that name in ``df`` is an error, not replaced.
     """
+    refuse_clash(df.columns, name)
     keys = [order_by] if isinstance(order_by, str) else list(order_by)
-    if rows is not None and rows <= rows_per_bucket:
-        plan = (F.lit(0), 1, rows)
-    else:
-        plan = bucket_by_quantiles(df, keys[0], rows_per_bucket, grid=grid)
-    if plan is not None and plan[0] is None:  # too many rows for the bucket grid
-        parts = math.ceil(plan[2] / max(1, rows_per_bucket))
-        return _row_id_by_checkpoint(df, keys, name, stats, parts)
-    if plan is not None:
-        bucket, n_buckets, n_rows = plan
-        if stats is not None:
-            stats["rows"] = n_rows
-        tagged = df.withColumn("_rs_bucket", bucket)
-        if n_buckets == 1:  # the first pass already counted the only bucket
-            counts = {0: n_rows}
-        else:
-            counts = {r[0]: r[1] for r in tagged.groupBy("_rs_bucket").count().collect()}
-        offsets = _offsets(counts, n_buckets)
-        w = Window.partitionBy("_rs_bucket").orderBy(*keys)
-        return (tagged
-                .withColumn(name, F.element_at(offsets, F.col("_rs_bucket") + 1)
-                            + F.row_number().over(w) - 1)
-                .drop("_rs_bucket"))
-    return _row_id_by_checkpoint(df, keys, name, stats)
-
-
-def _row_id_by_checkpoint(df: DataFrame, keys: list[str], name: str,
-                          stats: dict | None, parts: int | None = None) -> DataFrame:
-    """Range partitions (bounds sampled by Spark), sorted, written to the
-    shared folder; offsets from the exact count per partition."""
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).checkpoint(eager=True)
-    tagged = ranged.withColumn("_rs_part", F.spark_partition_id())
-    counts = {r[0]: r[1] for r in tagged.groupBy("_rs_part").count().collect()}
-    if stats is not None:
-        stats["rows"] = sum(counts.values())
-    n_parts = max(counts) + 1 if counts else 1
-    offsets = _offsets(counts, n_parts)
-    local = F.monotonically_increasing_id() - F.shiftleft(F.col("_rs_part").cast("long"), 33)
-    return (tagged
-            .withColumn(name, F.element_at(offsets, F.col("_rs_part") + 1) + local)
-            .drop("_rs_part"))
+    parts = _parts(df, rows_per_part, stats)
+    hashed = [named(f.name) for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    order = [*[named(k) for k in keys], F.col("_rs_tie")]
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    ranged = written(df.withColumn("_rs_tie", F.xxhash64(*hashed) if hashed else F.lit(0))
+                     .repartitionByRange(parts, *order).sortWithinPartitions(*order)
+                     .withColumn("_rs_part", F.spark_partition_id()).withColumn("_rs_place", place).drop("_rs_tie"), "row-ids")
+    counts = ranged.groupBy("_rs_part").agg(F.count(F.lit(1)).alias("_rs_n"))  # one row per partition
+    before = Window.orderBy("_rs_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_rs_part", F.coalesce(F.sum("_rs_n").over(before), F.lit(0)).alias("_rs_offset"))
+    return (ranged.join(F.broadcast(offsets), "_rs_part")  # a row per about PART_BYTES of data
+            .withColumn(name, F.col("_rs_offset") + F.col("_rs_place"))
+            .drop("_rs_part", "_rs_place", "_rs_offset"))

@@ -22,7 +22,7 @@ class RunLog:
 
     def add(self, step: str, message: str, rows: int | None = None) -> None:
         self.entries.append((step, message, None if rows is None else int(rows),
-                             dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)))
+                             dt.datetime.now(dt.timezone.utc)))
 
     def to_df(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(self.entries, LOG_SCHEMA)
@@ -32,11 +32,3 @@ class RunLog:
 
     def messages(self) -> list[str]:
         return [m for _, m, _, _ in self.entries]
-
-
-def run_log(spark: SparkSession, entries) -> DataFrame:
-    """K6 as a function: a DataFrame from ``(step, message, rows)`` entries."""
-    log = RunLog()
-    for step, message, rows in entries:
-        log.add(step, message, rows)
-    return log.to_df(spark)

@@ -1,19 +1,19 @@
 """Scorers: M4 score_requests (a user callable) and M5 evaluate_rules (an
 offline rules table).
 
-M4 runs the callable in Python workers through ``mapInPandas``; requests are
-dealt round-robin over ``partitions`` tasks (see ``spread``), and the
-callable is created once per task by ``make_scorer``. A failing or empty
-reply becomes an error row, never a lost job. Write or checkpoint the output before using it twice, so a
-paid call is never repeated (see plans.analyze).
-
-M5 compiles a small rules table into one Column expression: no join, no
-Python, whole-stage codegen.
+M4 runs the callable in Python workers through ``mapInPandas``, one task per
+partition of the requests (``build_requests`` deals them out; ``partitions``
+deals out others), and creates it once per task by ``make_scorer``. A failing
+or empty reply becomes an error row, never a lost job. The replies are written
+to the shared folder and read back, so a paid call is never repeated however
+many readers there are.
+
+M5 compiles a rules table into two Column expressions: no join, no Python.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import json
 from typing import Callable, Iterable, Sequence
 
 import pandas as pd
@@ -21,17 +21,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.names import has_name, named, refuse_clash
 from ..functions.text import contains_literal, contains_pattern
-from ..session import ship_package
-
-MAX_RULES = 1000
+from ..session import ship_package, written
 
 
 def score_requests(requests: DataFrame, scorer: Callable[[str], str] | None = None,
                    make_scorer: Callable[[], Callable[[str], str]] | None = None,
                    retries: int = 1, partitions: int | None = None,
                    keep: Sequence[str] = ("row_ids", "n_records")) -> DataFrame:
-    """M4: ``(batch_id, *keep, response, error)`` for every request."""
+    """M4: ``(batch_id, *keep, response, error)`` for every request.
+
+    Runs now: every request is sent once, the replies are on disk after it.
+    ``partitions`` deals the requests round-robin over so many tasks first;
+    requests of ``build_requests`` are dealt out already."""
     if (scorer is None) == (make_scorer is None):
         raise ValueError("give exactly one of scorer / make_scorer")
     kept = [c for c in keep if c in requests.columns]
@@ -62,7 +65,8 @@ def score_requests(requests: DataFrame, scorer: Callable[[str], str] | None = No
             yield out
 
     ship_package(requests.sparkSession)
-    return spread(requests.select(*cols), partitions).mapInPandas(run, schema)
+    rows = requests.select(*cols)
+    return written((spread(rows, partitions) if partitions else rows).mapInPandas(run, schema), "replies")
 
 
 def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
@@ -94,31 +98,26 @@ _OPS = {
 
 
 def _rule_test(df: DataFrame, column: str, op: str, value: str | None) -> Column:
-    if column not in df.columns:
+    if not has_name(column, df.columns):
         raise ValueError(f"Column '{column}' not found in the table.")
     kind = _OPS.get((op or "").strip().lower())
     if kind is None:
         raise ValueError(f"unknown rule operator {op!r}")
-    c = F.col(column)
+    c = named(column)
     if kind == "contains":
         return contains_literal(c, value or "")
     if kind == "matches":
         return contains_pattern(c, value or "")
-    target = F.lit(value).try_cast(df.schema[column].dataType)
+    target = F.lit(value).try_cast(df.select(c).schema[0].dataType)
     return {"eq": c == target, "ne": c != target, "lt": c < target,
             "le": c <= target, "gt": c > target, "ge": c >= target}[kind]
 
 
 def _rule_rows(rules: DataFrame | Sequence[tuple]) -> list[tuple]:
+    """The rules in rule_id order; they become part of the plan, whatever their number."""
     if isinstance(rules, DataFrame):
-        rows = (rules.select("rule_id", "column", "op", "value", "note")
-                .orderBy("rule_id").limit(MAX_RULES + 1).collect())
-        rows = [tuple(r) for r in rows]
-    else:
-        rows = sorted((tuple(r) for r in rules), key=lambda r: r[0])
-    if len(rows) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules")
-    return rows
+        return [tuple(r) for r in rules.select("rule_id", "column", "op", "value", "note").orderBy("rule_id").collect()]
+    return sorted((tuple(r) for r in rules), key=lambda r: r[0])
 
 
 def evaluate_rules(df: DataFrame, rules: DataFrame | Sequence[tuple],
@@ -126,11 +125,19 @@ def evaluate_rules(df: DataFrame, rules: DataFrame | Sequence[tuple],
                    sep: str = "; ") -> DataFrame:
     """M5: verdict = at least one rule passes; notes = the notes of the failed
     rules in rule_id order joined by ``sep`` ('' when none failed). A null
-    field, or a rule value that does not convert to the column type, fails."""
+    field, or a rule value that does not convert to the column type, fails.
+
+    Each rule is tested once, into one array of booleans; verdict and notes
+    read that array, so thousands of rules make a wide plan and not a deep
+    one. A column of ``df`` with one of the two names is an error: name the
+    outputs differently."""
+    refuse_clash(df.columns, verdict_col, notes_col)
     rows = _rule_rows(rules)
-    passes = [F.coalesce(_rule_test(df, col, op, val), F.lit(False)) for _, col, op, val, _ in rows]
-    verdict = reduce(lambda a, b: a | b, passes) if passes else F.lit(False)
-    notes = F.array_join(F.array_compact(F.array(*[
-        F.when(~p, F.lit(note or "")) for p, (_, _, _, _, note) in zip(passes, rows)
-    ] or [F.lit(None).cast("string")])), sep)
-    return df.withColumn(verdict_col, verdict).withColumn(notes_col, notes)
+    if not rows:
+        return df.withColumn(verdict_col, F.lit(False)).withColumn(notes_col, F.lit(""))
+    passes = F.array(*[F.coalesce(_rule_test(df, col, op, val), F.lit(False)) for _, col, op, val, _ in rows])
+    texts = F.from_json(F.lit(json.dumps([note or "" for *_, note in rows])), "array<string>")  # folded to a constant
+    failed = F.filter(texts, lambda t, i: ~F.get(F.col("_rs_pass"), i))
+    return (df.withColumn("_rs_pass", passes)
+            .withColumn(verdict_col, F.array_contains("_rs_pass", True))
+            .withColumn(notes_col, F.array_join(failed, sep)).drop("_rs_pass"))

@@ -8,12 +8,13 @@
                      -> R5 quarantine -> R3 explode -> R4 standardise -> R7 merge
   -> K5 both outputs, K6 run log
 
-The source is read once: the filter runs in the scan stage and the kept rows
-are written to the shared checkpoint folder, counted on the way; row ids,
-requests and the merge read only those. The scorer's replies are
-written to the shared checkpoint folder before they are used twice, so an
-executor lost later never causes a second paid call. Output rows carry the
-original fields unchanged (joined by row id, never echoed by the scorer).
+The source is read once by the filter, and once before for its distinct values
+when a matcher is given (value sets too large to inline add the reads of the
+keyed join). The kept rows are written to the shared folder, counted on the
+way; row ids, requests and the merge read only those. The scorer's replies are
+written before they are used, so an executor lost later never causes a second
+paid call. Output rows carry the original fields unchanged (joined by row id,
+never echoed by the scorer); further fields of the replies become columns.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from typing import Callable, Sequence
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.names import free_name, named
 from ..functions.text import clean_term
 from ..functions.verdict import NOTES_FIELD, VERDICT_FIELD
 from ..operators.filters import distinct_values, filter_related
@@ -33,15 +35,17 @@ from ..operators.replies import (
     merge_verdicts,
     parse_replies,
     quarantine,
+    record_fields,
     standardize,
 )
-from ..operators.requests import build_requests, render_records
+from ..operators.requests import build_requests, guideline_text, render_records
 from ..operators.rowid import with_row_id
 from ..operators.runlog import RunLog
 from ..operators.scoring import evaluate_rules, score_requests
-from ..session import ensure_checkpoint_dir
+from ..session import written
 from ..sources.documents import assemble_document
-from ..sources.tables import read_table, require_column
+from ..sources.formats import read_options
+from ..sources.tables import default_column, read_table, require_column
 from ..sources.writers import write_results
 
 
@@ -60,78 +64,102 @@ def _is_rules(scorer) -> bool:
                                              and not callable(scorer))
 
 
-def analyze(spark: SparkSession, source: str, table: str, column: str, term: str,
+def _reserve(name: str, taken: list[str]) -> str:
+    """The first free form of ``name``, which then is taken too."""
+    out = free_name(name, taken)
+    taken.append(out)
+    return out
+
+
+def analyze(spark: SparkSession, source: str, table: str, column: str | None, term: str,
             order_by: str, scorer: DataFrame | Sequence[tuple] | Callable[[str], str],
             out_dir: str, pages: DataFrame | None = None, guideline_doc=None,
             doc_col: str = "doc_id", page_col: str = "page_no", text_col: str = "text",
             option: str = "new_file", matcher=None, literal: bool = False,
             batch: int = 50, input_name: str | None = None, format: str = "parquet",
             output_names: tuple[str, str] = (VERDICT_FIELD, NOTES_FIELD),
-            log_path: str | None = None) -> Review:
-    """Run the review; see the module notes. ``log_path`` appends the run log."""
+            log_path: str | None = None, schema=None, out_format: str | None = None,
+            null_as: str | None = None, lower_term: bool = False,
+            json_target: str | None = None, table_source: str | None = None) -> Review:
+    """Run the review; see the module notes. ``log_path`` appends the run log.
+
+    ``format`` (and ``schema``) read the source, ``out_format`` writes the
+    result table (default: the same); without ``column`` the default column is
+    used. All source columns come out unchanged; an added column whose name is
+    taken gets the suffix ``_1``, ``_2``, ...
+    """
     log = RunLog()
+    out_format = out_format or format
     term = clean_term(term)
-    df = read_table(spark, source, table)
-    require_column(df, column)
-    log.add("start", f"Processing rows where {column} contains '{term}' in table {table}")
+    # Guards first: nothing is filtered, and nobody is paid, before they pass.
+    df = read_table(spark, source, table, format=format, schema=schema)
+    column = require_column(df, column or default_column(df))
+    require_column(df, order_by)
+    by_rules = _is_rules(scorer)
+    text = None
+    if not by_rules:
+        if pages is None:
+            raise ValueError("The scorer needs the pages of a guideline.")
+        docs = assemble_document(pages, doc_col, page_col, text_col)
+        chosen = docs.where(named(doc_col) == F.lit(guideline_doc)) if guideline_doc is not None else docs
+        text = guideline_text(chosen.select(named(text_col)), text_col)
+    log.add("start", f"Review of {table}: {column} against '{term}'")
+
+    taken = list(df.columns)
+    rid, vname, nname, raw = [_reserve(n, taken) for n in ("row_id", *output_names, "verdict_raw")]
 
     matches = None
     if matcher is not None:
-        values = distinct_values(df, column, order_by=order_by, limit=None)
+        # Filtered by name only: the values are read once, the matches written once.
+        values = distinct_values(df, column, order_by=order_by, limit=None, null_as=null_as)
         matches = match_values(values, term, matcher)
-        if not isinstance(matcher, DataFrame):
-            ensure_checkpoint_dir(spark)
-            matches = matches.checkpoint(eager=True)
-        log.add("match", f"Matched related values for '{term}'")
+        log.add("match", f"Values related to '{term}' looked up")
 
-    # The source is scanned once: the kept rows go to the shared folder,
+    # The filter scans the source; the kept rows go to the shared folder,
     # counted on the way (F7). Row ids, requests and the merge then read that
     # snapshot only, and an empty result ends the run before any other job.
-    ensure_checkpoint_dir(spark)
     seen_rows = Observation("kept")
-    kept = (filter_related(df, column, term, matches, literal=literal)
-            .observe(seen_rows, F.count(F.lit(1)).alias("rows"))
-            .checkpoint(eager=True))
+    kept = written(filter_related(df, column, term, matches, literal=literal, null_as=null_as, lower_term=lower_term)
+                   .observe(seen_rows, F.count(F.lit(1)).alias("rows")), "kept")
     n = int(seen_rows.get["rows"])
     if n == 0:
-        log.add("filter", f"No data found where {column} contains '{term}'.", 0)
+        log.add("filter", f"No data found: no {column} relates to '{term}'", 0)
         if log_path:
             log.append(spark, log_path)
         return Review(None, None, {}, log, 0)
-    log.add("filter", f"Found {n} records where {column} contains '{term}'", n)
-    kept = with_row_id(kept, order_by, rows=n)
+    log.add("filter", f"{n} rows relate to '{term}'", n)
+    numbered = with_row_id(kept, order_by, name=rid)  # written: requests and merge see the same ids
 
     errors = None
-    if _is_rules(scorer):
-        judged = evaluate_rules(kept, scorer).withColumn("verdict_raw", F.lit(None).cast("string"))
+    if by_rules:
+        judged = evaluate_rules(numbered, scorer, vname, nname).withColumn(raw, F.lit(None).cast("string"))
     else:
-        if pages is None:
-            raise ValueError("Please give the guideline pages.")
-        # Requests and the merge number the same snapshot (the checkpoint
-        # above), and the ids are the rank by ``order_by``: both get the same
-        # ids even if files are added to the source meanwhile.
-        docs = assemble_document(pages, doc_col, page_col, text_col)
-        guideline = docs.where(F.col(doc_col) == F.lit(guideline_doc)) if guideline_doc is not None else docs
-        requests = build_requests(render_records(kept), guideline.select(text_col), term, column, batch)
-        # Paid calls run once: the replies, parsed, go to the shared folder;
-        # the rejected ones are counted while they are written.
+        requests = build_requests(render_records(numbered, rid), text, term, column, batch, row_id=rid)
+        # Paid calls run once: M4 writes the replies. The parsed ones go to the
+        # shared folder too, the rejected ones counted on the way.
         obs = Observation("replies")
-        parsed = parse_replies(score_requests(requests, scorer)).observe(
-            obs, F.count(F.lit(1)).alias("replies"),
-            F.count(F.col("reason")).alias("rejected"))
-        replies = parsed.checkpoint(eager=True)
+        replies = written(parse_replies(score_requests(requests, scorer)).observe(
+            obs, F.count(F.lit(1)).alias("replies"), F.count(F.col("reason")).alias("rejected")), "parsed")
         good, errors = quarantine(replies)
-        verdicts = standardize(explode_records(good))
-        judged = merge_verdicts(kept, verdicts)
+        records = standardize(explode_records(good), id_field=rid)
+        strays = records.where(F.col("reason").isNotNull()).select("batch_id", "reason", F.to_json("record").alias("response"))
+        errors = errors.unionByName(strays, allowMissingColumns=True)
+        # Whatever else the reply says beside the echoed fields becomes columns.
+        fields, more = record_fields(records, without=[*taken, *output_names])
+        extra = [*fields, *([] if more is None else [more])]
+        pool = [*taken, *records.columns]
+        shown = [_reserve(c, pool) for c in records.select(*extra).columns]
+        verdicts = records.select("*", *[c.alias(name) for c, name in zip(extra, shown)])
+        judged = merge_verdicts(numbered, verdicts, key=rid, names=(vname, nname, raw), extra=shown)
         seen = obs.get
         log.add("score", f"{seen['rejected']} of {seen['replies']} replies set aside",
                 seen["rejected"])
 
-    vname, nname = output_names
-    final = (judged.withColumnRenamed("verdict", vname).withColumnRenamed("notes", nname))
-    outputs = write_results(final, out_dir, input_name or table, table, column, option, format)
-    log.add("write", f"Results saved to {outputs['json_path']} and {outputs['table_path']}", n)
+    outputs = write_results(judged, out_dir, input_name or table, table, column, option, out_format,
+                            json_target=json_target, table_source=table_source)
+    log.add("write", f"Results in {outputs['json_path']} and {outputs['table_path']}", n)
     if log_path:
         log.append(spark, log_path)
-    result = spark.read.format(format).load(outputs["table_path"])
+    result = spark.read.format(out_format).options(**read_options(out_format, judged.schema)).schema(judged.schema) \
+        .load(outputs["table_path"])
     return Review(result, errors, outputs, log, n)

@@ -42,3 +42,12 @@ def price_reviewer(prompt: str) -> str:
         rec["Notes on Compliance"] = ABOVE if ok else AT_OR_BELOW
         out.append(rec)
     return "Here is the review:\n" + json.dumps(out)
+
+
+def advising_reviewer(prompt: str) -> str:
+    """``price_reviewer`` that also recommends what to do with accepted records."""
+    records = json.loads(price_reviewer(prompt).split("\n", 1)[1])
+    for rec in records:
+        if rec["Meets Guidelines"] == "True":
+            rec["Recommendation"] = "accept"
+    return json.dumps(records)

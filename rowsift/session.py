@@ -62,6 +62,19 @@ def shared_dir(spark: SparkSession, *parts: str) -> str:
     return "/".join([_checkpoint_base(spark), "rowsift", *parts, uuid.uuid4().hex])
 
 
+def written(df, name: str):
+    """``df`` written once as Parquet in the shared folder and read back.
+
+    What follows reads the files: a paid call, an expensive plan or an order
+    with ties is evaluated once, however many readers there are, and a lost
+    executor costs a re-read.
+    """
+    spark = df.sparkSession
+    path = shared_dir(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Make ``DataFrame.checkpoint()`` usable, keeping a configured folder."""
     _checkpoint_base(spark)

@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.names import named
+
 
 def _sorted_join(items: Column, sep: str) -> Column:
     return F.array_join(F.transform(F.array_sort(items), lambda x: x["t"]), sep)
@@ -23,18 +25,11 @@ def assemble_document(pages: DataFrame, doc: str = "doc_id", page_no: str = "pag
                       text: str = "text", sep: str = "\n",
                       pages_per_part: int | None = 1024) -> DataFrame:
     """Return ``(doc, text)``: each document's pages joined in page order."""
-    t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    p = F.col(page_no)
-    if not pages_per_part:
-        return (pages.groupBy(doc)
-                .agg(_sorted_join(F.collect_list(F.struct(p.alias("p"), t.alias("t"))), sep)
-                     .alias(text)))
-    parts = (pages
-             .groupBy(F.col(doc).alias(doc), F.floor(p / pages_per_part).alias("_part"))
-             .agg(F.min(p).alias("_first"),
-                  _sorted_join(F.collect_list(F.struct(p.alias("p"), t.alias("t"))), sep)
-                  .alias("_text")))
-    return (parts.groupBy(doc)
-            .agg(_sorted_join(F.collect_list(F.struct(F.col("_first").alias("p"),
-                                                       F.col("_text").alias("t"))), sep)
-                 .alias(text)))
+    t = F.coalesce(named(text).cast("string"), F.lit(""))
+    p = named(page_no)
+    keyed = pages.select(named(doc).alias("_rs_doc"), p.alias("p"), t.alias("t"))
+    if pages_per_part:
+        keyed = (keyed.groupBy("_rs_doc", F.floor(F.col("p") / pages_per_part).alias("_rs_part"))
+                 .agg(F.min("p").alias("p"), _sorted_join(F.collect_list(F.struct("p", "t")), sep).alias("t")))
+    return (keyed.groupBy("_rs_doc").agg(_sorted_join(F.collect_list(F.struct("p", "t")), sep).alias("_rs_text"))
+            .select(F.col("_rs_doc").alias(doc), F.col("_rs_text").alias(text)))

@@ -16,6 +16,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
+from py4j.protocol import Py4JJavaError
+
+from ..functions.names import has_name, refuse_clash
+from .formats import read_options
 
 CATALOG_PREFIX = "catalog:"
 KNOWN_FORMATS = ("parquet", "orc", "csv", "json", "text")
@@ -25,14 +29,8 @@ DEFAULT_TABLE = "Sheet1"
 
 
 def _reader(spark: SparkSession, fmt: str, schema: T.StructType | str | None):
-    r = spark.read.format(fmt)
-    if schema is not None:
-        r = r.schema(schema)
-    if fmt == "csv":
-        r = r.option("header", "true")
-        if schema is None:
-            r = r.option("inferSchema", "true")
-    return r
+    r = spark.read.format(fmt).options(**read_options(fmt, schema))
+    return r.schema(schema) if schema is not None else r
 
 
 def read_table(spark: SparkSession, source: str, table: str | None = None,
@@ -66,54 +64,33 @@ def _missing(table: str, available: Sequence[str]) -> str:
     return f"Table '{table}' not found. Available tables: {', '.join(available)}"
 
 
-def _strip_scheme(path: str) -> str:
-    return re.sub(r"^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?", "", path).rstrip("/")
-
-
 _TABLES_SCHEMA = T.StructType([T.StructField("table_name", T.StringType(), False)])
 
 
-def list_tables(spark: SparkSession, source: str) -> DataFrame:
-    """Names of the tables in a source, sorted; empty when unreadable.
+def list_table_names(spark: SparkSession, source: str) -> list[str]:
+    """Names of the tables in a source, sorted; none when unreadable.
 
-    File sources are listed by Spark's own file index (parallel listing for
-    large folders); file contents are never read. Hidden entries (``_x``,
-    ``.x``) are skipped as Spark's readers skip them.
-    """
+    A folder is listed one level deep by the file system itself, whatever lies
+    below; nothing is opened. Hidden entries (``_x``, ``.x``) are skipped as
+    Spark's readers skip them."""
     if source.startswith(CATALOG_PREFIX):
-        db = source[len(CATALOG_PREFIX):] or None
         try:
-            names = [t.name for t in spark.catalog.listTables(db)]
+            return sorted(t.name for t in spark.catalog.listTables(source[len(CATALOG_PREFIX):] or None))
         except AnalysisException:
-            names = []
-        return spark.createDataFrame([(n,) for n in sorted(names)], _TABLES_SCHEMA)
-    base = _strip_scheme(source)
+            return []
     try:
-        files = (spark.read.format("binaryFile")
-                 .option("recursiveFileLookup", "true")
-                 .load(source)
-                 .select("path"))
-        files.schema  # noqa: B018
-    except AnalysisException:
-        return spark.createDataFrame([], _TABLES_SCHEMA)
-    rel = F.substring_index(F.col("path"), base + "/", -1)
-    first = F.split(rel, "/").getItem(0)
-    ext = "|".join(KNOWN_FORMATS)
-    name = F.regexp_replace(first, rf"\.({ext})$", "")
-    return (files.select(name.alias("table_name"))
-            .where(~F.col("table_name").startswith("_") & ~F.col("table_name").startswith("."))
-            .distinct()
-            .orderBy("table_name"))
-
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(source)
+        entries = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
+    except Py4JJavaError:  # absent, or not readable
+        return []
+    names = {e.getPath().getName() for e in entries}
+    tables = {re.sub(rf"\.({'|'.join(KNOWN_FORMATS)})$", "", n) for n in names}
+    return sorted(t for t in tables if t and not t.startswith(("_", ".")))
 
-MAX_LISTED = 1000
 
-
-def list_table_names(spark: SparkSession, source: str, limit: int = MAX_LISTED) -> list[str]:
-    """S2 on the driver, for messages: the first ``limit`` table names, with
-    ``...`` appended when there are more."""
-    names = [r.table_name for r in list_tables(spark, source).limit(limit + 1).collect()]
-    return names[:limit] + ["..."] if len(names) > limit else names
+def list_tables(spark: SparkSession, source: str) -> DataFrame:
+    """Names of the tables in a source, sorted (see ``list_table_names``)."""
+    return spark.createDataFrame([(n,) for n in list_table_names(spark, source)], _TABLES_SCHEMA)
 
 
 def list_columns(df: DataFrame) -> DataFrame:
@@ -135,9 +112,9 @@ def default_column(df: DataFrame) -> str | None:
 def require_column(df: DataFrame, column: str | None) -> str:
     """Guard: a column must be given and exist."""
     if not column:
-        raise ValueError("Please select a column to filter by.")
-    if column not in df.columns:
-        raise ValueError(f"Column '{column}' not found in the table.")
+        raise ValueError("A filter column is needed.")
+    if not has_name(column, df.columns):
+        raise ValueError(f"Column '{column}' not found; the table has: {', '.join(df.columns)}")
     return column
 
 
@@ -145,9 +122,10 @@ def read_many(spark: SparkSession, paths: str | Sequence[str], format: str = "pa
               schema: T.StructType | str | None = None,
               file_column: str = "source_file") -> DataFrame:
     """The same table read from many files (a glob or a list), with the
-    name of the file each row came from. Spark lists and splits the files;
-    the name comes from the hidden ``_metadata`` column at no extra cost."""
+    path of the file each row came from. Spark lists and splits the files;
+    the path comes from the hidden ``_metadata`` column at no extra cost."""
     if isinstance(paths, str):
         paths = [paths]
     df = _reader(spark, format, schema).load(list(paths))
-    return df.withColumn(file_column, F.col("_metadata.file_name"))
+    refuse_clash(df.columns, file_column)
+    return df.withColumn(file_column, F.col("_metadata.file_path"))

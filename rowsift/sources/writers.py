@@ -4,8 +4,8 @@ K5 write_results.
 JSON results are JSON Lines folders (one record per line, nulls written as
 ``null``), written by the executors in parallel. Folders we write carry a
 hidden ``_rowsift_records`` marker, so appending to them needs no validation
-scan; any other target is scanned once and refused unless every line is a
-JSON object.
+scan; any other target is scanned and refused unless every line is a JSON
+object or every file a list of them.
 
 Single-writer rule: "check, then write" (K2, K4) is not atomic on a shared
 folder; one job at a time may append to a given target.
@@ -20,12 +20,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.jsontext import parse_strict
+from .formats import write_options
 
-JSON_OPTIONS = {"ignoreNullFields": "false"}
 MARKER = "_rowsift_records"
 # Output name pattern and refusal messages.
 NAME_SUFFIX = "_Analyzed"
-NOT_A_LIST = "Existing JSON file is not in the expected list format"
+NOT_A_LIST = "the target holds something else than JSON records; nothing was added"
 
 
 def _fs_path(spark: SparkSession, path: str):
@@ -57,36 +57,54 @@ def write_json(df: DataFrame, path: str, mode: str = "new") -> str:
     """K1: a new JSON result set (``mode="new"`` refuses an existing target;
     ``"overwrite"`` replaces it)."""
     spark_mode = {"new": "errorifexists", "overwrite": "overwrite"}[mode]
-    df.write.mode(spark_mode).options(**JSON_OPTIONS).json(path)
+    df.write.mode(spark_mode).options(**write_options("json")).json(path)
     _mark(df.sparkSession, path)
     return path
 
 
-def check_json_records(spark: SparkSession, path: str) -> None:
-    """Refuse a target that is not a set of JSON records (one object per line)."""
+def json_records_form(spark: SparkSession, path: str) -> str:
+    """How a target holds JSON records: ``"lines"`` (one object per line) or
+    ``"lists"`` (each file one list of objects, on any number of lines).
+    Anything else is refused."""
     if _exists(spark, f"{path.rstrip('/')}/{MARKER}"):
-        return
+        return "lines"
     lines = spark.read.format("text").load(path)
     blank = F.trim(F.col("value")) == ""
     v = parse_strict("value")
     bad = lines.where(~blank & (v.isNull() | ~F.schema_of_variant(v).startswith("OBJECT")))
-    if not bad.isEmpty():
+    if bad.isEmpty():
+        return "lines"
+    whole = spark.read.format("text").option("wholetext", "true").load(path).withColumn("_rs_v", parse_strict("value"))
+    items = F.try_variant_get("_rs_v", "$", "array<variant>")
+    odd = (items.isNull() | ~F.schema_of_variant("_rs_v").startswith("ARRAY")
+           | F.exists(items, lambda e: ~F.schema_of_variant(e).startswith("OBJECT")))
+    if not whole.where(F.coalesce(odd, F.lit(True))).isEmpty():
         raise ValueError(NOT_A_LIST)
+    return "lists"
 
 
 def append_json(df: DataFrame, path: str, create_missing: bool = True) -> str:
     """K2: add records to an existing set (old rows kept, keys may differ).
 
     A missing target is created (``create_missing``) or refused; a target that
-    is not JSON records is refused and left unchanged.
+    is not JSON records is refused and left unchanged. A target of indented
+    lists (one per file) becomes a folder of JSON lines: old and new records
+    are written beside it, and only then take its place.
     """
     spark = df.sparkSession
     if not _exists(spark, path):
         if not create_missing:
             raise FileNotFoundError(path)
         return write_json(df, path)
-    check_json_records(spark, path)
-    df.write.mode("append").options(**JSON_OPTIONS).json(path)
+    if json_records_form(spark, path) == "lists":
+        old = read_json(spark, path, multi_line=True)
+        fresh = f"{path.rstrip('/')}_rs_new"
+        write_json(old.unionByName(df, allowMissingColumns=True), fresh, mode="overwrite")
+        fs, target = _fs_path(spark, path)
+        fs.delete(target, True)
+        fs.rename(_fs_path(spark, fresh)[1], target)
+        return path
+    df.write.mode("append").options(**write_options("json")).json(path)
     _mark(spark, path)
     return path
 
@@ -106,7 +124,7 @@ def read_json(spark: SparkSession, path: str, schema=None, multi_line: bool = Fa
 def write_table(df: DataFrame, source: str, table: str, format: str = "parquet") -> str:
     """K3: a new result table in a source; refuses an existing table."""
     path = f"{source.rstrip('/')}/{table}"
-    df.write.mode("errorifexists").format(format).save(path)
+    df.write.mode("errorifexists").format(format).options(**write_options(format)).save(path)
     return path
 
 
@@ -133,9 +151,13 @@ def output_names(input_name: str, sheet: str, column: str) -> tuple[str, str]:
 
 def write_results(df: DataFrame, out_dir: str, input_name: str, sheet: str, column: str,
                   option: str = "new_file", format: str = "parquet",
-                  persist: bool = True) -> dict:
+                  persist: bool = True, json_target: str | None = None,
+                  table_source: str | None = None) -> dict:
     """K5: both outputs of one result. ``new_file`` = K1 + K3, ``same_file`` =
     K2 + K4. JSON goes first; a failed JSON write raises and skips the table.
+    ``json_target`` is the JSON set to write or add to and ``table_source`` the
+    folder that gets the table; by default both lie in ``out_dir`` under the
+    derived names.
 
     The result is persisted (memory and disk) for the two writes; lost blocks
     are recomputed from lineage, which callers keep deterministic.
@@ -146,16 +168,17 @@ def write_results(df: DataFrame, out_dir: str, input_name: str, sheet: str, colu
     out_dir = out_dir.rstrip("/")
     src = df.persist(StorageLevel.MEMORY_AND_DISK) if persist else df
     try:
-        json_path = f"{out_dir}/{json_name}.json"
+        json_path = json_target or f"{out_dir}/{json_name}.json"
+        home = (table_source or out_dir).rstrip("/")
         if option == "new_file":
             write_json(src, json_path)
             used = table_name
-            write_table(src, out_dir, used, format)
+            write_table(src, home, used, format)
         else:
             append_json(src, json_path)
-            used = add_table(src, out_dir, table_name, format)
+            used = add_table(src, home, table_name, format)
     finally:
         if persist:
             src.unpersist()
     return {"json_path": json_path, "table_name": used,
-            "table_path": f"{out_dir}/{used}"}
+            "table_path": f"{home}/{used}"}

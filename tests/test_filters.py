@@ -54,7 +54,7 @@ def test_guards(records):
         filter_contains(records, "Nope", "x")
     with pytest.raises(ValueError, match="search term"):
         filter_contains(records, "DiseaseName", "   ")
-    with pytest.raises(ValueError, match="select a column"):
+    with pytest.raises(ValueError, match="filter column"):
         filter_contains(records, "", "x")
 
 
@@ -117,8 +117,26 @@ def test_lower_term_reproduces_original(spark):
     assert ids(filter_contains(df, "t", r"\D", lower_term=True), "id") == [2]
 
 
-def test_many_terms_use_one_pass_matcher(spark):
-    from rowsift.functions.text import MANY_TERMS
-    terms = [f"w{i}" for i in range(MANY_TERMS + 5)] + ["ZZ"]
-    df = spark.createDataFrame([(1, "aazzb"), (2, "none"), (3, None), (4, "W12!")], "id long, t string")
-    assert ids(filter_any_term(df, "t", terms), "id") == [1, 4]
+def test_lists_and_frames_agree(spark):
+    """One rule for both forms and every length: empty terms, nulls, letters that engines fold differently."""
+    fillers = [f"w{i}" for i in range(200)]
+    rows = [(1, "aazzb"), (2, "none"), (3, None), (4, "W12!"), (5, "x \u1c89 y"), (6, "\u0130stanbul"), (7, ""), (8, "stra\u00dfe")]
+    df = spark.createDataFrame(rows, "id long, t string")
+    for terms in (["ZZ"], ["\u1c8a"], ["\u1c8a", *fillers[:20]], ["\u1c89", *fillers], ["ZZ", None, *fillers], ["i\u0307s"],
+                  [""], ["", *fillers], [], ["STRASSE", "STRA\u00dfE"]):
+        frame = spark.createDataFrame([(t,) for t in terms], "value string")
+        forms = [ids(filter_any_term(df, "t", x, max_list_values=n), "id") for x in (terms, frame) for n in (0, 8, 64, 1000)]
+        assert all(f == forms[0] for f in forms), (terms[:2], forms)
+        related = [ids(filter_related(df, "t", "none", x, max_list_values=n), "id") for x in (terms, frame) for n in (0, 64)]
+        assert all(f == sorted({*forms[0], 2}) for f in related)
+    assert ids(filter_any_term(df, "t", [""]), "id") == [1, 2, 4, 5, 6, 7, 8]
+    assert ids(filter_any_term(df, "t", ["\u1c8a", *fillers]), "id") == [4, 5]
+
+
+def test_dotted_names(spark, records):
+    df = records.withColumnRenamed("DiseaseName", "Dx.name").withColumnRenamed("Dose", "Dose (mg.)`")
+    assert ids(filter_contains(df, "Dx.name", "diabetes")) == [1, 2]
+    assert ids(filter_any_term(df, "Dx.name", ["asthma"])) == [6]
+    assert ids(filter_related(df, "Dx.name", "asthma", spark.createDataFrame([("hyper",)], "value string"))) == [3, 6]
+    assert keep_columns(df, "Dx.name", "Dose (mg.)`").columns == ["Dx.name", "Dose (mg.)`"]
+    assert distinct_values(df, "Dx.name", order_by="Dose (mg.)`").count() == 5

@@ -51,15 +51,32 @@ def test_scorer_and_matcher_spread_over_tasks(spark):
     c = spark.read.parquet(f"{SF}/customer.parquet")
     kept = with_row_id(c, "c_custkey")
     req = build_requests(render_records(kept), "g", "t", "c_name", batch=5)
-    scored = score_requests(req, length_scorer, partitions=4)
-    scored.collect()
-    plan = _plan(scored)
-    assert "REPARTITION_BY_NUM" in plan and "RoundRobinPartitioning(4)" in plan, plan
-    assert scored.rdd.getNumPartitions() == 4
+    plan = _plan(req)
+    assert "REPARTITION_BY_NUM" in plan and "RoundRobinPartitioning" in plan, plan
+    wide = build_requests(render_records(kept), "g", "t", "c_name", batch=5, partitions=4)
+    assert wide.rdd.getNumPartitions() == 4
+    scored = score_requests(wide, length_scorer)
+    assert scored.count() == wide.count() and "FileScan" in _plan(scored)  # written, then read
     vals = distinct_values(c, "c_mktsegment", order_by="c_custkey", limit=None)
-    matched = match_values(vals, "b", same_initial, partitions=3)
-    matched.collect()
-    assert "RoundRobinPartitioning(3)" in _plan(matched)
+    assert "FileScan" in _plan(match_values(vals, "b", same_initial, partitions=3))
+
+
+def test_no_prompt_text_is_exchanged(spark):
+    """The guideline joins the records above the exchange that deals them out."""
+    from rowsift.operators import build_requests, render_records, with_row_id
+
+    c = spark.read.parquet(f"{SF}/customer.parquet")
+    plan = _plan(build_requests(render_records(with_row_id(c, "c_custkey")), "GUIDETEXT", "t", "c_name", batch=5))
+    assert "GUIDETEXT" in plan
+    at = plan.index("RoundRobinPartitioning")
+    assert "GUIDETEXT" in plan[:at] and "GUIDETEXT" not in plan[at:], plan
+
+
+def test_long_lists_run_in_the_jvm(spark):
+    part = spark.read.parquet(f"{SF}/part.parquet")
+    for n in (5, 40, 400):
+        plan = _plan(filter_any_term(part, "p_name", [f"term{i}" for i in range(n)]))
+        assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
 
 
 def test_containment_join_keeps_texts_in_scan_tasks(spark):
@@ -85,4 +102,4 @@ def test_f3_large_match_set_scans_rows_once(spark):
     out = filter_related(docs, "text", "zzz", bench, max_list_values=0).select("doc_id")
     plan = _plan(out)
     assert "ExistenceJoin" in plan and "Union" not in plan, plan
-    assert plan.count("FileScan parquet") == 1, plan
+    assert plan.count("documents.parquet") == 1, plan

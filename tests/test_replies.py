@@ -8,7 +8,7 @@ from rowsift.operators import (
     parse_matches,
     quarantine,
     records_to_table,
-    reject_reason,
+    parse_replies,
     standardize,
 )
 
@@ -46,7 +46,7 @@ def test_r4_verdict_shapes(spark, reply, want, raw):
 ])
 def test_r5_rejects(spark, reply, reason):
     df = spark.createDataFrame([(reply,)], "response string")
-    assert df.select(reject_reason("response")).first()[0] == reason
+    assert parse_replies(df).first().reason == reason
 
 
 def test_r5_error_column_wins(spark):
@@ -97,3 +97,43 @@ def test_r7_merge_defaults(spark):
 def test_notes_non_string(spark):
     df = spark.createDataFrame([('{"Notes on Compliance":[1,2]}',)], "t string").select(F.parse_json("t").alias("r"))
     assert df.select(notes("r")).first()[0] == "[1,2]"
+
+
+def test_r4_id_of_another_request_judges_nothing(spark):
+    """Batch 1 holds rows 2 and 3 but states row 0: the record is set aside."""
+    from rowsift.operators import explode_records, merge_verdicts, parse_replies, standardize
+
+    df = spark.createDataFrame([
+        (0, [0, 1], "no json"),
+        (1, [2, 3], '[{"row_id":0,"Meets Guidelines":"True","Notes on Compliance":"stray"},'
+                    '{"row_id":3,"Meets Guidelines":"True","Notes on Compliance":"own"}]'),
+        (2, [4], '[{"Meets Guidelines":"True","Notes on Compliance":"by place"}]')], "batch_id long, row_ids array<long>, response string")
+    out = standardize(explode_records(parse_replies(df).where("reason is null")))
+    got = {(r.batch_id, r.pos): (r.row_id, r.reason) for r in out.collect()}
+    assert got == {(1, 0): (None, "row id of another request"), (1, 1): (3, None), (2, 0): (4, None)}
+    merged = merge_verdicts(spark.range(5).withColumnRenamed("id", "row_id"), out)
+    assert {r.row_id: r.notes for r in merged.collect()} == {0: None, 1: None, 2: None, 3: "own", 4: "by place"}
+
+
+def test_r6_mixed_kinds_exact_numbers_and_surplus_keys(spark):
+    from rowsift.operators import records_to_table
+
+    recs = spark.createDataFrame([('{"d":"N/A","n":12345678901234567890,"f":1.25,"z.z":1,"o":{"k":"v"}}',),
+                                  ('{"d":5,"n":1,"f":2.5,"o":"plain","q":null}',)], "j string").selectExpr("parse_json(j) AS record")
+    rows = sorted(records_to_table(recs).collect(), key=lambda r: r.f)
+    assert [r.d for r in rows] == ["N/A", "5"] and [int(r.n) for r in rows] == [12345678901234567890, 1]
+    assert [r.f for r in rows] == [1.25, 2.5] and [r.o for r in rows] == ['{"k":"v"}', "plain"]
+    few = records_to_table(recs, max_columns=2).orderBy("f").collect()
+    assert few[0].__fields__ == ["d", "f", "more_fields"]
+    assert few[0].more_fields == {"n": "12345678901234567890", "z.z": "1", "o": '{"k":"v"}'}
+
+
+def test_r7_keeps_source_columns(spark):
+    from rowsift.operators import merge_verdicts
+
+    rows = spark.createDataFrame([(0, "mine", True)], "row_id long, notes string, Verdict boolean")
+    judged = spark.createDataFrame([(0, False, "b"), (0, False, "a")], "row_id long, verdict boolean, notes string")
+    with pytest.raises(ValueError, match="notes"):
+        merge_verdicts(rows, judged)
+    out = merge_verdicts(rows, judged, names=("v", "why", "raw")).first()
+    assert tuple(out) == (0, "mine", True, False, "a", None)  # judged twice: the smallest by content

@@ -3,21 +3,58 @@ import string
 
 from pyspark.sql import functions as F
 
-from rowsift.operators import containment_pairs, with_row_id
-from rowsift.operators.rowid import bucket_by_quantiles
+from rowsift.operators import rows_containing, with_row_id
+from rowsift.operators import rowid
 
 
 def test_row_id_dense_numeric(spark):
     df = spark.range(0, 5000).select((F.col("id") * 7 + 3).alias("k")).where("k % 3 != 0")
-    out = with_row_id(df, "k", rows_per_bucket=100)  # many buckets
+    out = with_row_id(df, "k", rows_per_part=100)  # many buckets
     rows = sorted(out.collect(), key=lambda r: r.k)
     assert [r.row_id for r in rows] == list(range(len(rows)))
 
 
-def test_row_id_buckets_used(spark):
-    df = spark.range(0, 3000).withColumnRenamed("id", "k")
-    _, n, rows = bucket_by_quantiles(df, "k", rows_per_bucket=500)
-    assert rows == 3000 and n >= 5
+def test_row_id_parts_follow_rows_and_bytes(spark, monkeypatch):
+    df = spark.range(0, 3000).select(F.col("id").alias("k"), F.repeat(F.lit("x"), 1000).alias("t"))
+    stats = {}
+    assert rowid._parts(df, 500, stats) == 6 and stats["rows"] == 3000
+    monkeypatch.setattr(rowid, "PART_BYTES", 100_000)
+    assert rowid._parts(df, 1_000_000, None) >= 30
+    assert [r.row_id for r in with_row_id(df, "k").orderBy("k").collect()] == list(range(3000))
+
+
+def test_row_id_repeated_keys_and_nulls(spark):
+    """One key holds most rows, some are null: dense ids in key order, and the same for every reader."""
+    df = spark.range(0, 2000).select(F.when(F.col("id") % 10 == 0, F.col("id")).when(F.col("id") % 10 != 1, F.lit(7)).alias("k"), "id")
+    out = with_row_id(df, "k", rows_per_part=100)
+    rows = sorted(((r.row_id, r.k, r.id) for r in out.collect()))
+    assert [r[0] for r in rows] == list(range(2000))
+    keys = [-1 if k is None else k for _, k, _ in rows]
+    assert keys == sorted(keys) and rows == sorted(((r.row_id, r.k, r.id) for r in out.collect()))
+    hot = spark.range(0, 5000).select(F.lit(1).alias("k"), "id")
+    parts = with_row_id(hot, "k", rows_per_part=500)
+    assert sorted(r.row_id for r in parts.collect()) == list(range(5000))
+
+
+def test_row_id_wall_clock_order(spark):
+    """TIMESTAMP_NTZ keys are ordered by their wall clock, whatever the session's zone."""
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        times = [f"2024-03-10 {h:02d}:{m:02d}:00" for h in (1, 2, 3) for m in range(0, 60, 5)]
+        df = spark.createDataFrame([(t,) for t in times], "t string").select(F.col("t").cast("timestamp_ntz").alias("t"))
+        got = [r.s for r in with_row_id(df, "t", rows_per_part=4).orderBy("row_id").select(F.col("t").cast("string").alias("s")).collect()]
+        assert got == times
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_row_id_empty_and_clash(spark):
+    import pytest
+
+    assert with_row_id(spark.range(0), "id").collect() == []
+    with pytest.raises(ValueError, match="row_id"):
+        with_row_id(spark.range(3).withColumnRenamed("id", "ROW_ID"), "ROW_ID")
 
 
 def test_row_id_string_key_and_stats(spark):
@@ -38,35 +75,23 @@ def test_row_id_timestamp_and_double(spark):
 
 
 def _brute(texts, values):
-    return sorted({(t, v) for t in texts for v in values if v.lower() in t.lower()})
+    return sorted(t for t in texts if any(v.lower() in t.lower() for v in values))
 
 
 def test_containment_qgram_matches_brute_force(spark):
     rng = random.Random(7)
     alphabet = "abcé ÉxyZ"
-    texts = ["".join(rng.choices(alphabet, k=rng.randint(0, 40))) for _ in range(150)]
+    texts = sorted({"".join(rng.choices(alphabet, k=rng.randint(0, 40))) for _ in range(150)})
     values = list({"".join(rng.choices(alphabet, k=rng.randint(1, 7))) for _ in range(120)})
     t = spark.createDataFrame([(x,) for x in texts], "t string")
-    v = spark.createDataFrame([(x,) for x in values], "v string")
-    want = _brute(set(texts), set(values))
-    for mb in (0, 1000):
-        got = sorted((r.t, r.v) for r in containment_pairs(t, "t", v, "v", max_broadcast=mb).collect())
-        assert got == want
-
-
-def test_row_id_fine_grid_second_pass(spark):
-    df = spark.range(0, 4000).select((F.col("id") * 3).alias("k"))
-    _, n, rows = bucket_by_quantiles(df, "k", rows_per_bucket=10)
-    assert rows == 4000 and n > 64  # needed the finer grid
-    out = with_row_id(df, "k", rows_per_bucket=10)
-    assert [r.row_id for r in out.orderBy("k").collect()] == list(range(4000))
+    for some in (values, values[:3], [v for v in values if len(v) > 4]):
+        v = spark.createDataFrame([(x,) for x in some], "v string")
+        assert sorted(r.t for r in rows_containing(t, F.col("t"), v, "v").collect()) == _brute(texts, some)
 
 
 def test_rows_containing_words_and_grams_match_brute_force(spark):
     """Word keys (values with interior words), q-gram keys and short values
     together, over texts with mixed white space and repeated texts."""
-    from rowsift.operators import rows_containing
-
     rng = random.Random(11)
     words = ["ab", "abc", "Éa", "zz", "xyzzy", "b", "cé"]
     seps = [" ", "\t", "\n", "  ", " \r\n"]
@@ -93,41 +118,34 @@ def test_rows_containing_words_and_grams_match_brute_force(spark):
     assert sorted(got_x) == want_x and len(got_x) == len(set(got_x))
 
 
-def test_row_id_with_known_count_skips_quantiles(spark):
-    df = spark.range(0, 900).select((F.col("id") * 5 + 1).alias("k"), F.col("id").cast("string").alias("s"))
-    a = {r.k: r.row_id for r in with_row_id(df, "k").collect()}
-    b = {r.k: r.row_id for r in with_row_id(df, "k", rows=900).collect()}
-    assert a == b and sorted(b.values()) == list(range(900))
-    c = {r.s: r.row_id for r in with_row_id(df, "s", rows=900).collect()}
-    assert [c[s] for s in sorted(c)] == list(range(900))
-
-
-def test_row_id_beyond_the_bucket_grid_uses_range_partitions(spark):
-    df = spark.range(0, 3000).select((F.col("id") * 11 % 3001).alias("k"))
-    _, n, rows = bucket_by_quantiles(df, "k", rows_per_bucket=100, grid=8)
-    assert n == 0 and rows == 3000  # more rows than 8 buckets of 100 hold
-    stats = {}
-    out = with_row_id(df, "k", rows_per_bucket=100, grid=8, stats=stats)
-    assert stats["rows"] == 3000
-    assert [r.row_id for r in out.orderBy("k").collect()] == list(range(3000))
-
-
-def test_value_bytes_decide_the_broadcast(spark, monkeypatch):
-    """Few values but many bytes: the nested-loop broadcast is refused and
-    the keyed join gives the same pairs."""
+def test_key_count_decides_the_broadcast(spark, monkeypatch):
+    """Value keys beyond the bound are joined without a broadcast; the rows are the same."""
     import rowsift.operators.containment as C
 
     texts = ["alpha beta gamma delta", "beta gamma", "delta alpha beta", "zeta"]
     values = ["a beta g", "gamma", "alpha beta", "eta"]
     t = spark.createDataFrame([(x,) for x in texts], "t string")
     v = spark.createDataFrame([(x,) for x in values], "v string")
-    want = _brute(set(texts), set(values))
-    assert C._few_small(v, "v", 256)
-    got_small = sorted((r.t, r.v) for r in C.containment_pairs(t, "t", v, "v").collect())
-    monkeypatch.setattr(C, "MAX_BROADCAST_BYTES", 64)
-    assert not C._few_small(v, "v", 256)
-    got_keyed = sorted((r.t, r.v) for r in C.containment_pairs(t, "t", v, "v").collect())
-    assert got_small == want and got_keyed == want
+    assert C.KeyPlan(v, "v").small
+    for name, bound in (("MAX_BROADCAST_BYTES", 64), ("MAX_BROADCAST_KEYS", 3)):
+        with monkeypatch.context() as m:
+            m.setattr(C, name, bound)
+            assert not C.KeyPlan(v, "v").small
+            got = sorted(r.t for r in C.rows_containing(t, F.col("t"), v, "v").collect())
+        assert got == _brute(texts, values)
+
+
+def test_many_value_keys(spark):
+    """1.5 million possible keys, more than are broadcast."""
+    from rowsift.operators.containment import KeyPlan
+
+    v = spark.range(0, 15_000).select(F.concat(*[F.sha2(F.concat("id", F.lit(f"{k}")), 256) for k in range(2)]).alias("v"))
+    plan = KeyPlan(v, "v")
+    assert plan.n_values == 15_000 and not plan.small
+    texts = v.where("v like '00%'").select(F.concat(F.lit("<"), F.upper("v"), F.lit(">")).alias("t")).unionByName(
+        v.limit(100).select(F.reverse("v").alias("t")))
+    want = v.where("v like '00%'").count()
+    assert 20 < want == rows_containing(texts, F.col("t"), v, "v", plan=plan).where("t like '<%'").count()
 
 
 def test_rows_containing_without_broadcasts(spark, monkeypatch):

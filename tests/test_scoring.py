@@ -104,16 +104,71 @@ def test_m4_one_call_per_request(spark, tmp_out):
     assert len(os.listdir(folder)) == 23
 
 
-def test_guideline_checked_before_it_reaches_the_driver(spark, monkeypatch):
+def test_guideline_is_one_document(spark):
     import pytest
 
     import rowsift.operators.requests as R
 
-    one = spark.createDataFrame([(1, "abcdef")], "doc_id int, text string")
-    assert R.guideline_text(one) == "abcdef"
-    monkeypatch.setattr(R, "MAX_GUIDELINE_CHARS", 3)
-    with pytest.raises(ValueError, match="larger"):
-        R.guideline_text(one)
+    assert R.guideline_text(spark.createDataFrame([(1, "x" * 9_000_000)], "doc_id int, text string")) == "x" * 9_000_000
+    assert R.guideline_text(spark.createDataFrame([(1, None)], "doc_id int, text string")) == ""
     two = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id int, text string")
-    with pytest.raises(ValueError, match="exactly one"):
-        R.guideline_text(two)
+    for frame in (two, two.limit(0)):
+        with pytest.raises(ValueError, match="exactly one"):
+            R.guideline_text(frame)
+
+
+def _counting(folder, reply):
+    import os
+    import uuid
+
+    def scorer(prompt):
+        open(os.path.join(folder, uuid.uuid4().hex), "w").close()
+        return reply
+    return scorer
+
+
+def test_paid_calls_run_once(spark, tmp_path):
+    """One call per request however often the replies are read: M4 with R3 and
+    R6, M4 with both halves of R5, and a matcher's answers in F3."""
+    import os
+    import uuid
+
+    from rowsift.operators import (explode_records, filter_related, match_values, parse_replies, quarantine, records_to_table)
+
+    rows = spark.range(0, 20).withColumnRenamed("id", "row_id")
+    req = build_requests(render_records(rows), "guide", "t", "id", batch=10)
+    folder = tmp_path / "a"
+    folder.mkdir()
+    replies = score_requests(req, _counting(str(folder), '[{"Meets Guidelines": "True", "x": 1}]'))
+    assert records_to_table(explode_records(replies)).count() == 2
+    good, bad = quarantine(parse_replies(replies))
+    assert (good.count(), bad.count(), len(os.listdir(folder))) == (2, 0, 2)
+    asked = tmp_path / "b"
+    asked.mkdir()
+
+    def matcher(term, values, folder=str(asked)):
+        open(os.path.join(folder, uuid.uuid4().hex), "w").close()
+        return values[:1]
+
+    df = spark.createDataFrame([("a1",), ("b2",)], "value string")
+    matches = match_values(df, "z", matcher, batch_size=20, partitions=1)
+    assert filter_related(df, "value", "zzz", matches).count() == 1
+    assert filter_related(df, "value", "zzz", matches, max_list_values=0).count() == 1
+    assert len(os.listdir(asked)) == 1
+
+
+def test_thousands_of_rules(spark):
+    rules = [(i, "x", "ge", str(i), f"n{i}") for i in range(3000)]
+    rows = {r.x: r for r in evaluate_rules(spark.createDataFrame([(2998,), (-1,), (None,)], "x int"), rules).collect()}
+    assert rows[2998].verdict and rows[2998].notes == "n2999"
+    assert not rows[-1].verdict and not rows[None].verdict and rows[None].notes.count("; ") == 2999
+
+
+def test_rules_refuse_to_replace_columns(spark):
+    import pytest
+
+    df = spark.createDataFrame([(1, "mine")], "x int, Notes string")
+    with pytest.raises(ValueError, match="notes"):
+        evaluate_rules(df, [(1, "x", "ge", "0", "low")])
+    out = evaluate_rules(df, [(1, "x", "ge", "5", "low")], notes_col="why").first()
+    assert (out.Notes, out.why, out.verdict) == ("mine", "low", False)

@@ -33,7 +33,8 @@ def test_s3_list_columns(spark):
 def test_s4_read_many(spark):
     df = read_many(spark, [f"{SF}/region.parquet", f"{TESTDATA}/sf0.01/region.parquet"])
     got = {r.source_file: r["count"] for r in df.groupBy("source_file").count().collect()}
-    assert got == {"region.parquet": 10}
+    assert sorted(got.values()) == [5, 5]  # one entry per file, of equal names too
+    assert {k.rsplit("/", 2)[1] for k in got} == {"sf0.001", "sf0.01"}
 
 
 def test_s5_pages(spark):
@@ -94,3 +95,18 @@ def test_shared_folder_required_on_a_cluster():
     s = Session("spark://host:7077", "hdfs://nn/ckpt/")
     assert shared_dir(s, "k1").startswith("hdfs://nn/ckpt/rowsift/k1/")
     assert s.sparkContext.dir == "hdfs://nn/ckpt/"
+
+
+def test_s2_lists_one_level(spark, tmp_path):
+    from rowsift.sources import list_tables, list_table_names
+
+    for name in ("a.parquet", "b", "b.csv", "_hidden", ".dot", "deep"):
+        (tmp_path / name).mkdir()
+    (tmp_path / "deep" / "inner.parquet").mkdir()
+    (tmp_path / "file.json").write_text("{}")
+    (tmp_path / "sub").mkdir()
+    want = ["a", "b", "deep", "file", "sub"]
+    for source in (str(tmp_path), f"{tmp_path}/", f"file://{tmp_path}", f"{tmp_path}/sub/.."):
+        assert list_table_names(spark, source) == want
+    assert [r.table_name for r in list_tables(spark, str(tmp_path)).collect()] == want
+    assert list_table_names(spark, f"{tmp_path}/absent") == []
