@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
@@ -23,10 +24,29 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _give_back() -> None:
+    """Return freed memory to the system: Python workers live on between
+    tasks, and what a batch of long texts took stays with the allocators."""
+    import pyarrow
+
+    pyarrow.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def map_frames(df: DataFrame, fn, schema: str) -> DataFrame:
     """``mapInPandas`` after making this package importable on executors."""
     ship_package(df.sparkSession)
-    return df.mapInPandas(fn, schema)
+
+    def run(frames):
+        try:
+            yield from fn(frames)
+        finally:
+            _give_back()
+
+    return df.mapInPandas(run, schema)
 
 
 def utf8(texts) -> Iterator[bytes]:
