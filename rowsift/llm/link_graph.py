@@ -80,9 +80,8 @@ def propagate(edges: DataFrame, seeds: DataFrame, *, iterations: int = ITERATION
     empty table). Ranks sum to one up to rounding.
     """
     ensure_checkpoint_dir(edges.sparkSession)
-    total = seeds.agg(F.sum("mass").alias("all"))
-    start = (seeds.join(F.broadcast(total)).where("mass > 0")  # one row
-             .select("host", (F.col("mass") / F.col("all")).alias("restart"))).checkpoint()
+    start = (seeds.where("mass > 0")
+             .select("host", (F.col("mass") / seeds.agg(F.sum("mass")).scalar()).alias("restart"))).checkpoint()
     out_links = edges.groupBy("src").agg(F.sum("n").alias("out"))
     steps = edges.join(out_links, "src").select("src", "dst", (F.col("n") / F.col("out")).alias("w")).checkpoint()
     sources = steps.select("src").distinct()
@@ -92,12 +91,11 @@ def propagate(edges: DataFrame, seeds: DataFrame, *, iterations: int = ITERATION
                  .agg(F.sum(F.col("w") * F.col("rank")).alias("got")))
         # what flows along no link goes back to the seeds
         flown = (rank.join(sources, rank["host"] == sources["src"], "left_semi")
-                 .agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("flown")))
+                 .agg(F.coalesce(F.sum("rank"), F.lit(0.0)))).scalar()
         rank = (moved.join(start, moved["dst"] == start["host"], "full_outer")
-                .join(F.broadcast(flown))  # one row
                 .select(F.coalesce("dst", "host").alias("host"),
                         (damping * F.coalesce("got", F.lit(0.0))
-                         + (1 - damping * F.col("flown")) * F.coalesce("restart", F.lit(0.0))).alias("rank"))).checkpoint()
+                         + (1 - damping * flown) * F.coalesce("restart", F.lit(0.0))).alias("rank"))).checkpoint()
     return rank
 
 
@@ -127,12 +125,11 @@ def judge_urls(pages: DataFrame, rules: dict | None = None, *, page_id: str = "p
     trust = propagate(edges, hosts.select("host", F.col("allowed").alias("mass")), iterations=iterations, damping=damping)
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
     distrust = propagate(back, hosts.select("host", F.col("blocked").alias("mass")), iterations=iterations, damping=damping)
-    total = hosts.agg(F.sum("pages").alias("all"))
-    judged = (hosts.join(F.broadcast(total))  # one row
-              .join(trust.select("host", F.col("rank").alias("trust")), "host", "left")
+    share = F.col("pages") / hosts.agg(F.sum("pages")).scalar()
+    judged = (hosts.join(trust.select("host", F.col("rank").alias("trust")), "host", "left")
               .join(distrust.select("host", F.col("rank").alias("distrust")), "host", "left")
               .select("host", F.when(F.coalesce("distrust", F.lit(0.0)) > threshold
-                                     * (F.coalesce("trust", F.lit(0.0)) + F.col("pages") / F.col("all")), "block")
+                                     * (F.coalesce("trust", F.lit(0.0)) + share), "block")
                       .otherwise("allow").alias("of_host"))).checkpoint()
     slim = rows.select("page_id", "host", "path", "rule", "ruled")
     return (slim.join(judged, "host", "left")

@@ -56,13 +56,11 @@ def _targets(cells: DataFrame, margin: str, rule) -> DataFrame:
         pairs = [x for v, s in rule.items() for x in (F.lit(v), F.lit(float(s)))]
         listed = F.element_at(F.create_map(*pairs), F.col(margin))
         left = max(0.0, 1.0 - sum(rule.values()))
-        rest = present.agg(F.sum(F.when(listed.isNull(), F.col("t"))).alias("rest"))
-        raw = present.join(F.broadcast(rest)).select(  # one row
-            margin, F.coalesce(listed, F.lit(left) * F.col("t") / F.col("rest")).alias("raw"))
+        rest = present.agg(F.sum(F.when(listed.isNull(), F.col("t")))).scalar()
+        raw = present.select(margin, F.coalesce(listed, F.lit(left) * F.col("t") / rest).alias("raw"))
     else:
         raw = present.select(margin, F.pow("t", F.lit(float(rule))).alias("raw"))
-    total = raw.agg(F.sum("raw").alias("all"))
-    return raw.join(F.broadcast(total)).select(margin, (F.col("raw") / F.col("all")).alias("share"))  # one row
+    return raw.select(margin, (F.col("raw") / raw.agg(F.sum("raw")).scalar()).alias("share"))
 
 
 def rake(cells: DataFrame, targets: dict, *, sweeps: int = 12, tolerance: float = 1e-9) -> DataFrame:
@@ -73,9 +71,8 @@ def rake(cells: DataFrame, targets: dict, *, sweeps: int = 12, tolerance: float
     target share zero gets factor zero. Cells without tokens keep factor one.
     """
     margins = list(targets)
-    total = cells.agg(F.sum("tokens").cast("double").alias("total"))
-    goals = {m: staged(_targets(cells, m, rule).join(F.broadcast(total))  # one row
-                       .select(m, (F.col("share") * F.col("total")).alias("goal")), f"target-{m}")
+    total = cells.agg(F.sum("tokens").cast("double")).scalar()
+    goals = {m: staged(_targets(cells, m, rule).select(m, (F.col("share") * total).alias("goal")), f"target-{m}")
              for m, rule in targets.items()}
     now = staged(cells.withColumn("factor", F.lit(1.0)).withColumn("moved", F.lit(0.0)), "cells")
     for _ in range(sweeps):
