@@ -110,6 +110,7 @@ def judge_urls(pages: DataFrame, rules: dict | None = None, *, page_id: str = "p
     gives an empty one; further columns are not read.
     """
     rules = RULES if rules is None else rules
+    ensure_checkpoint_dir(pages.sparkSession)
     link = F.col(f"`{url}`").cast("string")
     rows = pages.select(F.col(f"`{page_id}`").cast("long").alias("page_id"), host_of(link).alias("host"),
                         path_of(link).alias("path"), F.col(f"`{html}`").cast("string").alias("html"))
