@@ -185,7 +185,8 @@ def _docs_with_benchmark(spark, sf, max_list_values):
 
 
 def q_f2_filter_any_term_frame(spark, sf):
-    return _docs_with_benchmark(spark, sf, max_list_values=256)
+    docs, bench = _t(spark, sf, "documents"), _t(spark, sf, "benchmark").select(F.col("text").alias("value"))
+    return filter_any_term(docs, "text", bench).select("doc_id", "lang", "n_chars")
 
 
 def q_f2_filter_any_term_qgram(spark, sf):

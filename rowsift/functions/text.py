@@ -45,10 +45,10 @@ def normalize_term(col: str | Column, lower: bool = False) -> Column:
 def clean_term(term: str, lower: bool = False) -> str:
     """E2 on the driver for a single parameter value."""
     if term is None:
-        raise ValueError("Please enter a search term.")
+        raise ValueError("A search term is needed.")
     out = term.strip()
     if not out:
-        raise ValueError("Please enter a search term.")
+        raise ValueError("A search term is needed.")
     return out.lower() if lower else out
 
 

@@ -31,7 +31,7 @@ from .containment import KeyPlan, rows_containing
 # generated code, each term one more pass over the text); more go through the
 # exact keyed join of ``containment``. Both compare the same lower-cased texts
 # in the JVM, so the rows are the same.
-INLINE_TERMS = 64
+INLINE_TERMS = 32
 
 
 def keep_columns(df: DataFrame, *cols: str) -> DataFrame:

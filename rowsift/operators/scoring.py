@@ -21,8 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.names import has_name, named, refuse_clash
-from ..functions.text import contains_literal, contains_pattern
+from ..functions.names import named, refuse_clash
+from ..functions.text import contains_pattern
 from ..session import ship_package, written
 
 
@@ -97,20 +97,55 @@ _OPS = {
 }
 
 
-def _rule_test(df: DataFrame, column: str, op: str, value: str | None) -> Column:
-    if not has_name(column, df.columns):
-        raise ValueError(f"Column '{column}' not found in the table.")
+def _rule_kind(op: str | None) -> str:
     kind = _OPS.get((op or "").strip().lower())
     if kind is None:
         raise ValueError(f"unknown rule operator {op!r}")
-    c = named(column)
-    if kind == "contains":
-        return contains_literal(c, value or "")
-    if kind == "matches":
-        return contains_pattern(c, value or "")
-    target = F.lit(value).try_cast(df.select(c).schema[0].dataType)
+    return kind
+
+
+def _test(c: Column, kind: str, target: Column) -> Column:
     return {"eq": c == target, "ne": c != target, "lt": c < target,
-            "le": c <= target, "gt": c > target, "ge": c >= target}[kind]
+            "le": c <= target, "gt": c > target, "ge": c >= target,
+            "contains": F.lower(c.cast("string")).contains(target)}[kind]
+
+
+# Rules of one column and operator up to this many are single tests in generated
+# code; more are one expression over the array of their values.
+SINGLE_TESTS = 16
+
+
+def _passes(df: DataFrame, rules: list[tuple]) -> tuple[Column, list[int]]:
+    """One array of booleans for all rules, and each rule's place in it.
+
+    Rules of one column and operator are one expression over the constant
+    array of their values, so the plan grows with the columns used and not
+    with the number of rules. Regex rules stay single: their pattern is
+    compiled once."""
+    types = {f.name.lower(): f.dataType for f in df.schema.fields}
+    groups: dict[tuple, list[int]] = {}
+    for i, (_, column, op, value, _) in enumerate(rules):
+        if column is None or column.lower() not in types:
+            raise ValueError(f"Column '{column}' not found in the table.")
+        kind = _rule_kind(op)
+        groups.setdefault((column.lower(), kind, i if kind == "matches" else None), []).append(i)
+    parts, place = [], [0] * len(rules)
+    for (column, kind, _), members in groups.items():
+        c, values = named(rules[members[0]][1]), [rules[i][3] for i in members]
+        if kind == "matches":
+            part = F.array(F.coalesce(contains_pattern(c, values[0] or ""), F.lit(False)))
+        else:
+            kinds = types[column]  # of constants, cast once when the plan is made
+            targets = [F.lower(F.lit(v or "")) if kind == "contains" else F.lit(v).try_cast(kinds) for v in values]
+            if len(targets) <= SINGLE_TESTS:
+                part = F.array(*[F.coalesce(_test(c, kind, t), F.lit(False)) for t in targets])
+            else:
+                part = F.transform(F.array(*targets), lambda v: F.coalesce(_test(c, kind, v), F.lit(False)))
+        start = sum(len(m) for m in list(groups.values())[:len(parts)])
+        for k, i in enumerate(members):
+            place[i] = start + k
+        parts.append(part)
+    return F.concat(*parts), place
 
 
 def _rule_rows(rules: DataFrame | Sequence[tuple]) -> list[tuple]:
@@ -128,16 +163,17 @@ def evaluate_rules(df: DataFrame, rules: DataFrame | Sequence[tuple],
     field, or a rule value that does not convert to the column type, fails.
 
     Each rule is tested once, into one array of booleans; verdict and notes
-    read that array, so thousands of rules make a wide plan and not a deep
-    one. A column of ``df`` with one of the two names is an error: name the
-    outputs differently."""
+    read that array, and rules of one column and operator share an expression,
+    so thousands of rules make neither a deep nor a wide plan. A column of
+    ``df`` with one of the two names is an error: name the outputs differently."""
     refuse_clash(df.columns, verdict_col, notes_col)
     rows = _rule_rows(rules)
     if not rows:
         return df.withColumn(verdict_col, F.lit(False)).withColumn(notes_col, F.lit(""))
-    passes = F.array(*[F.coalesce(_rule_test(df, col, op, val), F.lit(False)) for _, col, op, val, _ in rows])
-    texts = F.from_json(F.lit(json.dumps([note or "" for *_, note in rows])), "array<string>")  # folded to a constant
-    failed = F.filter(texts, lambda t, i: ~F.get(F.col("_rs_pass"), i))
+    passes, place = _passes(df, rows)
+    note = F.from_json(F.lit(json.dumps([{"k": k, "t": t or ""} for k, (*_, t) in zip(place, rows)])),
+                       "array<struct<k: int, t: string>>")  # folded to a constant, in rule order
+    failed = F.transform(F.filter(note, lambda n: ~F.get(F.col("_rs_pass"), n["k"])), lambda n: n["t"])
     return (df.withColumn("_rs_pass", passes)
             .withColumn(verdict_col, F.array_contains("_rs_pass", True))
             .withColumn(notes_col, F.array_join(failed, sep)).drop("_rs_pass"))

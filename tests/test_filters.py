@@ -1,5 +1,4 @@
 import pytest
-from pyspark.sql import functions as F
 
 from conftest import ids
 from rowsift.functions import normalize_term, text_value

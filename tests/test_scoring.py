@@ -1,4 +1,3 @@
-from pyspark.sql import functions as F
 
 from rowsift.operators import (
     build_match_requests,

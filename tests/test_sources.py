@@ -1,5 +1,4 @@
 import pytest
-from pyspark.sql import functions as F
 
 from conftest import TESTDATA
 from rowsift.sources import assemble_document, list_columns, list_tables, read_many, read_table
