@@ -152,27 +152,24 @@ def _members(rows: DataFrame, options: tuple) -> DataFrame:
     return map_frames(linkable, run, f"row long, label string, dim int, filters array<int>, vector {kind}")
 
 
-def _first_shared(a: np.ndarray, b: np.ndarray, here: int) -> np.ndarray:
-    """For rows of ``a`` and ``b`` (filter lists, padded by -1 and -2): no smaller filter than ``here`` is shared."""
+def _none_shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether row by row ``a`` and ``b`` (filter lists, padded by -1 and by -2) have nothing in common."""
     out = np.empty(len(a), dtype=bool)
     for i in range(0, len(a), 4096):
-        x, y = a[i:i + 4096], b[i:i + 4096]
-        same = (x[:, :, None] == y[:, None, :]) & (x < here)[:, :, None]
-        out[i:i + 4096] = ~same.any(axis=(1, 2))
+        out[i:i + 4096] = ~(a[i:i + 4096, :, None] == b[i:i + 4096, None, :]).any(axis=(1, 2))
     return out
 
 
-def _lists(filters, here: int, fill: int) -> np.ndarray:
-    """The filters smaller than ``here`` of each vector, padded to one width."""
-    small = [f[:np.searchsorted(f, here)] for f in filters]
-    out = np.full((len(small), max(map(len, small), default=0) or 1), fill, dtype=np.int32)
-    for i, f in enumerate(small):
+def _lists(smaller, fill: int) -> np.ndarray:
+    """The smaller filters of each vector, padded to one width."""
+    out = np.full((len(smaller), max(map(len, smaller), default=0) or 1), fill, dtype=np.int32)
+    for i, f in enumerate(smaller):
         out[i, :len(f)] = f
     return out
 
 
-def _compare(here: int, a: pd.DataFrame, b: pd.DataFrame | None, threshold: float):
-    """Links between two blocks (or within one) whose smallest shared filter is ``here``: row pairs."""
+def _compare(a: pd.DataFrame, b: pd.DataFrame | None, threshold: float):
+    """Links between two blocks of a filter (or within one) that share no smaller filter: row pairs."""
     ua = np.stack([_unit(v) for v in a["vector"]])
     ub = ua if b is None else np.stack([_unit(v) for v in b["vector"]])
     near = ua @ ub.T >= threshold - 1e-9
@@ -183,23 +180,25 @@ def _compare(here: int, a: pd.DataFrame, b: pd.DataFrame | None, threshold: floa
         return i, j
     exact = np.einsum("ij,ij->i", ua[i], ub[j]) >= threshold
     i, j = i[exact], j[exact]
-    la = _lists(a["filters"], here, -1)
-    lb = np.where(la < 0, -2, la) if b is None else _lists(b["filters"], here, -2)
-    fresh = _first_shared(la[i], lb[j], here)
+    la = _lists(a["smaller"], -1)
+    lb = np.where(la < 0, -2, la) if b is None else _lists(b["smaller"], -2)
+    fresh = _none_shared(la[i], lb[j])
     return i[fresh], j[fresh]
 
 
 def _links(members: DataFrame, threshold: float, block_rows: int) -> DataFrame:
     """``(row, n, to)``: links counted at a row, and one edge of a spanning forest (null: none)."""
-    one = members.select("row", "label", "dim", "filters", "vector", F.explode("filters").alias("filter"))
-    size = (members.select("label", "dim", F.explode("filters").alias("filter"))
-            .groupBy("label", "dim", "filter").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
-    dealt = (one.join(size, ["label", "dim", "filter"])
-             .withColumn("blocks", F.ceil(F.col("size") / block_rows).cast("int"))
+    # Filters are weighed by slim rows; the vectors move once, to the filters that others share.
+    slim = members.select("row", "label", "dim", F.posexplode("filters").alias("k", "filter"))
+    size = (slim.groupBy("label", "dim", "filter").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+            .withColumn("blocks", F.ceil(F.col("size") / block_rows).cast("int")).drop("size"))
+    shared = (slim.join(size, ["label", "dim", "filter"]).groupBy("row")
+              .agg(F.collect_list(F.struct("k", "filter", "blocks")).alias("shared")))  # at most the filters of one vector
+    dealt = (members.join(shared, "row").select("*", F.inline("shared"))
              .withColumn("own", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
              .select("label", "dim", "filter", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"),
-                     "own", "row", "filters", "vector"))
+                     "own", "row", F.slice("filters", F.lit(1), F.col("k")).alias("smaller"), "vector"))
     keys = ["label", "dim", "filter", "low", "high"]
     rows = dealt.repartition(*keys).sortWithinPartitions(*keys)
 
@@ -210,7 +209,7 @@ def _links(members: DataFrame, threshold: float, block_rows: int) -> DataFrame:
         def flush(groups: pd.DataFrame):
             counts: dict[int, int] = {}
             edges_u, edges_v = [], []
-            for (_, _, here, low, high), g in groups.groupby(keys, sort=False):
+            for (_, _, _, low, high), g in groups.groupby(keys, sort=False):
                 if len(g) < 2:
                     continue
                 if low == high:
@@ -219,7 +218,7 @@ def _links(members: DataFrame, threshold: float, block_rows: int) -> DataFrame:
                     a, b = g[g["own"] == low], g[g["own"] == high]
                     if not len(a) or not len(b):
                         continue
-                i, j = _compare(int(here), a, b, threshold)
+                i, j = _compare(a, b, threshold)
                 if not len(i):
                     continue
                 ra = a["row"].to_numpy()
