@@ -23,6 +23,7 @@ import base64
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
@@ -67,6 +68,11 @@ class BpeTree:
         self._pair_keys = np.append(order, np.int64(_NONE))
         self._pair_rank = np.array([pairs[k] for k in order.tolist()] + [0], dtype=np.int64)
         self._byte_id = np.array([ranks.get(bytes([b]), -1) for b in range(256)], dtype=np.int64)
+        # the rank of two neighbouring bytes, where every piece starts; -1: no token
+        self._first = np.full((256, 256), -1, dtype=np.int64)
+        for t, r in ranks.items():
+            if len(t) == 2:
+                self._first[t[0], t[1]] = r
         digits = [str(i).encode() for i in range(top)]
         width = max(map(len, digits), default=1) + 1
         cells = np.frombuffer(b"".join((b" " + d).rjust(width, b"\0") for d in digits), dtype=np.uint8)
@@ -139,8 +145,8 @@ class BpeTree:
         before = np.tile(cols - 1, (rows, 1))
         live = cols < n[:, None]
         tree = np.full((rows, 2 * size), _NONE, dtype=np.int64)
-        leaf = self._pair(token[:, :-1], token[:, 1:], size, cols[:-1])
-        tree[:, size:2 * size - 1] = np.where(live[:, 1:], leaf, _NONE)
+        rank = self._first[raw[:, :-1], raw[:, 1:]]
+        tree[:, size:2 * size - 1] = np.where(live[:, 1:] & (rank >= 0), rank * size + cols[:-1], _NONE)
         k = size >> 1
         while k:
             np.minimum(tree[:, 2 * k:4 * k:2], tree[:, 2 * k + 1:4 * k:2], out=tree[:, k:2 * k])
@@ -201,9 +207,28 @@ class BpeTree:
         again = old.keys() & fresh
         new.update({u: old[u] for u in again})
         fresh = list(fresh - again)
-        cut = [[p.encode("utf-8", "surrogatepass") for p in find(u)] for u in fresh]
-        known = self.merge_many(list({p for ps in cut for p in ps}))
-        new.update(zip(fresh, [b"".join([known[p] for p in ps]) for ps in cut]))
+        # Units that begin with a blank and end with another character keep their
+        # bounds side by side, so one pass of the pattern cuts them all.
+        plain = [u for u in fresh if u[0] == " " and not u[-1].isspace()]
+        odd = [u for u in fresh if u[0] != " " or u[-1].isspace()]
+        pieces = find("".join(plain))
+        stops = np.searchsorted(np.cumsum(np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))),
+                                np.cumsum(np.fromiter(map(len, plain), dtype=np.int64, count=len(plain)))) + 1
+        counts = np.diff(stops, prepend=0).tolist()
+        for u in odd:
+            more = find(u)
+            pieces += more
+            counts.append(len(more))
+        known = self._known(pieces)
+        ids = iter(list(map(known.__getitem__, pieces)))
+        new.update(zip(chain(plain, odd), [b"".join(islice(ids, n)) for n in counts]))
+
+    def _known(self, pieces: list[str]) -> dict[str, bytes]:
+        """Ids of each different piece."""
+        different = list(set(pieces))
+        raw = [p.encode("utf-8", "surrogatepass") for p in different]
+        merged = self.merge_many(raw)
+        return dict(zip(different, map(merged.__getitem__, raw)))
 
     def encode_texts(self, texts) -> Iterator[tuple[int, np.ndarray]]:
         """``(position, ids)`` of texts in order; a long text comes in several parts."""
