@@ -5,8 +5,8 @@ counts and its place in the document (length, symbols, capitals, digits,
 repeated words, table bars, closing mark, an earlier copy of the line, the size of the document). A
 two-state linear-chain conditional random field scores sequences of *content*
 and *boilerplate* lines; Viterbi decoding picks the best one, and a document
-is retained when content lines hold at least ``share`` of its words (or it has
-fewer than ``MIN_WORDS``, and the base rules alone decide).
+is retained when content lines hold at least ``share`` of its words, whatever
+its length, unless the base rules reject it.
 
 The field is trained here by maximum conditional likelihood (forward-backward
 gradients) on a bounded sample of labelled documents; their lines carry the
@@ -35,8 +35,6 @@ TRAIN_LINES = 40
 #: Weight of the documents labelled good against those labelled bad: wrong rejections cost more.
 GOOD_WEIGHT = 0.9
 SHARE = 0.5
-#: Documents of fewer words are left to the base rules: too little to judge lines by.
-MIN_WORDS = 20
 WINDOW = 5
 SYMBOLS = b"#*$%&|<>"
 
@@ -256,7 +254,7 @@ def judge_lines(docs: DataFrame, weights: dict, *, doc_id: str = "doc_id", text:
         states = viterbi(emission[obs].sum(axis=1), transition)
         content = float((counts * states).sum() / n) if n else 0.0
         failed = n < 10 or 100 * repeat > 20 * n
-        return n, chars, symbols, dup, repeat, len(counts), content, failed, not failed and (content >= share or n < MIN_WORDS)
+        return n, chars, symbols, dup, repeat, len(counts), content, failed, not failed and content >= share
 
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines",
              "content_share", "base_failed", "kept"]

@@ -11,6 +11,7 @@ import tiktoken
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from rowsift.llm import bpe_tree, gray_index, license_scan, line_crf
 from rowsift.llm.components import components
@@ -186,6 +187,23 @@ def test_field_on_held_out_documents(spark):
     assert n.get((0, False), 0) >= 0.95 * (n.get((0, True), 0) + n.get((0, False), 0))
 
 
+def test_short_documents_are_judged_by_their_lines(spark):
+    """Ten to nineteen words that pass the base rules: the line labels decide, as for longer ones."""
+    junk = "&&& $$$ *** %%% <<< >>> ### ||| &$* $*% *%< %<>"
+    prose = "The harbour was quiet that evening and nobody spoke of rain."
+    docs = spark.createDataFrame([(1, junk), (2, prose), (3, junk + " " + prose.replace(" ", " && "))], "doc_id long, text string")
+    got = {r.doc_id: r for r in line_crf.judge_lines(docs, line_crf.prior_weights()).collect()}
+    assert not any(r.base_failed for r in got.values()) and 10 <= got[1].n_words < 20 and 10 <= got[2].n_words < 20
+    assert [got[i].kept for i in (1, 2, 3)] == [False, True, False]
+    sf = "/root/testdata/sf0.1"
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    out = line_crf.judge_lines(docs, line_crf.train_on_labels(docs, labels, n_docs=600)).where("not base_failed")
+    assert not out.where(F.col("kept") != (F.col("content_share") >= line_crf.SHARE)).count()
+    short = out.where("n_words < 20").join(labels, "doc_id").groupBy("quality").agg(F.count("*"), F.sum(F.col("kept").cast("int")))
+    n = {q: (rows, kept) for q, rows, kept in short.collect()}
+    assert n[0][0] >= 6 and n[0][1] == 0 and n[1][1] >= 0.95 * n[1][0]
+
+
 def test_training_without_labels(spark, hostile):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     assert line_crf.train_on_labels(hostile, labels) == line_crf.prior_weights()
