@@ -6,8 +6,10 @@ encoded documents. Every stage works on all rows its predecessor kept; its
 result is written as Parquet in the shared folder and read back.
 
 Rows without ``doc_id``: the quality rules and the mix treat them like others;
-of those with the same text the near-duplicate stage keeps one. An empty table
-gives an empty result; further columns of ``documents`` pass through.
+the near-duplicate stage keeps one of each group of them, beside the group's
+document of smallest id. A repeated ``doc_id`` is no reason to drop a row: rows
+are told apart by a key, and only copies of a text go. An empty table gives an
+empty result; further columns of ``documents`` pass through.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rowsift.functions.names import free_name
 from rowsift.llm import bpe_tree, gray_index, line_crf, mixing
 from rowsift.llm.common import staged
 from rowsift.llm.queries import MIX, MIX_SEED, MIX_SWEEPS, bpe_files, table
@@ -30,12 +33,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of smallest id of each near-duplicate group."""
-    groups = gray_index.near_duplicates(docs, shingle=3, distance=3)
-    first = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    named = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    nameless = docs.where(F.col("doc_id").isNull()).dropDuplicates(["text"])
-    return named.unionByName(nameless)
+    """Keep one row of each near-duplicate group: smallest id, then first row; of rows without id also one."""
+    key = free_name("row_key", docs.columns)
+    keyed = staged(docs.withColumn(key, F.monotonically_increasing_id()), "keyed")
+    groups = gray_index.near_duplicates(keyed, shingle=3, distance=3, row_key=key)
+    first = (groups.groupBy("component", F.col("doc_id").isNull().alias("nameless"))
+             .agg(F.min(F.struct("doc_id", "row_key")).alias("first")).select(F.col("first.row_key").alias(key)))
+    return keyed.join(first, key, "left_semi").drop(key)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

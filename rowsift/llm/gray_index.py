@@ -63,16 +63,23 @@ def fingerprint(data: bytes, shingle: int = 3) -> int:
     return int.from_bytes(np.packbits(votes * 2 > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
-    """``(doc_id, fp)`` per row of ``docs``; ``fp`` is the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 3,
+                 row_key: str | None = None) -> DataFrame:
+    """``(doc_id, fp)`` per row of ``docs``; ``fp`` is the fingerprint as a signed long.
+
+    With ``row_key``, a column of longs, it is passed on as ``row_key``.
+    """
+    keyed = row_key is not None
 
     def run(frames):
         for pdf in frames:
             fps = np.fromiter((fingerprint(b, shingle) for b in utf8(pdf["text"])), dtype=np.uint64, count=len(pdf))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "fp": fps.view(np.int64)})
+            made = pd.DataFrame({"doc_id": pdf["doc_id"], "fp": fps.view(np.int64)})
+            yield made.assign(row_key=pdf["row_key"]) if keyed else made
 
-    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    return map_frames(rows, run, "doc_id long, fp long")
+    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"),
+                       *([F.col(f"`{row_key}`").cast("long").alias("row_key")] if keyed else []))
+    return map_frames(rows, run, "doc_id long, fp long" + ", row_key long" * keyed)
 
 
 def hex16(fp: Column) -> Column:
@@ -235,9 +242,12 @@ def _edges(nodes: DataFrame, distance: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
-                    shingle: int = 3, distance: int = 3) -> DataFrame:
+                    shingle: int = 3, distance: int = 3, row_key: str | None = None) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, fp, component_id``.
 
+    With ``row_key``, a column of longs that tells rows apart, also ``row_key``
+    and ``component``, which names the component whether its ids are null or not.
+
     ``component_id`` is the smallest ``doc_id`` reachable over links of
     ``distance`` or fewer differing bits, the row's own included. Rows with
     equal fingerprints are linked, also those without words. A null ``doc_id``
@@ -248,12 +258,13 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     """
     if not 0 <= distance < BANDS:
         raise ValueError(f"distance must be 0 to {BANDS - 1}, got {distance}")
-    rows = staged(fingerprints(docs, doc_id=doc_id, text=text, shingle=shingle), "fingerprints")
+    rows = staged(fingerprints(docs, doc_id=doc_id, text=text, shingle=shingle, row_key=row_key), "fingerprints")
     distinct = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct")
     nodes = staged(_nodes(distinct), "nodes")
     linked = components(_edges(nodes, distance)).select(F.col("node").alias("fp"), "component")
     member = staged(distinct.join(linked, "fp", "left")
                     .select("fp", "least_id", F.coalesce("component", "fp").alias("component")), "members")
     least = member.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    by_fp = member.join(least, "component").select("fp", "component_id")
-    return rows.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    by_fp = member.join(least, "component").select("fp", "component_id", "component")
+    more = [] if row_key is None else ["row_key", "component"]
+    return rows.join(by_fp, "fp").select("doc_id", "fp", "component_id", *more)

@@ -484,3 +484,15 @@ def test_pipeline_stages_on_hostile_documents(spark):
     ids = [i for i, _ in kept]
     assert ids.count(1) == 1 and 2 not in ids and ids.count(None) == 1 and 3 in ids and 4 not in ids and 5 in ids
     assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == len(rows)
+
+
+def test_near_duplicates_go_by_row(spark):
+    """Null ids and repeated ids: one row of each group, and no clean text lost with a repeated id."""
+    a, b, c = (" ".join(f"{x}{k * m % 101}" for k in range(300)) for x, m in (("a", 7), ("b", 11), ("c", 13)))
+    rows = [(5, a), (5, b), (3, a), (8, b), (8, b), (None, c), (None, c.upper()), (None, c), (None, "short"), (9, "one word")]
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, row_key int")
+    for parts in (1, 3):
+        out = corpus_pipeline.simhash_groups(spark, docs.repartition(parts), SF)
+        assert out.columns == docs.columns
+        got = sorted(((r.doc_id, r.text.lower()) for r in out.collect()), key=repr)
+        assert got == sorted([(3, a), (5, b), (None, c), (None, "short"), (9, "one word")], key=repr)
