@@ -173,7 +173,10 @@ class _Bytes:
 
 
 def arc_records(content: bytes) -> Iterator[dict]:
-    """Header fields and block of each record of one ARC file, the version block first."""
+    """Header fields and block of each record of one ARC file, the version block first.
+
+    ``version_block`` marks the first record, whatever the URLs of the others.
+    """
     data = _Bytes(content)
     fields: list[str] | None = None
     while (line := data.line()) is not None:
@@ -187,11 +190,13 @@ def arc_records(content: bytes) -> Iterator[dict]:
             if version.split(b" ")[0] not in (b"1", b"2"):
                 raise ValueError(f"ARC version {version!r}")
             fields = names.decode().split(" ")
-            yield {"URL": values[0].decode(), "Archive-date": values[2].decode(), "block": block, "fields": len(fields)}
+            yield {"URL": values[0].decode(), "Archive-date": values[2].decode(), "block": block, "fields": len(fields),
+                   "version_block": True}
             continue
         if len(values) != len(fields):
             raise ValueError(f"record header of {len(values)} fields, {len(fields)} declared")
-        yield dict(zip(fields, (v.decode("utf-8", "surrogatepass") for v in values))) | {"block": block, "fields": len(fields)}
+        yield dict(zip(fields, (v.decode("utf-8", "surrogatepass") for v in values))) | {
+            "block": block, "fields": len(fields), "version_block": False}
 
 
 def _split_block(block: bytes) -> tuple[bytes, bytes]:
@@ -254,7 +259,7 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str, *, archive_bytes
             for path, content in zip(pdf["path"], pdf["content"]):
                 rows = []
                 for r in arc_records(content):
-                    if not r["URL"].startswith("filedesc://"):
+                    if not r["version_block"]:
                         head, payload = _split_block(r["block"])
                         rows.append((path, len(rows), _page_of(head), len(payload), hashlib.sha256(payload).hexdigest()))
                 yield pd.DataFrame(rows, columns=["path", "nth", "page_id", "size", "digest"]).astype(
@@ -277,7 +282,7 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str, *, archive_bytes
                 refers = {} if known is None else {r["nth"]: r["refers_to"] for r in known}
                 records, size, nth = [], 0, 0
                 for r in arc_records(content):
-                    if r["URL"].startswith("filedesc://"):
+                    if r["version_block"]:
                         body = (f"software: rowsift\r\nformat: WARC File Format 1.1\r\n"
                                 f"converted-from: {r['URL']}\r\narc-fields: {r['fields']}\r\n").encode()
                         archive = r["URL"]

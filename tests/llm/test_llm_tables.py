@@ -108,6 +108,15 @@ def test_arc_faults():
     assert arc_convert._iso("1998") == "1998-01-01T00:00:00Z" and arc_convert._iso("19981231235958") == "1998-12-31T23:59:58Z"
 
 
+def test_pages_of_archives_are_records(spark):
+    """A page whose url is that of a version block is a record and a row like others."""
+    pages = [(1, "filedesc://a.arc", "x" * 150), (2, "u", "x" * 150), (3, "filedesc://b.arc", "y")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1)
+    out = arc_convert.archive_pages(df)
+    assert rows_of(out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")) == archive_brute(pages)
+    assert {r.page_id: r.url for r in out.collect()} == {i: u for i, u, _ in pages}
+
+
 # ---------------------------------------------------------------- token files
 
 def scan_brute(ids, end, tag):
