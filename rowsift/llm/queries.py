@@ -54,7 +54,7 @@ def op5_chat_format(spark, sf):
     own = spark.createDataFrame([(-7, k, r, HOSTILE) for k, r in enumerate(("user", "assistant"))],
                                 "conv_id long, turn long, role string, text string")
     given = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
-    return chat_format.format_conversations(given.unionByName(own)).drop("rewritten")
+    return chat_format.format_conversations(given.unionByName(own), context=1).drop("rewritten")
 
 
 def op6_host_trust(spark, sf):

@@ -278,6 +278,16 @@ def test_chat_detects_rewriting(spark):
         assert all((r.span is None) == r.rewritten for r in spans)
 
 
+def test_chat_default_renders_whole_prefixes(spark):
+    def first_turn_counts(turns):  # the opening turn names the last role of a third turn
+        return "".join(f"[{r}|{t}|{turns[-1][0] if k == 0 and len(turns) > 2 else ''}]" for k, (r, t) in enumerate(turns))
+
+    turns = spark.createDataFrame([(1, 0, "system", "a"), (1, 1, "user", "b"), (1, 2, "assistant", "c"), (2, 0, "user", "d"), (2, 1, "user", "e")],
+                                  "conv_id long, turn long, role string, text string")
+    spans = chat_format.format_turns(turns, template=first_turn_counts).collect()
+    assert {(r.conv_id, r.pos) for r in spans if r.rewritten} == {(1, 2)}
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text(alphabet="\\#h</turn>t:\nx é", max_size=40), st.text(alphabet="\\#:\n\r</turn>ab", max_size=12))
 def test_chat_escape_is_reversible(text, role):
