@@ -33,7 +33,10 @@ RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block"
 ITERATIONS = 12
 DAMPING = 0.7
 THRESHOLD = 1.5
-LINK = r"""(?i)(?:href|src)\s*=\s*["']?\s*[a-z][a-z0-9+.-]*://([^\s"'>/?#]+)"""
+#: The host of a link, with a scheme or relative to the page's (``//host/``).
+LINK = r"""(?i)(?:href|src)\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^\s"'>/?#]+)"""
+#: What the SQL looks for: links with a scheme only.
+SQL_LINK = r"""(?i)(?:href|src)\s*=\s*["']?\s*[a-z][a-z0-9+.-]*://([^\s"'>/?#]+)"""
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -139,7 +142,10 @@ def judge_urls(pages: DataFrame, rules: dict | None = None, *, page_id: str = "p
 
 def judge_sql(rules: dict | None = None, *, iterations: int = ITERATIONS, damping: float = DAMPING,
               threshold: float = THRESHOLD) -> str:
-    """The same judgement in DuckDB SQL over ``pages``, the iterations written out."""
+    """The same judgement in DuckDB SQL over ``pages``, the iterations written out.
+
+    It knows links with a scheme only, so it agrees where no link is ``//host/``.
+    """
     rules = RULES if rules is None else rules
 
     def fits(rule):
@@ -149,7 +155,7 @@ def judge_sql(rules: dict | None = None, *, iterations: int = ITERATIONS, dampin
     order = sorted(rules, key=lambda r: (-len(r), r))
     rule = "CASE " + " ".join(f"WHEN {fits(r)} THEN '{r}'" for r in order) + " END"
     ruled = "CASE rule " + " ".join(f"WHEN '{r}' THEN '{v}'" for r, v in rules.items()) + " END"
-    link = LINK.replace("'", "''")
+    link = SQL_LINK.replace("'", "''")
     parts = [
         "u AS (SELECT page_id, html, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest "
         "FROM pages)",

@@ -360,6 +360,19 @@ def test_links_carry_verdicts(spark):
     assert {i: v for i, _, _, _, v in con.sql(link_graph.judge_sql()).fetchall()} == got
 
 
+def test_links_relative_to_the_scheme(spark):
+    """``//host/`` is a link like ``http://host/``; a path with two slashes inside is none."""
+    def judged(scheme):
+        rows = [(i, "http://spam.net/x", None) for i in range(6)]
+        rows += [(10 + i, "http://farm.biz/1", f'<a href="{scheme}//spam.net/x">x</a> <IMG SRC = {scheme}//SPAM.net/y>') for i in range(2)]
+        rows += [(20, "http://fair.org/fr/", f"<a href='{scheme}//friend.io'>"), (30, "http://friend.io/", '<a href="/a//spam.net/">')]
+        pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+        return {r.page_id: r.verdict for r in link_graph.judge_urls(pages).collect()}
+
+    got = judged("")
+    assert got == judged("https:") and got[10] == got[11] == "block" and got[20] == got[30] == "allow"
+
+
 # ---------------------------------------------------------------- vectors
 
 def vectors_brute(rows, threshold=0.93):
