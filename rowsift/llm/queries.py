@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from rowsift.session import shared_dir
 
-from . import (arc_convert, bpe_tree, cap_filters, chat_format, gray_index, license_scan, line_crf, link_graph,
-               mixing, token_scan)
+from . import (arc_convert, bpe_tree, cap_filters, chat_format, gray_index, hilbert_codes, license_scan, line_crf, link_graph,
+               mixing, subword_lang, token_scan, vantage_tree)
 
 MIX = {"source": 0.5, "lang": {"en": 0.55, "de": 0.15, "fr": 0.15, "es": 0.15}, "topic": 0.8}
 MIX_RATE = 0.5
@@ -79,9 +79,25 @@ def op10_byte_bpe(spark, sf):
     return bpe_tree.token_digests(table(spark, sf, "documents"), **bpe_files())
 
 
+def op11_subword_language(spark, sf):
+    docs = table(spark, sf, "documents")
+    held = subword_lang.held_out("doc_id")
+    model = subword_lang.train_on_languages(docs, usable=~held)
+    return subword_lang.identify(docs, model, carry={"held_out": held})
+
+
+def op12_vantage_clusters(spark, sf):
+    return vantage_tree.cluster(table(spark, sf, "embeddings"), dims=64, scale=256, k=40, rounds=5, salt="2")
+
+
+def op13_hilbert_codes(spark, sf):
+    return hilbert_codes.compress(table(spark, sf, "embeddings"), parts=8, entries=16, rounds=6, scale=4096)
+
+
 QUERIES = {q.__name__: q for q in (
     op1_license_scan, op2_arc_to_warc, op3_token_counts, op4_source_mix, op5_chat_format, op6_host_trust,
-    op7_quality_rules, op8_vector_caps, op9_simhash_groups, op10_byte_bpe)}
+    op7_quality_rules, op8_vector_caps, op9_simhash_groups, op10_byte_bpe, op11_subword_language, op12_vantage_clusters,
+    op13_hilbert_codes)}
 
 _WARC_SQL = f"""
 WITH d AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
