@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_frames
+from .common import map_batches, map_frames
 
 #: Units whose ids a Python worker remembers (twice: recent and older), and the longest.
 REMEMBERED = 250_000
@@ -344,6 +344,24 @@ def encode_documents(docs: DataFrame, *, rank_path: str, pattern: str, text: str
     return map_frames(rows, run, f"{schema}, ids array<int>, n_tokens long")
 
 
+def count_tokens(docs: DataFrame, column: str, *, rank_path: str, pattern: str, text: str = "text") -> DataFrame:
+    """``docs``, unchanged, with the number of ids of each text as ``column`` (long; a null text: 0)."""
+    rank_file = read_ranks(rank_path)
+
+    def run(batches):
+        import pyarrow as pa
+
+        bpe = tokenizer(rank_file, pattern)
+        for batch in batches:
+            n = np.zeros(batch.num_rows, dtype=np.int64)
+            for at, ids in bpe.encode_texts(batch.column(text).to_pylist()):
+                n[at] += len(ids)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n)], names=[*batch.schema.names, column])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    return map_batches(docs, run, f"{fields}, `{column}` long")
+
+
 def decode_documents(rows: DataFrame, *, rank_path: str, pattern: str, key: str, ids: str = "ids") -> DataFrame:
     """``key`` and ``decoded binary``: the bytes that the ids stand for (null ids: no bytes)."""
     rank_file = read_ranks(rank_path)

@@ -8,10 +8,11 @@ place of the text inside a span is found by two probes, the same prefix with
 the texts ``x`` and ``y`` in the turn's place: where the outputs part, the
 text begins, and what follows the probe is the template's closing.
 
-A template states how many earlier turns its output for a turn looks at
-(``context``; None: all of them). With a number, a turn is rendered from those
-turns only, so a conversation of any length costs one window per turn, and
-turns are formatted where they lie; None, the default, renders whole prefixes.
+Turns stream through a task sorted by conversation; a conversation's turns are
+held once and each prefix is rendered from them, so what a task holds is one
+conversation and its output. Rendering every prefix of a black box is quadratic
+in the turns of a conversation by nature. For a template known to look at a few
+earlier turns only, ``context`` says how many, and only those are rendered.
 
 The template of this module ends turns with a line ``</turn>`` and begins them
 with ``### Role:``. Control strings in texts and roles are escaped with a
@@ -27,7 +28,7 @@ import re
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_frames, staged
@@ -54,9 +55,25 @@ def unescape(text: str) -> str:
     return _ESCAPED.sub(lambda m: _BACK[m[1]], text)
 
 
+#: Short rendered turns, kept for the next prefix; emptied when full.
+_RENDERED: dict[Turn, str] = {}
+KEPT_TURNS, KEPT_CHARS = 1 << 14, 2048
+
+
+def _marked(turn: Turn) -> str:
+    out = _RENDERED.get(turn)
+    if out is None:
+        out = f"### {escape_role(turn[0])}:\n{escape(turn[1])}\n</turn>\n"
+        if len(out) <= KEPT_CHARS:
+            if len(_RENDERED) >= KEPT_TURNS:
+                _RENDERED.clear()
+            _RENDERED[turn] = out
+    return out
+
+
 def marked_turns(turns: list[Turn]) -> str:
     """The template: each turn between a role line and an end line."""
-    return "".join(f"### {escape_role(r)}:\n{escape(t)}\n</turn>\n" for r, t in turns)
+    return "".join(map(_marked, turns))
 
 
 def parse_turn(span: str) -> Turn:
@@ -67,21 +84,39 @@ def parse_turn(span: str) -> Turn:
     return unescape(m[1]), unescape(m[2])
 
 
-def locate(template: Callable[[list[Turn]], str], earlier: list[Turn], turn: Turn) -> tuple[str, int, int] | None:
+def locate(template: Callable[[list[Turn]], str], earlier: list[Turn], turn: Turn,
+           before: str | None = None) -> tuple[str, int, int] | None:
     """``(span, begin, end)`` of a turn after ``earlier``; None when history is rewritten.
 
-    ``begin`` and ``end`` bound the text's rendering inside the span.
+    ``begin`` and ``end`` bound the text's rendering inside the span;
+    ``before`` is the output for ``earlier``, where it is known.
     """
-    before, after = template(earlier) if earlier else "", template([*earlier, turn])
+    return _locate(template, earlier, turn, before)[0]
+
+
+def _locate(template, earlier: list[Turn], turn: Turn, before: str | None):
+    """``locate``, and the output with the turn."""
+    if before is None:
+        before = template(earlier) if earlier else ""
+    after = template([*earlier, turn])
     x, y = template([*earlier, (turn[0], "x")]), template([*earlier, (turn[0], "y")])
     if not (after.startswith(before) and x.startswith(before) and y.startswith(before)):
-        return None
+        return None, after
     span, x, y = after[len(before):], x[len(before):], y[len(before):]
     begin = len(os.path.commonprefix((x, y)))
     closing = len(x) - begin - 1
     if closing < 0 or x[begin + 1:] != y[begin + 1:] or span[:begin] != x[:begin] or len(span) < begin + closing:
-        return None
-    return span, begin, len(span) - closing
+        return None, after
+    return (span, begin, len(span) - closing), after
+
+
+_WHOLE = {"conv_id", "pos", "loss_begin", "loss_end", "n_turns", "loss_chars", "formatted_chars"}
+
+
+def _typed(rows: list[tuple], names: list[str]) -> pd.DataFrame:
+    """A frame whose whole numbers keep their values beside nulls."""
+    columns = zip(*rows) if rows else [()] * len(names)
+    return pd.DataFrame({n: pd.array(list(c), dtype="Int64") if n in _WHOLE else list(c) for n, c in zip(names, columns)})
 
 
 def format_turns(turns: DataFrame, *, template: Callable[[list[Turn]], str] = marked_turns,
@@ -96,30 +131,32 @@ def format_turns(turns: DataFrame, *, template: Callable[[list[Turn]], str] = ma
     template changed what it had put out before; they have no span. Rows are
     ordered by turn, then role, then text, nulls first, so repeated turns stay
     and ties are settled; a null role or text is empty; rows without conv_id
-    form one conversation.
+    form one conversation. A conversation is rendered by one task, since each
+    prefix needs all turns before; texts of any length are kept whole.
     """
     clean = turns.select(F.col(f"`{conv}`").cast("long").alias("conv_id"), F.col(f"`{turn}`").cast("long").alias("turn"),
                          F.coalesce(F.col(f"`{role}`").cast("string"), F.lit("")).alias("role"),
                          F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
-    w = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    said = F.struct("role", "text")
-    before = w.rowsBetween(Window.unboundedPreceding if context is None else -context, -1)
-    # a window of `context` rows per turn; only templates that look at everything carry whole prefixes
-    earlier = F.collect_list(said).over(before) if context != 0 else F.array().cast("array<struct<role:string,text:string>>")
-    rows = clean.select("conv_id", (F.row_number().over(w) - 1).cast("long").alias("pos"), "role", "text", earlier.alias("earlier"))
+    rows = (clean.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+            .select(F.col("conv_id").cast("string").alias("conv"), "role", "text"))  # as text: pandas has no whole numbers with nulls
 
     def run(frames):
+        key, pos, earlier, before = None, 0, [], None
         for pdf in frames:
             out = []
-            for r, t, e in zip(pdf["role"], pdf["text"], pdf["earlier"]):
-                got = locate(template, [(d["role"], d["text"]) for d in e], (r, t))
-                if got is None:
-                    out.append((None, None, None, True))
-                else:
-                    out.append((got[0], got[1] if r == learn else None, got[2] if r == learn else None, False))
-            made = pd.DataFrame(out, columns=["span", "loss_begin", "loss_end", "rewritten"]).astype(
-                {"loss_begin": "Int64", "loss_end": "Int64"})
-            yield pd.concat((pdf[["conv_id", "pos"]].reset_index(drop=True), made), axis=1)
+            for conv, r, t in zip(pdf["conv"], pdf["role"], pdf["text"]):
+                mine = (None if conv is None else int(conv),)
+                if mine != key:
+                    key, pos, earlier, before = mine, 0, [], None
+                if context is not None:  # a window of earlier turns, rendered anew as it moves
+                    earlier, before = earlier[len(earlier) - context:] if context and len(earlier) > context else (
+                        earlier if context else []), None
+                got, after = _locate(template, earlier, (r, t), before)
+                span, a, b = got or (None, None, None)
+                out.append((*mine, pos, span, *((a, b) if r == learn else (None, None)), got is None))
+                earlier.append((r, t))
+                pos, before = pos + 1, after
+            yield _typed(out, ["conv_id", "pos", "span", "loss_begin", "loss_end", "rewritten"])
 
     return map_frames(rows, run, "conv_id long, pos long, span string, loss_begin long, loss_end long, rewritten boolean")
 
@@ -133,7 +170,8 @@ def read_back(formatted: DataFrame) -> DataFrame:
     conversation of any length is never held; one that any template rewrote
     gets null digests and ``rewritten`` true.
     """
-    rows = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "pos")
+    rows = (formatted.repartition("conv_id").sortWithinPartitions("conv_id", "pos")
+            .select(F.col("conv_id").cast("string").alias("conv"), "span", "loss_begin", "loss_end"))
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "rewritten"]
 
     def run(frames):
@@ -146,8 +184,8 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
         for pdf in frames:
             done = []
-            for conv, span, a, b in zip(pdf["conv_id"], pdf["span"], pdf["loss_begin"], pdf["loss_end"]):
-                mine = (None if pd.isna(conv) else int(conv),)
+            for conv, span, a, b in zip(pdf["conv"], pdf["span"], pdf["loss_begin"], pdf["loss_end"]):
+                mine = (None if conv is None else int(conv),)
                 if mine != key:
                     if key is not None:
                         done.append(closed())
@@ -164,12 +202,9 @@ def read_back(formatted: DataFrame) -> DataFrame:
                     state[2] += len(learned)
                     state[3].update(learned.encode("utf-8", "surrogatepass"))
             if done:
-                yield _typed(pd.DataFrame(done, columns=names))
+                yield _typed(done, names)
         if key is not None:
-            yield _typed(pd.DataFrame([closed()], columns=names))
-
-    def _typed(made):
-        return made.astype({c: "Int64" for c in ("conv_id", "n_turns", "loss_chars", "formatted_chars")})
+            yield _typed([closed()], names)
 
     return map_frames(rows, run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, "
                                  "formatted_chars long, rewritten boolean")

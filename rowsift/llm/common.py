@@ -8,20 +8,12 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowsift.session import shared_dir, ship_package
+from rowsift.session import ship_package, written
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and read it back.
-
-    Cuts the lineage at a table every executor can read, so a lost executor
-    costs a re-read and not a recomputation, and non-deterministic plans are
-    evaluated once.
-    """
-    spark = df.sparkSession
-    path = shared_dir(spark, "llm", name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """Write ``df`` once as Parquet in the shared folder and read it back (see ``session.written``)."""
+    return written(df, f"llm/{name}")
 
 
 def _give_back() -> None:
@@ -36,17 +28,26 @@ def _give_back() -> None:
         pass
 
 
+def _tidy(fn):
+    def run(items):
+        try:
+            yield from fn(items)
+        finally:
+            _give_back()
+
+    return run
+
+
 def map_frames(df: DataFrame, fn, schema: str) -> DataFrame:
     """``mapInPandas`` after making this package importable on executors."""
     ship_package(df.sparkSession)
+    return df.mapInPandas(_tidy(fn), schema)
 
-    def run(frames):
-        try:
-            yield from fn(frames)
-        finally:
-            _give_back()
 
-    return df.mapInPandas(run, schema)
+def map_batches(df: DataFrame, fn, schema: str) -> DataFrame:
+    """``mapInArrow`` likewise: columns that pass through keep their exact values, nulls too."""
+    ship_package(df.sparkSession)
+    return df.mapInArrow(_tidy(fn), schema)
 
 
 def utf8(texts) -> Iterator[bytes]:

@@ -67,7 +67,7 @@ def fingerprints(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
                  row_key: str | None = None) -> DataFrame:
     """``(doc_id, fp)`` per row of ``docs``; ``fp`` is the fingerprint as a signed long.
 
-    With ``row_key``, a column of longs, it is passed on as ``row_key``.
+    With ``row_key``, a column of any type, it is passed on as ``row_key``.
     """
     keyed = row_key is not None
 
@@ -78,8 +78,9 @@ def fingerprints(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
             yield made.assign(row_key=pdf["row_key"]) if keyed else made
 
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"),
-                       *([F.col(f"`{row_key}`").cast("long").alias("row_key")] if keyed else []))
-    return map_frames(rows, run, "doc_id long, fp long" + ", row_key long" * keyed)
+                       *([F.col(f"`{row_key}`").alias("row_key")] if keyed else []))
+    more = f", row_key {rows.schema['row_key'].dataType.simpleString()}" if keyed else ""
+    return map_frames(rows, run, "doc_id long, fp long" + more)
 
 
 def hex16(fp: Column) -> Column:
@@ -245,7 +246,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
                     shingle: int = 3, distance: int = 3, row_key: str | None = None) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, fp, component_id``.
 
-    With ``row_key``, a column of longs that tells rows apart, also ``row_key``
+    With ``row_key``, a column that tells rows apart, also ``row_key``
     and ``component``, which names the component whether its ids are null or not.
 
     ``component_id`` is the smallest ``doc_id`` reachable over links of

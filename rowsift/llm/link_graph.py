@@ -33,10 +33,11 @@ RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block"
 ITERATIONS = 12
 DAMPING = 0.7
 THRESHOLD = 1.5
-#: The host of a link, with a scheme or relative to the page's (``//host/``).
-LINK = r"""(?i)(?:href|src)\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^\s"'>/?#]+)"""
-#: What the SQL looks for: links with a scheme only.
-SQL_LINK = r"""(?i)(?:href|src)\s*=\s*["']?\s*[a-z][a-z0-9+.-]*://([^\s"'>/?#]+)"""
+#: The host of a link, with a scheme or relative to the page's (``//host/``). No two runs of
+#: blanks adjoin, so a search is linear in the text; classes are spelled out, so that Spark and SQL agree.
+_GAP = r"[ \t\n\f\r]*"
+LINK = (r"(?:[hH][rR][eE][fF]|[sS][rR][cC])" + _GAP + "=" + _GAP + r"""(?:["']""" + _GAP + ")?"
+        r"""(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^ \t\n\f\r"'>/?#]+)""")
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -155,7 +156,7 @@ def judge_sql(rules: dict | None = None, *, iterations: int = ITERATIONS, dampin
     order = sorted(rules, key=lambda r: (-len(r), r))
     rule = "CASE " + " ".join(f"WHEN {fits(r)} THEN '{r}'" for r in order) + " END"
     ruled = "CASE rule " + " ".join(f"WHEN '{r}' THEN '{v}'" for r, v in rules.items()) + " END"
-    link = SQL_LINK.replace("'", "''")
+    link = LINK.replace("'", "''")
     parts = [
         "u AS (SELECT page_id, html, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest "
         "FROM pages)",

@@ -54,7 +54,7 @@ def op5_chat_format(spark, sf):
     own = spark.createDataFrame([(-7, k, r, HOSTILE) for k, r in enumerate(("user", "assistant"))],
                                 "conv_id long, turn long, role string, text string")
     given = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
-    return chat_format.format_conversations(given.unionByName(own), context=1).drop("rewritten")
+    return chat_format.format_conversations(given.unionByName(own))
 
 
 def op6_host_trust(spark, sf):
@@ -118,7 +118,7 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
   coalesce(sum(len(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  sum(chars)::BIGINT AS formatted_chars FROM sized GROUP BY conv_id"""
+  sum(chars)::BIGINT AS formatted_chars, false AS rewritten FROM sized GROUP BY conv_id"""
 
 ORACLE_SQL = {
     "op2_arc_to_warc": _WARC_SQL,

@@ -36,6 +36,8 @@ DIMENSIONS = 16
 #: Bounds of the training sample: documents, and characters of each (a window of longer ones).
 TRAIN_DOCS = 2400
 TRAIN_CHARS = 8192
+#: Parts in which the texts of a language are looked through for the sample.
+SLOTS = 64
 #: Characters of the short window taken from each sampled document as a second example.
 SHORT_CHARS = 48
 EPOCHS = 4
@@ -250,7 +252,8 @@ def train_on_languages(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
 
     The sample goes round the languages: first the text of smallest hash of
     each, then the second, and so on, so a language (or a text with thousands
-    of copies) that fills the table does not fill the sample. Rows without
+    of copies) that fills the table does not fill the sample; a language gives
+    at most ``n_docs / SLOTS`` texts of each of its ``SLOTS`` hash parts. Rows without
     text or language, or not ``usable``, are left out. Only bucket counts of
     the sample reach the driver; without rows the model knows no language.
     """
@@ -258,13 +261,14 @@ def train_on_languages(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
                        F.col(f"`{lang}`").cast("string").alias("lang"),
                        (F.lit(True) if usable is None else usable).alias("usable"))
     rows = rows.where("usable and text is not null and lang is not null").withColumn("h", F.xxhash64("text"))
-    slim = rows.groupBy("lang", "h").agg(F.min("id").alias("id")).withColumn("slot", F.pmod("h", F.lit(64)))
+    slim = rows.groupBy("lang", "h").agg(F.min("id").alias("id")).withColumn("slot", F.pmod("h", F.lit(SLOTS)))
 
-    def first(df, *keys):  # each task hands on the first rows of a group only
+    def first(df, n, *keys):  # each task hands on the first rows of a group only
         nth = F.row_number().over(Window.partitionBy(*keys).orderBy("h"))
-        return df.withColumn("nth", nth).where(F.col("nth") <= n_docs)
+        return df.withColumn("nth", nth).where(F.col("nth") <= n)
 
-    chosen = staged(first(first(slim, "lang", "slot"), "lang").orderBy("nth", "lang").limit(n_docs)
+    few = first(slim, -(-n_docs // SLOTS), "lang", "slot")  # a language comes in parts, each with its share of the sample
+    chosen = staged(first(few, n_docs, "lang").orderBy("nth", "lang").limit(n_docs)
                     .select("lang", "h", "id", "nth"), "language-sample")
     found = rows.join(F.broadcast(chosen.withColumnRenamed("id", "own_id")), ["lang", "h"]).where("id <=> own_id")
 

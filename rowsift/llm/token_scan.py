@@ -16,6 +16,7 @@ bits a token, low bits first (all ones: no id). Tags are not counted.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -23,13 +24,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .arc_convert import _write, read_archives
-from .bpe_tree import read_ranks
+from .bpe_tree import _slices, read_ranks, tokenizer
 from .common import map_frames, staged
 
 BLOCK = 1 << 16
 #: Raw bytes after which the next token file begins (at the end of a document).
 FILE_BYTES = 16 << 20
 TAG, TAG_BITS = 5, 13
+#: Bytes of a file worked on at a time.
+PIECE = 1 << 20
 _NO_ID = (1 << (TAG * TAG_BITS)) - 1
 
 
@@ -49,25 +52,27 @@ def write_token_files(docs: DataFrame, path: str, *, rank_path: str, pattern: st
                       doc_id: str = "doc_id", text: str = "text", file_bytes: int = FILE_BYTES) -> None:
     """Encode texts and write them as tagged flat files of ``width``-byte ids.
 
-    Tasks write what they read, nothing is shuffled; a null text is empty.
-    Files are gzip-compressed and end with one byte that is no whole id.
+    Tasks write what they read, nothing is shuffled; a null text is empty; a
+    text of any length goes through the encoder in blocks. Files are
+    gzip-compressed and end with one byte that is no whole id.
     """
     rank_file = read_ranks(rank_path)
-    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
+    end = np.array([end_id], dtype=f"<u{width}").tobytes()
+    rows = docs.select(F.col(f"`{doc_id}`").cast("long").cast("string").alias("doc_id"),
+                       F.col(f"`{text}`").cast("string").alias("text"))
 
     def run(frames):
-        import base64
-
-        import tiktoken
-
-        ranks = {base64.b64decode(t): int(r) for t, r in map(bytes.split, filter(None, rank_file.splitlines()))}
-        encode = tiktoken.Encoding("flat", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        bpe = tokenizer(rank_file, pattern)
         out, size = [], 0
-        for pdf in frames:
-            for key, t in zip(pdf["doc_id"], pdf["text"]):
-                ids = tag_of(None if pd.isna(key) else int(key)) + (encode(t) if isinstance(t, str) else []) + [end_id]
-                out.append(np.array(ids, dtype=f"<u{width}").tobytes())
-                size += len(out[-1])
+        for pdf in _slices(frames, "text"):
+            parts: list[list] = [[] for _ in range(len(pdf))]
+            for at, ids in bpe.encode_texts(pdf["text"]):
+                parts[at].append(ids.astype(f"<u{width}").tobytes())
+            for key, found in zip(pdf["doc_id"], parts):
+                tag = np.array(tag_of(None if key is None else int(key)), dtype=f"<u{width}").tobytes()
+                whole = [tag, *found, end]
+                out += whole
+                size += sum(map(len, whole))
                 if size >= file_bytes:
                     yield pd.DataFrame({"archive": [b"".join(out)]})
                     out, size = [], 0
@@ -77,6 +82,31 @@ def write_token_files(docs: DataFrame, path: str, *, rank_path: str, pattern: st
     _write(map_frames(rows, run, "archive binary"), path, "\n")
 
 
+def raw_pieces(content: bytes, zipped: bool) -> Iterator[bytes]:
+    """A file's bytes in pieces of at most ``PIECE``; gzip members one after the other.
+
+    Of a file that ends inside a member comes what can be read."""
+    if not zipped:
+        yield from (content[i:i + PIECE] for i in range(0, len(content), PIECE))
+        return
+    unzip, feed, at = zlib.decompressobj(31), b"", 0
+    while feed or at < len(content):
+        if not feed:
+            feed = content[at:at + PIECE]
+            at += PIECE
+        if unzip.eof:  # the next member, behind any padding
+            feed = feed.lstrip(b"\0")
+            if not feed:
+                continue
+            unzip = zlib.decompressobj(31)
+        piece = unzip.decompress(feed, PIECE)
+        feed = unzip.unused_data if unzip.eof else unzip.unconsumed_tail
+        if piece:
+            yield piece
+    while not unzip.eof and (piece := unzip.decompress(b"", PIECE)):
+        yield piece
+
+
 def summarise(ids: np.ndarray, end_id: int, tag: int) -> dict:
     """What one block tells: its separators, the documents inside it, and its open ends."""
     seps = np.flatnonzero(ids == end_id)
@@ -102,7 +132,9 @@ def scan_files(spark: SparkSession, path: str, *, end_id: int, width: int = 2, t
     excludes separator and tag; ``ended`` is false for a last document without
     separator (none is listed when nothing follows the last separator). Empty
     documents have 0 tokens. Bytes at the end of a file that are no whole id
-    are ignored. ``doc_id`` is null in files without tags.
+    are ignored. ``doc_id`` is null in files without tags. Files whose name
+    ends in ``.gz`` are gunzipped, with all their members; others are ids as
+    they stand, whatever their first bytes.
     """
     tag = TAG if tagged else 0
     if block <= max(tag, 1):
@@ -112,11 +144,9 @@ def scan_files(spark: SparkSession, path: str, *, end_id: int, width: int = 2, t
     def run(frames):
         for pdf in frames:
             for name, content in zip(pdf["path"], pdf["content"]):
-                unzip = zlib.decompressobj(31) if bytes(content[:2]) == b"\x1f\x8b" else None
                 rest, at, out = b"", 0, []
-                for i in range(0, len(content), 1 << 20):
-                    piece = content[i:i + (1 << 20)]
-                    rest += unzip.decompress(piece) if unzip else piece
+                for piece in raw_pieces(bytes(content), name.endswith(".gz")):
+                    rest += piece
                     while len(rest) >= step:
                         out.append({"file": name, "block": at} | summarise(np.frombuffer(rest[:step], f"<u{width}"), end_id, tag))
                         rest, at = rest[step:], at + 1
@@ -178,7 +208,8 @@ def token_counts(docs: DataFrame, path: str, *, rank_path: str, pattern: str, en
 
     ``doc_id, n_tokens`` per row of ``docs``: a null text has 0 tokens, a null
     id stays null, repeated rows each give a row, an empty table an empty one;
-    further columns are not read.
+    a text of any length is encoded and scanned whole, in blocks; further
+    columns are not read.
     """
     write_token_files(docs, path, rank_path=rank_path, pattern=pattern, end_id=end_id, **names)
     return scan_files(docs.sparkSession, path, end_id=end_id).select("doc_id", "n_tokens")
