@@ -5,10 +5,9 @@ returns the rows it keeps with the columns of its input, the last one the
 encoded documents. Every stage works on all rows its predecessor kept; its
 result is written as Parquet in the shared folder and read back.
 
-Rows without ``doc_id``: the quality rules and the mix treat them like others;
-the near-duplicate stage keeps one of each group of them, beside the group's
-document of smallest id. A repeated ``doc_id`` is no reason to drop a row: rows
-are told apart by a key, and only copies of a text go. An empty table gives an
+Rows without ``doc_id`` are treated like others; a near-duplicate group keeps
+one of them only where it has no row with an id. A repeated ``doc_id`` is no
+reason to drop a row: rows are told apart by a key, and only copies of a text go. An empty table gives an
 empty result; further columns of ``documents`` pass through.
 """
 
@@ -16,6 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from rowsift.functions.names import free_name
 from rowsift.llm import bpe_tree, gray_index, line_crf, mixing
@@ -24,6 +24,8 @@ from rowsift.llm.queries import MIX, MIX_SEED, MIX_SWEEPS, bpe_files, table
 
 #: Expected share of the tokens that the mix keeps.
 RATE = 0.8
+#: Keys of dropped rows are sent to all executors up to this size (measured).
+BROADCAST_BYTES = 16 << 20
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,19 +34,35 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return line_crf.judge_lines(docs, weights, keep_columns=True)
 
 
-def simhash_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one row of each near-duplicate group: smallest id, then first row; of rows without id also one."""
+def _with_row_key(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a key per row: file and place in it, as Parquet states them; other input is written once."""
     key = free_name("row_key", docs.columns)
-    keyed = staged(docs.withColumn(key, F.monotonically_increasing_id()), "keyed")
+    try:
+        keyed = docs.withColumn(key, F.concat_ws(":", "_metadata.file_path", "_metadata.row_index"))
+        keyed.schema  # noqa: B018 - resolves the hidden columns now
+        return keyed, key
+    except AnalysisException:  # not read from Parquet files
+        return staged(docs.withColumn(key, F.monotonically_increasing_id().cast("string")), "keyed"), key
+
+
+def simhash_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one row of each near-duplicate group: smallest id (rows without id last), then first row key."""
+    keyed, key = _with_row_key(docs)
     groups = gray_index.near_duplicates(keyed, shingle=3, distance=3, row_key=key)
-    first = (groups.groupBy("component", F.col("doc_id").isNull().alias("nameless"))
-             .agg(F.min(F.struct("doc_id", "row_key")).alias("first")).select(F.col("first.row_key").alias(key)))
-    return keyed.join(first, key, "left_semi").drop(key)
+    rank = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row_key")
+    first = (groups.groupBy("component").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n"))
+             .where("n > 1").select("component", F.col("first.row_key").alias("own")))
+    dropped = staged(groups.join(first, "component").where(F.col("row_key") != F.col("own"))
+                     .select(F.col("row_key").alias(key)), "dropped")
+    size = dropped.agg(F.coalesce(F.sum(F.octet_length(key) + 48), F.lit(0))).first()[0]
+    return keyed.join(F.broadcast(dropped) if size <= BROADCAST_BYTES else dropped, key, "left_anti").drop(key)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sample documents so that sources, languages and topics meet their targets."""
-    return mixing.mix(docs, MIX, rate=RATE, seed=MIX_SEED, sweeps=MIX_SWEEPS, keep_columns=True)
+    """Sample documents so that sources, languages and topics meet their targets in BPE tokens."""
+    count = free_name("mix_tokens", docs.columns)
+    counted = staged(bpe_tree.count_tokens(docs, count, **bpe_files()), "counted")  # encoded once, read twice
+    return mixing.mix(counted, MIX, rate=RATE, seed=MIX_SEED, sweeps=MIX_SWEEPS, tokens=F.col(count), keep_columns=True).drop(count)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
