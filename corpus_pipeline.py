@@ -26,6 +26,8 @@ from rowsift.llm.queries import MIX, MIX_SEED, MIX_SWEEPS, bpe_files, table
 RATE = 0.8
 #: Keys of dropped rows are sent to all executors up to this size (measured).
 BROADCAST_BYTES = 16 << 20
+#: Parts in which a near-duplicate group meets its first row.
+SALTS = 32
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +54,10 @@ def simhash_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     rank = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row_key")
     first = (groups.groupBy("component").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n"))
              .where("n > 1").select("component", F.col("first.row_key").alias("own")))
-    dropped = staged(groups.join(first, "component").where(F.col("row_key") != F.col("own"))
+    # a group of thousands of copies is met in many parts
+    salt = F.pmod(F.xxhash64("row_key"), F.lit(SALTS)).cast("int")
+    first = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dropped = staged(groups.withColumn("salt", salt).join(first, ["component", "salt"]).where(F.col("row_key") != F.col("own"))
                      .select(F.col("row_key").alias(key)), "dropped")
     size = dropped.agg(F.coalesce(F.sum(F.octet_length(key) + 48), F.lit(0))).first()[0]
     return keyed.join(F.broadcast(dropped) if size <= BROADCAST_BYTES else dropped, key, "left_anti").drop(key)
@@ -60,9 +65,11 @@ def simhash_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sample documents so that sources, languages and topics meet their targets in BPE tokens."""
-    count = free_name("mix_tokens", docs.columns)
-    counted = staged(bpe_tree.count_tokens(docs, count, **bpe_files()), "counted")  # encoded once, read twice
-    return mixing.mix(counted, MIX, rate=RATE, seed=MIX_SEED, sweeps=MIX_SWEEPS, tokens=F.col(count), keep_columns=True).drop(count)
+    count, topic = free_name("mix_tokens", docs.columns), free_name("mix_topic", docs.columns)
+    # texts are encoded and looked at once; cells are summed from the two new columns alone
+    counted = staged(bpe_tree.count_tokens(docs, count, **bpe_files()).withColumn(topic, mixing.form()), "counted")
+    return mixing.mix(counted, MIX, rate=RATE, seed=MIX_SEED, sweeps=MIX_SWEEPS, tokens=F.col(count), topic=F.col(topic),
+                      keep_columns=True).drop(count, topic)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
