@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rowsift.files import listing, rename
 from rowsift.functions import (
     NOTES_FIELD,
     VERDICT_FIELD,
@@ -46,7 +47,17 @@ from rowsift.operators import (
     with_row_id,
 )
 from rowsift.plans import analyze
-from rowsift.plans.reviewers import PRICE_LIMIT, advising_reviewer, length_scorer, price_reviewer, same_initial
+from rowsift.plans.reviewers import (
+    PRICE_LIMIT,
+    advising_reviewer,
+    first_answers,
+    first_scorer,
+    length_scorer,
+    price_reviewer,
+    same_initial,
+    second_answers,
+    second_scorer,
+)
 from rowsift.session import shared_dir
 from rowsift.sources import (
     add_table,
@@ -122,6 +133,17 @@ def q_s4_read_many(spark, sf):
                                          F.max("l_orderkey").alias("max_orderkey"))
 
 
+def q_s4_read_many_files(spark, sf):
+    """Three tables of equal columns read as one, each row with its file's folder."""
+    base = shared_dir(spark, "s4")
+    part = _t(spark, sf, "part")
+    for k in range(3):
+        write_table(part.where(F.col("p_partkey") % 3 == k), base, f"parts_{k}")
+    df = read_many(spark, [f"{base}/parts_{k}" for k in range(3)])
+    folder = F.regexp_extract("source_file", r"/(parts_[0-9])/[^/]*$", 1)
+    return df.withColumn("source_file", folder).select("source_file", "p_partkey", "p_name")
+
+
 def q_s5_assemble_document(spark, sf):
     conv = _t(spark, sf, "conversations")
     return assemble_document(conv, doc="conv_id", page_no="turn", text="text")
@@ -177,20 +199,16 @@ def q_f2_filter_any_term_many(spark, sf):
     return filter_any_term(_t(spark, sf, "part"), "p_brand", MANY_BRANDS)
 
 
-def _docs_with_benchmark(spark, sf, max_list_values):
-    docs = _t(spark, sf, "documents")
-    bench = _t(spark, sf, "benchmark").select(F.col("text").alias("value"))
-    out = filter_any_term(docs, "text", bench, max_list_values=max_list_values)
-    return out.select("doc_id", "lang", "n_chars")
-
-
 def q_f2_filter_any_term_frame(spark, sf):
     docs, bench = _t(spark, sf, "documents"), _t(spark, sf, "benchmark").select(F.col("text").alias("value"))
     return filter_any_term(docs, "text", bench).select("doc_id", "lang", "n_chars")
 
 
 def q_f2_filter_any_term_qgram(spark, sf):
-    return _docs_with_benchmark(spark, sf, max_list_values=0)
+    """Values of two words have no interior word: the join goes by grams."""
+    docs = _t(spark, sf, "documents")
+    starts = _t(spark, sf, "benchmark").select(F.regexp_substr("text", F.lit(r"^\S+ \S+")).alias("value"))
+    return filter_any_term(docs, "text", starts, max_list_values=0).select("doc_id", "lang", "n_chars")
 
 
 def q_f3_filter_related(spark, sf):
@@ -223,6 +241,15 @@ def q_f5_match_values_table(spark, sf):
     return match_values(values, "purchase", _related_df(spark))
 
 
+def q_f5_match_values_stored(spark, sf):
+    """A store of answers: half of the values asked before; the second matcher is only asked about the others."""
+    store = shared_dir(spark, "f5-store")
+    names = distinct_values(_t(spark, sf, "customer"), "c_name", order_by=None, limit=None)
+    old = F.substring("value", -1, 1).cast("int") < 5
+    match_values(names.where(old), "old", first_answers, store=store)
+    return match_values(names, "old", second_answers, store=store)
+
+
 def q_f5_match_values_callable(spark, sf):
     ev = _t(spark, sf, "events")
     values = distinct_values(ev, "event_type", order_by="event_id", limit=None)
@@ -241,6 +268,17 @@ def q_f6_with_row_id_multi(spark, sf):
     return with_row_id(rows, "o_orderkey", rows_per_part=500)
 
 
+def q_f6_input_order(spark, sf):
+    """No key: ids in the order of the file (``orders`` lies in the order of its key)."""
+    return with_row_id(_t(spark, sf, "orders"), rows_per_part=700).select("row_id", "o_orderkey", "o_custkey")
+
+
+def q_f6_ties(spark, sf):
+    """A key of five values: ties keep the order of the file."""
+    rows = _t(spark, sf, "orders").select("o_orderkey", "o_orderpriority")
+    return with_row_id(rows, "o_orderpriority", rows_per_part=700)
+
+
 def q_f7_match_count(spark, sf):
     return match_count(filter_contains(_t(spark, sf, "part"), "p_name", "gear"))
 
@@ -279,6 +317,26 @@ def q_m4_score_requests(spark, sf):
     return score_requests(_m3_requests(spark, sf), length_scorer).select("batch_id", "response", "error")
 
 
+M3_BYTES = 8192
+
+
+def q_m3_requests_by_size(spark, sf):
+    """Records of a few bytes to over 100 kB, packed under a budget of bytes."""
+    docs = with_row_id(_t(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    records = render_records(docs.select("row_id", F.col("text").alias("t")))
+    out = build_requests(records, "", "t", "text", batch=20, max_bytes=M3_BYTES, whole=False)
+    return out.select("batch_id", "n_records", F.element_at("row_ids", -1).alias("last_row_id"),
+                      F.octet_length("body").cast("long").alias("n_bytes"), F.md5("body").alias("body_md5"))
+
+
+def q_m4_score_requests_stored(spark, sf):
+    """Replies by content: every other request was answered by an earlier run, with another scorer."""
+    store = shared_dir(spark, "m4-store")
+    requests = _m3_requests(spark, sf)
+    score_requests(requests.where("batch_id % 2 = 0"), first_scorer, store=store, wave=3)
+    return score_requests(requests, second_scorer, store=store, wave=3).select("batch_id", "response", "error")
+
+
 def q_m5_evaluate_rules(spark, sf):
     li = _t(spark, sf, "lineitem")
     rules = spark.createDataFrame(LINE_RULES, "rule_id int, column string, op string, value string, note string")
@@ -387,6 +445,16 @@ def q_r6_records_mixed_types(spark, sf):
     return out.withColumn("big", F.col("big").cast("string"))
 
 
+def q_r6_case_keys(spark, sf):
+    """Keys that differ only in case make a table that can be written and read."""
+    c = _t(spark, sf, "customer")
+    rec = F.when(F.col("c_custkey") % 2 == 0, F.format_string('{"id":%d,"Name":"%s"}', "c_custkey", "c_name")).otherwise(
+        F.format_string('{"id":%d,"name":"%s","NAME":%d}', "c_custkey", "c_mktsegment", "c_nationkey"))
+    src = shared_dir(spark, "r6")
+    write_table(records_to_table(c.select(F.parse_json(rec).alias("record"))), src, "cases")
+    return read_table(spark, src, "cases")
+
+
 def q_r7_merge_verdicts(spark, sf):
     c = _t(spark, sf, "customer").withColumn("row_id", F.col("c_custkey"))
     judged = (c.where(F.col("c_acctbal") > 5000)
@@ -411,6 +479,32 @@ def q_k2_append_json(spark, sf):
     return read_json(spark, path, schema="p_partkey long, p_name string, p_size int")
 
 
+def q_k2_append_file(spark, sf):
+    """The target is one single file of JSON lines."""
+    base = shared_dir(spark, "k2f")
+    part = _t(spark, sf, "part").select("p_partkey", "p_name")
+    part.where("p_partkey % 2 = 0").coalesce(1).write.json(f"{base}/made")
+    name = next(n for n, _ in listing(spark, f"{base}/made") if n.endswith(".json"))
+    rename(spark, f"{base}/made/{name}", f"{base}/parts.json")
+    append_json(part.where("p_partkey % 2 = 1").withColumn("p_odd", F.lit(True)), f"{base}/parts.json")
+    return read_json(spark, f"{base}/parts.json")
+
+
+def q_k2_append_types(spark, sf):
+    """Four adds of different columns and types, one made twice; read by the types of the ledger."""
+    path = shared_dir(spark, "k2t") + "/items.json"
+    c = _t(spark, sf, "customer")
+    adds = [c.select("c_custkey", F.col("c_nationkey").alias("x"), F.lit(None).cast("string").alias("later")),
+            c.select("c_custkey", F.col("c_acctbal").alias("x")),
+            c.select("c_custkey", F.struct(F.col("c_nationkey").alias("n")).alias("s"), F.lit(True).alias("later")),
+            c.select("c_custkey", F.struct(F.col("c_name").alias("n"), F.array("c_nationkey").alias("list")).alias("s"))]
+    for k, rows in enumerate(adds):
+        for _ in range(2 if k == 1 else 1):
+            append_json(rows, path, add_id=f"add-{k}")
+    out = read_json(spark, path)
+    return out.select("c_custkey", "later", F.col("s.list").getItem(0).alias("s_first"), F.col("s.n").alias("s_n"), "x")
+
+
 def q_k3_write_table(spark, sf):
     df = filter_related(_t(spark, sf, "part"), "p_name", "small", matches=["ring"])
     src = shared_dir(spark, "k3")
@@ -492,6 +586,34 @@ def q_p1_analyze_extra_fields(spark, sf):
     return review.result.select("row_id_1", "o_orderkey", "notes", "row_id", VERDICT_FIELD, NOTES_FIELD, "Recommendation")
 
 
+def q_p1_analyze_run(spark, sf):
+    """A run with an id, taken up again after it was done: the second finds every step."""
+    base, conv = shared_dir(spark, "p1r"), _t(spark, sf, "conversations")
+    for _ in range(2):
+        review = analyze(spark, sf, "orders", "o_orderpriority", "urgent", order_by=None, scorer=price_reviewer,
+                         out_dir=f"{base}/out", pages=conv, guideline_doc=GUIDELINE_CONV, doc_col="conv_id",
+                         page_col="turn", text_col="text", run_id="orders", run_folder=f"{base}/runs", max_bytes=4096)
+    return _p1_select(review.result)
+
+
+def q_p1_stream_append(spark, sf):
+    """The streaming review into a JSON set and a table; the stream is started twice from the beginning,
+    and the second time nothing is added. The rows of both targets."""
+    from rowsift.streaming import review_stream_append
+    base = shared_dir(spark, "stream-append")
+    for k in range(2):
+        q = review_stream_append(spark, sf, "p_name", "widget", STREAM_RULES, "parts", f"{base}/parts.json", base, "parts",
+                                 log_path=f"{base}/log", checkpoint=f"{base}/progress-{k}", file_glob="part.parquet")
+        q.awaitTermination()
+    cols = ["p_partkey", "p_name", "p_size", "verdict", "notes"]
+    added = read_json(spark, f"{base}/parts.json").select(*cols).withColumn("target", F.lit("json"))
+    rows = spark.read.parquet(f"{base}/parts").select(*cols).withColumn("target", F.lit("table"))
+    log = spark.read.parquet(f"{base}/log").select(F.lit(None).cast("long").alias("p_partkey"), F.col("step").alias("p_name"),
+                                                   F.lit(None).cast("int").alias("p_size"), F.lit(None).cast("boolean").alias("verdict"),
+                                                   "message", F.lit("log"))
+    return added.withColumn("p_size", F.col("p_size").cast("int")).union(rows).union(log)
+
+
 def q_p1_review_stream(spark, sf):
     """P1's stateless part (F1 + M5) as a Structured Streaming query over the
     part table's file, run to completion with an available-now trigger."""
@@ -540,7 +662,7 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _own_oracle_sql() -> dict[str, str]:
-    from rowsift.operators.requests import MATCH_HEAD, REVIEW_TAIL
+    from rowsift.operators.requests import BLOCK_ROWS, MATCH_HEAD, REVIEW_TAIL
     rev_head, rev_mid = _oracle_m3_head()
     m3 = f"""
         WITH kept AS (
@@ -585,6 +707,11 @@ def _own_oracle_sql() -> dict[str, str]:
     p1_rules_notes = ("concat_ws('; ', CASE WHEN NOT coalesce(o_totalprice >= 50000, false) "
                       "THEN 'order value under 50000' END, CASE WHEN NOT coalesce(o_orderstatus = 'F', false) "
                       "THEN 'order not finished' END)")
+    stream = """SELECT p_partkey, p_name, p_size,
+            (coalesce(p_size >= 10, false) OR coalesce(p_brand = 'Brand#1', false)) AS verdict,
+            concat_ws('; ', CASE WHEN NOT coalesce(p_size >= 10, false) THEN 'too small' END,
+                            CASE WHEN NOT coalesce(p_brand = 'Brand#1', false) THEN 'other brand' END) AS notes
+            FROM part WHERE regexp_matches(p_name, 'widget', 'i')"""
     p1_kept = """SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS row_id
                  FROM orders WHERE regexp_matches(o_orderpriority, 'urgent', 'i')"""
     return {
@@ -596,6 +723,7 @@ def _own_oracle_sql() -> dict[str, str]:
             (5, 'p_retailprice', 'double')) AS v(ordinal, name, type)""",
         "s4_read_many": """SELECT 'lineitem.parquet' AS source_file, count(*) AS n_rows,
             max(l_orderkey) AS max_orderkey FROM lineitem""",
+        "s4_read_many_files": "SELECT 'parts_' || p_partkey % 3 AS source_file, p_partkey, p_name FROM part",
         "s5_assemble_document": """SELECT conv_id, string_agg(coalesce(text, ''), chr(10) ORDER BY turn) AS text
             FROM conversations GROUP BY conv_id""",
         "e1_text_value": "SELECT p_partkey, CAST(p_size AS VARCHAR) AS p_size_text FROM part",
@@ -615,8 +743,9 @@ def _own_oracle_sql() -> dict[str, str]:
             WHERE contains(lower(p_name), 'bolt') OR contains(lower(p_name), 'ring')""",
         "f2_filter_any_term_frame": """SELECT doc_id, lang, n_chars FROM documents d
             WHERE EXISTS (SELECT 1 FROM benchmark b WHERE contains(lower(d.text), lower(b.text)))""",
-        "f2_filter_any_term_qgram": """SELECT doc_id, lang, n_chars FROM documents d
-            WHERE EXISTS (SELECT 1 FROM benchmark b WHERE contains(lower(d.text), lower(b.text)))""",
+        "f2_filter_any_term_qgram": r"""SELECT doc_id, lang, n_chars FROM documents d
+            WHERE EXISTS (SELECT 1 FROM (SELECT DISTINCT lower(regexp_extract(text, '^\S+ \S+')) AS v FROM benchmark
+                                         WHERE regexp_matches(text, '^\S+ \S+')) b WHERE contains(lower(d.text), b.v))""",
         "f3_filter_related": f"""SELECT {_PART_COLS} FROM part
             WHERE regexp_matches(p_name, 'small', 'i') OR contains(lower(p_name), 'ring')""",
         "f3_filter_related_no_matches": f"SELECT {_PART_COLS} FROM part WHERE regexp_matches(p_name, 'small', 'i')",
@@ -633,6 +762,9 @@ def _own_oracle_sql() -> dict[str, str]:
                          ('purchase', 'click', 'a click can lead to a purchase'),
                          ('refund', 'error', 'unrelated term')) AS r(term, value, explanation)
               ON lower(d.value) = lower(r.value) AND lower(r.term) = 'purchase'""",
+        "f5_match_values_stored": """SELECT DISTINCT 'old' AS term, c_name AS value,
+            CASE WHEN right(c_name, 1)::INT < 5 THEN 'first' ELSE 'second' END AS explanation FROM customer
+            WHERE right(c_name, 1)::INT % 2 = 0""",
         "f5_match_values_callable": """SELECT DISTINCT 'sale' AS term, event_type AS value,
             'same first letter' AS explanation FROM events WHERE lower(left(event_type, 1)) = 's'""",
         "f6_with_row_id": """SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS row_id,
@@ -640,6 +772,9 @@ def _own_oracle_sql() -> dict[str, str]:
             FROM orders WHERE regexp_matches(o_orderpriority, 'urgent', 'i')""",
         "f6_with_row_id_multi": """SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS row_id,
             o_orderkey, o_custkey FROM orders""",
+        "f6_input_order": """SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS row_id, o_orderkey, o_custkey FROM orders""",
+        "f6_ties": """SELECT row_number() OVER (ORDER BY o_orderpriority, o_orderkey) - 1 AS row_id, o_orderkey, o_orderpriority
+            FROM orders""",
         "f7_match_count": "SELECT count(*) AS rows_kept FROM part WHERE regexp_matches(p_name, 'gear', 'i')",
         "m1_build_match_requests": f"""
             WITH v AS (SELECT p_name AS value, min(p_partkey) AS first_seen FROM part GROUP BY 1),
@@ -657,6 +792,20 @@ def _own_oracle_sql() -> dict[str, str]:
             coalesce((SELECT string_agg('r' || i, '; ' ORDER BY i) FROM range({MANY_RULES}) t(i)
                       WHERE NOT coalesce(s_acctbal >= 5 * i - 1000, false)), '') AS notes FROM supplier""",
         "m3_build_requests": m3,
+        "m3_requests_by_size": f"""
+            WITH k AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS row_id, text AS t FROM documents),
+            r AS (SELECT row_id, to_json({{'row_id': row_id, 't': t}})::VARCHAR AS record FROM k),
+            z AS (SELECT *, strlen(record) + 1 AS size, row_id // {BLOCK_ROWS} AS block, strlen(record) + 1 > {M3_BYTES // 2} AS big FROM r),
+            p AS (SELECT *, sum(CASE WHEN big THEN 0 ELSE size END) OVER (PARTITION BY block ORDER BY row_id
+                      ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS place FROM z),
+            c AS (SELECT *, CASE WHEN big THEN -1 ELSE place // {M3_BYTES // 2} END AS cell,
+                      CASE WHEN big THEN row_id ELSE -1 END AS alone FROM p),
+            t AS (SELECT *, (row_number() OVER (PARTITION BY block, cell, alone ORDER BY row_id) - 1) // 20 AS turn FROM c)
+            SELECT min(row_id) AS batch_id, count(*) AS n_records, max(row_id) AS last_row_id,
+                   (sum(size) - 1)::BIGINT AS n_bytes, md5(string_agg(record, chr(10) ORDER BY row_id)) AS body_md5
+            FROM t GROUP BY block, cell, alone, turn""",
+        "m4_score_requests_stored": f"""SELECT batch_id, CASE WHEN batch_id % 2 = 0 THEN 'first:' ELSE 'second:' END || length(prompt)
+            AS response, NULL::VARCHAR AS error FROM ({m3})""",
         "m4_score_requests": f"""SELECT batch_id,
             CASE WHEN length(prompt) % 2 = 0 THEN 'ok:' || length(prompt) END AS response,
             CASE WHEN length(prompt) % 2 = 1 THEN 'ValueError: odd length' END AS error
@@ -729,6 +878,9 @@ def _own_oracle_sql() -> dict[str, str]:
         "r6_records_mixed_types": """SELECT '12345678901234' || lpad(c_custkey::VARCHAR, 6, '0') AS big,
             CASE WHEN c_custkey % 2 = 0 THEN 'N/A' ELSE (c_custkey % 7)::VARCHAR END AS dose, c_custkey AS id,
             '{"a":[' || c_nationkey || ']}' AS seen FROM customer""",
+        "r6_case_keys": """SELECT CASE WHEN c_custkey % 2 = 1 THEN c_nationkey END AS "NAME",
+            CASE WHEN c_custkey % 2 = 0 THEN c_name END AS "Name_1", c_custkey AS id,
+            CASE WHEN c_custkey % 2 = 1 THEN c_mktsegment END AS name_2 FROM customer""",
         "r7_merge_verdicts": """SELECT c_custkey, c_name,
             CASE WHEN c_acctbal > 5000 THEN c_nationkey % 2 = 0 ELSE false END AS verdict,
             CASE WHEN c_acctbal > 5000 THEN 'nation ' || c_nationkey END AS notes
@@ -738,6 +890,12 @@ def _own_oracle_sql() -> dict[str, str]:
                 WHERE regexp_matches(p_name, 'gear', 'i')
             UNION ALL
             SELECT p_partkey, p_name, p_size FROM part WHERE regexp_matches(p_name, 'bolt', 'i')""",
+        "k2_append_file": """SELECT p_name, CASE WHEN p_partkey % 2 = 1 THEN true END AS p_odd, p_partkey FROM part""",
+        "k2_append_types": """SELECT c_custkey, NULL::BOOLEAN AS later, NULL::BIGINT AS s_first, NULL::VARCHAR AS s_n,
+                c_nationkey::DOUBLE AS x FROM customer
+            UNION ALL SELECT c_custkey, NULL, NULL, NULL, c_acctbal FROM customer
+            UNION ALL SELECT c_custkey, true, NULL, c_nationkey::VARCHAR, NULL FROM customer
+            UNION ALL SELECT c_custkey, NULL, c_nationkey, c_name, NULL FROM customer""",
         "k3_write_table": f"""SELECT {_PART_COLS} FROM part
             WHERE regexp_matches(p_name, 'small', 'i') OR contains(lower(p_name), 'ring')""",
         "k3_csv_round_trip": """SELECT p_partkey, p_name, p_size, p_retailprice FROM part
@@ -758,11 +916,15 @@ def _own_oracle_sql() -> dict[str, str]:
             CASE WHEN o_totalprice > {PRICE_LIMIT} THEN 'price above limit'
                  ELSE 'price at or below limit' END AS "Notes on Compliance",
             CASE WHEN o_totalprice > {PRICE_LIMIT} THEN 'accept' END AS "Recommendation" FROM ({p1_kept})""",
-        "p1_review_stream": """SELECT p_partkey, p_name, p_size,
-            (coalesce(p_size >= 10, false) OR coalesce(p_brand = 'Brand#1', false)) AS verdict,
-            concat_ws('; ', CASE WHEN NOT coalesce(p_size >= 10, false) THEN 'too small' END,
-                            CASE WHEN NOT coalesce(p_brand = 'Brand#1', false) THEN 'other brand' END) AS notes
-            FROM part WHERE regexp_matches(p_name, 'widget', 'i')""",
+        "p1_analyze_run": f"""SELECT row_id, o_orderkey, o_custkey, o_orderstatus, o_totalprice,
+            o_orderpriority, o_totalprice > {PRICE_LIMIT} AS "Meets Guidelines",
+            CASE WHEN o_totalprice > {PRICE_LIMIT} THEN 'price above limit'
+                 ELSE 'price at or below limit' END AS "Notes on Compliance"
+            FROM ({p1_kept})""",
+        "p1_stream_append": f"""WITH r AS ({stream})
+            SELECT *, 'json' AS target FROM r UNION ALL SELECT *, 'table' FROM r
+            UNION ALL SELECT NULL, 'batch 0', NULL, NULL, count(*) || ' rows of parts added', 'log' FROM r""",
+        "p1_review_stream": stream,
         "p1_analyze_callable": f"""SELECT row_id, o_orderkey, o_custkey, o_orderstatus, o_totalprice,
             o_orderpriority, o_totalprice > {PRICE_LIMIT} AS "Meets Guidelines",
             CASE WHEN o_totalprice > {PRICE_LIMIT} THEN 'price above limit'

@@ -4,22 +4,23 @@ Used by F2/F3 for value sets too large to inline: an exact blocked equi-join.
 Each value gets one *key*, a piece of it that any text holding the value must
 also yield:
 
-- a value with a whole interior word (white space on both sides inside the
-  value) is keyed by such a word: in any text that contains the value, that
-  word stands between white space too, so it is one of the text's words
-  (split on the same white space);
-- any other value of length >= Q is keyed by a q-gram;
-- a shorter value is keyed by itself (texts yield grams of that length).
-
-Among its possible keys a value takes the one that fewest values have, then
-the longest: common words and grams are common among the values too, and no
-extra pass over the texts is needed to see it. Texts yield only the key kinds
-some value uses (words: ~1 per 6 characters; grams: 1 per character) and are
-named by a 64-bit hash, values by another, so no exploded row carries a copy
-of either. The candidate pairs (text hash, value hash) are written to the
-shared checkpoint folder and measured; then every row is tested against its
-candidates with ``contains`` in a left-semi join on the hash. So the texts are
-read twice, once for keys and once for the test.
+- a value with whole interior words (white space on both sides inside the
+  value) is keyed by a phrase of up to ``PHRASE`` of them: in any text that
+  contains the value those words stand between white space too and follow each
+  other, so they are a phrase of the text's words (split on the same space);
+- any other value is keyed by a gram of ``LONG`` characters, or of ``Q`` when
+  it is shorter than that; the shortest ones by themselves (texts yield grams
+  of that length). A value whose phrases are all common can take a gram too.
+
+Among its possible keys a value takes the one that is rarest in the texts, as
+counted in a sample of them, then the one that fewest values have, then the
+longest. Texts yield only the key kinds some value uses (phrases: about one
+per six characters; grams: one per character). Keys, texts and values are
+named by 64-bit hashes, so no exploded row carries a copy of any. The
+candidate pairs (text hash, value hash) are written to the shared checkpoint
+folder and measured; then every row is tested against its candidates with
+``contains`` in a left-semi join on the hash. So the texts are read twice, once
+for keys and once for the test, beside the sample.
 
 The value keys are broadcast when their number and bytes are within bounds,
 so text keys meet them in the scan; beyond, the text keys are shuffled and
@@ -27,78 +28,88 @@ Spark drops most of them before that by a runtime Bloom filter. Candidates
 within the broadcast bound are broadcast: the texts never leave their scan
 tasks. Beyond it both sides are shuffled on the hash, so each text moves once.
 A hash collision only adds candidates; the ``contains`` test is exact. No pair
-is lost, no cap is set; work grows with text length, not texts x values.
+is lost, no cap is set; work grows with text length, not texts x values. The
+sample steers the amount of work, never which pairs come out.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from ..session import written
 
-Q = 4
+Q, LONG, PHRASE = 4, 8, 3
 # Bounds for broadcasting the value side (values, their keys, key counts).
 MAX_BROADCAST_KEYS = 1_000_000
 MAX_BROADCAST_BYTES = 16 << 20
+# The sample of texts for key frequencies: rows of so many files, evenly spread
+# over the list of them, and of these one text in so many (by hash).
+SAMPLE_FILES, SAMPLE_ONE_IN = 16, 8
+# A phrase is common when it stands more than once in this many sampled texts.
+RARE_TEXTS = 100
 # The white space between words (Java regex \s: space, tab,
-# newline, vertical tab, form feed, carriage return) and the two key kinds.
+# newline, vertical tab, form feed, carriage return).
 WORD_SPLIT = r"\s+"
-WORD, GRAM = 1, 2
+# Key kinds: phrases of 1 to PHRASE words by that number, grams by GRAM plus their length.
+GRAM = 10
 
 
-def _grams(text: Column, length: int, distinct: bool = True) -> Column:
+def _grams(text: Column, length: int) -> Column:
     """Runs of ``length`` consecutive characters of a text column.
 
     One pass of a JVM regex with a capturing lookahead (overlapping
-    matches), linear in the text length and kept out of Python. Text-side
-    grams skip the per-text de-duplication (it cost as much as the regex):
-    repeats only weigh the rarity estimate and are removed after the join.
-    """
-    grams = F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{length}}}))"), 1)
-    return F.array_distinct(grams) if distinct else grams
+    matches), linear in the text length and kept out of Python. Not
+    de-duplicated per text (it cost as much as the regex): repeats weigh the
+    frequencies and are removed after the join."""
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{length}}}))"), 1)
 
 
-def _interior_words(low_v: Column) -> Column:
-    """Words of a value with white space on both sides (all but the first
-    and the last piece of the split), distinct."""
-    parts = F.split(low_v, WORD_SPLIT)
-    inner = F.when(F.size(parts) > 2, F.slice(parts, F.lit(2), F.size(parts) - 2))
-    return F.coalesce(F.array_distinct(inner), F.array().cast("array<string>"))
+def _gram_keys(text: Column, length: int) -> Column:
+    return F.transform(_grams(text, length), lambda g: F.xxhash64(F.lit(GRAM + length), g))
 
 
-def _tagged(kind: int):
-    """``k -> (kind, k)`` for ``transform`` (one-argument form)."""
-    return lambda k: F.struct(F.lit(kind).alias("_kind"), k.alias("_key"))
+def _phrase_keys(words: Column, m: int) -> Column:
+    """Hashes of the phrases of ``m`` consecutive words of an array."""
+    if m == 1:
+        return F.transform(words, lambda w: F.xxhash64(F.lit(1), w))
+
+    def phrase(i):
+        return F.xxhash64(F.lit(m), *[F.get(words, i + k) for k in range(m)])
+
+    none = F.array().cast("array<bigint>")
+    return F.when(F.size(words) >= m, F.transform(F.sequence(F.lit(0), F.size(words) - m), phrase)).otherwise(none)
 
 
 class KeyPlan:
-    """Which keys the texts must yield, and the values keyed for the join.
+    """The keys that the values could have, and which one each takes.
 
     Built by one small job over the values, which also gives their count and
     total length (``n_values``, ``chars``) for callers choosing a strategy."""
 
     def __init__(self, values: DataFrame, value_col: str):
         self.value_col = value_col
+        parts = F.split(F.col("_low_v"), WORD_SPLIT)
+        inner = F.when(F.size(parts) > 2, F.slice(parts, F.lit(2), F.size(parts) - 2)).otherwise(F.array().cast("array<string>"))
         vl = (values.select(F.col(value_col), F.lower(F.col(value_col)).alias("_low_v"))
-              .withColumn("_len_v", F.length("_low_v"))
-              .withColumn("_words", _interior_words(F.col("_low_v"))))
-        self.vl = vl
-        has_word = F.size("_words") > 0
+              .withColumn("_len_v", F.length("_low_v")).withColumn("_words", inner))
+        m = F.least(F.size("_words"), F.lit(PHRASE))
+        gram = F.when(F.col("_len_v") >= LONG, LONG).otherwise(F.least(F.col("_len_v"), F.lit(Q)))
+        # the phrase length of a value (0: none), and its gram length (0: not wanted)
+        self.vl = vl.withColumn("_m", m).withColumn("_g", F.when(m < PHRASE, gram).otherwise(0))
+        keys = F.greatest(F.size("_words"), F.lit(1)) + F.when(F.col("_g") > 0, F.col("_len_v")).otherwise(0)
         # One small job over the values: how many, how long, which key kinds.
-        stats = vl.agg(
+        stats = self.vl.agg(
             F.count(F.lit(1)).alias("n"),
             F.coalesce(F.sum("_len_v"), F.lit(0)).alias("chars"),
-            F.coalesce(F.max(has_word.cast("int")), F.lit(0)).alias("words"),
-            F.collect_set(F.when(~has_word, F.least(F.col("_len_v"), F.lit(Q)))).alias("lens"),
-            F.coalesce(F.sum(F.when(has_word, F.size("_words"))
-                             .otherwise(F.greatest(F.col("_len_v") - (Q - 1), F.lit(1)))), F.lit(0)).alias("keys"),
+            F.collect_set("_m").alias("phrases"), F.collect_set("_g").alias("grams"),
+            F.coalesce(F.sum(keys), F.lit(0)).alias("keys"),
             F.coalesce(F.sum((F.col("_len_v") == 0).cast("int")), F.lit(0)).alias("blank"),
         ).first()
         self.n_values = int(stats["n"])
         self.chars = int(stats["chars"])
-        self.words = bool(stats["words"])
-        self.lengths = sorted({int(x) for x in stats["lens"] if x is not None and x > 0})
+        self.kinds = sorted({int(x) for x in stats["phrases"] if x} | {GRAM + int(x) for x in stats["grams"] if x})
         # The value side is broadcast only within a measured bound; otherwise
         # the joins below are sort-merge joins (the text side is never a
         # build side: it grows with the texts).
@@ -110,45 +121,62 @@ class KeyPlan:
 
     @property
     def empty(self) -> bool:
-        return not self.words and not self.lengths
+        return not self.kinds
 
     def side(self, df: DataFrame) -> DataFrame:
         return F.broadcast(df) if self.small else df.hint("merge")
 
-    def text_keys(self, low_t: Column) -> tuple[Column, Column] | Column:
-        """(kind, array of keys) when one kind is needed, else an array of
-        (kind, key) structs."""
-        arrays = []
-        if self.words:
-            arrays.append((WORD, F.split(low_t, WORD_SPLIT)))
-        arrays += [(GRAM, _grams(low_t, n, distinct=False)) for n in self.lengths]
-        if len(arrays) == 1:
-            return F.lit(arrays[0][0]), arrays[0][1]
-        return F.concat(*[F.transform(a, _tagged(kind)) for kind, a in arrays])
-
-    def explode_keys(self, df: DataFrame, low_t: Column, *keep: Column) -> DataFrame:
-        keys = self.text_keys(low_t)
-        if isinstance(keys, tuple):
-            kind, arr = keys
-            return df.select(*keep, kind.alias("_kind"), F.explode(arr).alias("_key"))
-        return df.select(*keep, F.inline(keys))
-
-    def keyed_values(self) -> DataFrame:
-        """(_vid, _kind, _key): each value, by its hash, with its key.
-
-        The choice only steers the amount of work, never which pairs come out."""
+    def options(self) -> DataFrame:
+        """(_vid, _kind, _key, _size): every key a value could take."""
         vl = self.vl.withColumn("_vid", F.xxhash64(self.value_col))
-        has_word = F.size("_words") > 0
-        opts = (vl.where(has_word).select("_vid", F.lit(WORD).alias("_kind"), F.explode("_words").alias("_key"))
-                .unionByName(vl.where(~has_word & (F.col("_len_v") >= Q))
-                             .select("_vid", F.lit(GRAM).alias("_kind"), F.explode(_grams(F.col("_low_v"), Q)).alias("_key"))))
-        short = vl.where(~has_word & (F.col("_len_v") < Q)) \
-            .select("_vid", F.lit(GRAM).alias("_kind"), F.col("_low_v").alias("_key"))
-        freq = opts.groupBy("_kind", "_key").agg(F.count(F.lit(1)).alias("_freq"))
-        rank = F.struct("_freq", (-F.length("_key")).alias("_l"), "_kind", "_key")
-        best = (opts.join(freq, ["_kind", "_key"]).groupBy("_vid")
-                .agg(F.min_by(F.struct("_kind", "_key"), rank).alias("_k")).select("_vid", "_k._kind", "_k._key"))
-        return best.unionByName(short)
+        none = F.array().cast("array<bigint>")
+        made = None
+        for kind in self.kinds:
+            keys = _phrase_keys(F.col("_words"), kind) if kind <= PHRASE else _gram_keys(F.col("_low_v"), kind - GRAM)
+            wanted = F.col("_m" if kind <= PHRASE else "_g") == (kind if kind <= PHRASE else kind - GRAM)
+            one = vl.select("_vid", F.lit(kind).alias("_kind"), F.explode(F.when(wanted, keys).otherwise(none)).alias("_key"))
+            made = one if made is None else made.unionByName(one)
+        return made.distinct()
+
+    def keyed(self, df: DataFrame, text: Column) -> DataFrame:
+        """(_vid, _kind, _key): each value, by its hash, with the key it takes; written."""
+        opts = written(self.options(), "value-options")
+        sample = explode_keys(sample_texts(df, text), F.lower(text), self.kinds, F.xxhash64(text).alias("_tid"))
+        seen = (sample.join(self.side(opts.select("_key").distinct()), "_key").groupBy("_key")
+                .agg(F.count(F.lit(1)).alias("_seen")))
+        shared = opts.groupBy("_key").agg(F.count(F.lit(1)).alias("_shared"))
+        n = sample_texts(df, text).count()
+        seen_n = F.coalesce("_seen", F.lit(0))
+        plain = (F.col("_kind") <= PHRASE) & (seen_n * RARE_TEXTS <= n)
+        rank = F.struct(F.when(plain, 0).otherwise(1).alias("c"), seen_n.alias("s"), "_shared", (-F.col("_kind")).alias("k"), "_key")
+        best = (opts.join(shared, "_key").join(seen, "_key", "left").groupBy("_vid")
+                .agg(F.min_by(F.struct("_kind", "_key"), rank).alias("_k")))
+        return written(best.select("_vid", "_k._kind", "_k._key"), "value-keys")
+
+
+def sample_texts(df: DataFrame, text: Column) -> DataFrame:
+    """The sampled rows with a text."""
+    files = sorted(df.inputFiles())
+    if len(files) > SAMPLE_FILES:
+        step = len(files) / SAMPLE_FILES
+        some = [files[int(k * step)] for k in range(SAMPLE_FILES)]
+        try:
+            part = df.where(F.col("_metadata.file_path").isin(some))
+            part.schema  # noqa: B018 - resolves the hidden column now
+            df = part
+        except AnalysisException:  # no longer the rows of files
+            pass
+    return df.where(text.isNotNull() & (F.pmod(F.xxhash64(text), F.lit(SAMPLE_ONE_IN)) == 0))
+
+
+def explode_keys(df: DataFrame, low_t: Column, kinds: list[int], *keep: Column) -> DataFrame:
+    """(*keep, _key) for every key of the wanted kinds that a text yields."""
+    arrays = [_phrase_keys(F.col("_rs_words"), k) if k <= PHRASE else _gram_keys(F.col("_rs_low"), k - GRAM) for k in kinds]
+    rows = df.select(*keep, low_t.alias("_rs_low"))
+    if any(k <= PHRASE for k in kinds):
+        rows = rows.withColumn("_rs_words", F.split("_rs_low", WORD_SPLIT))
+    names = rows.columns[:len(keep)]
+    return rows.select(*names, F.explode(F.concat(*arrays) if len(arrays) > 1 else arrays[0]).alias("_key"))
 
 
 def candidates(df: DataFrame, text: Column, values: DataFrame, value_col: str,
@@ -159,9 +187,10 @@ def candidates(df: DataFrame, text: Column, values: DataFrame, value_col: str,
     plan = plan or KeyPlan(values, value_col)
     if plan.empty:
         return None
-    keyed = plan.keyed_values()
-    pairs = written(plan.explode_keys(df.where(text.isNotNull()), F.lower(text), F.xxhash64(text).alias("_tid"))
-                    .join(plan.side(keyed), ["_kind", "_key"], "inner")
+    keyed = plan.keyed(df, text)
+    used = sorted(r[0] for r in keyed.select("_kind").distinct().collect())  # a handful of kinds
+    pairs = written(explode_keys(df.where(text.isNotNull()), F.lower(text), used, F.xxhash64(text).alias("_tid"))
+                    .join(plan.side(keyed.select("_vid", "_key")), "_key", "inner")
                     .select("_tid", "_vid").distinct(), "candidates")
     named_values = plan.vl.select(F.xxhash64(value_col).alias("_vid"), "_low_v")
     return pairs.join(plan.side(named_values), "_vid").select("_tid", "_low_v")

@@ -114,16 +114,18 @@ def _semi_by_texts(df: DataFrame, column: str, values: Iterable[str] | DataFrame
     return rows_containing(df, text_value(column, null_as), vals, "_rs_value", extra, plan)
 
 
-def distinct_values(df: DataFrame, column: str, order_by: str, limit: int | None = 20,
+def distinct_values(df: DataFrame, column: str, order_by: str | None, limit: int | None = 20,
                     null_as: str | None = None) -> DataFrame:
     """distinct texts of a column with the first ``order_by`` value that
     shows each, in first-seen order, at most ``limit`` (None = all, unsorted).
+    Without ``order_by`` first seen is the place in the input order.
 
     Partial aggregation runs before the shuffle; ``limit`` becomes a
     TakeOrderedAndProject (top-k per partition, then merge).
     """
     require_column(df, column)
-    out = (df.select(text_value(column, null_as).alias("value"), named(order_by).alias("_o"))
+    seen = F.monotonically_increasing_id() if order_by is None else named(order_by)
+    out = (df.select(text_value(column, null_as).alias("value"), seen.alias("_o"))
            .where(F.col("value").isNotNull())
            .groupBy("value").agg(F.min("_o").alias("first_seen")))
     if limit is None:

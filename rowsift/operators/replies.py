@@ -9,6 +9,7 @@ run before R3/R4 because a non-object element reads like a missing key.
 
 from __future__ import annotations
 
+from collections import Counter
 from typing import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -156,7 +157,10 @@ def record_fields(df: DataFrame, record_col: str = "record", without: Sequence[s
 
     One aggregation finds the keys and their merged types; keys named in
     ``without`` (ignoring case) are left out. A key whose values are of mixed
-    kinds gives text: strings bare, other values as JSON."""
+    kinds gives text: strings bare, other values as JSON. Of keys that differ
+    only in case the first (by name) has its own name as column, the next ones
+    get the suffix ``_1``, ``_2``, ... (``free_name``), since a table's column
+    names ignore case."""
     rec = named(record_col)
     as_map = F.try_variant_get(rec, "$", "map<string,variant>")
     skip = {w.lower() for w in without}
@@ -165,7 +169,8 @@ def record_fields(df: DataFrame, record_col: str = "record", without: Sequence[s
              .groupBy("key").agg(F.schema_of_variant_agg("value").alias("kind"))
              .orderBy("key").limit(max_columns + 1).collect())
     shown = kinds[:max_columns]
-    cols = [_field_column(rec, r["key"], r["kind"]).alias(r["key"]) for r in shown]
+    cols = [_field_column(rec, r["key"], r["kind"]).alias(name)
+            for r, name in zip(shown, _column_names([r["key"] for r in shown]))]
     if len(kinds) <= max_columns:
         return cols, None
     known = F.array(*[F.lit(r["key"]) for r in shown]) if shown else F.array().cast("array<string>")
@@ -175,6 +180,26 @@ def record_fields(df: DataFrame, record_col: str = "record", without: Sequence[s
     return cols, F.transform_values(rest, lambda k, v: _bare(v)).alias("more_fields")
 
 
+def _column_names(keys: list[str]) -> list[str]:
+    """A column name for each key, differing also when case is ignored; keys
+    that stand alone keep theirs."""
+    seen = Counter(k.lower() for k in keys)
+    taken = {k.lower() for k in keys}
+    first, out = set(), []
+    for k in keys:
+        low = k.lower()
+        if seen[low] == 1 or low not in first:
+            first.add(low)
+            out.append(k)
+            continue
+        n = 1
+        while f"{low}_{n}" in taken:
+            n += 1
+        taken.add(f"{low}_{n}")
+        out.append(f"{k}_{n}")
+    return out
+
+
 def records_to_table(df: DataFrame, record_col: str = "record",
                      keep: Sequence[str] = (), max_columns: int = MAX_COLUMNS) -> DataFrame:
     """Flat records to columns: the union of all keys (sorted by name),

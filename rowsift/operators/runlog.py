@@ -11,6 +11,8 @@ import datetime as dt
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.adds import add_files
+
 LOG_SCHEMA = "step string, message string, rows long, ts timestamp"
 
 
@@ -27,8 +29,9 @@ class RunLog:
     def to_df(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(self.entries, LOG_SCHEMA)
 
-    def append(self, spark: SparkSession, path: str) -> None:
-        self.to_df(spark).coalesce(1).write.mode("append").parquet(path)
+    def append(self, spark: SparkSession, path: str, add_id: str | None = None) -> None:
+        """Add the entries to a log folder; with ``add_id`` once, however often it is called."""
+        add_files(self.to_df(spark).coalesce(1), path, "parquet", add_id)
 
     def messages(self) -> list[str]:
         return [m for _, m, _, _ in self.entries]

@@ -6,7 +6,7 @@ partition of the requests (``build_requests`` deals them out; ``partitions``
 deals out others), and creates it once per task by ``make_scorer``. A failing
 or empty reply becomes an error row, never a lost job. The replies are written
 to the shared folder and read back, so a paid call is never repeated however
-many readers there are.
+many readers there are; with a reply store not by a later run either.
 
 M5 compiles a rules table into two Column expressions: no join, no Python.
 """
@@ -23,65 +23,80 @@ from pyspark.sql import types as T
 
 from ..functions.names import named, refuse_clash
 from ..functions.text import contains_pattern
-from ..session import ship_package, written
+from ..session import ship_package, spread, written
+from .replystore import WAVE, ReplyStore, request_key
+
+
+def request_text(requests: DataFrame) -> Column:
+    """The whole request: its ``prompt``, or its ``head``, ``body`` and ``tail`` put together."""
+    if "prompt" in requests.columns:
+        return F.col("prompt")
+    return F.concat(*[F.coalesce(F.col(c), F.lit("")) for c in ("head", "body", "tail")])
+
+
+def _call(fn: Callable[[str], str], prompt: str, retries: int) -> tuple[str | None, str | None]:
+    """(reply, error) of one request; failures and empty replies are errors."""
+    reply, err = None, None
+    for _ in range(retries + 1):
+        try:
+            reply, err = fn(prompt), None
+            break
+        except Exception as exc:  # noqa: BLE001 - reported per request
+            reply, err = None, f"{type(exc).__name__}: {exc}"
+    if err is None and (reply is None or not str(reply).strip()):
+        reply, err = None, "empty reply"
+    return None if reply is None else str(reply), err
 
 
 def score_requests(requests: DataFrame, scorer: Callable[[str], str] | None = None,
                    make_scorer: Callable[[], Callable[[str], str]] | None = None,
                    retries: int = 1, partitions: int | None = None,
-                   keep: Sequence[str] = ("row_ids", "n_records")) -> DataFrame:
+                   keep: Sequence[str] = ("row_ids", "n_records"),
+                   store: str | None = None, scorer_name: str = "", wave: int = WAVE) -> DataFrame:
     """M4: ``(batch_id, *keep, response, error)`` for every request.
 
     Runs now: every request is sent once, the replies are on disk after it.
     ``partitions`` deals the requests round-robin over so many tasks first;
-    requests of ``build_requests`` are dealt out already."""
+    requests of ``build_requests`` are dealt out already.
+
+    ``store`` names a folder of replies by content (``replystore``) that
+    outlives the run: a request that this ``scorer_name`` has answered before
+    is not sent again, equal requests are sent once, and the others go out in
+    waves of ``wave`` requests, each on disk before the next, so a run that
+    dies loses one wave at most."""
     if (scorer is None) == (make_scorer is None):
         raise ValueError("give exactly one of scorer / make_scorer")
     kept = [c for c in keep if c in requests.columns]
-    fields = [requests.schema["batch_id"]] + [requests.schema[c] for c in kept]
-    schema = T.StructType(fields + [T.StructField("response", T.StringType()),
-                                    T.StructField("error", T.StringType())])
-    cols = ["batch_id", *kept, "prompt"]
+    carried = ["batch_id", *kept] if store is None else ["key"]
+    source = requests.withColumn("_rs_text", request_text(requests))
 
     def run(batches: Iterable[pd.DataFrame]):
         fn = make_scorer() if make_scorer is not None else scorer
         for pdf in batches:
-            responses, errors = [], []
-            for prompt in pdf["prompt"]:
-                reply, err = None, None
-                for _ in range(retries + 1):
-                    try:
-                        reply, err = fn(prompt), None
-                        break
-                    except Exception as exc:  # noqa: BLE001 - reported per request
-                        reply, err = None, f"{type(exc).__name__}: {exc}"
-                if err is None and (reply is None or not str(reply).strip()):
-                    reply, err = None, "empty reply"
-                responses.append(None if reply is None else str(reply))
-                errors.append(err)
-            out = pdf[["batch_id", *kept]].copy()
-            out["response"] = responses
-            out["error"] = errors
+            got = [_call(fn, prompt, retries) for prompt in pdf["_rs_text"]]
+            out = pdf[carried].copy()
+            out["response"] = [r for r, _ in got]
+            out["error"] = [e for _, e in got]
             yield out
 
-    ship_package(requests.sparkSession)
-    rows = requests.select(*cols)
-    return written((spread(rows, partitions) if partitions else rows).mapInPandas(run, schema), "replies")
-
-
-def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
-    """``df`` dealt round-robin over ``partitions`` tasks (default: the
-    session's shuffle partitions) for a callable whose cost is per row, not
-    per byte (a remote call per request).
-
-    Not ``repartition(n, key)``: on a frame already grouped by that key
-    Spark drops it as redundant, and AQE then packs the whole (small in
-    bytes) input into one task, so every call would run in sequence. A
-    shuffle with an explicit partition count is neither dropped nor
-    coalesced; Spark sorts rows before dealing them, so a retried task gets
-    the same rows."""
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n)
+    if store is None:
+        fields = [requests.schema[c] for c in carried]
+        schema = T.StructType(fields + [T.StructField("response", T.StringType()), T.StructField("error", T.StringType())])
+        ship_package(requests.sparkSession)
+        rows = source.select(*carried, "_rs_text")
+        return written((spread(rows, partitions) if partitions else rows).mapInPandas(run, schema), "replies")
+
+    # The parts of a request are written as they are (a guideline that all share
+    # is one dictionary entry a file), sorted by key for the waves.
+    parts = [c for c in ("prompt", "head", "body", "tail") if c in requests.columns]
+    keyed = written(source.withColumn("key", request_key(scorer_name, F.col("_rs_text")))
+                    .select("key", "batch_id", *kept, *parts).sortWithinPartitions("key"), "requests")
+    replies = ReplyStore(requests.sparkSession, store)
+    texts = keyed.select("key", request_text(keyed).alias("_rs_text"))
+    replies.fill(texts, run, wave=wave, partitions=partitions)
+    slim = keyed.select("key", "batch_id", *kept)
+    return written(slim.join(replies.answers(slim.select("key").distinct()), "key", "left")
+                   .select("batch_id", *kept, "response", "error"), "replies")
 
 
 # Rule operators, by name and by symbol.

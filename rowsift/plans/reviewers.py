@@ -28,6 +28,24 @@ def length_scorer(prompt: str) -> str:
     return f"ok:{len(prompt)}"
 
 
+def first_scorer(prompt: str) -> str:
+    """M4 scorers that tell who answered."""
+    return f"first:{len(prompt)}"
+
+
+def second_scorer(prompt: str) -> str:
+    return f"second:{len(prompt)}"
+
+
+def first_answers(term: str, values: list[str]):
+    """F5 matchers that tell who answered: values that end in an even digit."""
+    return [(v, "first") for v in values if int(v[-1]) % 2 == 0]
+
+
+def second_answers(term: str, values: list[str]):
+    return [(v, "second") for v in values if int(v[-1]) % 2 == 0]
+
+
 def price_reviewer(prompt: str) -> str:
     """M4 reviewer: reads the records of a review request (one JSON object
     per line) and judges each by its total price, echoing its fields the way

@@ -5,8 +5,11 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextvars import ContextVar
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+from .files import delete
 
 
 def get_session(master: str | None = None, app: str = "rowsift",
@@ -36,7 +39,7 @@ def get_session(master: str | None = None, app: str = "rowsift",
     return builder.getOrCreate()
 
 
-def _checkpoint_base(spark: SparkSession) -> str:
+def checkpoint_base(spark: SparkSession) -> str:
     """The shared folder for checkpoints and intermediate tables.
 
     ``spark.checkpoint.dir`` as the session reports it (or the folder already
@@ -58,26 +61,74 @@ def _checkpoint_base(spark: SparkSession) -> str:
 
 
 def shared_dir(spark: SparkSession, *parts: str) -> str:
-    """A fresh folder under the shared checkpoint folder (see _checkpoint_base)."""
-    return "/".join([_checkpoint_base(spark), "rowsift", *parts, uuid.uuid4().hex])
+    """A fresh folder under the shared checkpoint folder (see checkpoint_base)."""
+    return "/".join([checkpoint_base(spark), "rowsift", *parts, uuid.uuid4().hex])
+
+
+class Scratch:
+    """The intermediate tables of one piece of work, so that they can go when it is done.
+
+    ``with Scratch(spark):`` notes every table that ``written`` makes inside
+    and deletes them at the end; what is still to be read must be written
+    elsewhere before. Outside of any such block tables stay in the shared
+    folder, since a lazy result may read them at any time.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+        self._token = None
+
+    def __enter__(self) -> "Scratch":
+        self._token = _SCRATCH.set(self)
+        return self
 
+    def __exit__(self, *_) -> None:
+        _SCRATCH.reset(self._token)
+        self.release()
 
-def written(df, name: str):
+    def release(self) -> None:
+        """Delete the tables noted so far."""
+        while self.paths:
+            delete(self.spark, self.paths.pop())
+
+
+_SCRATCH: ContextVar[Scratch | None] = ContextVar("rowsift_scratch", default=None)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back.
 
     What follows reads the files: a paid call, an expensive plan or an order
     with ties is evaluated once, however many readers there are, and a lost
-    executor costs a re-read.
+    executor costs a re-read. A surrounding ``Scratch`` deletes it at its end.
     """
     spark = df.sparkSession
     path = shared_dir(spark, name)
+    scratch = _SCRATCH.get()
+    if scratch is not None:
+        scratch.paths.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
+    """``df`` dealt round-robin over ``partitions`` tasks (default: the
+    session's shuffle partitions) for a callable whose cost is per row, not
+    per byte (a remote call per request).
+
+    Not ``repartition(n, key)``: on a frame already grouped by that key
+    Spark drops it as redundant, and AQE then packs the whole (small in
+    bytes) input into one task, so every call would run in sequence. A
+    shuffle with an explicit partition count is neither dropped nor
+    coalesced; Spark sorts rows before dealing them, so a retried task gets
+    the same rows."""
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Make ``DataFrame.checkpoint()`` usable, keeping a configured folder."""
-    _checkpoint_base(spark)
+    checkpoint_base(spark)
 
 
 _SHIPPED: set = set()

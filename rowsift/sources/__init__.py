@@ -15,6 +15,7 @@ from .tables import (
 from .writers import (
     add_table,
     append_json,
+    append_table,
     json_records_form,
     output_names,
     read_json,
@@ -24,7 +25,7 @@ from .writers import (
 )
 
 __all__ = [
-    "DEFAULT_COLUMN", "DEFAULT_TABLE", "add_table", "append_json", "assemble_document",
+    "DEFAULT_COLUMN", "DEFAULT_TABLE", "add_table", "append_json", "append_table", "assemble_document",
     "json_records_form", "default_column", "list_columns", "list_table_names", "list_tables",
     "output_names", "read_json", "read_many", "read_table", "require_column", "write_json",
     "write_results", "write_table",

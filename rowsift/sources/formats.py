@@ -4,7 +4,7 @@ one writes another reads back: headers and column names, nulls, empty text."""
 from __future__ import annotations
 
 READ = {
-    "csv": {"header": "true", "escape": '"', "multiLine": "true"},
+    "csv": {"header": "true", "escape": '"'},
     "json": {},
 }
 WRITE = {
@@ -13,9 +13,14 @@ WRITE = {
 }
 
 
-def read_options(format: str, schema=None) -> dict:
-    """Options to read ``format``; without a schema CSV types are inferred."""
+def read_options(format: str, schema=None, multi_line: bool = False) -> dict:
+    """Options to read ``format``; without a schema CSV types are inferred.
+
+    A CSV file is split among tasks at line ends, so fields must not hold any;
+    ``multi_line`` reads such files too, each by one task."""
     options = dict(READ.get(format.lower(), {}))
+    if multi_line:
+        options["multiLine"] = "true"
     if format.lower() == "csv" and schema is None:
         options["inferSchema"] = "true"
     return options

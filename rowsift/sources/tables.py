@@ -28,16 +28,19 @@ DEFAULT_COLUMN = "DiseaseName"
 DEFAULT_TABLE = "Sheet1"
 
 
-def _reader(spark: SparkSession, fmt: str, schema: T.StructType | str | None):
-    r = spark.read.format(fmt).options(**read_options(fmt, schema))
+def _reader(spark: SparkSession, fmt: str, schema: T.StructType | str | None, multi_line: bool = False):
+    r = spark.read.format(fmt).options(**read_options(fmt, schema, multi_line))
     return r.schema(schema) if schema is not None else r
 
 
 def read_table(spark: SparkSession, source: str, table: str | None = None,
-               format: str = "parquet", schema: T.StructType | str | None = None) -> DataFrame:
+               format: str = "parquet", schema: T.StructType | str | None = None,
+               multi_line: bool = False) -> DataFrame:
     """Scan one named table of a source (lazy).
 
-    An absent table raises ``ValueError("Table 'x' not found. Available tables: a, b")``.
+    Files are split among tasks; ``multi_line`` is for CSV fields with line
+    ends in them and JSON records over several lines, and reads a file by one
+    task. An absent table raises ``ValueError("Table 'x' not found. Available tables: a, b")``.
     """
     table = (table or "").strip() or DEFAULT_TABLE
     if source.startswith(CATALOG_PREFIX):
@@ -50,7 +53,7 @@ def read_table(spark: SparkSession, source: str, table: str | None = None,
     last_error: Exception | None = None
     for path in (f"{base}/{table}.{format}", f"{base}/{table}"):
         try:
-            df = _reader(spark, format, schema).load(path)
+            df = _reader(spark, format, schema, multi_line).load(path)
             df.schema  # noqa: B018 - resolves the path (and infers the schema) now
             return df
         except AnalysisException as err:
@@ -120,12 +123,12 @@ def require_column(df: DataFrame, column: str | None) -> str:
 
 def read_many(spark: SparkSession, paths: str | Sequence[str], format: str = "parquet",
               schema: T.StructType | str | None = None,
-              file_column: str = "source_file") -> DataFrame:
+              file_column: str = "source_file", multi_line: bool = False) -> DataFrame:
     """The same table read from many files (a glob or a list), with the
     path of the file each row came from. Spark lists and splits the files;
     the path comes from the hidden ``_metadata`` column at no extra cost."""
     if isinstance(paths, str):
         paths = [paths]
-    df = _reader(spark, format, schema).load(list(paths))
+    df = _reader(spark, format, schema, multi_line).load(list(paths))
     refuse_clash(df.columns, file_column)
     return df.withColumn(file_column, F.col("_metadata.file_path"))

@@ -1,5 +1,5 @@
-"""Streaming form of the stateless review (filter + rules)."""
+"""Streaming form of the stateless review (filter + rules), to files or with the effects of the sinks."""
 
-from .review_stream import review_stream, review_stream_frame
+from .review_stream import append_batch, review_stream, review_stream_append, review_stream_frame
 
-__all__ = ["review_stream", "review_stream_frame"]
+__all__ = ["append_batch", "review_stream", "review_stream_append", "review_stream_frame"]
