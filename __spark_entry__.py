@@ -878,7 +878,7 @@ def _own_oracle_sql() -> dict[str, str]:
         "r6_records_mixed_types": """SELECT '12345678901234' || lpad(c_custkey::VARCHAR, 6, '0') AS big,
             CASE WHEN c_custkey % 2 = 0 THEN 'N/A' ELSE (c_custkey % 7)::VARCHAR END AS dose, c_custkey AS id,
             '{"a":[' || c_nationkey || ']}' AS seen FROM customer""",
-        "r6_case_keys": """SELECT CASE WHEN c_custkey % 2 = 1 THEN c_nationkey END AS "NAME",
+        "r6_case_keys": """SELECT CASE WHEN c_custkey % 2 = 1 THEN c_nationkey::BIGINT END AS "NAME",
             CASE WHEN c_custkey % 2 = 0 THEN c_name END AS "Name_1", c_custkey AS id,
             CASE WHEN c_custkey % 2 = 1 THEN c_mktsegment END AS name_2 FROM customer""",
         "r7_merge_verdicts": """SELECT c_custkey, c_name,
