@@ -10,14 +10,19 @@ record ends.
 
 The WARC records get what ARC lacks: a record id (a name-based UUID over the
 archive and the record's number in it, so converting twice gives the same id), the date in ISO form
-from the 14 digits, the type (``warcinfo`` for the version block, ``response``,
-or ``revisit`` for the same payload seen under a smaller page id), and SHA-256
-digests of block and payload.
+from the 14 digits, the type, and SHA-256 digests of block and payload. The
+version block becomes a ``warcinfo``; a block that begins with an HTTP status
+line a ``response``, or a ``revisit`` (which names the response's record id)
+for the same payload seen under a smaller page id; any other block, such as the
+answer of a name server, a ``resource`` whose payload is the whole block.
+Records that cannot be read are set aside with a reason, and reading goes on at
+the next line that is a record header.
 
 Archives are files written and read by Spark's own writers and readers, so any
 file system Spark knows will do, and a lost task is written again by the
 commit protocol. One row is one archive file of about ``ARCHIVE_BYTES``
-(a larger single record makes a larger file), gzip-compressed as a whole.
+(a larger single record makes a larger file). ARC files are gzip-compressed as
+a whole, WARC files record by record, so each record can be read by its offset.
 """
 
 from __future__ import annotations
@@ -41,6 +46,8 @@ from .common import map_frames, staged, utf8
 ARCHIVE_BYTES = 16 << 20
 #: Payloads of fewer bytes are never revisits.
 REVISIT_BYTES = 100
+#: Bytes read or unpacked at a time.
+PIECE = 1 << 18
 V1_FIELDS = b"URL IP-address Archive-date Content-type Archive-length"
 V2_FIELDS = (b"URL IP-address Archive-date Content-type Result-code Checksum Location Offset "
              b"Filename Archive-length")
@@ -110,10 +117,16 @@ def write_arc(pages: DataFrame, path: str, *, page_id: str = "page_id", url: str
     _write(map_frames(rows, run, "archive binary"), path, "\n")
 
 
-def _write(archives: DataFrame, path: str, end: str) -> None:
+def _write(archives: DataFrame, path: str, end: str, compression: str = "gzip") -> None:
     """One file per row: the text writer puts ``end``, a record's closing, behind the row's bytes."""
     (archives.select(F.col("archive").cast("string").alias("value")).write
-     .option("lineSep", end).option("maxRecordsPerFile", 1).option("compression", "gzip").text(path))
+     .option("lineSep", end).option("maxRecordsPerFile", 1).option("compression", compression).text(path))
+
+
+def gzip_member(record: bytes) -> bytes:
+    """One record as a gzip member of its own, without a time, so that equal records give equal bytes."""
+    packer = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return packer.compress(record) + packer.flush()
 
 
 # ---- reading
@@ -130,23 +143,35 @@ class _Bytes:
     """Sequential reader over a file's bytes, gunzipped piece by piece."""
 
     def __init__(self, content: bytes):
-        self._raw, self._at, self._have = memoryview(content), 0, bytearray()
+        self._raw, self._at, self._have, self._feed = memoryview(content), 0, bytearray(), b""
         self._zip = zlib.decompressobj(31) if bytes(content[:2]) == b"\x1f\x8b" else None
 
     def _more(self) -> bool:
-        if self._at >= len(self._raw):
-            return False
-        piece = self._raw[self._at:self._at + (1 << 18)]
-        self._at += len(piece)
-        if self._zip is None:
-            self._have += piece
-            return True
+        """Take in some more bytes, at most ``PIECE`` of them; False at the end."""
         while True:
-            self._have += self._zip.decompress(piece)
-            piece = self._zip.unused_data
-            if not self._zip.eof or not piece:
+            if self._zip is None:
+                piece = self._raw[self._at:self._at + PIECE]
+                self._at += len(piece)
+                self._have += piece
+                return len(piece) > 0
+            if not self._feed and self._at < len(self._raw):
+                self._feed = bytes(self._raw[self._at:self._at + PIECE])
+                self._at += len(self._feed)
+            if self._zip.eof:  # the next member, behind any padding
+                self._feed = self._feed.lstrip(b"\0")
+                if self._feed:
+                    self._zip = zlib.decompressobj(31)
+                elif self._at >= len(self._raw):
+                    return False
+                else:
+                    continue
+            piece = self._zip.decompress(self._feed, PIECE)
+            self._feed = self._zip.unused_data if self._zip.eof else self._zip.unconsumed_tail
+            if piece:
+                self._have += piece
                 return True
-            self._zip = zlib.decompressobj(31)  # the next member
+            if not self._zip.eof and not self._feed and self._at >= len(self._raw):
+                return False  # the file ends inside a member
 
     def line(self) -> bytes | None:
         """Up to the next newline, which is consumed; None at the end."""
@@ -171,37 +196,101 @@ class _Bytes:
         del self._have[:n]
         return out
 
+    def rest(self) -> bytes:
+        """All that is left."""
+        while self._more():
+            pass
+        out = bytes(self._have)
+        self._have.clear()
+        return out
+
 
-def arc_records(content: bytes) -> Iterator[dict]:
+def _header(line: bytes, fields: list[str]) -> tuple[list[bytes], int] | str:
+    """The values and the declared length of a record header, or why it is none."""
+    values = line.split(b" ")
+    if len(values) != len(fields):
+        return f"record header of {len(values)} fields, {len(fields)} declared"
+    if not re.fullmatch(rb"[0-9]{1,18}", values[-1]):
+        return f"record length {values[-1][:40].decode('utf-8', 'replace')!r}"
+    return values, int(values[-1])
+
+
+def arc_records(content: bytes, strict: bool = True) -> Iterator[dict]:
     """Header fields and block of each record of one ARC file, the version block first.
 
     ``version_block`` marks the first record, whatever the URLs of the others.
+    What is no record raises, or, not ``strict``, comes out with the reason as
+    ``fault`` and its bytes as ``block``: up to the next line that is a record
+    header, the rest of a file that is cut short, a whole file whose version
+    block cannot be read.
     """
     data = _Bytes(content)
-    fields: list[str] | None = None
+    first = data.line()
+    if first is None:
+        return
+    try:
+        values = first.split(b" ")
+        block = data.take(int(values[-1]))
+        version, names = block.split(b"\n")[:2]
+        if version.split(b" ")[0] not in (b"1", b"2"):
+            raise ValueError(f"ARC version {version!r}")
+        fields = names.decode().split(" ")
+        head = {"URL": values[0].decode("utf-8", "surrogateescape"), "Archive-date": values[2].decode()}
+    except (ValueError, IndexError) as err:
+        if strict:
+            raise ValueError(str(err)) from err
+        yield {"fault": f"no version block: {err}", "block": first + b"\n" + data.rest(), "version_block": False}
+        return
+    yield head | {"block": block, "fields": len(fields), "version_block": True}
+    bad, why = [], ""
     while (line := data.line()) is not None:
-        if not line.strip():
+        if not line.strip() and not bad:
             continue  # the newline behind a record
-        values = line.split(b" ")
-        size = int(values[-1])
-        block = data.take(size)
-        if fields is None:
-            version, names = block.split(b"\n")[:2]
-            if version.split(b" ")[0] not in (b"1", b"2"):
-                raise ValueError(f"ARC version {version!r}")
-            fields = names.decode().split(" ")
-            yield {"URL": values[0].decode(), "Archive-date": values[2].decode(), "block": block, "fields": len(fields),
-                   "version_block": True}
+        got = _header(line, fields)
+        if isinstance(got, str):
+            if strict:
+                raise ValueError(got)
+            why = why or got
+            bad.append(line)
             continue
-        if len(values) != len(fields):
-            raise ValueError(f"record header of {len(values)} fields, {len(fields)} declared")
-        yield dict(zip(fields, (v.decode("utf-8", "surrogatepass") for v in values))) | {
+        if bad:
+            yield {"fault": why, "block": b"\n".join(bad), "version_block": False}
+            bad, why = [], ""
+        values, size = got
+        try:
+            block = data.take(size)
+        except ValueError as err:
+            if strict:
+                raise
+            yield {"fault": str(err), "block": line + b"\n" + data.rest(), "version_block": False}
+            return
+        yield dict(zip(fields, (v.decode("utf-8", "surrogatepass") if _utf8(v) else v.decode("latin-1") for v in values))) | {
             "block": block, "fields": len(fields), "version_block": False}
+    if bad:
+        yield {"fault": why, "block": b"\n".join(bad), "version_block": False}
+
+
+def _utf8(value: bytes) -> bool:
+    try:
+        value.decode("utf-8", "surrogatepass")
+        return True
+    except UnicodeDecodeError:
+        return False
+
+
+def _is_http(block: bytes) -> bool:
+    return block[:5].upper() == b"HTTP/"
 
 
 def _split_block(block: bytes) -> tuple[bytes, bytes]:
-    head, _, payload = block.partition(b"\r\n\r\n")
-    return head, payload
+    """HTTP head and payload of a block (the head ends at the first empty line,
+    written either way); a block without HTTP head is all payload."""
+    if not _is_http(block):
+        return b"", block
+    full, bare = block.find(b"\r\n\r\n"), block.find(b"\n\n")
+    if bare >= 0 and (full < 0 or bare < full):
+        return block[:bare], block[bare + 2:]
+    return (block, b"") if full < 0 else (block[:full], block[full + 4:])
 
 
 def _page_of(head: bytes) -> int | None:
@@ -225,12 +314,12 @@ def _record_id(archive: str, nth: int) -> str:
 # ---- writing and reading WARC
 
 def warc_record(kind: str, record_id: str, url: str, date: str, block: bytes, *, digest: str = "",
-                refers_to: int | None = None) -> bytes:
+                refers_to: int | None = None, refers_to_id: str = "", content_type: str = "") -> bytes:
     """One record without its closing blank lines."""
-    head, payload = _split_block(block)
-    body = head + b"\r\n\r\n" if kind == "revisit" else block
-    what = {"warcinfo": "application/warc-fields", "response": "application/http; msgtype=response",
-            "revisit": "application/http; msgtype=response"}[kind]
+    payload = _split_block(block)[1] if kind != "resource" else block
+    body = block[:len(block) - len(payload)] if kind == "revisit" else block
+    what = {"warcinfo": "application/warc-fields", "resource": content_type or "application/octet-stream"}.get(
+        kind, "application/http; msgtype=response")
     lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id}",
              f"WARC-Date: {_iso(date)}", f"Content-Type: {what}",
              f"WARC-Block-Digest: sha256:{hashlib.sha256(body).hexdigest()}"]
@@ -238,14 +327,16 @@ def warc_record(kind: str, record_id: str, url: str, date: str, block: bytes, *,
         lines += [f"WARC-Target-URI: {url}", f"WARC-Payload-Digest: sha256:{digest}", f"X-Payload-Length: {len(payload)}"]
     if kind == "revisit":
         lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
-                  f"X-Refers-To-Page: {refers_to}"]
+                  f"WARC-Refers-To: {refers_to_id}", f"X-Refers-To-Page: {refers_to}"]
     lines.append(f"Content-Length: {len(body)}")
     return "\r\n".join(lines).encode("utf-8", "surrogatepass") + b"\r\n\r\n" + body
 
 
-def convert(spark: SparkSession, arc_path: str, warc_path: str, *, archive_bytes: int = ARCHIVE_BYTES) -> None:
+def convert(spark: SparkSession, arc_path: str, warc_path: str, *, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Convert the ARC files of one folder to WARC files in another.
 
+    Returns what was set aside: ``path, reason, size, head`` (the first bytes) per faulty stretch.
+
     Two passes over the archives: the first takes the digests and finds the
     first page of each payload (grouped sums over digests, pre-summed in each
     task), the second writes. The second pass gets each archive's revisits, a
@@ -257,21 +348,33 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str, *, archive_bytes
     def listed(frames):
         for pdf in frames:
             for path, content in zip(pdf["path"], pdf["content"]):
-                rows = []
-                for r in arc_records(content):
-                    if not r["version_block"]:
+                rows, nth, archive = [], 0, ""
+                for r in arc_records(content, strict=False):
+                    if "fault" in r:
+                        rows.append((path, None, None, len(r["block"]), r["block"][:80].decode("utf-8", "replace"), None, r["fault"]))
+                    elif r["version_block"]:
+                        archive = r["URL"]
+                    else:
                         head, payload = _split_block(r["block"])
-                        rows.append((path, len(rows), _page_of(head), len(payload), hashlib.sha256(payload).hexdigest()))
-                yield pd.DataFrame(rows, columns=["path", "nth", "page_id", "size", "digest"]).astype(
-                    {"page_id": "Int64", "size": "int64", "nth": "int64"})
-
-    digests = staged(map_frames(arc, listed, "path string, nth long, page_id long, size long, digest string"), "digests")
-    big = digests.where(F.col("size") >= REVISIT_BYTES)
-    groups = (big.groupBy("size", "digest").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n"))
-              .where("n > 1").drop("n"))
+                        rows.append((path, nth, _page_of(head), len(payload), hashlib.sha256(payload).hexdigest(),
+                                     _record_id(archive, nth) if _is_http(r["block"]) else None, None))
+                        nth += 1
+                if not rows:
+                    continue
+                made = list(zip(*rows))
+                yield pd.DataFrame({
+                    "path": list(made[0]), "nth": pd.array(list(made[1]), dtype="Int64"), "page_id": pd.array(list(made[2]), dtype="Int64"),
+                    "size": pd.array(list(made[3]), dtype="Int64"), "digest": list(made[4]), "record_id": list(made[5]), "fault": list(made[6])})
+
+    digests = staged(map_frames(arc, listed, "path string, nth long, page_id long, size long, digest string, record_id string, "
+                                             "fault string"), "digests")
+    big = digests.where((F.col("size") >= REVISIT_BYTES) & F.col("record_id").isNotNull())
+    first = F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "record_id")))
+    groups = (big.groupBy("size", "digest").agg(first.alias("first"), F.count(F.lit(1)).alias("n"))
+              .where("n > 1").select("size", "digest", F.col("first.page_id").alias("refers_to"), F.col("first.record_id").alias("to_id")))
     # an archive has a bounded number of records, so its list of revisits is bounded too
     again = (big.join(groups, ["size", "digest"]).where(F.coalesce(F.col("page_id") != F.col("refers_to"), F.col("refers_to").isNotNull()))
-             .groupBy("path").agg(F.collect_list(F.struct("nth", "refers_to")).alias("again")))
+             .groupBy("path").agg(F.collect_list(F.struct("nth", "refers_to", "to_id")).alias("again")))
     again = staged(again, "revisits")
     rows = arc.join(again, "path", "left").select("content", "again")
 
@@ -279,9 +382,11 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str, *, archive_bytes
         for pdf in frames:
             for content, known in zip(pdf["content"], pdf["again"]):
                 archive = ""
-                refers = {} if known is None else {r["nth"]: r["refers_to"] for r in known}
+                refers = {} if known is None else {r["nth"]: (r["refers_to"], r["to_id"]) for r in known}
                 records, size, nth = [], 0, 0
-                for r in arc_records(content):
+                for r in arc_records(content, strict=False):
+                    if "fault" in r:
+                        continue
                     if r["version_block"]:
                         body = (f"software: rowsift\r\nformat: WARC File Format 1.1\r\n"
                                 f"converted-from: {r['URL']}\r\narc-fields: {r['fields']}\r\n").encode()
@@ -289,19 +394,22 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str, *, archive_bytes
                         record = warc_record("warcinfo", _record_id(archive, -1), archive, r["Archive-date"], body)
                     else:
                         digest = hashlib.sha256(_split_block(r["block"])[1]).hexdigest()
-                        to = refers.get(nth)
-                        record = warc_record("response" if to is None else "revisit", _record_id(archive, nth), r["URL"],
-                                             r["Archive-date"], r["block"], digest=digest, refers_to=to)
+                        to, to_id = refers.get(nth, (None, ""))
+                        kind = "revisit" if to is not None else "response" if _is_http(r["block"]) else "resource"
+                        record = warc_record(kind, _record_id(archive, nth), r["URL"], r["Archive-date"], r["block"], digest=digest,
+                                             refers_to=to, refers_to_id=to_id, content_type=r["Content-type"])
                         nth += 1
-                    records.append(record)
+                    records.append(gzip_member(record + b"\r\n\r\n"))
                     size += len(record)
                     if size >= archive_bytes:
-                        yield pd.DataFrame({"archive": [b"\r\n\r\n".join(records)]})
+                        yield pd.DataFrame({"archive": [b"".join(records)]})
                         records, size = [], 0
                 if records:
-                    yield pd.DataFrame({"archive": [b"\r\n\r\n".join(records)]})
+                    yield pd.DataFrame({"archive": [b"".join(records)]})
 
-    _write(map_frames(rows, run, "archive binary"), warc_path, "\r\n\r\n")
+    # zero bytes behind the last member are padding to every gzip reader
+    _write(map_frames(rows, run, "archive binary"), warc_path, "\0", "none")
+    return digests.where("fault is not null").select("path", F.col("fault").alias("reason"), "size", F.col("digest").alias("head"))
 
 
 def warc_records(content: bytes) -> Iterator[tuple[dict, bytes]]:
@@ -320,13 +428,13 @@ def warc_records(content: bytes) -> Iterator[tuple[dict, bytes]]:
 
 
 def read_warc(warc: DataFrame) -> DataFrame:
-    """One row per response or revisit record: ``page_id, record_id, date, url,
-    payload_bytes, payload_digest, record_type, refers_to``.
+    """One row per response, resource or revisit record: ``page_id, record_id, date, url,
+    payload_bytes, payload_digest, record_type, refers_to, refers_to_id``.
 
-    Digest and length of a response are taken from the payload read back and
-    must agree with its headers; a revisit has none and states them.
+    Digest and length of a payload are taken from the bytes read back and must
+    agree with its headers; a revisit has none and states them.
     """
-    names = ["page_id", "record_id", "date", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    names = ["page_id", "record_id", "date", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "refers_to_id"]
 
     def run(frames):
         for pdf in frames:
@@ -336,17 +444,19 @@ def read_warc(warc: DataFrame) -> DataFrame:
                     kind = head["warc-type"]
                     if kind == "warcinfo":
                         continue
-                    http, payload = _split_block(block)
+                    http, payload = (b"", block) if kind == "resource" else _split_block(block)
                     digest, size = head["warc-payload-digest"].removeprefix("sha256:"), int(head["x-payload-length"])
-                    if kind == "response" and (len(payload) != size or hashlib.sha256(payload).hexdigest() != digest):
+                    if kind != "revisit" and (len(payload) != size or hashlib.sha256(payload).hexdigest() != digest):
                         raise ValueError(f"payload of {head['warc-record-id']} differs from its headers")
                     to = head.get("x-refers-to-page")
                     rows.append((_page_of(http), head["warc-record-id"], head["warc-date"], head["warc-target-uri"], size,
-                                 digest, kind, None if to is None else int(to)))
-                yield pd.DataFrame(rows, columns=names).astype({"page_id": "Int64", "refers_to": "Int64"})
+                                 digest, kind, None if to is None else int(to), head.get("warc-refers-to")))
+                if rows:
+                    yield pd.DataFrame({n: pd.array(list(c), dtype="Int64") if n in ("page_id", "refers_to") else list(c)
+                                        for n, c in zip(names, zip(*rows))})
 
     return map_frames(warc, run, "page_id long, record_id string, date string, url string, payload_bytes long, "
-                                 "payload_digest string, record_type string, refers_to long")
+                                 "payload_digest string, record_type string, refers_to long, refers_to_id string")
 
 
 def archive_pages(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", html: str = "html",
@@ -357,8 +467,8 @@ def archive_pages(pages: DataFrame, *, page_id: str = "page_id", url: str = "url
     with the smallest page id are responses (several if rows repeat), the
     others revisit it; a null page id revisits any other, and is a response
     where all ids are null. A null html is an empty payload, a null or empty
-    url is stated as ``-``; further columns are not read; an empty table gives
-    an empty one.
+    url is stated as ``-``; an html of any length is one record; further
+    columns are not read; an empty table gives an empty one.
     """
     spark = pages.sparkSession
     arc, warc = shared_dir(spark, "llm", "arc"), shared_dir(spark, "llm", "warc")

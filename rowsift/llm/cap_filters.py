@@ -1,14 +1,14 @@
 """Near-duplicate vectors by locality-sensitive spherical-cap filters.
 
 Vectors are scaled to unit length. A structured random code turns them by a
-random rotation and cuts them into ``BLOCKS`` equal parts with ``WORDS`` unit
-vectors each; a filter is one word from each part and its direction their
-concatenation, so a few dozen words stand for a thousand directions. A vector
-belongs to every filter whose direction it exceeds (inner product at least
-``CUT`` over the root of the dimension), and in any case to the best filter of
-each code. List decoding goes through the parts in order and follows only sums
-that can still reach the cut. ``CODES`` independent codes level out the number
-of filters per vector.
+random rotation and cuts them into ``BLOCKS`` equal parts with some unit
+vectors, the words, for each; a filter is one word from each part and its
+direction their concatenation, so a few dozen words stand for a thousand
+directions. A vector belongs to every filter whose direction it exceeds (inner
+product at least the cut), and in any case to the best filter of each code.
+List decoding goes through the parts in order and follows only sums that can
+still reach the cut. ``CODES`` independent codes level out the number of
+filters per vector.
 
 Vectors that share a filter (and a label) meet in a join on it; a pair is then
 verified by its cosine in double precision. A pair that shares several filters
@@ -18,17 +18,22 @@ comparison gives back the number of links per vector and a spanning forest.
 Filters with many vectors are dealt into blocks of about ``BLOCK_ROWS`` and
 compared block by block, so a hot filter is many bounded tasks.
 
-A pair at the threshold shares none of its filters with a probability that
-falls exponentially with the filters per vector, about 34 here; the recall
-measured against brute force is 1 (see the README). For more vectors per label
-raise ``words``, which keeps the number of vectors per filter.
+Codes are sized by the label: a label of n vectors gets so many words that a
+filter holds about ``PER_FILTER`` of them, and the cut is set so that a vector
+is in about ``PER_VECTOR`` filters. So the work per vector is the same in a
+label of any size. A pair at the threshold shares none of its filters with a
+probability that falls exponentially with the filters per vector; the recall
+measured against brute force is in the README.
 """
 
 from __future__ import annotations
 
+import math
+from statistics import NormalDist
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_frames, staged
@@ -38,18 +43,27 @@ from .gray_index import spanning
 THRESHOLD = 0.93
 CODES = 8
 BLOCKS = 2
-WORDS = 32
-#: In units of the standard deviation of a random direction's inner product.
-CUT = 2.6
+#: Filters that a vector is in, and vectors that a filter holds, on average.
+PER_VECTOR = 36
+PER_FILTER = 128
+LEAST_WORDS = 4
 SEED = 20
 BLOCK_ROWS = 512
+#: Label sizes are sent to all executors up to this number of labels (measured).
+BROADCAST_LABELS = 1_000_000
+
+
+def words_for(size: int, *, codes: int = CODES, blocks: int = BLOCKS) -> int:
+    """Words per part for a label of ``size`` vectors (steps of about a fifth, so few codes are made)."""
+    wanted = (max(size, 1) * PER_VECTOR / (codes * PER_FILTER)) ** (1 / blocks)
+    step = max(0, math.ceil(math.log(max(wanted, 1e-9) / LEAST_WORDS, 1.2) - 1e-9))
+    return round(LEAST_WORDS * 1.2 ** step)
 
 
 class ProductCode:
     """One code: its rotation and words for a dimension, the same wherever they are made."""
 
-    def __init__(self, dim: int, number: int = 0, *, blocks: int = BLOCKS, words: int = WORDS, cut: float = CUT,
-                 seed: int = SEED):
+    def __init__(self, dim: int, number: int = 0, *, codes: int = CODES, blocks: int = BLOCKS, words: int = 32, seed: int = SEED):
         rng = np.random.default_rng([seed, dim, number])
         self.turn = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
         bounds = np.linspace(0, dim, min(blocks, dim) + 1).astype(int)
@@ -63,8 +77,25 @@ class ProductCode:
                 c = np.array([[1.0], [-1.0]])
             # a direction is the concatenation of unit words over the root of their number
             self.code.append(c / np.linalg.norm(c, axis=1, keepdims=True) / np.sqrt(len(self.parts)))
-        self.cut = min(cut / np.sqrt(dim), 0.75)  # in few dimensions caps must not be narrower
         self.size = int(np.prod([len(c) for c in self.code]))
+        self.cut = self._fitted(rng, dim, PER_VECTOR / codes)
+
+    def _fitted(self, rng, dim: int, wanted: float) -> float:
+        """The cut at which random directions are in ``wanted`` filters on average.
+
+        Inner products are about normal, with deviation one over the root of
+        the dimension; the tail of sums of words is lighter, hence a search."""
+        guess = NormalDist().inv_cdf(1 - min(0.5, wanted / self.size)) / np.sqrt(dim)
+        probes = rng.standard_normal((int(np.clip((1 << 20) // self.size, 32, 512)), dim))
+        probes /= np.linalg.norm(probes, axis=1, keepdims=True)
+        low, high = 0.7 * guess, 1.1 * guess
+        for _ in range(8):
+            self.cut = (low + high) / 2
+            if len(self.decode(probes)[0]) > wanted * len(probes):
+                low = self.cut
+            else:
+                high = self.cut
+        return min(high, 0.9)  # in few dimensions caps must not be narrower
 
     def decode(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """``(row, filter)`` of every filter that a unit vector (a row) exceeds, and of its best one."""
@@ -93,8 +124,8 @@ class ProductCode:
 class FilterFamily:
     """Several codes with filters numbered through."""
 
-    def __init__(self, dim: int, codes: int, blocks: int, words: int, cut: float, seed: int):
-        self.codes = [ProductCode(dim, k, blocks=blocks, words=words, cut=cut, seed=seed) for k in range(codes)]
+    def __init__(self, dim: int, words: int, codes: int, blocks: int, seed: int):
+        self.codes = [ProductCode(dim, k, codes=codes, blocks=blocks, words=words, seed=seed) for k in range(codes)]
 
     def decode(self, unit: np.ndarray) -> list[np.ndarray]:
         """Sorted filter numbers of each unit vector (a row)."""
@@ -108,10 +139,12 @@ class FilterFamily:
 _CODES: dict = {}
 
 
-def _family(dim: int, options: tuple) -> FilterFamily:
-    key = (dim, options)
+def _family(dim: int, words: int, options: tuple) -> FilterFamily:
+    key = (dim, words, options)
     if key not in _CODES:
-        _CODES[key] = FilterFamily(dim, *options)
+        if len(_CODES) >= 16:
+            _CODES.clear()
+        _CODES[key] = FilterFamily(dim, words, *options)
     return _CODES[key]
 
 
@@ -129,26 +162,41 @@ def _unit(v) -> np.ndarray | None:
     return a / np.sqrt(a @ a)
 
 
-def _members(rows: DataFrame, options: tuple) -> DataFrame:
+def _words_column(size: Column, options: tuple) -> Column:
+    """``words_for`` of a column."""
+    wanted = F.pow(F.greatest(size, F.lit(1)) * float(PER_VECTOR) / (options[0] * PER_FILTER), F.lit(1 / options[1]))
+    step = F.greatest(F.lit(0), F.ceil(F.log(wanted / LEAST_WORDS) / math.log(1.2) - 1e-9))
+    return F.round(LEAST_WORDS * F.pow(F.lit(1.2), step)).cast("int")
+
+
+def _members(rows: DataFrame, words: int | None, options: tuple) -> DataFrame:
     """``(row, label, dim, filters, vector)`` of the vectors that can link."""
     kind = rows.schema["vector"].dataType.simpleString()
 
     def run(frames):
         for pdf in frames:
             units = [_unit(v) for v in pdf["vector"]]
-            by_dim: dict[int, list[int]] = {}
-            for i, u in enumerate(units):
+            by_dim: dict[tuple[int, int], list[int]] = {}
+            for i, (u, w) in enumerate(zip(units, pdf["words"])):
                 if u is not None:
-                    by_dim.setdefault(len(u), []).append(i)
-            for dim, at in by_dim.items():
+                    by_dim.setdefault((len(u), int(w)), []).append(i)
+            for (dim, words), at in by_dim.items():
                 for k in range(0, len(at), 2048):
                     part = at[k:k + 2048]
                     table = np.stack([units[i] for i in part])
-                    lists = _family(dim, options).decode(table)
+                    lists = _family(dim, words, options).decode(table)
                     yield pd.DataFrame({"row": pdf["row"].to_numpy()[part], "label": pdf["label"].to_numpy()[part], "dim": dim,
                                         "filters": [x.tolist() for x in lists], "vector": pdf["vector"].to_numpy()[part]})
 
     linkable = rows.where(F.col("label").isNotNull() & F.col("vector").isNotNull())
+    if words is not None:
+        linkable = linkable.withColumn("words", F.lit(words))
+    else:  # labels beyond the least size; all others have the fewest words
+        least = LEAST_WORDS ** options[1] * options[0] * PER_FILTER // PER_VECTOR
+        sizes = staged(linkable.groupBy("label").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > least), "label-sizes")
+        few = sizes.count() <= BROADCAST_LABELS
+        linkable = linkable.join(F.broadcast(sizes) if few else sizes, "label", "left").withColumn(
+            "words", _words_column(F.coalesce("size", F.lit(0)), options)).select("row", "label", "vector", "words")
     return map_frames(linkable, run, f"row long, label string, dim int, filters array<int>, vector {kind}")
 
 
@@ -251,7 +299,7 @@ def _links(members: DataFrame, threshold: float, block_rows: int) -> DataFrame:
 
 
 def near_vectors(vectors: DataFrame, *, threshold: float = THRESHOLD, vec_id: str = "vec_id", embedding: str = "embedding",
-                 label: str = "label", codes: int = CODES, blocks: int = BLOCKS, words: int = WORDS, cut: float = CUT, seed: int = SEED,
+                 label: str = "label", codes: int = CODES, blocks: int = BLOCKS, words: int | None = None, seed: int = SEED,
                  block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` per row of ``vectors``.
 
@@ -262,7 +310,8 @@ def near_vectors(vectors: DataFrame, *, threshold: float = THRESHOLD, vec_id: st
     own included. Repeated rows are rows of their own and link; rows of a null
     ``vec_id`` count as partners but are never the smallest, and a component
     of null ids only has a null id and is kept. An empty table gives an empty
-    one; further columns are not read.
+    one; further columns are not read. ``words`` fixes the size of the codes
+    (default: by the size of the label).
     """
     kind = vectors.select(F.col(f"`{embedding}`")).schema[0].dataType.simpleString()
     if not kind.startswith("array"):
@@ -271,7 +320,7 @@ def near_vectors(vectors: DataFrame, *, threshold: float = THRESHOLD, vec_id: st
     rows = staged(vectors.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{vec_id}`").cast("long").alias("vec_id"),
                                  F.col(f"`{label}`").cast("string").alias("label"),
                                  F.col(f"`{embedding}`").cast(numbers).alias("vector")), "vectors")
-    members = staged(_members(rows.select("row", "label", "vector"), (codes, blocks, words, cut, seed)), "filters")
+    members = staged(_members(rows.select("row", "label", "vector"), words, (codes, blocks, seed)), "filters")
     found = staged(_links(members, threshold, block_rows), "links")
     counts = found.where("n > 0").groupBy("row").agg(F.sum("n").alias("n_links"))
     linked = components(found.where("to IS NOT NULL").select(F.col("row").alias("u"), F.col("to").alias("v")))

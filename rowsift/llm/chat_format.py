@@ -115,8 +115,7 @@ _WHOLE = {"conv_id", "pos", "loss_begin", "loss_end", "n_turns", "loss_chars", "
 
 def _typed(rows: list[tuple], names: list[str]) -> pd.DataFrame:
     """A frame whose whole numbers keep their values beside nulls."""
-    columns = zip(*rows) if rows else [()] * len(names)
-    return pd.DataFrame({n: pd.array(list(c), dtype="Int64") if n in _WHOLE else list(c) for n, c in zip(names, columns)})
+    return pd.DataFrame({n: pd.array(list(c), dtype="Int64") if n in _WHOLE else list(c) for n, c in zip(names, zip(*rows))})
 
 
 def format_turns(turns: DataFrame, *, template: Callable[[list[Turn]], str] = marked_turns,
@@ -156,7 +155,8 @@ def format_turns(turns: DataFrame, *, template: Callable[[list[Turn]], str] = ma
                 out.append((*mine, pos, span, *((a, b) if r == learn else (None, None)), got is None))
                 earlier.append((r, t))
                 pos, before = pos + 1, after
-            yield _typed(out, ["conv_id", "pos", "span", "loss_begin", "loss_end", "rewritten"])
+            if out:
+                yield _typed(out, ["conv_id", "pos", "span", "loss_begin", "loss_end", "rewritten"])
 
     return map_frames(rows, run, "conv_id long, pos long, span string, loss_begin long, loss_end long, rewritten boolean")
 

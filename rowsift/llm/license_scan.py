@@ -5,8 +5,9 @@ letters, digits and bytes beyond ASCII, and a blank in a signature stands for
 any run of other bytes. Each rule is a regex with a label, a priority, a
 weight and the keywords it needs: the keywords are looked for first, by plain
 substring search and once per text for all rules, and only the rules whose
-keywords are all there run. Hundreds of rules come from a table of license
-names and a few sentence forms (tag, grant, title, link).
+keywords are all there run. The signatures are written one by one: sentences
+of licenses and notices (``license_signatures``), and names of licenses, which
+also run inside a few sentence forms (tag, grant, title, link).
 
 Detections overlap ("MIT License" inside "under the MIT License"). One is
 suppressed when its interval is contained in that of a detection of higher
@@ -28,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_frames, utf8
+from .license_signatures import SIGNATURES
 
 #: phrase, label
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
@@ -125,6 +127,10 @@ by-permission | (?:used|reproduced|reprinted) (?:by|with) permission | permissio
 """.strip().splitlines()
 
 
+#: How sure a detection of a priority is.
+WEIGHTS = {6: 1.0, 5: 0.95, 4: 0.9, 3: 0.8, 2: 0.6, 1: 0.4}
+
+
 @dataclass(frozen=True)
 class Rule:
     label: str
@@ -166,6 +172,9 @@ def rules() -> list[Rule]:
                     Rule(tag, f"creative commons {name}(?: licen[sc]e)?(?: version)? v?{v}", ("creative",), 3, 0.85)]
         out += [Rule(label, f"cc {code}(?: licen[sc]e)?", ("cc", code.split()[-1]), 2, 0.6),
                 Rule(label, f"creative commons {name}(?: licen[sc]e)?", ("creative",), 2, 0.6)]
+    for line in SIGNATURES:
+        label, priority, pattern, key = (x.strip() for x in line.split(" | "))
+        out.append(Rule(label, f"(?:{pattern})", (key,), int(priority), WEIGHTS[int(priority)]))
     for line in NOTICES:
         label, names, key = (x.strip() for x in line.split(" | "))
         out += [Rule(label, name, (_needs(key),), 1, 0.4) for name in names.split(" / ")]

@@ -108,6 +108,44 @@ def test_arc_faults():
     assert arc_convert._iso("1998") == "1998-01-01T00:00:00Z" and arc_convert._iso("19981231235958") == "1998-12-31T23:59:58Z"
 
 
+def test_arc_of_other_records_and_faults(spark, tmp_path):
+    """Name server answers, plain files, line ends without carriage returns, and stretches that are no records."""
+    import gzip
+
+    block = lambda b, kind="text/html", u="http://a/": b"%s 1.2.3.4 19990203040506 %s %d\n" % (u.encode(), kind.encode(), len(b)) + b + b"\n"
+    dns, plain, bare = b"19990203040506\na. 300 IN A 1.2.3.4\n", b"\x00\xff raw \r\n\r\n bytes", b"HTTP/1.0 200 OK\nA: b\n\npayload\n\nmore"
+    big = b"HTTP/1.1 200 OK\r\nX-Page-Id: %d\r\n\r\n" + b"z" * 200
+    good = (arc_convert._version_block(1, b"f.arc", b"1999") + b"\n" + block(dns, "text/dns", "dns:a") + block(plain, "image/x", "ftp://b")
+            + b"this line is no header\nnor this one 5x\n" + block(bare) + block(big % 8) + block(big % 3) + b"http://c 1.2.3.4 19990203040506 text/html 12e\n" + block(b"HTTP/1.0 204 No"))
+    folder = tmp_path / "arc"
+    folder.mkdir()
+    (folder / "part-0").write_bytes(good + b"http://cut/ 1.2.3.4 19990203040506 text/html 500\nHTTP/1.1 200 OK\r\n\r\nhalf")
+    (folder / "part-1.gz").write_bytes(gzip.compress(b"not an archive\n" * 3))
+    (folder / "part-2").write_bytes(b"\n")
+    faults = arc_convert.convert(spark, str(folder), str(tmp_path / "warc"))
+    reasons = sorted((r.path.rsplit("/", 1)[1], r.reason.split(":")[0].split(" of ")[0]) for r in faults.collect())
+    assert reasons == [("part-0", "archive ends 477 bytes early"), ("part-0", "record header"), ("part-0", "record length '12e'"),
+                       ("part-1.gz", "no version block"), ("part-2", "no version block")]
+    warc = arc_convert.read_archives(spark, str(tmp_path / "warc"))
+    rows = arc_convert.read_warc(warc).collect()
+    by = {r.payload_digest: r for r in rows if r.record_type != "revisit"}
+    for body, kind, payload in ((dns, "resource", dns), (plain, "resource", plain), (bare, "response", b"payload\n\nmore"), (b"", "response", b"")):
+        r = by[hashlib.sha256(payload).hexdigest()]
+        assert (r.record_type, r.payload_bytes, r.date) == (kind, len(payload), "1999-02-03T04:05:06Z")
+    again = [r for r in rows if r.record_type == "revisit"]
+    assert [(r.page_id, r.refers_to, r.refers_to_id) for r in again] == [(8, 3, by[hashlib.sha256(b"z" * 200).hexdigest()].record_id)]
+    for f in warc.collect():  # one gzip member per record, each begins one
+        data, n = bytes(f.content), 0
+        while data.strip(b"\0"):
+            z = zlib.decompressobj(31)
+            record = z.decompress(data)
+            assert z.eof and record.startswith(b"WARC/1.1\r\n") and record.endswith(b"\r\n\r\n") and record.count(b"WARC-Type:") == 1
+            data, n = z.unused_data, n + 1
+        assert gzip.decompress(bytes(f.content)) and n > 1
+        blocks = [b for h, b in arc_convert.warc_records(bytes(f.content)) if h["warc-type"] in ("resource", "response")]
+        assert dns in blocks and plain in blocks and bare in blocks
+
+
 def test_pages_of_archives_are_records(spark):
     """A page whose url is that of a version block is a record and a row like others."""
     pages = [(1, "filedesc://a.arc", "x" * 150), (2, "u", "x" * 150), (3, "filedesc://b.arc", "y")]

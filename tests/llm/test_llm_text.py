@@ -65,10 +65,91 @@ def test_license_base_columns(spark, hostile):
         assert set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) and 0 <= r.score <= 1
 
 
+def rules_brute(text, rules):
+    """Labels and score: every rule runs, no keyword is looked for, every detection meets every other."""
+    data = (text or "").encode().lower()
+    word = re.compile(rb"[0-9a-z\x80-\xff]")
+    found = []
+    for n, r in enumerate(rules):
+        rx, at = license_scan._regex(r.pattern), 0
+        while m := rx.search(data, at):
+            s = m.start()
+            if s and word.match(data[s - 1:s]) and word.match(data[s:s + 1]):
+                at = s + 1
+            else:
+                found.append((s, m.end(), n))
+                at = m.end()
+
+    def hidden(a):
+        s, e, n = a
+        return any(x <= s and e <= y and b != a and (
+            rules[k].priority > rules[n].priority
+            or rules[k].priority == rules[n].priority and ((x, y) != (s, e) or k < n)) for b in found for x, y, k in [b])
+
+    left = [a for a in found if not hidden(a)]
+    return {rules[n].label for _, _, n in left}, max((rules[n].weight for _, _, n in left), default=0.0)
+
+
 def test_license_query_matches_brute_force(spark):
-    got = rows_of(QUERIES["op1_license_scan"](spark, SF).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels"))
-    docs = table(spark, SF, "documents").select("doc_id", "text").collect()
-    assert got == sorted(((r.doc_id, *license_brute(r.text)) for r in docs), key=repr)
+    out = QUERIES["op1_license_scan"](spark, SF)
+    got = rows_of(out.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels"))
+    docs = {r.doc_id: r.text for r in table(spark, SF, "documents").select("doc_id", "text").collect()}
+    assert got == sorted(((i, *license_brute(t)) for i, t in docs.items()), key=repr)
+    rules, some = license_scan.rules(), 0
+    for r in out.collect():
+        labels, score = rules_brute(docs[r.doc_id], rules)
+        base = set(filter(None, r.base_labels.split(",")))
+        assert set(filter(None, r.labels.split(","))) == labels | base
+        assert r.score == max([score] + [0.9] * bool(base))
+        some += bool(r.labels)
+    assert some
+
+
+def test_license_signatures_are_written_one_by_one():
+    """Hundreds of them, each with a keyword that any text of it holds, and a form that it finds."""
+    from rowsift.llm.license_signatures import SIGNATURES
+    written = len(SIGNATURES) + sum(len(line.split(" | ")[1].split(" / ")) for line in license_scan.NAMES + license_scan.NOTICES) + 12
+    assert written >= 300 and len({line.split(" | ")[2] for line in SIGNATURES}) == len(SIGNATURES)
+    scanner = license_scan.Scanner()
+    for line in SIGNATURES:
+        label, priority, pattern, key = (x.strip() for x in line.split(" | "))
+        sample = pattern.split("|")[0] if "(" not in pattern and "|" in pattern else pattern
+        while (m := re.search(r"\(\?:([^()]*)\)\??", sample)):  # the first choice of each group
+            sample = sample[:m.start()] + m[1].split("|")[0] + sample[m.end():]
+        sample = re.sub(r"\.\{[0-9]+,[0-9]+\}\?", "some one", sample).replace(" ?", " ")
+        sample = re.sub(r"\[(.)[^]]*\]", r"\1", sample)
+        sample = re.sub(r"(.)\?", r"\1", sample)
+        found = {scanner.rules[n].label for _, _, n in scanner.detections(sample.replace(" ", ", ").encode())}
+        assert label in found, (line, sample)
+
+
+def test_license_priorities_matter():
+    """With one priority for all rules other labels come out."""
+    texts = {
+        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.": "apache-2",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public "
+        "License as published by the Free Software Foundation; either version 2.1 of the License": "lgpl-2.1",
+        "This is free and unencumbered software released into the public domain.": "unlicense",
+        "www.gnu.org/licenses/gpl-3.0": "gpl-3",
+        "SPDX-License-Identifier: GPL-3.0-or-later": "gpl-3",
+        "Copyright 2020 Unicode, Inc. All rights reserved. Distributed under the Terms of Use": "unicode",
+    }
+    from dataclasses import replace
+    ranked = license_scan.Scanner()
+    flat = license_scan.Scanner([replace(r, priority=1) for r in ranked.rules])
+    for text, label in texts.items():
+        assert label in ranked.scan(text.encode())[5].split(","), text
+    # a weak rule that runs over the whole sentence would hide the license it speaks of
+    for text, label in {"This software is made available under the terms of the MIT License": "mit",
+                        "The program is distributed under the terms of the GNU Affero General Public License": "agpl-3",
+                        "This library is free and distributed under the BSD License": "bsd",
+                        "The code is provided under the terms of the Mozilla Public License, v. 2.0 license": "mpl-2"}.items():
+        strong, weak = (set(x.scan(text.encode())[5].split(",")) - {""} for x in (ranked, flat))
+        assert label in strong and "license-reference" in strong and weak == {"license-reference"}, (text, strong, weak)
+    one = [license_scan.Rule("weak", "alpha beta gamma delta", ("alpha",), 1, 0.4), license_scan.Rule("strong", "beta gamma", ("gamma",), 5, 0.9)]
+    assert license_scan.Scanner(one).scan(b"alpha beta gamma delta")[5] == "strong,weak"
+    assert license_scan.Scanner([replace(one[0], priority=6), one[1]]).scan(b"alpha beta gamma delta")[5] == "weak"
+    assert license_scan.Scanner([one[0], replace(one[1], priority=1)]).scan(b"alpha beta gamma delta")[5] == "weak"
 
 
 @pytest.mark.parametrize("text, labels", [
@@ -155,6 +236,28 @@ def test_quality_query(spark):
     assert rows_of(out.select("doc_id", *NAMES)) == sorted(((i, *quality_brute(t)) for i, t in docs.items()), key=repr)
 
 
+def test_quality_query_kept_matches_brute_force(spark):
+    """The verdict of every document by trying label paths in plain Python, not by the vectorised decoder."""
+    docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
+    weights = line_crf.train_on_labels(docs, labels)
+    emission, step = np.array(weights["emission"]), np.array(weights["transition"])
+    got = {r.doc_id: r for r in QUERIES["op7_quality_rules"](spark, SF).collect()}
+    good = 0
+    for d in docs.collect():
+        observed, counts, _ = line_crf.observe((d.text or "").encode())
+        scores = [[sum(emission[o][s] for o in line) for s in (0, 1)] for line in observed]
+        best = [([s], scores[0][s]) for s in (0, 1)] if scores else []
+        for line in scores[1:]:  # the best path to each state, written out
+            best = [max(((path + [s], v + step[path[-1]][s] + line[s]) for path, v in best), key=lambda x: x[1]) for s in (0, 1)]
+        path = max(best, key=lambda x: x[1])[0] if best else []
+        words = sum(counts)
+        share = sum(int(c) for c, s in zip(counts, path) if s) / words if words else 0.0
+        r = got[d.doc_id]
+        assert r.kept == (not r.base_failed and share >= line_crf.SHARE), d.doc_id
+        good += r.kept
+    assert 0 < good < len(got)
+
+
 def test_quality_keeps_columns(spark, hostile):
     kept = line_crf.judge_lines(hostile, line_crf.prior_weights(), keep_columns=True)
     assert kept.columns == hostile.columns and kept.dtypes == hostile.dtypes
