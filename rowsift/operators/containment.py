@@ -160,6 +160,7 @@ def sample_texts(df: DataFrame, text: Column) -> DataFrame:
     if len(files) > SAMPLE_FILES:
         step = len(files) / SAMPLE_FILES
         some = [files[int(k * step)] for k in range(SAMPLE_FILES)]
+        some += [f.replace("file:///", "file:/", 1) for f in some]  # local paths are spelled in two ways
         try:
             part = df.where(F.col("_metadata.file_path").isin(some))
             part.schema  # noqa: B018 - resolves the hidden column now

@@ -137,3 +137,13 @@ def test_r7_keeps_source_columns(spark):
         merge_verdicts(rows, judged)
     out = merge_verdicts(rows, judged, names=("v", "why", "raw")).first()
     assert tuple(out) == (0, "mine", True, False, "a", None)  # judged twice: the smallest by content
+
+
+def test_r6_keys_that_differ_in_case(spark, tmp_path):
+    df = spark.createDataFrame([('{"a":1,"A":2}',), ('{"A":3,"a_1":"x"}',), ('{"b":true}',)], "t string") \
+        .select(F.parse_json("t").alias("record"))
+    out = records_to_table(df)
+    assert out.columns == ["A", "a_2", "a_1", "b"]
+    out.write.parquet(str(tmp_path / "t"))
+    back = spark.read.parquet(str(tmp_path / "t"))
+    assert sorted((tuple(r) for r in back.collect()), key=repr) == sorted([(2, 1, None, None), (3, None, "x", None), (None, None, None, True)], key=repr)

@@ -163,3 +163,85 @@ def test_rows_containing_without_broadcasts(spark, monkeypatch):
     assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan, plan
     want = sorted(i for i, t in enumerate(texts) if t and any(x in t for x in values))
     assert sorted(r.i for r in out.collect()) == want
+
+
+def test_identical_rows_spread(spark):
+    """200,000 equal rows fill at least eight parts alike, and get every id once."""
+    seen = []
+
+    def keep(rows, name):
+        from rowsift.session import written
+        seen.append(written(rows, name))
+        return seen[-1]
+
+    same = spark.range(0, 200_000, numPartitions=6).select(F.lit("x").alias("t"), F.lit(1).alias("k"))
+    out = with_row_id(same, "k", rows_per_part=20_000, write=keep)
+    sizes = [r["count"] for r in seen[0].groupBy("_rs_part").count().collect()]
+    assert len(sizes) >= 8 and max(sizes) < 40_000
+    got = out.agg(F.count("row_id").alias("n"), F.countDistinct("row_id").alias("d"), F.max("row_id").alias("m")).first()
+    assert (got.n, got.d, got.m) == (200_000, 200_000, 199_999)
+
+
+def test_ties_keep_the_input_order(spark, tmp_path):
+    """Equal keys, and no key at all: the order of the rows in the file."""
+    path = str(tmp_path / "t")
+    spark.range(0, 5000, numPartitions=1).select("id", (F.col("id") % 3).alias("k")).write.parquet(path)
+    df = spark.read.parquet(path)
+    assert [r.id for r in with_row_id(df, rows_per_part=300).orderBy("row_id").collect()] == list(range(5000))
+    ties = [(r.k, r.id) for r in with_row_id(df, "k", rows_per_part=300).orderBy("row_id").collect()]
+    assert ties == sorted(ties)
+    named = df.withColumn("_rs_place", F.col("id") * 2)
+    with __import__("pytest").raises(ValueError):
+        with_row_id(named, "k")
+    out = with_row_id(named.withColumnRenamed("_rs_place", "at"), "k", place="at")  # a place of the caller's, given up
+    assert out.columns == ["id", "k", "row_id"]
+
+
+def test_value_of_common_words_has_few_candidates(spark):
+    """Every interior word stands in most texts; the phrase that is taken as key does not."""
+    import rowsift.operators.containment as C
+
+    rng = random.Random(3)
+    words = ["the", "of", "and", "to", "in", "is", "that", "for", "it", "as", "was", "with", "be", "by", "on", "not", "he", "his", "but", "at"]
+    texts = [" ".join(rng.choices(words, k=30)) for _ in range(3000)]
+    value = "he was not with the in of his"
+    for i in range(0, 3000, 75):
+        texts[i] = texts[i] + " " + value + " " + rng.choice(words)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    v = spark.createDataFrame([(value,), ("of AND",), ("as by",)], "v string").where("v like 'he%'")
+    assert all(sum(w in t.split() for t in texts) > 0.7 * len(texts) for w in value.split()[1:-1])
+    hits = sorted(i for i, t in enumerate(texts) if value in t)
+    cand = C.candidates(df, F.col("t"), v, "v")
+    assert len(hits) >= 40 and len(hits) <= cand.count() < 2 * len(hits)
+    assert sorted(r.i for r in rows_containing(df, F.col("t"), v, "v").collect()) == hits
+
+
+def test_keys_of_every_kind_match_brute_force(spark):
+    """Values of 0 to 6 words, common and rare, with all white space, ends cut inside words."""
+    rng = random.Random(5)
+    common, rare = ["of", "the", "a", "in"], [f"w{k}x" for k in range(40)]
+    seps = [" ", "  ", "\t", "\n", "\r\n"]
+    texts = ["".join(rng.choice(common * 6 + rare) + rng.choice(seps) for _ in range(rng.randint(0, 40))) for _ in range(400)]
+    values = []
+    for _ in range(150):
+        t = rng.choice(texts)
+        if t:
+            a = rng.randrange(len(t))
+            values.append(t[a:a + rng.choice([1, 2, 4, 7, 9, 15, 30])].upper())
+    values = [v for v in set(values) if v] + ["no such thing at all", "of the a in of the a"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    for some in (values, values[:5], [v for v in values if len(v) > 8], [v for v in values if len(v.split()) > 3]):
+        v = spark.createDataFrame([(x,) for x in some], "v string")
+        got = sorted(r.i for r in rows_containing(df, F.col("t"), v, "v").collect())
+        assert got == sorted(i for i, t in enumerate(texts) if any(x.lower() in t.lower() for x in some))
+
+
+def test_sample_of_texts_reads_some_files(spark, tmp_path):
+    import rowsift.operators.containment as C
+
+    path = str(tmp_path / "many")
+    spark.range(0, 4000).select(F.concat(F.lit("text "), "id").alias("t")).repartition(40).write.parquet(path)
+    df = spark.read.parquet(path)
+    sample = C.sample_texts(df, F.col("t"))
+    files = {r.f for r in sample.select(F.input_file_name().alias("f")).distinct().collect()}
+    assert 8 <= len(files) <= C.SAMPLE_FILES and 0 < sample.count() < 4000 / C.SAMPLE_ONE_IN

@@ -171,3 +171,24 @@ def test_rules_refuse_to_replace_columns(spark):
         evaluate_rules(df, [(1, "x", "ge", "0", "low")])
     out = evaluate_rules(df, [(1, "x", "ge", "5", "low")], notes_col="why").first()
     assert (out.Notes, out.why, out.verdict) == ("mine", "low", False)
+
+
+def test_requests_packed_by_size(spark):
+    """Records of 10 bytes and 100 kB: no request beyond the budget but single records, none of more than 7."""
+    import random
+
+    rng = random.Random(2)
+    sizes = [rng.choice([10, 10, 10, 300, 2000, 5000, 100_000]) for _ in range(900)]
+    rows = spark.createDataFrame([(i * 1000 if i > 800 else i, "x" * (n - 1)) for i, n in enumerate(sizes)], "row_id long, record string")
+    out = build_requests(rows, "g", "t", "c", batch=7, max_bytes=4096, whole=False).collect()
+    ids = [i for r in out for i in r.row_ids]
+    assert sorted(ids) == sorted(r.row_id for r in rows.collect()) and len(ids) == len(set(ids))
+    for r in out:
+        assert r.batch_id == r.row_ids[0] and r.row_ids == sorted(r.row_ids) and r.n_records == len(r.row_ids) <= 7
+        assert len(r.body) + 1 <= 4096 or r.n_records == 1
+    small = [r for r in out if len(r.body) < 4096]
+    assert sum(len(r.body) for r in small) / len(small) > 300  # they are packed, not dealt one by one
+    again = build_requests(rows.repartition(5), "g", "t", "c", batch=7, max_bytes=4096, whole=False).collect()
+    assert sorted((r.batch_id, r.body) for r in out) == sorted((r.batch_id, r.body) for r in again)
+    plan = build_requests(rows, "g", "t", "c", max_bytes=4096)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1  # the sum and the grouping share it

@@ -109,3 +109,20 @@ def test_s2_lists_one_level(spark, tmp_path):
         assert list_table_names(spark, source) == want
     assert [r.table_name for r in list_tables(spark, str(tmp_path)).collect()] == want
     assert list_table_names(spark, f"{tmp_path}/absent") == []
+
+
+def test_s1_csv_is_split_among_tasks(spark, tmp_path):
+    """One CSV file is many tasks; fields with line ends are read on request."""
+    lines = "".join(f'{i},"text {i}, quoted ""q"" {"x" * 80}"\n' for i in range(20_000))
+    (tmp_path / "t.csv").write_text("id,s\n" + lines)
+    (tmp_path / "m.csv").write_text('id,s\n1,"two\nlines"\n2,one\n')
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200000")
+    try:
+        df = read_table(spark, str(tmp_path), "t", format="csv", schema="id long, s string")
+        assert df.rdd.getNumPartitions() > 5
+        rows = df.collect()
+        assert len(rows) == 20_000 and sorted(r.id for r in rows) == list(range(20_000)) and all('"q"' in r.s for r in rows)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    multi = read_table(spark, str(tmp_path), "m", format="csv", multi_line=True)
+    assert [(r.id, r.s) for r in multi.orderBy("id").collect()] == [(1, "two\nlines"), (2, "one")]
