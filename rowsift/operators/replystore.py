@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..files import listing, make_dirs
+from ..files import delete, listing, make_dirs
 from ..session import ship_package, spread, written
 
 SCHEMA = "key string, response string, error string, asked_at timestamp"
@@ -103,3 +103,17 @@ class ReplyStore:
             (replies.withColumn("asked_at", F.current_timestamp())
              .write.parquet(f"{self.path}/wave-{i:06d}-{uuid.uuid4().hex}"))
         return n
+
+    def compact(self) -> None:
+        """Put the waves so far into one table with a row per key, the first
+        reply or else the last error. The old waves go when it is written; a
+        crash in between leaves replies twice, which reads the same. No run
+        should use the store meanwhile: its lazy reads name the old waves."""
+        old = [name for name, _ in listing(self.spark, self.path) if name.startswith("wave-")]
+        rank = F.struct(F.col("response").isNull().alias("open"),
+                        F.when(F.col("response").isNull(), -F.unix_micros("asked_at")).otherwise(F.unix_micros("asked_at")).alias("at"),
+                        F.coalesce("response", "error").alias("text"))
+        best = self.rows().groupBy("key").agg(F.min_by(F.struct("response", "error", "asked_at"), rank).alias("b"))
+        best.select("key", "b.*").write.parquet(f"{self.path}/wave-all-{uuid.uuid4().hex}")
+        for name in old:
+            delete(self.spark, f"{self.path}/{name}")

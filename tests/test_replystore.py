@@ -137,3 +137,24 @@ def test_wave_reads_only_its_keys(spark, tmp_path):
     assert 10 <= len(waves) <= 12 and sum(waves) == 1000 and max(waves) <= 100
     with pytest.raises(ValueError):
         store.fill(rows, ask, wave=0)
+
+
+def test_compacted_store_answers_alike(spark, tmp_path):
+    store = ReplyStore(spark, str(tmp_path / "s"))
+    req = spark.createDataFrame([(k, f"p{k}") for k in range(40)], "batch_id long, prompt string")
+
+    def moody(prompt, word):
+        if prompt.endswith("7"):
+            raise RuntimeError(word)
+        return f"{word} {prompt}"
+
+    for word in ("first", "second"):
+        score_requests(req, lambda p, w=word: moody(p, w), retries=0, store=store.path, wave=7)
+    keys = spark.createDataFrame([(r.key,) for r in store.rows().select("key").distinct().collect()], "key string")
+    before = sorted(map(str, store.answers(keys).collect()))
+    store.compact()
+    assert len([f for f in os.listdir(store.path) if f.startswith("wave-")]) == 1 and store.rows().count() == 40
+    assert sorted(map(str, store.answers(keys).collect())) == before
+    assert sum("second" in x for x in before) == 4 and sum("first" in x for x in before) == 36
+    third = score_requests(req, lambda p: "third", store=store.path)
+    assert third.where("response = 'third'").count() == 4
