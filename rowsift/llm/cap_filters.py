@@ -49,6 +49,8 @@ PER_FILTER = 128
 LEAST_WORDS = 4
 SEED = 20
 BLOCK_ROWS = 512
+#: From so many links in a block on, their lists are compared by a matrix product.
+MANY_PAIRS = 2048
 #: Label sizes are sent to all executors up to this number of labels (measured).
 BROADCAST_LABELS = 1_000_000
 
@@ -208,6 +210,28 @@ def _none_shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def _any_shared(a, b, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For the pairs ``(i, j)`` of two lists of filter lists: whether they have something in common, by one
+    product of incidence matrices (for many pairs of one block)."""
+    known = np.unique(np.concatenate([np.concatenate([np.asarray(x, dtype=np.int32) for x in side]) if len(side) else
+                                      np.empty(0, np.int32) for side in (a, b)]))
+    made = []
+    for side in (a, b):
+        m = np.zeros((len(side), len(known)), dtype=np.float32)
+        sizes = np.fromiter((len(x) for x in side), np.int64, len(side))
+        if sizes.sum():
+            m[np.repeat(np.arange(len(side)), sizes), np.searchsorted(known, np.concatenate([np.asarray(x) for x in side if len(x)]))] = 1
+        made.append(m)
+    return (made[0] @ made[1].T)[i, j] > 0
+
+
+def _units(vectors) -> np.ndarray:
+    """``_unit`` of vectors that are known to link, as rows of one table."""
+    a = np.stack(list(vectors)).astype(np.float64)
+    a /= np.abs(a).max(axis=1, keepdims=True)
+    return a / np.sqrt(np.einsum("ij,ij->i", a, a))[:, None]
+
+
 def _lists(smaller, fill: int) -> np.ndarray:
     """The smaller filters of each vector, padded to one width."""
     out = np.full((len(smaller), max(map(len, smaller), default=0) or 1), fill, dtype=np.int32)
@@ -218,8 +242,8 @@ def _lists(smaller, fill: int) -> np.ndarray:
 
 def _compare(a: pd.DataFrame, b: pd.DataFrame | None, threshold: float):
     """Links between two blocks of a filter (or within one) that share no smaller filter: row pairs."""
-    ua = np.stack([_unit(v) for v in a["vector"]])
-    ub = ua if b is None else np.stack([_unit(v) for v in b["vector"]])
+    ua = _units(a["vector"])
+    ub = ua if b is None else _units(b["vector"])
     near = ua @ ub.T >= threshold - 1e-9
     if b is None:
         near = np.triu(near, 1)
@@ -228,6 +252,9 @@ def _compare(a: pd.DataFrame, b: pd.DataFrame | None, threshold: float):
         return i, j
     exact = np.einsum("ij,ij->i", ua[i], ub[j]) >= threshold
     i, j = i[exact], j[exact]
+    if len(i) > MANY_PAIRS:
+        fresh = ~_any_shared(a["smaller"].tolist(), (a if b is None else b)["smaller"].tolist(), i, j)
+        return i[fresh], j[fresh]
     la = _lists(a["smaller"], -1)
     lb = np.where(la < 0, -2, la) if b is None else _lists(b["smaller"], -2)
     fresh = _none_shared(la[i], lb[j])

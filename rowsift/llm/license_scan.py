@@ -284,8 +284,8 @@ def scan_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     ``last_word`` are the smallest and largest word index at which one starts
     (null without any); label lists are distinct, sorted and comma-joined, the
     empty string without any. ``score`` is the largest weight among the kept
-    rules, zero without any. Spans are byte offsets in the UTF-8 text. A null
-    text is empty, a null ``doc_id`` stays null, repeated rows are scanned
+    rules, zero without any. Spans are byte offsets in the UTF-8 text. A text of
+    any length is scanned whole, with memory in proportion to it. A null text is empty, a null ``doc_id`` stays null, repeated rows are scanned
     alike, an empty table gives an empty one; other columns are not read.
     """
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))

@@ -236,8 +236,9 @@ def judge_lines(docs: DataFrame, weights: dict, *, doc_id: str = "doc_id", text:
     n_lines, content_share, base_failed, kept``; with ``keep_columns`` the
     columns of ``docs`` instead, rejected rows left out. A null text has no
     words and fails the base rules (fewer than ten words); a null ``doc_id``
-    stays null; repeated rows are judged alike; an empty table gives an empty
-    one; further columns are not read.
+    stays null; repeated rows are judged alike; a text of any length is judged
+    by all its lines, with memory in proportion to it; an empty table gives an
+    empty one; further columns are not read.
     """
     emission = np.array(weights["emission"])
     transition = np.array(weights["transition"])

@@ -110,8 +110,9 @@ def judge_urls(pages: DataFrame, rules: dict | None = None, *, page_id: str = "p
 
     ``rule`` is null where none fits; then the verdict is that of the host,
     ``allow`` for a url without host (null, or no ``://``). A null html has no
-    links; repeated rows each give a row and count as pages; an empty table
-    gives an empty one; further columns are not read.
+    links, one of any length is searched whole in time linear in it; repeated
+    rows each give a row and count as pages; an empty table gives an empty one;
+    further columns are not read.
     """
     rules = RULES if rules is None else rules
     ensure_checkpoint_dir(pages.sparkSession)

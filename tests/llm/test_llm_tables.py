@@ -617,6 +617,16 @@ def test_vectors_recall_on_a_large_label(spark):
     assert len({got[i].component_id for i in range(18_000, 20_000)}) == 1
 
 
+def test_shared_filters_by_product_and_by_pairs():
+    rng = np.random.default_rng(1)
+    a, b = ([sorted(rng.choice(60, rng.integers(0, 9), replace=False).tolist()) for _ in range(n)] for n in (50, 40))
+    i, j = (x.ravel() for x in np.meshgrid(range(50), range(40)))
+    want = np.array([bool(set(a[x]) & set(b[y])) for x, y in zip(i, j)])
+    assert (cap_filters._any_shared(a, b, i, j) == want).all()
+    assert (cap_filters._none_shared(cap_filters._lists(a, -1)[i], cap_filters._lists(b, -2)[j]) == ~want).all()
+    assert not cap_filters._any_shared([[]] * 3, [[]] * 2, np.array([0]), np.array([1])).any()
+
+
 def test_vectors_query(spark):
     small = [(r.vec_id, r.embedding, r.label) for r in table(spark, SF, "embeddings").collect()]
     assert rows_of(QUERIES["op8_vector_caps"](spark, SF)) == vectors_brute(small)
