@@ -65,13 +65,13 @@ def test_license_base_columns(spark, hostile):
         assert set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) and 0 <= r.score <= 1
 
 
-def rules_brute(text, rules):
+def rules_brute(text, rules, compiled):
     """Labels and score: every rule runs, no keyword is looked for, every detection meets every other."""
     data = (text or "").encode().lower()
     word = re.compile(rb"[0-9a-z\x80-\xff]")
     found = []
     for n, r in enumerate(rules):
-        rx, at = license_scan._regex(r.pattern), 0
+        rx, at = compiled[n], 0
         while m := rx.search(data, at):
             s = m.start()
             if s and word.match(data[s - 1:s]) and word.match(data[s:s + 1]):
@@ -96,8 +96,9 @@ def test_license_query_matches_brute_force(spark):
     docs = {r.doc_id: r.text for r in table(spark, SF, "documents").select("doc_id", "text").collect()}
     assert got == sorted(((i, *license_brute(t)) for i, t in docs.items()), key=repr)
     rules, some = license_scan.rules(), 0
+    compiled = [license_scan._regex(r.pattern) for r in rules]
     for r in out.collect():
-        labels, score = rules_brute(docs[r.doc_id], rules)
+        labels, score = rules_brute(docs[r.doc_id], rules, compiled)
         base = set(filter(None, r.base_labels.split(",")))
         assert set(filter(None, r.labels.split(","))) == labels | base
         assert r.score == max([score] + [0.9] * bool(base))
