@@ -280,12 +280,13 @@ def test_rake_under_a_ceiling(spark, monkeypatch, bound):
     ceiling = 1.25
     plain = ipf_brute(cells, goals, 60)
     assert max(plain.values()) > ceiling
-    fitted = mixing.rake(df, targets, ceiling=ceiling, sweeps=60 if bound else 25)
+    sweeps, rounds = (60, mixing.ROUNDS) if bound else (3, 1)  # each sweep is a written table
+    fitted = mixing.rake(df, targets, ceiling=ceiling, sweeps=sweeps, rounds=rounds)
     got = {(r.source, r.lang, r.topic): r.factor for r in fitted.collect()}
-    want = ipf_brute(cells, goals, 60 if bound else 25, ceiling)
+    want = ipf_brute(cells, goals, sweeps, ceiling, rounds)
     assert max(got.values()) <= ceiling and all(math.isclose(got[c], want[c], rel_tol=1e-5) for c in cells)
     for r in mixing.margins(df, fitted, targets).collect():
-        assert abs(r.target - r.expected) < 0.01, r
+        assert abs(r.target - r.expected) < (0.01 if bound else 0.05), r
 
 
 def test_margins_report_what_cannot_be_reached(spark):
