@@ -116,7 +116,7 @@ def test_arc_of_other_records_and_faults(spark, tmp_path):
     dns, plain, bare = b"19990203040506\na. 300 IN A 1.2.3.4\n", b"\x00\xff raw \r\n\r\n bytes", b"HTTP/1.0 200 OK\nA: b\n\npayload\n\nmore"
     big = b"HTTP/1.1 200 OK\r\nX-Page-Id: %d\r\n\r\n" + b"z" * 200
     good = (arc_convert._version_block(1, b"f.arc", b"1999") + b"\n" + block(dns, "text/dns", "dns:a") + block(plain, "image/x", "ftp://b")
-            + b"this line is no header\nnor this one 5x\n" + block(bare) + block(big % 8) + block(big % 3) + b"http://c 1.2.3.4 19990203040506 text/html 12e\n" + block(b"HTTP/1.0 204 No"))
+            + b"this line is not a header\nnor this one 5x\n" + block(bare) + block(big % 8) + block(big % 3) + b"http://c 1.2.3.4 19990203040506 text/html 12e\n" + block(b"HTTP/1.0 204 No"))
     folder = tmp_path / "arc"
     folder.mkdir()
     (folder / "part-0").write_bytes(good + b"http://cut/ 1.2.3.4 19990203040506 text/html 500\nHTTP/1.1 200 OK\r\n\r\nhalf")
