@@ -11,11 +11,19 @@ wave are on disk before the next one starts. When a scorer, a task or the
 driver dies, what has been answered stays; only the open wave is asked again.
 A request that failed is no reply: it is kept with its error and asked again
 by the next run.
+
+The open requests get dense ids and are written once in their order, so a job
+reads its own and no others. Up to ``ROUNDS`` waves are a job each. More waves
+share ``ROUNDS`` jobs: there a task takes a wave's share of one of the tasks
+that run at once, and its replies are on disk when it ends (a committer that
+moves a task's files with the task). So the requests open at a time are a wave
+still, or one for each running task where a wave has fewer; the number of jobs
+does not grow with the requests. With ``partitions``, which bounds the calls at
+once, every wave is a job, as many as there are.
 """
 
 from __future__ import annotations
 
-import math
 import uuid
 from collections.abc import Callable, Iterable
 
@@ -24,11 +32,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..files import delete, listing, make_dirs
-from ..session import ship_package, spread, written
+from ..session import ship_package, written
+from .rowid import PLACE, with_place, with_row_id
 
 SCHEMA = "key string, response string, error string, asked_at timestamp"
 #: Requests of a wave: what a crash can make a run ask twice.
 WAVE = 10_000
+#: Jobs of a ``fill`` at most, when ``partitions`` does not bound the calls at once.
+ROUNDS = 16
 
 
 def request_key(name: str, text: Column) -> Column:
@@ -36,29 +47,6 @@ def request_key(name: str, text: Column) -> Column:
     return F.sha2(F.concat(F.lit(name), F.lit("\n"), text).cast("binary"), 256)
 
 
-def _ranges(keys: DataFrame, n: int, wave: int) -> list[tuple[str, str]]:
-    """Ranges of keys of at most ``wave`` keys each, all keys covered.
-
-    Keys are counted by so many leading hex digits that a count is a small part
-    of a wave (some hundred counts a wave reach the driver), and neighbours are
-    put together as far as they fit."""
-    if not n:
-        return []
-    digits = max(1, math.ceil(math.log(max(1.0, 16 * n / wave), 16)))
-    while True:
-        counts = keys.groupBy(F.substring("key", 1, digits).alias("p")).count().orderBy("p").collect()
-        if digits >= 12 or max(r["count"] for r in counts) <= wave:
-            break
-        digits += 1
-    cuts, size = [], 0
-    for r in counts:
-        if size + r["count"] > wave and size:
-            cuts.append(r["p"])
-            size = 0
-        size += r["count"]
-    return list(zip(["", *cuts], [*cuts, "g"]))  # "g" is beyond all hex digits
-
-
 class ReplyStore:
     """The replies in one folder; made when it does not exist."""
 
@@ -83,25 +71,41 @@ class ReplyStore:
         return got.select("key", "response", F.when(F.col("response").isNull(), F.col("error")).alias("error"))
 
     def fill(self, requests: DataFrame, ask: Callable[[Iterable[pd.DataFrame]], Iterable[pd.DataFrame]], *,
-             wave: int = WAVE, partitions: int | None = None) -> int:
+             wave: int = WAVE, partitions: int | None = None, shape: Callable[[DataFrame], DataFrame] | None = None) -> int:
         """Ask every request of ``requests(key, ...)`` that has no reply; the number asked.
 
-        ``requests`` should read files (it is read once per wave, its rows of
-        other waves skipped by their key). ``ask`` maps frames of its rows to
-        frames of ``key, response, error`` in a ``mapInPandas`` over
-        ``partitions`` tasks."""
+        ``requests`` should read files (it is read for its keys, then for the
+        open requests). ``ask`` maps frames of its rows, behind the last
+        exchange brought into the form it wants by ``shape``, to frames of
+        ``key, response, error`` in a ``mapInPandas``, at most ``partitions``
+        tasks a wave."""
         if wave < 1:
             raise ValueError("a wave has at least one request")
         replied = self.rows().where(F.col("response").isNotNull()).select("key")
-        todo = written(requests.select("key").distinct().join(replied, "key", "left_anti"), "open-requests")
-        n = todo.count()
+        keys = requests.select("key").where(F.col("key").isNotNull()).distinct()
+        todo = written(with_place(keys.join(replied, "key", "left_anti")), "open-keys")
+        stats: dict = {}
+        ids = with_row_id(todo, name="_rs_open", place=PLACE, stats=stats)
+        n = stats["rows"]
+        if not n:
+            return 0
+        at = F.col("_rs_open")
+        files = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        laid = written(requests.join(ids, "key").dropDuplicates(["key"])
+                       .repartitionById(files, F.floor(at * files / n).cast("int")).sortWithinPartitions("_rs_open"), "open-requests")
+        if partitions:
+            size, share = wave, -(-wave // partitions)
+        else:
+            size, share = max(wave, -(-n // ROUNDS)), max(1, wave // self.spark.sparkContext.defaultParallelism)
         ship_package(self.spark)
-        for i, (low, high) in enumerate(_ranges(todo, n, wave)):
-            own = (F.col("key") >= low) & (F.col("key") < high)
-            batch = requests.where(own).join(todo.where(own), "key", "left_semi").dropDuplicates(["key"])
-            replies = spread(batch, partitions).mapInPandas(ask, "key string, response string, error string")
+        for i, low in enumerate(range(0, n, size)):
+            high = min(low + size, n)
+            own = laid.where((at >= low) & (at < high))
+            batch = own.repartitionById(-(-(high - low) // share), F.floor((at - low) / share).cast("int")).drop("_rs_open")
+            replies = (shape(batch) if shape else batch).mapInPandas(ask, "key string, response string, error string")
             (replies.withColumn("asked_at", F.current_timestamp())
-             .write.parquet(f"{self.path}/wave-{i:06d}-{uuid.uuid4().hex}"))
+             .write.option("mapreduce.fileoutputcommitter.algorithm.version", "2")  # a task's replies stay when another dies
+             .parquet(f"{self.path}/wave-{i:06d}-{uuid.uuid4().hex}"))
         return n
 
     def compact(self) -> None:

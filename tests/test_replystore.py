@@ -139,6 +139,37 @@ def test_wave_reads_only_its_keys(spark, tmp_path):
         store.fill(rows, ask, wave=0)
 
 
+def test_many_small_waves_share_jobs(spark, tmp_path):
+    """The number of jobs does not grow with the waves; requests are asked once, and a task has a wave's share of them."""
+    from rowsift.operators.replystore import ROUNDS
+
+    asked, store = tmp_path / "asked", str(tmp_path / "store")
+    asked.mkdir()
+    req = spark.createDataFrame([(k, f"p{k % 60}") for k in range(70)], "batch_id long, prompt string")
+    out = score_requests(req, _counting(str(asked)), store=store, wave=2)
+    assert out.count() == 70 and out.where("response is null").count() == 0
+    assert len(_asked(asked)) == 60 and set(_asked(asked).values()) == {1}
+    jobs = [f for f in os.listdir(store) if f.startswith("wave-")]
+    assert len(jobs) <= ROUNDS  # 30 waves
+    files = [os.path.join(store, j, f) for j in jobs for f in os.listdir(os.path.join(store, j)) if f.endswith(".parquet")]
+    assert max(spark.read.parquet(f).count() for f in files[:5]) == 1  # at most 2, however many tasks run at once
+    score_requests(req, _counting(str(asked)), store=store, wave=2)
+    assert set(_asked(asked).values()) == {1}
+
+
+def test_a_failed_task_leaves_the_replies_of_others(spark, tmp_path):
+    """Many waves in a job: what its other tasks have answered is in the store when one of them dies."""
+    asked, store = tmp_path / "asked", str(tmp_path / "store")
+    asked.mkdir()
+    req = spark.createDataFrame([(k, f"p{k}") for k in range(120)], "batch_id long, prompt string")
+    with pytest.raises(Exception):
+        score_requests(req, _counting(str(asked), die_after=60), store=store, wave=1)
+    done, before = ReplyStore(spark, store).rows().where("response is not null").count(), sum(_asked(asked).values())
+    assert before - done <= 2 * spark.sparkContext.defaultParallelism  # a request for each running task
+    score_requests(req, _counting(str(asked)), store=store, wave=1)
+    assert len(_asked(asked)) == 120 and sum(_asked(asked).values()) <= 120 + before - done
+
+
 def test_compacted_store_answers_alike(spark, tmp_path):
     store = ReplyStore(spark, str(tmp_path / "s"))
     req = spark.createDataFrame([(k, f"p{k}") for k in range(40)], "batch_id long, prompt string")
