@@ -63,7 +63,9 @@ def score_requests(requests: DataFrame, scorer: Callable[[str], str] | None = No
     outlives the run: a request that this ``scorer_name`` has answered before
     is not sent again, equal requests are sent once, and the others go out in
     waves of ``wave`` requests, each on disk before the next, so a run that
-    dies loses one wave at most."""
+    dies loses one wave at most (of more waves than ``replystore.ROUNDS``, and
+    without ``partitions``: a wave's number of requests, or one for each task
+    that runs at once where that is more)."""
     if (scorer is None) == (make_scorer is None):
         raise ValueError("give exactly one of scorer / make_scorer")
     kept = [c for c in keep if c in requests.columns]
@@ -87,13 +89,13 @@ def score_requests(requests: DataFrame, scorer: Callable[[str], str] | None = No
         return written((spread(rows, partitions) if partitions else rows).mapInPandas(run, schema), "replies")
 
     # The parts of a request are written as they are (a guideline that all share
-    # is one dictionary entry a file), sorted by key for the waves.
+    # is one dictionary entry a file) and put together in the task that asks.
     parts = [c for c in ("prompt", "head", "body", "tail") if c in requests.columns]
     keyed = written(source.withColumn("key", request_key(scorer_name, F.col("_rs_text")))
-                    .select("key", "batch_id", *kept, *parts).sortWithinPartitions("key"), "requests")
+                    .select("key", "batch_id", *kept, *parts), "requests")
     replies = ReplyStore(requests.sparkSession, store)
-    texts = keyed.select("key", request_text(keyed).alias("_rs_text"))
-    replies.fill(texts, run, wave=wave, partitions=partitions)
+    replies.fill(keyed.select("key", *parts), run, wave=wave, partitions=partitions,
+                 shape=lambda rows: rows.select("key", request_text(rows).alias("_rs_text")))
     slim = keyed.select("key", "batch_id", *kept)
     return written(slim.join(replies.answers(slim.select("key").distinct()), "key", "left")
                    .select("batch_id", *kept, "response", "error"), "replies")
