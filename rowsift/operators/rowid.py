@@ -7,7 +7,10 @@ One plan for every size and key type:
      one order whatever is run again later;
   2. one aggregation measures rows and bytes (skipped when the caller knows
      both); they give the number of range partitions, at most
-     ``rows_per_part`` rows and ``PART_BYTES`` each on average;
+     ``rows_per_part`` rows and ``PART_BYTES`` each on average. Rows alone make
+     no more than ``MAX_PARTS``: each partition sends the driver its sample and
+     its task's end, so a count by rows would grow that with the input. Bytes
+     still make as many as it takes, which is what bounds a task;
   3. rows are range-partitioned by the key and, last, the place (bounds
      sampled by Spark), sorted, and written once with their partition and
      their place in it. So rows that share a key value, or are equal in all
@@ -35,6 +38,7 @@ from ..session import written
 
 ROWS_PER_PART = 1_000_000
 PART_BYTES = 128 << 20
+MAX_PARTS = 1024
 PLACE = "_rs_place"
 
 
@@ -56,7 +60,8 @@ def _parts(df: DataFrame, rows_per_part: int, stats: dict | None) -> int:
     size = df.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(width.cast("long")), F.lit(0)).alias("bytes")).first()
     if stats is not None:
         stats["rows"] = int(size["rows"])
-    return max(1, math.ceil(size["rows"] / max(1, rows_per_part)), math.ceil(size["bytes"] / PART_BYTES))
+    by_rows = min(MAX_PARTS, math.ceil(size["rows"] / max(1, rows_per_part)))
+    return max(1, by_rows, math.ceil(size["bytes"] / PART_BYTES))
 
 
 def with_place(df: DataFrame, name: str = PLACE) -> DataFrame:

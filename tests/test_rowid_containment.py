@@ -23,6 +23,18 @@ def test_row_id_parts_follow_rows_and_bytes(spark, monkeypatch):
     assert [r.row_id for r in with_row_id(df, "k").orderBy("k").collect()] == list(range(3000))
 
 
+def test_row_id_parts_are_bounded(spark, monkeypatch):
+    """Few rows a partition make no more of them than MAX_PARTS; bytes do. The ids are the same."""
+    df = spark.range(0, 3000).select((F.col("id") % 5).alias("k"), "id")
+    assert rowid._parts(spark.range(0, 3000), 1, None) == rowid.MAX_PARTS < 3000
+    monkeypatch.setattr(rowid, "MAX_PARTS", 4)
+    assert rowid._parts(df, 1, None) == 4
+    got = sorted((r.row_id, r.k, r.id) for r in with_row_id(df, "k", rows_per_part=1).collect())
+    assert got == [(i, k, v) for i, (k, v) in enumerate(sorted((v % 5, v) for v in range(3000)))]
+    monkeypatch.setattr(rowid, "PART_BYTES", 10_000)
+    assert rowid._parts(df, 1_000_000, None) == 10
+
+
 def test_row_id_repeated_keys_and_nulls(spark):
     """One key holds most rows, some are null: dense ids in key order, and the same for every reader."""
     df = spark.range(0, 2000).select(F.when(F.col("id") % 10 == 0, F.col("id")).when(F.col("id") % 10 != 1, F.lit(7)).alias("k"), "id")
