@@ -171,7 +171,22 @@ def sample_texts(df: DataFrame, text: Column) -> DataFrame:
 
 
 def explode_keys(df: DataFrame, low_t: Column, kinds: list[int], *keep: Column) -> DataFrame:
-    """(*keep, _key) for every key of the wanted kinds that a text yields."""
+    """(*keep, _key) for every key of the wanted kinds that a text yields.
+
+    Grams alone, one per character, are cut out in one pass (the longest at
+    each place, the shorter ones are its beginnings) and hashed behind the
+    explode, in generated code; with phrases among them arrays of hashes are
+    put together."""
+    if kinds and min(kinds) > PHRASE:
+        lengths = [k - GRAM for k in kinds]
+        each = df.select(*keep, low_t.alias("_rs_low"))
+        names = each.columns[:len(keep)]
+        pattern = f"(?s)(?=(.{{{min(lengths)},{max(lengths)}}}))"
+        each = each.select(*names, F.explode(F.regexp_extract_all("_rs_low", F.lit(pattern), 1)).alias("_rs_gram"))
+        keys = [F.when(F.length("_rs_gram") >= n, F.xxhash64(F.lit(GRAM + n), F.substring("_rs_gram", 1, n))) for n in lengths]
+        if len(keys) == 1:
+            return each.select(*names, keys[0].alias("_key"))
+        return each.select(*names, F.explode(F.array(*keys)).alias("_key")).where(F.col("_key").isNotNull())
     arrays = [_phrase_keys(F.col("_rs_words"), k) if k <= PHRASE else _gram_keys(F.col("_rs_low"), k - GRAM) for k in kinds]
     rows = df.select(*keep, low_t.alias("_rs_low"))
     if any(k <= PHRASE for k in kinds):

@@ -130,6 +130,25 @@ def test_rows_containing_words_and_grams_match_brute_force(spark):
     assert sorted(got_x) == want_x and len(got_x) == len(set(got_x))
 
 
+def test_gram_keys_of_texts_in_one_pass(spark):
+    """Texts yield each value's gram keys, of all lengths at once, and cut their grams out once."""
+    import rowsift.operators.containment as C
+
+    texts = ["Se que os", "ab", "", "éñ\n😀 xyz ", "aaaaaaaaaa"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    for lengths in ([1, 2, 4, 8], [4, 8], [8], [3]):
+        keys = C.explode_keys(df, F.lower("t"), [C.GRAM + n for n in lengths], F.col("i"))
+        want = None
+        for n in lengths:
+            one = df.select("i", F.explode(C._gram_keys(F.lower("t"), n)).alias("_key"))
+            want = one if want is None else want.union(one)
+        low = [t.lower() for t in texts]
+        at_least = {(i, t[k:k + n]) for i, t in enumerate(low) for n in lengths for k in range(len(t) - n + 1)}
+        got = {tuple(r) for r in keys.collect()}
+        assert got >= {tuple(r) for r in want.collect()} and len(got) >= len(at_least)
+        assert keys._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+
+
 def test_key_count_decides_the_broadcast(spark, monkeypatch):
     """Value keys beyond the bound are joined without a broadcast; the rows are the same."""
     import rowsift.operators.containment as C
