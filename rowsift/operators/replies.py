@@ -58,18 +58,18 @@ def parse_replies(df: DataFrame, col: str = "response",
     staged = (df.withColumn("_rs_span", json_span(col))
               .withColumn("_rs_v", parse_strict("_rs_span"))
               .withColumn("json_text", F.when(F.col("_rs_v").isNotNull(), F.col("_rs_span")))
-              .withColumn("items", F.try_variant_get("_rs_v", "$", "array<variant>"))
-              .withColumn("_rs_kind", F.schema_of_variant("_rs_v")))
+              .withColumn("items", F.try_variant_get("_rs_v", "$", "array<variant>")))
     t = named(col)
     reason = (F.when(t.isNull() | (strip_text(t) == ""), F.lit(EMPTY))
               .when(F.col("json_text").isNull(), F.lit(NO_JSON))
-              .when(~F.col("_rs_kind").startswith("ARRAY"), F.lit(NOT_LIST))
+              .when(F.col("items").isNull(), F.lit(NOT_LIST))
               .when(F.size("items") == 0, F.lit(EMPTY_LIST))
-              .when(F.exists("items", lambda e: ~F.schema_of_variant(e).startswith("OBJECT")),
+              # only an object casts to a map; its schema would be text built for each element
+              .when(F.exists("items", lambda e: F.try_variant_get(e, "$", "map<string,variant>").isNull()),
                     F.lit(NON_OBJECT)))
     if err is not None:
         reason = F.coalesce(F.col(err), reason)
-    return staged.withColumn("reason", reason).drop("_rs_span", "_rs_v", "_rs_kind")
+    return staged.withColumn("reason", reason).drop("_rs_span", "_rs_v")
 
 
 def quarantine(df: DataFrame, col: str = "response",

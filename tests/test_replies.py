@@ -23,6 +23,18 @@ REPLIES = [
 ]
 
 
+def test_replies_are_parsed_twice_at_most(spark, capsys):
+    """Strictness takes two parses of a reply; kinds are told without the text of its schema."""
+    odd = [('[null]', "non-object element"), ('[{"id":1}, null]', "non-object element"), ('["{}"]', "non-object element"), ('[{}]', None),
+           ('{"a":1}', "not a list"), ('{"a":{"b":2}}', "not a list"), ('[]', "empty list"), ('[true]-1]', "no valid json")]
+    df = spark.createDataFrame([(t,) for t, _ in odd], "response string")
+    out = parse_replies(df, error_col=None)
+    assert [r.reason for r in out.collect()] == [reason for _, reason in odd]
+    out.explain()
+    plan = capsys.readouterr().out
+    assert plan.count("parseJson") == 2 and "schemaofvariant" not in plan.lower()
+
+
 @pytest.mark.parametrize("reply,want,raw", REPLIES)
 def test_r4_verdict_shapes(spark, reply, want, raw):
     df = spark.createDataFrame([(reply,)], "response string")

@@ -1,5 +1,6 @@
 """Runs that are taken up again, and what a run leaves behind."""
 
+import functools
 import os
 import sys
 import uuid
@@ -8,6 +9,7 @@ import pytest
 
 import __spark_entry__ as E
 from conftest import TESTDATA
+from rowsift.operators.replystore import ROUNDS
 from rowsift.plans import Run, analyze
 from rowsift.session import Scratch, written
 from rowsift.streaming import append_batch, review_stream_append
@@ -60,6 +62,18 @@ def test_resume_asks_nobody_again(spark, tmp_path, monkeypatch, dies_in):
         _analyze(spark, tmp_path, asked, **run, literal=True)
 
 
+def test_run_of_many_waves_has_few_jobs(spark, tmp_path, monkeypatch):
+    """A run's requests go out in a number of jobs that does not grow with its waves; each is asked once."""
+    module = sys.modules["rowsift.plans.analyze"]
+    asked, store = tmp_path / "asked", tmp_path / "store"
+    asked.mkdir()
+    monkeypatch.setattr(module, "score_requests", functools.partial(module.score_requests, wave=8))
+    review = _analyze(spark, tmp_path, asked, run_id="r3", run_folder=str(tmp_path / "runs"), reply_store=str(store))
+    assert len(os.listdir(asked)) == review.rows_kept > 8 * ROUNDS  # batches of one record
+    assert len([f for f in os.listdir(store / "reviews") if f.startswith("wave-")]) <= ROUNDS
+    assert review.result.where("`Meets Guidelines`").count() == review.rows_kept
+
+
 def test_killed_between_the_two_outputs(spark, tmp_path, monkeypatch):
     import rowsift.sources.writers as writers
 
