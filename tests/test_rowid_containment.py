@@ -1,8 +1,10 @@
+import os
 import random
 import string
 
 from pyspark.sql import functions as F
 
+import __spark_entry__ as E
 from rowsift.operators import rows_containing, with_row_id
 from rowsift.operators import rowid
 
@@ -35,6 +37,18 @@ def test_row_id_parts_are_bounded(spark, monkeypatch):
     assert rowid._parts(df, 1_000_000, None) == 10
 
 
+def test_multi_query_reports_from_a_bounded_number_of_tasks(spark, tmp_path, monkeypatch):
+    """f6_with_row_id_multi: what sorts and writes the rows is no more tasks than MAX_PARTS, and the ids are the same."""
+    monkeypatch.setattr(rowid, "MAX_PARTS", 3, raising=False)
+    keys = [None if i % 50 == 0 else (i * 7919) % 4001 for i in range(4000)]
+    spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "o_orderkey long, o_custkey long").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    got = E.queries()["f6_with_row_id_multi"](spark, str(tmp_path))
+    folder = {os.path.dirname(f) for f in got.inputFiles()}
+    assert len(folder) == 1 and len(got.inputFiles()) <= 3  # 8 by rows
+    want = sorted(range(4000), key=lambda i: (keys[i] is not None, keys[i] or 0, i))
+    assert sorted((r.row_id, r.o_custkey) for r in got.collect()) == list(enumerate(want))
+
+
 def test_row_id_repeated_keys_and_nulls(spark):
     """One key holds most rows, some are null: dense ids in key order, and the same for every reader."""
     df = spark.range(0, 2000).select(F.when(F.col("id") % 10 == 0, F.col("id")).when(F.col("id") % 10 != 1, F.lit(7)).alias("k"), "id")
