@@ -49,6 +49,22 @@ def test_multi_query_reports_from_a_bounded_number_of_tasks(spark, tmp_path, mon
     assert sorted((r.row_id, r.o_custkey) for r in got.collect()) == list(enumerate(want))
 
 
+def test_small_part_queries_write_no_more_files_for_more_rows(spark, tmp_path, monkeypatch):
+    """f6_with_row_id_multi, f6_ties, f6_input_order: four times the rows are as many files (a task each), ids still dense."""
+    monkeypatch.setattr(rowid, "MAX_PARTS", 2, raising=False)
+    for name in ("f6_with_row_id_multi", "f6_ties", "f6_input_order"):
+        files = []
+        for n in (2100, 8400):
+            folder = f"{tmp_path}/{name}-{n}"
+            rows = spark.range(n).select(F.col("id").alias("o_orderkey"), (F.col("id") * 3).alias("o_custkey"), (F.col("id") % 5).cast("string").alias("o_orderpriority"))
+            rows.coalesce(1).write.parquet(f"{folder}/orders.parquet")
+            got = E.queries()[name](spark, folder)
+            files.append(len(got.inputFiles()))
+            keys = sorted(range(n), key=lambda i: (i % 5, i)) if name == "f6_ties" else range(n)
+            assert sorted((r.row_id, r.o_orderkey) for r in got.collect()) == list(enumerate(keys))
+        assert files == [2, 2], name  # 3 or 5, and 12 or 17, by rows
+
+
 def test_row_id_repeated_keys_and_nulls(spark):
     """One key holds most rows, some are null: dense ids in key order, and the same for every reader."""
     df = spark.range(0, 2000).select(F.when(F.col("id") % 10 == 0, F.col("id")).when(F.col("id") % 10 != 1, F.lit(7)).alias("k"), "id")
